@@ -34,3 +34,46 @@ def v_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Long form (path, line_no, line)."""
     return v_file_lines(spark, sf).select("path", F.posexplode("lines").alias("pos", "line")) \
         .select("path", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+# ------------------------------------------------------------ V-messages
+_CALL_T = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
+
+
+def v_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as messages: (trace_id, seq, role, content, tool_calls, tool_call_id)."""
+    c = _t(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    return c.select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("seq"), "role",
+                    F.col("text").alias("content"), F.lit(None).cast(_CALL_T).alias("tool_calls"),
+                    F.lit(None).cast("string").alias("tool_call_id"))
+
+
+def tag_wrap(conv_id, text) -> "F.Column":
+    """V-tagged: assistant text wrapped by ``conv_id % 5`` into each parse branch."""
+    word = F.regexp_extract(text, r"([A-Za-z]+)", 1)
+    k = F.pmod(conv_id, F.lit(5))
+    return (F.when(k == 0, F.concat(F.lit("<answer>"), text, F.lit("</answer>")))
+            .when(k == 1, F.concat(F.lit("<think>"), F.substring(text, 1, 20), F.lit("</think>\n<answer>"),
+                                   text, F.lit("</answer>")))
+            .when(k == 2, F.concat(F.lit('<tool_call>{"tool": "grep_search", "params": {"pattern": "'), word,
+                                   F.lit('"}}</tool_call>')))
+            .when(k == 3, F.concat(F.lit('```json\n{"answer": "'), word, F.lit('", "data_source": ["t'),
+                                   conv_id.cast("string"), F.lit('.csv"]}\n```')))
+            .otherwise(F.concat(F.lit("<answer>"), text)))
+
+
+def v_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    m = v_messages(spark, sf)
+    return m.withColumn("content", F.when(F.col("role") == "assistant", tag_wrap(F.col("trace_id"), F.col("content")))
+                        .otherwise(F.col("content")))
+
+
+# --------------------------------------------------------------- V-calls
+def v_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """events as a tool-call log: click/purchase = call, view/error = result."""
+    e = _t(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
+    kind = (F.when(F.col("event_type").isin("click", "purchase"), "call")
+            .when(F.col("event_type").isin("view", "error"), "result").otherwise("other"))
+    return e.select(F.col("user_id").alias("trace_id"), "ts", "event_id", kind.alias("kind"),
+                    F.col("event_type").alias("tool"),
+                    (F.col("event_type") != "error").alias("ok"))

@@ -18,3 +18,28 @@ files AS (
 LINES = FILES + r""",
 lines AS (
   SELECT path, CAST(generate_subscripts(lines, 1) AS INTEGER) AS line_no, unnest(lines) AS line FROM files)"""
+
+MESSAGES = r"""
+messages AS (
+  SELECT conv_id AS trace_id, turn AS seq, role, text AS content FROM conversations)"""
+
+TAGGED = r"""
+tagged AS (
+  SELECT conv_id AS trace_id, turn AS seq, role,
+    CASE WHEN role <> 'assistant' THEN text
+         WHEN conv_id % 5 = 0 THEN '<answer>' || text || '</answer>'
+         WHEN conv_id % 5 = 1 THEN '<think>' || substring(text, 1, 20) || '</think>' || chr(10) || '<answer>' || text || '</answer>'
+         WHEN conv_id % 5 = 2 THEN '<tool_call>{"tool": "grep_search", "params": {"pattern": "'
+                                   || coalesce(regexp_extract(text, '([A-Za-z]+)', 1), '') || '"}}</tool_call>'
+         WHEN conv_id % 5 = 3 THEN '```json' || chr(10) || '{"answer": "' || coalesce(regexp_extract(text, '([A-Za-z]+)', 1), '')
+                                   || '", "data_source": ["t' || CAST(conv_id AS VARCHAR) || '.csv"]}' || chr(10) || '```'
+         ELSE '<answer>' || text END AS content
+  FROM conversations)"""
+
+CALLS = r"""
+calls AS (
+  SELECT user_id AS trace_id, ts, event_id,
+         CASE WHEN event_type IN ('click', 'purchase') THEN 'call'
+              WHEN event_type IN ('view', 'error') THEN 'result' ELSE 'other' END AS kind,
+         event_type AS tool, event_type <> 'error' AS ok
+  FROM events)"""

@@ -1 +1,255 @@
-"""Registered queries (filled in below)."""
+"""Registered trace-parsing queries (V-tagged, V-messages, V-calls)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import tags
+from quarry.operators import traces as T
+from quarry.operators.scan import time_chunk
+from quarry.plans import oracle as O
+from quarry.plans.fixtures import v_calls, v_messages, v_tagged
+from quarry.registry import query
+
+# DuckDB: Python-style strip
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+TC = "regexp_extract_all(content, '(?s)<tool_call>(.*?)</tool_call>', 1)"
+_ANS_RAW = ("CASE WHEN regexp_matches(content, '(?s)<answer>(.*?)</answer>') "
+            "THEN regexp_extract(content, '(?s)<answer>(.*?)</answer>', 1) END")
+ANS = f"nullif({_strip(_ANS_RAW)}, '')"
+
+ACTIONS = O.TAGGED + f""",
+asst AS (SELECT trace_id, seq, content, {TC} AS tcs, {ANS} AS ans,
+                contains(content, '<tool_call>') AS has_tc, contains(content, '<answer>') AS has_ans
+         FROM tagged WHERE role = 'assistant'),
+acts AS (
+  SELECT trace_id, seq, 0 AS sub, 'query' AS type, content FROM tagged
+  WHERE role = 'user' AND NOT contains(coalesce(content, ''), '[Tool Execution Result')
+  UNION ALL
+  SELECT trace_id, seq, CAST(generate_subscripts(tcs, 1) - 1 AS INTEGER) AS sub, 'tool' AS type, unnest(tcs) AS content
+  FROM asst
+  UNION ALL
+  SELECT trace_id, seq, 0, 'unknown', content FROM asst WHERE has_tc AND len(tcs) = 0
+  UNION ALL
+  SELECT trace_id, seq, CAST(len(tcs) + CASE WHEN has_tc AND len(tcs) = 0 THEN 1 ELSE 0 END AS INTEGER),
+         CASE WHEN ans IS NOT NULL THEN 'answer' ELSE 'unknown' END, coalesce(ans, content)
+  FROM asst WHERE ans IS NOT NULL OR has_ans OR NOT has_tc),
+turns AS (
+  SELECT *, CAST(sum(CASE WHEN type = 'query' THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY trace_id ORDER BY seq, sub ROWS UNBOUNDED PRECEDING) AS INTEGER) AS turn
+  FROM acts)"""
+
+
+def _actions(spark, sf):
+    return T.parse_actions(v_tagged(spark, sf))
+
+
+@query("parse_actions", sql=f"""
+WITH {ACTIONS}
+SELECT trace_id, seq, sub, type, content FROM acts""", category="traces")
+def q_parse_actions(spark, sf):
+    """Messages → typed actions (legacy tag format)."""
+    return _actions(spark, sf).select("trace_id", "seq", "sub", "type", "content")
+
+
+@query("query_messages", sql=f"""
+WITH {O.TAGGED}
+SELECT trace_id, seq, content FROM tagged
+WHERE role = 'user' AND NOT contains(coalesce(content, ''), '[Tool Execution Result')""", category="traces")
+def q_query_messages(spark, sf):
+    """User messages that are queries."""
+    return T.query_messages(v_tagged(spark, sf)).select("trace_id", "seq", "content")
+
+
+@query("turn_number", sql=f"""
+WITH {ACTIONS}
+SELECT trace_id, seq, sub, type, turn FROM turns""", category="traces")
+def q_turn_number(spark, sf):
+    """Running query count per trace."""
+    return T.turn_number(_actions(spark, sf)).select("trace_id", "seq", "sub", "type", "turn")
+
+
+QA = ACTIONS + """,
+grp AS (
+  SELECT trace_id, turn,
+         max(CASE WHEN type = 'query' THEN content END) AS query,
+         arg_min(content, (seq, sub)) FILTER (WHERE type = 'answer') AS answer,
+         min((seq, sub)) FILTER (WHERE type = 'answer') AS apos
+  FROM turns WHERE turn >= 1 GROUP BY trace_id, turn),
+ntools AS (
+  SELECT g.trace_id, g.turn, COUNT(*) AS n_tools FROM grp g JOIN turns t USING (trace_id, turn)
+  WHERE t.type IN ('tool', 'unknown') AND (g.apos IS NULL OR (t.seq, t.sub) < g.apos)
+  GROUP BY g.trace_id, g.turn),
+pairs AS (
+  SELECT g.trace_id, g.turn, g.query, g.answer, coalesce(n.n_tools, 0) AS n_tools,
+         CAST(row_number() OVER (PARTITION BY g.trace_id ORDER BY g.turn) AS INTEGER) AS step_index
+  FROM grp g LEFT JOIN ntools n USING (trace_id, turn)
+  WHERE g.query IS NOT NULL AND g.query <> '')"""
+
+
+@query("qa_pairs", sql=f"""
+WITH {QA}
+SELECT trace_id, turn, step_index, query, answer, n_tools FROM pairs""", category="traces")
+def q_qa_pairs(spark, sf):
+    """query/answer pairs with tool counts and step numbers."""
+    a = T.turn_number(_actions(spark, sf))
+    return T.qa_pairs(a).select("trace_id", "turn", "step_index", "query", "answer", "n_tools")
+
+
+FIFO = O.CALLS + """,
+ev AS (SELECT *, CAST(kind = 'call' AS INTEGER) AS ic, CAST(kind = 'result' AS INTEGER) AS ir FROM calls),
+s1 AS (SELECT *, sum(ic) OVER w AS c, sum(ir) OVER w AS r, sum(ir - ic) OVER w AS d
+       FROM ev WINDOW w AS (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s2 AS (SELECT *, max(d) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS dmax FROM s1),
+res AS (SELECT trace_id, r - greatest(0, dmax) AS k, arg_min((ts, event_id, tool, ok), (ts, event_id)) AS x
+        FROM s2 WHERE ir = 1 AND r - greatest(0, dmax) >= 1 GROUP BY trace_id, r - greatest(0, dmax)),
+pairs AS (
+  SELECT s.trace_id, s.ts, s.event_id, s.kind, s.tool, s.ok, s.c AS call_no,
+         r.x[1] AS result_ts, r.x[2] AS result_event_id, r.x[3] AS result_tool, r.x[4] AS result_ok
+  FROM s2 s LEFT JOIN res r ON r.trace_id = s.trace_id AND r.k = s.c WHERE s.ic = 1)"""
+
+
+def _pairs(spark, sf):
+    return T.match_tool_results(v_calls(spark, sf), ["trace_id"], ["ts", "event_id"],
+                                F.col("kind") == "call", F.col("kind") == "result", ["tool", "ok"],
+                                chunk=time_chunk("ts"))
+
+
+@query("match_tool_results", sql=f"""
+WITH {FIFO}
+SELECT * FROM pairs""", category="traces")
+def q_match_tool_results(spark, sf):
+    """FIFO call↔result matching with drops."""
+    return _pairs(spark, sf)
+
+
+@query("tool_metrics", sql=f"""
+WITH {FIFO}
+SELECT trace_id, COUNT(*) AS n_tools, count_if(coalesce(result_ok, false)) AS n_success,
+       COUNT(*) AS n_call_msgs,
+       round(count_if(coalesce(result_ok, false)) / COUNT(*), 6) AS tool_success_rate,
+       1.0 AS tool_parallelism
+FROM pairs GROUP BY trace_id""", category="traces")
+def q_tool_metrics(spark, sf):
+    """A1: per-trace tool success rate and parallelism on the call log."""
+    p = _pairs(spark, sf)
+    acts = p.select("trace_id", F.lit("tool").alias("type"),
+                    F.when(F.coalesce("result_ok", F.lit(False)), "success").otherwise("failed").alias("success"))
+    msgs = p.select("trace_id", F.lit("assistant").alias("role"), F.lit("<tool_call>").alias("content"),
+                    F.lit(None).cast("array<string>").alias("tool_calls"))
+    m = T.tool_metrics(acts, msgs)
+    return m.select("trace_id", "n_tools", "n_success", "n_call_msgs",
+                    F.round("tool_success_rate", 6).alias("tool_success_rate"), "tool_parallelism")
+
+
+# ------------------------------------------------------------ tag functions
+@query("extract_answer", sql=f"""
+WITH {O.TAGGED},
+a AS (SELECT trace_id, seq, content, {ANS} AS tag,
+        CASE WHEN regexp_matches(content, '```(?:json)?\\s*([\\s\\S]*?)\\s*```')
+             THEN {_strip("regexp_extract(content, '```(?:json)?\\s*([\\s\\S]*?)\\s*```', 1)")} END AS fenced
+      FROM tagged WHERE role = 'assistant'),
+b AS (SELECT *, CASE WHEN json_valid(fenced) AND json_type(fenced) = 'OBJECT' AND json_extract(fenced, '$.error') IS NULL
+                     THEN nullif({_strip("json_extract_string(fenced, '$.answer')")}, '') END AS jans FROM a)
+SELECT trace_id, seq,
+       CASE WHEN tag IS NULL AND jans IS NULL AND {_strip("coalesce(content, '')")} = '' THEN 'unknown' ELSE 'answer' END AS kind,
+       coalesce(tag, jans, content) AS answer,
+       CASE WHEN tag IS NULL AND jans IS NOT NULL
+            THEN coalesce(CAST(json_extract(fenced, '$.data_source') AS VARCHAR[]), []::VARCHAR[]) ELSE []::VARCHAR[] END AS data_source
+FROM b""", category="tags")
+def q_extract_answer(spark, sf):
+    """answer cascade over assistant texts (tag, fenced JSON, content)."""
+    m = v_tagged(spark, sf).where("role = 'assistant'")
+    a = tags.extract_answer(F.col("content"))
+    return m.select("trace_id", "seq", a["kind"].alias("kind"), a["answer"].alias("answer"),
+                    a["data_source"].alias("data_source"))
+
+
+@query("extract_json", sql=f"""
+WITH {O.TAGGED}
+SELECT trace_id, seq,
+       json_extract_string({_strip("regexp_extract(content, '```(?:json)?\\s*([\\s\\S]*?)\\s*```', 1)")}, '$.answer') AS answer
+FROM tagged WHERE role = 'assistant' AND regexp_matches(content, '```')""", category="tags")
+def q_extract_json(spark, sf):
+    """JSON cascade on fenced replies; the parsed ``answer`` field."""
+    m = v_tagged(spark, sf).where("role = 'assistant' AND contains(content, '```')")
+    return m.select("trace_id", "seq", F.try_variant_get(tags.extract_json("content"), "$.answer", "string")
+                    .alias("answer"))
+
+
+@query("extract_tool_calls", sql=f"""
+WITH {O.TAGGED},
+t AS (SELECT trace_id, seq, unnest({TC}) AS body, generate_subscripts({TC}, 1) AS i FROM tagged WHERE role = 'assistant')
+SELECT trace_id, seq, CAST(i AS INTEGER) AS call_idx, json_extract_string(body, '$.tool') AS name,
+       CAST(json_extract(body, '$.params') AS VARCHAR) AS arguments
+FROM t WHERE json_valid(body)""", category="tags")
+def q_extract_tool_calls(spark, sf):
+    """F8: tool calls from ``<tool_call>`` JSON bodies."""
+    m = v_tagged(spark, sf).where("role = 'assistant'")
+    return m.select("trace_id", "seq", F.posexplode(tags.extract_tool_calls("content")).alias("pos", "call")) \
+        .select("trace_id", "seq", (F.col("pos") + 1).cast("int").alias("call_idx"),
+                F.col("call.name").alias("name"), F.col("call.arguments").alias("arguments"))
+
+
+@query("extract_reasoning", sql=f"""
+WITH {O.TAGGED},
+r AS (SELECT trace_id, seq, content,
+        list_transform(regexp_extract_all(content, '(?is)<think>(.*?)</think>', 1), lambda x: {_strip('x')}) AS parts
+      FROM tagged WHERE role = 'assistant')
+SELECT trace_id, seq, CASE WHEN len(parts) > 0 THEN array_to_string(parts, chr(10) || chr(10)) END AS reasoning,
+       CASE WHEN len(parts) > 0 THEN {_strip("regexp_replace(content, '(?is)<think>(.*?)</think>', '', 'g')")}
+            ELSE content END AS remaining
+FROM r""", category="tags")
+def q_extract_reasoning(spark, sf):
+    """reasoning bodies and the remaining text."""
+    m = v_tagged(spark, sf).where("role = 'assistant'")
+    r = tags.extract_reasoning("content")
+    return m.select("trace_id", "seq", r["reasoning"].alias("reasoning"), r["remaining"].alias("remaining"))
+
+
+def _cnt(x, s):
+    return f"CAST((length({x}) - length(replace({x}, '{s}', ''))) / length('{s}') AS INTEGER)"
+
+
+@query("validate_tags", sql=f"""
+WITH {O.TAGGED},
+n AS (SELECT trace_id, seq, replace(replace(content, '<thinking>', '<think>'), '</thinking>', '</think>') AS c
+      FROM tagged WHERE role = 'assistant'),
+b AS (SELECT trace_id, seq, c, regexp_replace(c, '(?s)<think>.*?</think>', '', 'g') AS body FROM n),
+e AS (SELECT trace_id, seq, c, body,
+        list_filter([
+          CASE WHEN NOT contains(body, '<tool_call>') AND NOT contains(body, '<answer>')
+               THEN 'Missing action tags: requires <tool_call>...</tool_call> or <answer>...</answer>' END,
+          CASE WHEN contains(body, '<tool_call>') AND {_cnt('body', '<tool_call>')} <> {_cnt('body', '</tool_call>')}
+               THEN format('<tool_call> tags mismatch: {{}} open, {{}} closed', {_cnt('body', '<tool_call>')}, {_cnt('body', '</tool_call>')}) END,
+          CASE WHEN contains(body, '<answer>') AND {_cnt('body', '<answer>')} <> {_cnt('body', '</answer>')}
+               THEN format('<answer> tags mismatch: {{}} open, {{}} closed', {_cnt('body', '<answer>')}, {_cnt('body', '</answer>')}) END,
+          CASE WHEN contains(body, '<current_step>') AND {_cnt('body', '<current_step>')} <> {_cnt('body', '</current_step>')}
+               THEN format('<current_step> tags mismatch: {{}} open, {{}} closed', {_cnt('body', '<current_step>')}, {_cnt('body', '</current_step>')}) END
+        ], lambda x: x IS NOT NULL) AS errors FROM b)
+SELECT trace_id, seq, len(errors) = 0 AS is_valid, errors,
+       CASE WHEN {_cnt('c', '<think>')} = 0 THEN 'Missing thinking tags <think>...</think>'
+            WHEN {_cnt('c', '<think>')} <> {_cnt('c', '</think>')}
+            THEN format('<think> tags mismatch: {{}} open, {{}} closed', {_cnt('c', '<think>')}, {_cnt('c', '</think>')}) END AS think_warning
+FROM e""", category="tags")
+def q_validate_tags(spark, sf):
+    """Response format validation."""
+    m = v_tagged(spark, sf).where("role = 'assistant'")
+    v = tags.validate_tags("content")
+    return m.select("trace_id", "seq", v["is_valid"].alias("is_valid"), v["errors"].alias("errors"),
+                    v["think_warning"].alias("think_warning"))
+
+
+@query("normalize_tags", sql=f"""
+WITH {O.TAGGED},
+n AS (SELECT trace_id, seq, replace(replace(content, '<thinking>', '<think>'), '</thinking>', '</think>') AS c
+      FROM tagged WHERE role = 'assistant')
+SELECT trace_id, seq, CASE WHEN NOT contains(c, '<think>') THEN replace(c, '</think>', '') ELSE c END AS content
+FROM n""", category="tags")
+def q_normalize_tags(spark, sf):
+    """unify think tags, drop orphan closers."""
+    m = v_tagged(spark, sf).where("role = 'assistant'")
+    return m.select("trace_id", "seq", tags.normalize_tags("content").alias("content"))
