@@ -77,3 +77,37 @@ def v_calls(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("user_id").alias("trace_id"), "ts", "event_id", kind.alias("kind"),
                     F.col("event_type").alias("tool"),
                     (F.col("event_type") != "error").alias("ok"))
+
+
+# --------------------------------------------------------------- V-steps
+def v_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """documents ⟕ labels as judged steps: trace = source, step = rank by doc_id."""
+    from quarry.operators.scan import prefix_scan, seq_chunk
+    d = _t(spark, sf, "documents", ["doc_id", "source"])
+    lab = _t(spark, sf, "labels", ["doc_id", "quality"])
+    j = d.join(lab, "doc_id", "left")
+    j = prefix_scan(j, ["source"], ["doc_id"], {"step_index": F.lit(1)}, chunk=seq_chunk("doc_id"))
+    k = F.col("doc_id")
+    return j.select(
+        F.col("source").alias("trace_id"), F.col("step_index").cast("int").alias("step_index"), "doc_id",
+        F.concat(F.lit("doc "), k.cast("string")).alias("query"),
+        F.col("quality").isNull().alias("is_missing"),
+        F.coalesce(F.col("quality").cast("double"), F.lit(0.0)).alias("coverage_ratio"),
+        F.when(k % 7 == 0, F.lit("n/a")).otherwise((k % 5).cast("string")).alias("richness_score"),
+        (k % 3).cast("string").alias("redundancy_score"),
+        (k % 2).cast("string").alias("contradiction_score"),
+        F.concat(F.lit("reason "), k.cast("string")).alias("reasoning"),
+        F.array(F.concat(F.lit("dir/t"), (k % 4).cast("string"), F.lit(".csv")),
+                F.concat(F.lit("t"), (k % 6).cast("string"), F.lit("_split.csv"))).alias("true_tables"),
+        F.array(F.concat(F.lit("t"), (k % 4).cast("string"), F.lit("_Sheet1.csv")),
+                F.concat(F.lit("x/t"), (k % 5).cast("string"), F.lit(".csv"))).alias("model_tables"))
+
+
+def v_metric_tables(spark: SparkSession, sf: str):
+    """(accuracy, quality, table_depend) step tables; each covers a different step set."""
+    s = v_steps(spark, sf)
+    acc = s.select("trace_id", "step_index", "query", "is_missing", "coverage_ratio", "reasoning")
+    qual = s.where(F.col("doc_id") % 3 != 0).select("trace_id", "step_index", "query", "is_missing",
+                                                   "richness_score", "redundancy_score", "contradiction_score")
+    dep = s.where(F.col("doc_id") % 4 != 1).select("trace_id", "step_index", "query", "true_tables", "model_tables")
+    return acc, qual, dep

@@ -43,3 +43,20 @@ calls AS (
               WHEN event_type IN ('view', 'error') THEN 'result' ELSE 'other' END AS kind,
          event_type AS tool, event_type <> 'error' AS ok
   FROM events)"""
+
+STEPS = r"""
+steps AS (
+  SELECT d.source AS trace_id,
+         CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS INTEGER) AS step_index, d.doc_id,
+         'doc ' || CAST(d.doc_id AS VARCHAR) AS query, l.quality IS NULL AS is_missing,
+         coalesce(CAST(l.quality AS DOUBLE), 0.0) AS coverage_ratio,
+         CASE WHEN d.doc_id % 7 = 0 THEN 'n/a' ELSE CAST(d.doc_id % 5 AS VARCHAR) END AS richness_score,
+         CAST(d.doc_id % 3 AS VARCHAR) AS redundancy_score, CAST(d.doc_id % 2 AS VARCHAR) AS contradiction_score,
+         'reason ' || CAST(d.doc_id AS VARCHAR) AS reasoning,
+         ['dir/t' || CAST(d.doc_id % 4 AS VARCHAR) || '.csv', 't' || CAST(d.doc_id % 6 AS VARCHAR) || '_split.csv'] AS true_tables,
+         ['t' || CAST(d.doc_id % 4 AS VARCHAR) || '_Sheet1.csv', 'x/t' || CAST(d.doc_id % 5 AS VARCHAR) || '.csv'] AS model_tables
+  FROM documents d LEFT JOIN labels l USING (doc_id)),
+acc AS (SELECT trace_id, step_index, query, is_missing, coverage_ratio, reasoning FROM steps),
+qual AS (SELECT trace_id, step_index, query, is_missing, richness_score, redundancy_score, contradiction_score
+         FROM steps WHERE doc_id % 3 <> 0),
+dep AS (SELECT trace_id, step_index, query, true_tables, model_tables FROM steps WHERE doc_id % 4 <> 1)"""
