@@ -111,3 +111,38 @@ def v_metric_tables(spark: SparkSession, sf: str):
                                                    "richness_score", "redundancy_score", "contradiction_score")
     dep = s.where(F.col("doc_id") % 4 != 1).select("trace_id", "step_index", "query", "true_tables", "model_tables")
     return acc, qual, dep
+
+
+# ------------------------------------------------------ V-samples, V-traces
+_DUP_OFFSET = 1_000_000
+
+
+def v_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """benchmark as ground-truth samples: even items carry a checklist (one
+    step per '. '-sentence, at most 3), odd items a plain answer; every 4th
+    item is appended again (ord + 1e6) with a plain answer."""
+    b = _t(spark, sf, "benchmark", ["item_id", "text"])
+    k = F.col("item_id")
+    sents = F.slice(F.split(F.col("text"), r"\. ", -1), 1, 3)
+    steps = F.transform(sents, lambda s, i: F.struct(
+        (i + 1).cast("int").alias("idx"), s.alias("info_item"), F.length(s).cast("string").alias("answer"),
+        F.array(F.concat(F.lit("t"), k.cast("string"), F.lit(".csv")),
+                F.concat(F.lit("t"), k.cast("string"), F.lit("_part"), (i + 1).cast("string"), F.lit(".csv")))
+        .alias("related_tables"),
+        F.array(F.length(s).cast("string")).alias("score_points")))
+    even = k % 2 == 0
+    base = b.select(k.alias("ord"), F.col("text").alias("task"),
+                    F.when(~even, F.length("text").cast("string")).alias("answer"),
+                    F.when(~even, F.array(F.concat(F.lit("t"), k.cast("string"), F.lit(".csv")))).alias("table_path"),
+                    F.when(even, F.struct(F.lit("checklist").alias("type"), steps.alias("checkout_list")))
+                    .alias("design"))
+    dup = b.where(k % 4 == 0).select((k + _DUP_OFFSET).alias("ord"), F.col("text").alias("task"),
+                                     F.lit("dup").alias("answer"), F.lit(None).cast("array<string>").alias("table_path"),
+                                     F.lit(None).cast(base.schema["design"].dataType).alias("design"))
+    return base.unionByName(dup)
+
+
+def v_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as finished traces: trace_id = doc_id, query = text."""
+    d = _t(spark, sf, "documents", ["doc_id", "text"])
+    return d.select(F.col("doc_id").alias("trace_id"), F.col("text").alias("query"))

@@ -60,3 +60,24 @@ acc AS (SELECT trace_id, step_index, query, is_missing, coverage_ratio, reasonin
 qual AS (SELECT trace_id, step_index, query, is_missing, richness_score, redundancy_score, contradiction_score
          FROM steps WHERE doc_id % 3 <> 0),
 dep AS (SELECT trace_id, step_index, query, true_tables, model_tables FROM steps WHERE doc_id % 4 <> 1)"""
+
+SAMPLES = r"""
+samples AS (
+  SELECT item_id AS ord, text AS task,
+         CASE WHEN item_id % 2 = 1 THEN CAST(length(text) AS VARCHAR) END AS answer,
+         CASE WHEN item_id % 2 = 1 THEN ['t' || CAST(item_id AS VARCHAR) || '.csv'] END AS table_path,
+         CASE WHEN item_id % 2 = 0 THEN list_transform(
+             list_slice(string_split(text, '. '), 1, 3),
+             lambda s, i: {'idx': CAST(i AS INTEGER), 'info_item': s, 'answer': CAST(length(s) AS VARCHAR),
+                           'related_tables': ['t' || CAST(item_id AS VARCHAR) || '.csv',
+                                              't' || CAST(item_id AS VARCHAR) || '_part' || CAST(i AS VARCHAR) || '.csv'],
+                           'score_points': [CAST(length(s) AS VARCHAR)]}) END AS checkout_list
+  FROM benchmark
+  UNION ALL
+  SELECT item_id + 1000000, text, 'dup', NULL, NULL FROM benchmark WHERE item_id % 4 = 0),
+expected AS (
+  SELECT ord, task, CAST(generate_subscripts(checkout_list, 1) AS INTEGER) AS step_no, unnest(checkout_list, recursive := true)
+  FROM samples WHERE checkout_list IS NOT NULL
+  UNION ALL
+  SELECT ord, task, 1, 1, regexp_replace(task, '^\s+|\s+$', '', 'g'), answer, coalesce(table_path, []::VARCHAR[]), []::VARCHAR[]
+  FROM samples WHERE checkout_list IS NULL AND answer IS NOT NULL)"""
