@@ -68,8 +68,9 @@ def prefix_scan(df: DataFrame, key: list[str], order: list[str], sums: dict[str,
 
     aggs = [F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]
     aggs += [F.max(F.col(f"_lm_{n}")).alias(f"_tm_{n}") for n in max_of]
-    summ = r.groupBy(*key, ch).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()]) if not max_of \
-        else loc.groupBy(*key, ch).agg(*aggs)
+    # the summary reads ``loc``, which is already hash-partitioned by
+    # (key, chunk): no new exchange, and both consumers share one shuffle
+    summ = loc.groupBy(*key, ch).agg(*aggs)
     wc = Window.partitionBy(*key).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
     carry = summ
     for n in sums:
