@@ -7,7 +7,7 @@ column names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import split_lines
@@ -146,3 +146,80 @@ def v_traces(spark: SparkSession, sf: str) -> DataFrame:
     """documents as finished traces: trace_id = doc_id, query = text."""
     d = _t(spark, sf, "documents", ["doc_id", "text"])
     return d.select(F.col("doc_id").alias("trace_id"), F.col("text").alias("query"))
+
+
+# --------------------------------------------------------------- V-cells
+def _supplier_grid(spark, sf):
+    from quarry.operators.scan import prefix_scan
+    s = _t(spark, sf, "supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+    s = s.select(F.concat(F.lit("supplier/n"), F.pmod("s_nationkey", F.lit(5)).cast("string"), F.lit(".csv")).alias("path"),
+                 F.lit("Sheet1").alias("sheet"), "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    s = prefix_scan(s, ["path"], ["s_nationkey", "s_suppkey"], {"rn": F.lit(1)}, chunk=F.col("s_nationkey").cast("long"))
+    runs = s.groupBy("path", "sheet", "s_nationkey").agg(F.min("rn").alias("min_rn"), F.max("rn").alias("max_rn"),
+                                                         F.min("s_suppkey").alias("first_sk"))
+    # nations per file are few: a window over this small table is cheap
+    runs = runs.withColumn("nrank", F.dense_rank().over(Window.partitionBy("path").orderBy("s_nationkey")))
+    return s.join(runs, ["path", "sheet", "s_nationkey"]), runs
+
+
+def v_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """supplier as a messy sheet per nation group: junk first row, two header
+    rows, a banner row before each nation, merged nation cells (NULL below
+    the top-left), thousands separators, percent cells, a blank column."""
+    g, runs = _supplier_grid(spark, sf)
+    r = (F.lit(3) + F.col("rn") + F.col("nrank")).cast("int")
+    data = g.select("path", "sheet", r.alias("r"), F.posexplode(F.array(
+        F.col("s_name"),
+        F.when(F.col("s_suppkey") == F.col("first_sk"), F.col("s_nationkey").cast("string")),
+        F.format_number("s_acctbal", 2),
+        F.concat((F.col("s_suppkey") % 100).cast("string"), F.lit("%")),
+        F.lit(""))).alias("c0", "value"))
+    banner = runs.select("path", "sheet", (F.lit(3) + F.col("min_rn") + F.col("nrank") - 1).cast("int").alias("r"),
+                         F.posexplode(F.array(*([F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string"))] * 4),
+                                              F.lit(""))).alias("c0", "value"))
+    files = runs.select("path", "sheet").distinct()
+    # fixed header rows of the generated sheet
+    head = files.select("path", "sheet", F.inline(F.array(
+        *[F.struct(F.lit(1).alias("r"), F.lit(i).alias("c0"), F.lit(f"Unnamed: {i}").alias("value")) for i in range(5)],
+        *[F.struct(F.lit(2).alias("r"), F.lit(i).alias("c0"), F.lit(v).cast("string").alias("value"))
+          for i, v in enumerate(["Supplier", None, "Finance", None, None])],
+        *[F.struct(F.lit(3).alias("r"), F.lit(i).alias("c0"), F.lit(v).alias("value"))
+          for i, v in enumerate(["name", "nation", "acctbal", "share", "Unnamed: 5"])])))
+    out = data.unionByName(banner).unionByName(head)
+    return out.select("path", "sheet", F.col("r").cast("int").alias("r"), (F.col("c0") + 1).cast("int").alias("c"),
+                      "value")
+
+
+def v_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged ranges of the supplier sheets (header spans, banners, nation runs)."""
+    _, runs = _supplier_grid(spark, sf)
+    files = runs.select("path", "sheet").distinct()
+    head = files.select("path", "sheet", F.inline(F.array(
+        F.struct(*[F.lit(v).alias(n) for v, n in zip((0, 2, 2, 1, 2), ("range_no", "r0", "r1", "c0", "c1"))]),
+        F.struct(*[F.lit(v).alias(n) for v, n in zip((1, 2, 2, 3, 5), ("range_no", "r0", "r1", "c0", "c1"))]))))
+    br = (F.lit(3) + F.col("min_rn") + F.col("nrank") - 1).cast("int")
+    banners = runs.select("path", "sheet", (F.lit(10) + 2 * F.col("s_nationkey")).alias("range_no"),
+                          br.alias("r0"), br.alias("r1"), F.lit(1).alias("c0"), F.lit(4).alias("c1"))
+    nat = runs.where(F.col("max_rn") > F.col("min_rn")).select(
+        "path", "sheet", (F.lit(11) + 2 * F.col("s_nationkey")).alias("range_no"),
+        (br + 1).alias("r0"), (br + 1 + F.col("max_rn") - F.col("min_rn")).alias("r1"),
+        F.lit(2).alias("c0"), F.lit(2).alias("c1"))
+    out = head.unionByName(banners).unionByName(nat)
+    return out.select("path", "sheet", F.col("range_no").cast("long").alias("range_no"),
+                      *[F.col(c).cast("int").alias(c) for c in ("r0", "r1", "c0", "c1")])
+
+
+# ---------------------------------------------------------------- V-rows
+PART_COLS = ["p_partkey", "p_name", "p_brand", "p_size", "p_retailprice"]
+
+
+def v_row_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """part as one CSV file per p_type: header line + one line per part."""
+    from quarry.operators.scan import prefix_scan, seq_chunk
+    p = _t(spark, sf, "part", PART_COLS + ["p_type"])
+    p = p.withColumn("path", F.concat(F.lit("part/"), F.lower("p_type"), F.lit(".csv")))
+    p = prefix_scan(p, ["path"], ["p_partkey"], {"rn": F.lit(1)}, chunk=seq_chunk("p_partkey"))
+    rows = p.select("path", (F.col("rn") + 1).cast("int").alias("line_no"),
+                    F.concat_ws(",", *[F.col(c).cast("string") for c in PART_COLS]).alias("line"))
+    head = p.select("path").distinct().select("path", F.lit(1).alias("line_no"), F.lit(",".join(PART_COLS)).alias("line"))
+    return rows.unionByName(head)

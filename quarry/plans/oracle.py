@@ -81,3 +81,44 @@ expected AS (
   UNION ALL
   SELECT ord, task, 1, 1, regexp_replace(task, '^\s+|\s+$', '', 'g'), answer, coalesce(table_path, []::VARCHAR[]), []::VARCHAR[]
   FROM samples WHERE checkout_list IS NULL AND answer IS NOT NULL)"""
+
+CELLS = r"""
+sup AS (
+  SELECT 'supplier/n' || CAST(s_nationkey % 5 AS VARCHAR) || '.csv' AS path, 'Sheet1' AS sheet, s_suppkey, s_name,
+         s_nationkey, s_acctbal FROM supplier),
+sr AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s_nationkey, s_suppkey) AS rn FROM sup),
+runs0 AS (SELECT path, sheet, s_nationkey, min(rn) AS min_rn, max(rn) AS max_rn, min(s_suppkey) AS first_sk
+          FROM sr GROUP BY ALL),
+runs AS (SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY s_nationkey) AS nrank FROM runs0),
+g AS (SELECT sr.*, runs.min_rn, runs.max_rn, runs.first_sk, runs.nrank FROM sr JOIN runs USING (path, sheet, s_nationkey)),
+cells AS (
+  SELECT path, sheet, CAST(3 + rn + nrank AS INTEGER) AS r, CAST(c AS INTEGER) AS c,
+         [s_name, CASE WHEN s_suppkey = first_sk THEN CAST(s_nationkey AS VARCHAR) END,
+          format('{:,.2f}', s_acctbal), CAST(s_suppkey % 100 AS VARCHAR) || '%', ''][c] AS value
+  FROM g, range(1, 6) t(c)
+  UNION ALL
+  SELECT path, sheet, CAST(3 + min_rn + nrank - 1 AS INTEGER), CAST(c AS INTEGER),
+         CASE WHEN c <= 4 THEN 'Nation ' || CAST(s_nationkey AS VARCHAR) ELSE '' END
+  FROM runs, range(1, 6) t(c)
+  UNION ALL
+  SELECT path, sheet, h.r, h.c, h.value FROM (SELECT DISTINCT path, sheet FROM runs) f,
+    (VALUES (1, 1, 'Unnamed: 0'), (1, 2, 'Unnamed: 1'), (1, 3, 'Unnamed: 2'), (1, 4, 'Unnamed: 3'), (1, 5, 'Unnamed: 4'),
+            (2, 1, 'Supplier'), (2, 2, NULL), (2, 3, 'Finance'), (2, 4, NULL), (2, 5, NULL),
+            (3, 1, 'name'), (3, 2, 'nation'), (3, 3, 'acctbal'), (3, 4, 'share'), (3, 5, 'Unnamed: 5')) h(r, c, value)),
+merged AS (
+  SELECT path, sheet, CAST(m.range_no AS BIGINT) AS range_no, m.r0, m.r1, m.c0, m.c1
+  FROM (SELECT DISTINCT path, sheet FROM runs) f, (VALUES (0, 2, 2, 1, 2), (1, 2, 2, 3, 5)) m(range_no, r0, r1, c0, c1)
+  UNION ALL
+  SELECT path, sheet, 10 + 2 * s_nationkey, CAST(3 + min_rn + nrank - 1 AS INTEGER), CAST(3 + min_rn + nrank - 1 AS INTEGER), 1, 4
+  FROM runs
+  UNION ALL
+  SELECT path, sheet, 11 + 2 * s_nationkey, CAST(3 + min_rn + nrank AS INTEGER), CAST(3 + min_rn + nrank + max_rn - min_rn AS INTEGER), 2, 2
+  FROM runs WHERE max_rn > min_rn)"""
+
+ROW_LINES = r"""
+pl AS (SELECT 'part/' || lower(p_type) || '.csv' AS path,
+              CAST(1 + row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS INTEGER) AS line_no,
+              concat_ws(',', CAST(p_partkey AS VARCHAR), p_name, p_brand, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)) AS line
+       FROM part
+       UNION ALL
+       SELECT DISTINCT 'part/' || lower(p_type) || '.csv', 1, 'p_partkey,p_name,p_brand,p_size,p_retailprice' FROM part)"""
