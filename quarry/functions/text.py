@@ -93,7 +93,7 @@ def line_label(line_no, line, width: int = 3) -> Column:
     ``lpad`` truncates, so the width grows with the number.
     """
     n = _c(line_no).cast("string")
-    return F.concat(F.lpad(n, F.greatest(F.lit(width), F.length(n))), F.lit("| "),
+    return F.concat(F.lpad(n, F.greatest(F.lit(width), F.length(n)), " "), F.lit("| "),
                     F.regexp_replace(_c(line), r"\s+$", ""))
 
 
