@@ -1 +1,169 @@
-"""Registered queries (filled in below)."""
+"""Registered retrieval queries (documents, benchmark, embeddings, V-rows, V-lines)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.text import token_count
+from quarry.operators import cells as C
+from quarry.operators import search as R
+from quarry.plans import oracle as O
+from quarry.plans.fixtures import v_file_lines, v_row_lines
+from quarry.registry import query
+from quarry.sources.tables import read_table
+
+TOK = "regexp_extract_all(lower({}), '[\\pL\\pN_]{{2,}}')"
+
+
+def _tfidf_sql(corpus_cte: str, query_cte: str, k: int) -> str:
+    """DuckDB TF-IDF (sparse) over ``corp(id, text)`` and ``qs(qid, text)``."""
+    return f"""
+{corpus_cte},
+{query_cte},
+dtok AS (SELECT id, unnest({TOK.format('text')}) AS term FROM corp),
+dtf AS (SELECT id, term, count(*) AS tf FROM dtok GROUP BY ALL),
+st AS (SELECT term, sum(tf) AS cnt, count(*) AS df FROM dtf GROUP BY term),
+voc AS (SELECT term, ln((1 + (SELECT count(*) FROM corp)) / (1 + df)) + 1 AS idf FROM st ORDER BY cnt DESC, term LIMIT 512),
+dw AS (SELECT id, term, tf * idf AS w FROM dtf JOIN voc USING (term)),
+dn AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM dw),
+qtok AS (SELECT qid, unnest({TOK.format('text')}) AS term FROM qs),
+qw AS (SELECT qid, term, count(*) * any_value(idf) AS w FROM qtok JOIN voc USING (term) GROUP BY qid, term),
+qn AS (SELECT qid, term, w / sqrt(sum(w * w) OVER (PARTITION BY qid)) AS w FROM qw),
+sc AS (SELECT q.qid, d.id, sum(q.w * d.w) AS score FROM qn q JOIN dn d USING (term) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {k}"""
+
+
+def _tfidf(corpus, queries, k):
+    vocab = R.tfidf_fit(corpus, "id", "text")
+    dv = R.tfidf_vectors(corpus, vocab, "id", "text")
+    qv = R.tfidf_vectors(queries.withColumnRenamed("qid", "id"), vocab, "id", "text") \
+        .select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    hits = R.dense_topk(dv, qv, k)
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def _benchmark_queries(spark, sf):
+    return read_table(spark, sf, "benchmark", ["item_id", "text"]).select(F.col("item_id").alias("qid"), "text")
+
+
+@query("tfidf_search", sql="WITH " + _tfidf_sql("corp AS (SELECT doc_id AS id, text FROM documents)",
+                                      "qs AS (SELECT item_id AS qid, text FROM benchmark)", 5), category="retrieval")
+def q_tfidf_search(spark, sf):
+    """V1: TF-IDF (512 features, smooth idf, L2) top-5 documents per benchmark item."""
+    corpus = read_table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "id")
+    return _tfidf(corpus, _benchmark_queries(spark, sf), 5)
+
+
+EMB = "CAST(embedding AS DOUBLE[])"
+
+
+def _emb(spark, sf):
+    return read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+
+
+def _dense_sql(where_q: str, k: int) -> str:
+    return f"""
+WITH q AS (SELECT vec_id AS qid, {EMB} AS qv FROM embeddings WHERE {where_q}),
+sc AS (SELECT q.qid, e.vec_id AS id, list_inner_product(q.qv, {EMB}) AS score FROM q, embeddings e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= {k}"""
+
+
+def _dense(spark, sf, qfilter, k):
+    e = _emb(spark, sf)
+    q = e.where(qfilter).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    hits = R.dense_topk(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), q, k)
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("topk_similarity", sql=_dense_sql("vec_id = 0", 10), category="retrieval")
+def q_topk_similarity(spark, sf):
+    """L1: top-10 stored vectors for one query vector."""
+    return _dense(spark, sf, F.col("vec_id") == 0, 10)
+
+
+@query("topk_batch", sql=_dense_sql("vec_id < 5", 10), category="retrieval")
+def q_topk_batch(spark, sf):
+    """Top-10 per query for the query set vec_id < 5."""
+    return _dense(spark, sf, F.col("vec_id") < 5, 10)
+
+
+@query("maxsim_search", sql=f"""
+WITH q AS (SELECT vec_id AS qtok, {EMB} AS qv FROM embeddings WHERE vec_id < 5),
+m AS (SELECT e.label AS doc_id, q.qtok, max(list_inner_product(q.qv, {EMB})) AS mx FROM q, embeddings e GROUP BY ALL),
+s AS (SELECT 0 AS qid, doc_id, sum(mx) AS score FROM m GROUP BY doc_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
+SELECT CAST(qid AS BIGINT) AS qid, CAST(doc_id AS BIGINT) AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
+FROM rk WHERE rank <= 5""", category="retrieval")
+def q_maxsim_search(spark, sf):
+    """V9: MaxSim of the 5-token query (vec_id < 5) against label documents."""
+    e = _emb(spark, sf)
+    docs = e.select(F.col("label").alias("doc_id"), F.col("embedding").alias("vec"))
+    qt = e.where("vec_id < 5").select(F.lit(0).alias("qid"), F.col("vec_id").alias("qtok"), F.col("embedding").alias("qvec"))
+    r = R.maxsim(docs, qt, 5)
+    return r.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query("l2_normalize", sql=f"""
+SELECT vec_id, round({EMB}[1] / CASE WHEN sqrt(list_sum(list_transform({EMB}, lambda x: x * x))) = 0 THEN 1
+                                     ELSE sqrt(list_sum(list_transform({EMB}, lambda x: x * x))) END, 6) AS first,
+       round(sqrt(list_sum(list_transform({EMB}, lambda x: x * x))), 6) AS norm
+FROM embeddings""", category="retrieval")
+def q_l2_normalize(spark, sf):
+    """F16: normalised vectors (first component) and the original norm."""
+    e = _emb(spark, sf)
+    n = F.sqrt(R.dot(F.col("embedding"), F.col("embedding")))
+    return e.select("vec_id", F.round(F.element_at(R.l2_normalize("embedding"), 1), 6).alias("first"),
+                    F.round(n, 6).alias("norm"))
+
+
+@query("batch_bucket", sql="""
+WITH t AS (SELECT source, max(len(regexp_extract_all(text, '\\w+|[^\\w\\s]'))) AS m FROM documents GROUP BY source)
+SELECT source, m AS max_tokens, CASE WHEN m > 4096 THEN 4 WHEN m > 2048 THEN 8 WHEN m > 1024 THEN 16
+                                     WHEN m > 512 THEN 32 ELSE 64 END AS batch_size FROM t""", category="retrieval")
+def q_batch_bucket(spark, sf):
+    """Encoder batch size per source from its longest document."""
+    d = read_table(spark, sf, "documents", ["source", "text"])
+    t = d.groupBy("source").agg(F.max(token_count("text")).alias("max_tokens"))
+    return t.select("source", "max_tokens", R.batch_bucket("max_tokens").alias("batch_size"))
+
+
+TABLE_DOCS = O.FILES + """,
+corp AS (SELECT path AS id0, 'Table Name: ' || regexp_extract(path, '([^/]*)$', 1) || chr(10) || 'Table Path: ' || path
+                || chr(10) || 'Table Content Preview:' || chr(10) || array_to_string(list_slice(lines, 1, 5), chr(10)) AS text
+         FROM files)"""
+
+
+@query("select_tables", sql="WITH " + _tfidf_sql(
+    TABLE_DOCS.replace("corp AS (SELECT path AS id0,", "corp0 AS (SELECT path AS id0,")
+    + ", corp AS (SELECT CAST(split_part(id0, '/', 2) AS BIGINT) AS id, text FROM corp0)",
+    "qs AS (SELECT item_id AS qid, text FROM benchmark)", 3).replace("SELECT qid, id, round", "SELECT qid, id, round", 1),
+       category="retrieval")
+def q_select_tables(spark, sf):
+    """V5 + J13: top-3 tables per benchmark item by preview document."""
+    docs = C.table_documents(v_file_lines(spark, sf))
+    corpus = docs.select(F.split("path", "/").getItem(1).cast("long").alias("id"), "text")
+    return _tfidf(corpus, _benchmark_queries(spark, sf), 3)
+
+
+ROW_Q = "qs AS (SELECT DENSE_RANK() OVER (ORDER BY p_brand) AS qid, 'parts of ' || p_brand AS text FROM (SELECT DISTINCT p_brand FROM part))"
+
+
+@query("retrieve_rows", sql="WITH " + _tfidf_sql(
+    O.ROW_LINES + """,
+h AS (SELECT path, string_split(line, ',') AS hs FROM pl WHERE line_no = 1),
+corp AS (SELECT CAST(split_part(string_split(r.line, ',')[1], ',', 1) AS BIGINT) AS id,
+                'Table path: ' || r.path || chr(10) || array_to_string(
+                  list_transform(range(1, least(len(h.hs), len(string_split(r.line, ','))) + 1),
+                                 lambda i: h.hs[i] || ': ' || string_split(r.line, ',')[i]), ' | ') AS text
+         FROM pl r JOIN h USING (path) WHERE r.line_no >= 2)""", ROW_Q, 5), category="retrieval")
+def q_retrieve_rows(spark, sf):
+    """V6: top-5 part rows per brand query by row document."""
+    docs = C.row_documents(v_row_lines(spark, sf))
+    corpus = docs.select(F.regexp_extract("text", r"p_partkey: (\d+)", 1).cast("long").alias("id"), "text")
+    p = read_table(spark, sf, "part", ["p_brand"]).distinct()
+    from pyspark.sql import Window
+    qs = p.select(F.dense_rank().over(Window.orderBy("p_brand")).cast("long").alias("qid"),
+                  F.concat(F.lit("parts of "), F.col("p_brand")).alias("text"))
+    return _tfidf(corpus, qs, 5)
