@@ -144,28 +144,66 @@ def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, max_features: int = T
     # the document count is one row: attach it by a constant-key broadcast join
     vocab = top.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").select(
         "term", "idx", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return vocab
+    # ≤ max_features rows, read by every transform: keep it after first use
+    return vocab.cache()
 
 
 def tfidf_vectors(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str,
                   dim: int = TFIDF_MAX_FEATURES) -> DataFrame:
-    """V1 transform: L2-normalised dense vectors ``(id, vec ARRAY<DOUBLE>)``.
+    """V1 transform: L2-normalised sparse vectors ``(id, idx ARRAY<INT>, w ARRAY<DOUBLE>)``.
 
-    Vocabulary is broadcast (≤ ``dim`` rows by construction).  Per-document
-    entries are ≤ ``dim``, so the per-document collect is bounded.
+    Vocabulary is broadcast (≤ ``dim`` rows by construction); per-document
+    entries are ≤ ``dim``, so the per-document collect is bounded.  Texts
+    with no vocabulary term keep an empty vector.
     """
-    toks = docs.select(F.col(id_col).alias("id"), F.explode(
+    toks = docs.select(F.col(id_col).alias("id"), F.explode_outer(
         F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_RE), 0)).alias("term"))
-    tf = toks.join(F.broadcast(vocab), "term").groupBy("id", "idx", "idf").agg(F.count("*").alias("tf"))
-    w = tf.select("id", "idx", (F.col("tf") * F.col("idf")).alias("w"))
-    per = w.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m"),
-                              F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm"))
-    out = per.select("id", vec.alias("vec"))
-    zero = docs.select(F.col(id_col).alias("id")).join(out.select("id"), "id", "left_anti") \
-        .select("id", F.array_repeat(F.lit(0.0), dim).alias("vec"))
-    return out.unionByName(zero)
+    tf = toks.join(F.broadcast(vocab), "term", "left").groupBy("id", "idx", "idf").agg(F.count("*").alias("tf"))
+    w = tf.select("id", "idx", F.when(F.col("idx").isNotNull(), F.col("tf") * F.col("idf")).alias("w"))
+    per = w.groupBy("id").agg(F.sort_array(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "w"))))
+                              .alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return per.select("id", F.transform("e", lambda x: x["idx"]).alias("idx"),
+                      F.transform("e", lambda x: x["w"] / F.col("norm")).alias("w"))
+
+
+def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, n_blocks: int | None = None,
+                score_digits: int = 9) -> DataFrame:
+    """Top-k for sparse ``(id, idx, w)`` corpus / ``(qid, idx, w)`` queries:
+    densified inside each co-group (``dim`` is the vocabulary size)."""
+    def dense(df, key):
+        return df.select(F.col(key), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
+            F.element_at(F.map_from_arrays("idx", "w"), i), F.lit(0.0))).alias("v"))
+    # densify in the JVM only for the (small) query side; the corpus stays sparse
+    b = n_blocks or _blocks(corpus.sparkSession)
+    c = corpus.select(F.col("id").cast("long").alias("id"), "idx", "w", F.pmod(F.xxhash64("id"), F.lit(b)).alias("blk"))
+    q = dense(queries, "qid").select(F.col("qid").cast("long").alias("qid"), F.col("v").alias("qvec"),
+                                     F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("blk"))
+
+    def local(key, cdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        if cdf.empty or qdf.empty:
+            return pd.DataFrame({"qid": [], "id": [], "score": []})
+        cm = np.zeros((len(cdf), dim))
+        for r, (ix, wv) in enumerate(zip(cdf["idx"], cdf["w"])):
+            if len(ix):
+                cm[r, np.asarray(ix, dtype=np.int64)] = np.asarray(wv, dtype=np.float64)
+        qm = np.vstack(qdf["qvec"].to_numpy()).astype(np.float64)
+        return _local_topk(qm @ cm.T, qdf["qid"].to_numpy(), cdf["id"].to_numpy(), k, score_digits)
+
+    cand = c.groupBy("blk").cogroup(q.groupBy("blk")).applyInPandas(local, "qid long, id long, score double")
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", score_digits)), F.asc("id"))
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _local_topk(s: np.ndarray, qids, ids, k: int, digits: int) -> pd.DataFrame:
+    kk = min(k, s.shape[1])
+    sr = np.round(s, digits)
+    rq, ri, rs = [], [], []
+    for i in range(s.shape[0]):
+        order = np.lexsort((ids, -sr[i]))[:kk]
+        rq.append(np.full(kk, qids[i]))
+        ri.append(ids[order])
+        rs.append(s[i, order])
+    return pd.DataFrame({"qid": np.concatenate(rq), "id": np.concatenate(ri), "score": np.concatenate(rs)})
 
 
 # --------------------------------------------------------------- IVF / LSH

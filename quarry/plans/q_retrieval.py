@@ -37,9 +37,8 @@ SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk
 def _tfidf(corpus, queries, k):
     vocab = R.tfidf_fit(corpus, "id", "text")
     dv = R.tfidf_vectors(corpus, vocab, "id", "text")
-    qv = R.tfidf_vectors(queries.withColumnRenamed("qid", "id"), vocab, "id", "text") \
-        .select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    hits = R.dense_topk(dv, qv, k)
+    qv = R.tfidf_vectors(queries.withColumnRenamed("qid", "id"), vocab, "id", "text").withColumnRenamed("id", "qid")
+    hits = R.sparse_topk(dv, qv, k, R.TFIDF_MAX_FEATURES)
     return hits.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
