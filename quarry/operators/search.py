@@ -262,8 +262,10 @@ def hashing_encoder(dim: int = 64):
     worker at the top of ``enc`` and applied batch by batch."""
     import zlib
 
+    from collections.abc import Iterator
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import re
         tok = re.compile(r"\w\w+")
         for s in batches:

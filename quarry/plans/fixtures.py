@@ -223,3 +223,31 @@ def v_row_lines(spark: SparkSession, sf: str) -> DataFrame:
                     F.concat_ws(",", *[F.col(c).cast("string") for c in PART_COLS]).alias("line"))
     head = p.select("path").distinct().select("path", F.lit(1).alias("line_no"), F.lit(",".join(PART_COLS)).alias("line"))
     return rows.unionByName(head)
+
+
+# --------------------------------------------------------------- V-files
+EXTS = ["csv", "tsv", "xlsx", "xls"]
+
+
+def v_files(spark: SparkSession, sf: str) -> DataFrame:
+    """pages as a file listing: path from the url (no scheme/query/fragment),
+    extension by ``page_id % 4``, size = html length, mtime = a day by page_id."""
+    p = _t(spark, sf, "pages", ["page_id", "url", "html"])
+    base = F.regexp_replace(F.regexp_replace(F.col("url"), r"^[a-z]+://", ""), r"[?#].*$", "")
+    base = F.regexp_replace(base, r"/+$", "")
+    ext = F.element_at(F.array(*[F.lit(e) for e in EXTS]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    rel = F.concat(base, F.lit("."), ext)
+    return p.select("page_id", F.concat(F.lit("/corpus/"), rel).alias("path"),
+                    F.element_at(F.split(rel, "/"), -1).alias("name"), rel.alias("relative_path"),
+                    F.concat(F.lit("."), ext).alias("extension"), F.length("html").cast("long").alias("size"),
+                    F.timestamp_add("DAY", F.pmod("page_id", F.lit(28)), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+                    .alias("mtime"))
+
+
+# ------------------------------------------------------------ V-requests
+def v_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """events as a request-cache log: hash = md5(props|event_type), last write wins."""
+    e = _t(spark, sf, "events", ["event_id", "ts", "event_type", "value", "props"])
+    return e.select(F.md5(F.concat_ws("|", "props", "event_type")).alias("hash"), "event_id",
+                    F.col("props").alias("prompt"), F.col("event_type").alias("system"),
+                    F.col("value").alias("result"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"))

@@ -122,3 +122,14 @@ pl AS (SELECT 'part/' || lower(p_type) || '.csv' AS path,
        FROM part
        UNION ALL
        SELECT DISTINCT 'part/' || lower(p_type) || '.csv', 1, 'p_partkey,p_name,p_brand,p_size,p_retailprice' FROM part)"""
+
+VFILES = r"""
+vf0 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '')
+               || '.' || ['csv', 'tsv', 'xlsx', 'xls'][page_id % 4 + 1] AS rel, html FROM pages),
+vfiles AS (SELECT page_id, '/corpus/' || rel AS path, regexp_extract(rel, '([^/]*)$', 1) AS name, rel AS relative_path,
+                  '.' || ['csv', 'tsv', 'xlsx', 'xls'][page_id % 4 + 1] AS extension, CAST(length(html) AS BIGINT) AS size,
+                  TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 28 AS INTEGER)) AS mtime FROM vf0)"""
+
+REQUESTS = r"""
+requests AS (SELECT md5(concat_ws('|', props, event_type)) AS hash, event_id, props AS prompt, event_type AS system,
+                    value AS result, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp FROM events)"""
