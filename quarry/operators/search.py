@@ -315,10 +315,13 @@ def chunk_blocks(files: DataFrame, max_tokens: int = 512, header_lines: int = 2)
     The greedy pass is a fold over the file's own line array (files are
     independent, so this is a narrow per-row expression).
     """
+    # token counts are staged as columns so the fold reads them, not re-counts them
+    files = files.select("path", "lines", F.transform("lines", lambda l: token_count(l)).alias("_toks"))
+    files = files.select("path", "lines", "_toks", F.aggregate(F.slice("_toks", 1, header_lines), F.lit(0),
+                                                                lambda a, x: a + x).alias("_htok"))
     n = F.size("lines")
-    hdr = F.slice("lines", 1, header_lines)
-    htok = F.aggregate(F.transform(hdr, lambda l: token_count(l)), F.lit(0), lambda a, x: a + x)
-    toks = F.transform("lines", lambda l: token_count(l))
+    htok = F.col("_htok")
+    toks = F.col("_toks")
     init = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("blocks"),
                     F.lit(-1).alias("s"), F.lit(0).alias("t"))
 

@@ -166,3 +166,89 @@ def q_retrieve_rows(spark, sf):
     qs = p.select(F.dense_rank().over(Window.orderBy("p_brand")).cast("long").alias("qid"),
                   F.concat(F.lit("parts of "), F.col("p_brand")).alias("text"))
     return _tfidf(corpus, qs, 5)
+
+
+@query("retrieve_columns", sql="WITH " + _tfidf_sql(
+    O.ROW_LINES + """,
+head AS (SELECT path, unnest(string_split(line, ',')) AS col, generate_subscripts(string_split(line, ','), 1) AS col_no
+         FROM pl WHERE line_no = 1),
+data AS (SELECT path, line_no, unnest(string_split(line, ',')) AS v, generate_subscripts(string_split(line, ','), 1) AS col_no
+         FROM pl WHERE line_no BETWEEN 2 AND 6),
+samp AS (SELECT path, col_no, list_slice(list(v ORDER BY line_no), 1, 5) AS vals FROM data
+         WHERE regexp_replace(v, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY ALL),
+corp AS (SELECT CAST(row_number() OVER (ORDER BY h.path, h.col_no) AS BIGINT) AS id,
+                'Table path: ' || h.path || ' | Column name: ' || h.col || ' | Sample values: '
+                || array_to_string(coalesce(s.vals, []), ', ') AS text
+         FROM head h LEFT JOIN samp s USING (path, col_no))""", ROW_Q, 3), category="retrieval")
+def q_retrieve_columns(spark, sf):
+    """V7: top-3 columns per brand query by column document."""
+    from pyspark.sql import Window
+    prof = C.column_profile(v_row_lines(spark, sf))
+    corpus = prof.select(F.row_number().over(Window.orderBy("path", "col_no")).cast("long").alias("id"), "text")
+    p = read_table(spark, sf, "part", ["p_brand"]).distinct()
+    qs = p.select(F.dense_rank().over(Window.orderBy("p_brand")).cast("long").alias("qid"),
+                  F.concat(F.lit("parts of "), F.col("p_brand")).alias("text"))
+    return _tfidf(corpus, qs, 3)
+
+
+@query("hits_by_table", sql="WITH " + _tfidf_sql(
+    O.ROW_LINES + """,
+h AS (SELECT path, string_split(line, ',') AS hs FROM pl WHERE line_no = 1),
+corp AS (SELECT CAST(string_split(r.line, ',')[1] AS BIGINT) AS id,
+                'Table path: ' || r.path || chr(10) || array_to_string(
+                  list_transform(range(1, least(len(h.hs), len(string_split(r.line, ','))) + 1),
+                                 lambda i: h.hs[i] || ': ' || string_split(r.line, ',')[i]), ' | ') AS text
+         FROM pl r JOIN h USING (path) WHERE r.line_no >= 2)""", ROW_Q, 5).replace(
+    "SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 5",
+    """SELECT rk.qid, 'part/' || lower(p.p_type) || '.csv' AS path, round(max(rk.score), 6) AS best_score, count(*) AS n_hits
+FROM rk JOIN part p ON p.p_partkey = rk.id WHERE rk.rank <= 5 GROUP BY ALL"""), category="retrieval")
+def q_hits_by_table(spark, sf):
+    """A14 + J13: row hits looked up to their table and grouped per table."""
+    docs = C.row_documents(v_row_lines(spark, sf))
+    corpus = docs.select(F.regexp_extract("text", r"p_partkey: (\d+)", 1).cast("long").alias("id"), "text")
+    p = read_table(spark, sf, "part", ["p_brand"]).distinct()
+    from pyspark.sql import Window
+    qs = p.select(F.dense_rank().over(Window.orderBy("p_brand")).cast("long").alias("qid"),
+                  F.concat(F.lit("parts of "), F.col("p_brand")).alias("text"))
+    vocab = R.tfidf_fit(corpus, "id", "text")
+    hits = R.sparse_topk(R.tfidf_vectors(corpus, vocab, "id", "text"),
+                         R.tfidf_vectors(qs.withColumnRenamed("qid", "id"), vocab, "id", "text")
+                         .withColumnRenamed("id", "qid"), 5, R.TFIDF_MAX_FEATURES)
+    meta = read_table(spark, sf, "part", ["p_partkey", "p_type"]).select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("part/"), F.lower("p_type"), F.lit(".csv")).alias("path"))
+    looked = R.hit_lookup(hits, meta)
+    g = R.hits_by_table(looked.withColumn("item", F.col("id")))
+    return g.select("qid", "path", F.round("best_score", 6).alias("best_score"), "n_hits")
+
+
+@query("chunk_blocks")
+def q_chunk_blocks(spark, sf):
+    """V8: greedy 512-token blocks per document (2 header lines, 1-line overlap)."""
+    return R.chunk_blocks(v_file_lines(spark, sf))
+
+
+@query("fixed_chunks", sql=f"""
+WITH {O.LINES}
+SELECT path, line_no, CAST(floor((line_no - 1) / 200) + 1 AS INTEGER) AS chunk_no FROM lines""", category="retrieval")
+def q_fixed_chunks(spark, sf):
+    """V8 (parser form): 200-line chunks."""
+    from quarry.plans.fixtures import v_lines
+    return R.fixed_chunks(v_lines(spark, sf)).select("path", "line_no", "chunk_no")
+
+
+@query("ivf_search")
+def q_ivf_search(spark, sf):
+    """V3: IVF (KMeans lists, nprobe 5) top-10 for queries vec_id < 5."""
+    e = _emb(spark, sf)
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return R.ivf_search(corpus, q, 10, nprobe=5)
+
+
+@query("lsh_search")
+def q_lsh_search(spark, sf):
+    """V4: LSH (bucket 1.0, 5 tables, distance ≤ 1.3) top-10 for vec_id < 5."""
+    e = _emb(spark, sf)
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return R.lsh_search(corpus, q, 10)
