@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import token_count
+from quarry.session import ship_package
 
 # fixed values: the TF-IDF settings being mirrored
 TFIDF_MAX_FEATURES = 512
@@ -67,6 +68,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
     Ties: score (rounded to ``score_digits``) desc, then id asc.  Output
     ``(qid, id, score, rank)``.
     """
+    ship_package(corpus.sparkSession)
     b = n_blocks or _blocks(corpus.sparkSession)
     c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                       F.pmod(F.xxhash64(id_col), F.lit(b)).alias("blk"))
@@ -104,6 +106,7 @@ def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int, n_blocks: int
     co-group reduces its block to per-(query token, doc) maxima, so rows
     out are bounded by docs × query tokens, never doc tokens × query tokens.
     """
+    ship_package(doc_tokens.sparkSession)
     b = n_blocks or _blocks(doc_tokens.sparkSession)
     # all tokens of a document land in one block: maxima are final per block
     c = doc_tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"),
@@ -176,6 +179,7 @@ def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, n_block
         return df.select(F.col(key), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
             F.element_at(F.map_from_arrays("idx", "w"), i), F.lit(0.0))).alias("v"))
     # densify in the JVM only for the (small) query side; the corpus stays sparse
+    ship_package(corpus.sparkSession)
     b = n_blocks or _blocks(corpus.sparkSession)
     c = corpus.select(F.col("id").cast("long").alias("id"), "idx", "w", F.pmod(F.xxhash64("id"), F.lit(b)).alias("blk"))
     q = dense(queries, "qid").select(F.col("qid").cast("long").alias("qid"), F.col("v").alias("qvec"),
@@ -288,6 +292,7 @@ def embed_distinct(texts: DataFrame, store: DataFrame | None, text_col: str = "t
     Returns ``(…input…, embedding)``; the newly encoded rows are available
     as ``missing_embeddings(...)`` for an append to the store (S8/U3).
     """
+    ship_package(texts.sparkSession)
     enc = encoder or hashing_encoder()
     d = texts.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).distinct()
     new = missing_embeddings(d, store)

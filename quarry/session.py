@@ -68,3 +68,21 @@ def cut_lineage(df):
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in Python workers (pandas UDF closures refer
+    to it): zip the package once per session and ``addPyFile`` it, which is
+    how code reaches executors on a cluster too."""
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="quarry-pkg-", dir=os.environ.get("QUARRY_SCRATCH", "/tmp"))
+    zpath = shutil.make_archive(os.path.join(out, "quarry"), "zip", os.path.dirname(pkg), "quarry")
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -65,6 +65,8 @@ def file_manifest(spark: SparkSession, folder: str, extensions=TABLE_EXTENSIONS)
 def read_file_texts(spark: SparkSession, folder: str, glob: str | None = None,
                     strip_bom: bool = False) -> DataFrame:
     """One row per file: ``(path, text)``; utf-8 or the decoder hook (S3)."""
+    from quarry.session import ship_package
+    ship_package(spark)
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
