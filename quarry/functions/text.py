@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes all Unicode whitespace; Spark's trim only
-# spaces.  One shared helper keeps every "stripped" comparison identical.
-_WS = r"[\s  -​　﻿]"
+# Python's str.strip() removes every character for which str.isspace() is
+# true; Spark's one-argument trim only removes spaces.  The set is derived
+# from Python itself and passed to trim(BOTH set FROM x), which only looks at
+# the two ends of the string (a regex would probe every inner whitespace run).
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def _c(x) -> Column:
@@ -20,7 +22,7 @@ def _c(x) -> Column:
 
 def py_strip(x) -> Column:
     """Python-style ``strip()``: remove leading/trailing whitespace."""
-    return F.regexp_replace(_c(x), rf"^{_WS}+|{_WS}+$", "")
+    return F.trim(_c(x), F.lit(PY_WHITESPACE))
 
 
 def py_regex(pattern: str, ignore_case: bool = True) -> str:
@@ -36,12 +38,13 @@ def py_regex(pattern: str, ignore_case: bool = True) -> str:
 def split_lines(text) -> Column:
     """Physical lines of a text: split on CRLF/LF/CR, drop one trailing ''.
 
-    Mirrors ``str.splitlines()`` for the three newline forms.
+    Mirrors ``str.splitlines()`` for the three newline forms: one trailing
+    newline is removed first, so the text is split exactly once.
     """
-    arr = F.split(_c(text), r"\r\n|\n|\r", -1)
-    n = F.size(arr)
-    return F.when(_c(text).isNull() | (_c(text) == ""), F.array().cast("array<string>")).otherwise(
-        F.slice(arr, 1, n - F.when(F.element_at(arr, -1) == "", 1).otherwise(0)))
+    t = _c(text)
+    body = F.regexp_replace(t, r"(\r\n|\n|\r)\z", "")
+    return F.when(t.isNull() | (t == ""), F.array().cast("array<string>")) \
+        .otherwise(F.split(body, r"\r\n|\n|\r", -1))
 
 
 def basename(path) -> Column:

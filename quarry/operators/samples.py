@@ -82,26 +82,33 @@ def _anchor(x: Column) -> Column:
     return F.when(F.size(toks) >= MIN_TOKENS_FOR_BLOCKING, best["t"])
 
 
+# at least three word tokens, decided from the first three words only
+_HAS_3_TOKENS = r"^\W*\w+\W+\w+\W+\w"
+
+
 def _contained_pairs(small: DataFrame, s_key: str, s_col: str, big: DataFrame, b_key: str, b_col: str) -> DataFrame:
-    """Pairs with ``small[s_col]`` ⊆ ``big[b_col]`` (both non-empty), exact.
+    """Pairs with ``small[s_col]`` ⊆ ``big[b_col]`` (needle non-empty), exact.
 
-    Long needles join on their anchor token against the distinct tokens of
-    each haystack; needles too short to have an interior token are checked
-    by a broadcast nested loop whose side is counted first.
+    Needles with an interior token join on it against the distinct tokens
+    of each haystack, then ``contains`` verifies the candidates.  Needles
+    with fewer than three tokens have no such token; they are checked by a
+    broadcast nested loop after their count is checked against
+    ``SHORT_SIDE_LIMIT`` (the check reads only the first words of each text).
     """
-    needles = small.select(s_key, s_col, _anchor(F.col(s_col)).alias("_anchor")).where(F.col(s_col) != "")
-    hay = big.where(F.col(b_col) != "")
-    toks = hay.select(b_key, F.explode(F.array_distinct(F.regexp_extract_all(b_col, F.lit(r"\w+"), 0)))
+    needles = small.where(F.col(s_col) != "")
+    short_flag = ~F.col(s_col).rlike(_HAS_3_TOKENS)
+    long_n = needles.where(~short_flag).select(s_key, s_col, _anchor(F.col(s_col)).alias("_anchor"))
+    toks = big.select(b_key, F.explode(F.array_distinct(F.regexp_extract_all(b_col, F.lit(r"\w+"), 0)))
                       .alias("_anchor"))
-    blocked = needles.where(F.col("_anchor").isNotNull()).join(toks, "_anchor").select(s_key, b_key).distinct()
-    blocked = blocked.join(needles.select(s_key, s_col), s_key).join(hay.select(b_key, b_col), b_key) \
+    cand = long_n.select(s_key, "_anchor").join(toks, "_anchor").select(s_key, b_key).distinct()
+    blocked = cand.join(long_n.select(s_key, s_col), s_key).join(big.select(b_key, b_col), b_key) \
         .where(F.contains(F.col(b_col), F.col(s_col))).select(s_key, b_key)
-    short = needles.where(F.col("_anchor").isNull()).select(s_key, s_col)
+    short = needles.where(short_flag).select(s_key, s_col)
     n_short = short.count()
     if n_short > SHORT_SIDE_LIMIT:
         raise ValueError(f"{n_short} needles have fewer than {MIN_TOKENS_FOR_BLOCKING} tokens; "
                          "too many to broadcast for an exact containment check")
-    loose = hay.select(b_key, b_col).join(F.broadcast(short), F.contains(F.col(b_col), F.col(s_col))) \
+    loose = big.select(b_key, b_col).join(F.broadcast(short), F.contains(F.col(b_col), F.col(s_col))) \
         .select(s_key, b_key)
     return blocked.unionByName(loose)
 
@@ -111,21 +118,38 @@ def match_sample(traces: DataFrame, samples: DataFrame, trace_key: str = "trace_
     """For each trace, the first usable sample (file order) whose stripped
     task equals, contains, or is contained in the stripped query.
 
-    Equality is an equi-join; the two containment directions are exact
-    token-blocked joins (``_contained_pairs``); the union of candidates is
-    reduced with ``min(ord)`` per trace (an aggregate, no window).
+    Rewritten without stripping the (large) query side up front:
+    * task ⊆ query: a stripped non-empty task starts and ends with a
+      non-space, so it lies inside the query iff inside its stripped form;
+      equality with a non-empty task is a special case of it;
+    * query ⊆ task: only queries no longer than the longest task can fit —
+      a one-row aggregate prunes the rest before any tokenising;
+    * both empty: blank queries match empty tasks.
+    Candidates are reduced with ``min(ord)`` per trace (an aggregate).
     """
-    q = traces.select(F.col(trace_key).alias("_t"), py_strip(F.coalesce(F.col(query), F.lit(""))).alias("_q"))
     s = samples.where(usable(samples)).select(F.col("ord").alias("_o"),
                                              py_strip(F.coalesce(F.col("task"), F.lit(""))).alias("_s"))
-    eq = q.join(s, q["_q"] == s["_s"]).select("_t", "_o")
-    s_in_q = _contained_pairs(s, "_o", "_s", q, "_t", "_q")
-    q_in_s = _contained_pairs(q, "_t", "_q", s, "_o", "_s")
-    cand = eq.unionByName(s_in_q).unionByName(q_in_s)
+    q_raw = traces.select(F.col(trace_key).alias("_t"), F.coalesce(F.col(query), F.lit("")).alias("_q"))
+    s_in_q = _contained_pairs(s, "_o", "_s", q_raw, "_t", "_q")
+    longest = s.agg(F.max(F.length("_s")).alias("_maxlen")).withColumn("_one", F.lit(1))
+    fit = q_raw.select("_t", py_strip(F.col("_q")).alias("_q"), F.lit(1).alias("_one")) \
+        .join(F.broadcast(longest), "_one").where(F.length("_q") <= F.col("_maxlen")).select("_t", "_q")
+    q_in_s = _contained_pairs(fit, "_t", "_q", s, "_o", "_s")
+    cand = s_in_q.unionByName(q_in_s).unionByName(_blank_pairs(q_raw, s))
     best = cand.groupBy("_t").agg(F.min("_o").alias("ord"))
     return best.select(F.col("_t").alias(trace_key), "ord")
 
 
+def _blank_pairs(q_raw: DataFrame, s: DataFrame) -> DataFrame:
+    """Blank query ↔ empty task (equality of two empty stripped strings):
+    the earliest empty task is attached to every blank query by an
+    equi-join on a constant key with a one-row side."""
+    first_empty = s.where(F.col("_s") == "").agg(F.min("_o").alias("_o")).where(F.col("_o").isNotNull()) \
+        .withColumn("_one", F.lit(1))
+    blank = q_raw.where(py_strip(F.col("_q")) == "").select("_t", F.lit(1).alias("_one"))
+    return blank.join(F.broadcast(first_empty), "_one").select("_t", "_o")
+
+
 def align_steps(pairs: DataFrame, expected: DataFrame, links: DataFrame, trace_key: str = "trace_id") -> DataFrame:
     """I-th expected step ↔ i-th raw pair (left outer, positional).
 

@@ -64,3 +64,16 @@ def test_clip_and_label(spark):
     s = _one(spark, clip_tail(F.col("x"), 5), "abcdefgh")
     assert s.endswith("defgh") and "original length: 8" in s
     assert _one(spark, line_label(F.lit(12345), F.col("x")), "row  ") == "12345| row"
+
+
+def test_split_lines_matches_splitlines(spark):
+    cases = ["a\n\n", "a\r\n", "a\n\r", "\n", "", "a", "a\rb\r\nc\n", "x\n\n\ny", "\r\r"]
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    got = [r.y for r in df.select(split_lines(F.col("x")).alias("y")).collect()]
+    assert got == [c.splitlines() for c in cases]
+
+
+def test_py_strip_matches_python(spark):
+    cases = ["\x1c a \x85", "　 b\t", "﻿c ", "  "]
+    df = spark.createDataFrame([(c,) for c in cases], "x string")
+    assert [r.y for r in df.select(py_strip(F.col("x")).alias("y")).collect()] == [c.strip() for c in cases]

@@ -124,3 +124,28 @@ def test_flatten_header_against_model(spark):
     df = spark.createDataFrame(rows, "path string, sheet string, r int, c int, value string")
     got = {(r.path, r.c): r.label for r in C.flatten_header(df, 4).collect()}
     assert got == expect
+
+
+def test_match_sample_against_brute_force(spark):
+    from quarry.operators import samples as S
+    rng = random.Random(13)
+    words = ["ab", "cd", "efg", "h", "ij", "k l", "mn"]
+
+    def text(n):
+        return rng.choice(["", " ", "\t"]) + " ".join(rng.choice(words) for _ in range(n)) + rng.choice(["", " "])
+    tasks = [text(rng.randint(0, 6)) for _ in range(25)]
+    queries = [text(rng.randint(0, 12)) for _ in range(60)]
+    queries += [t[1:] for t in tasks[:5]] + [t + " zz" for t in tasks[5:10]]
+    samples = spark.createDataFrame([(i, t, "a", None) for i, t in enumerate(tasks)],
+                                    "ord long, task string, answer string, design struct<checkout_list:array<int>>")
+    traces = spark.createDataFrame(list(enumerate(queries)), "trace_id long, query string")
+    got = {r.trace_id: r.ord for r in S.match_sample(traces, samples).collect()}
+    expect = {}
+    for t, q in enumerate(queries):
+        nq = q.strip()
+        for o, task in enumerate(tasks):
+            ct = task.strip()
+            if ct == nq or (nq and nq in ct) or (ct and ct in nq):
+                expect[t] = o
+                break
+    assert got == expect
