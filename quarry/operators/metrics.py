@@ -231,3 +231,50 @@ def _m_quality():
         n = s.replace("_score", "")
         out += [_avg0(safe_float(F.col(s))).alias(f"strict_{n}"), _avg0(F.when(ok, safe_float(F.col(s)))).alias(n)]
     return out
+
+
+# ------------------------------------------------------------ F19 / X3
+NUM_TOKEN = r"-?\d+(?:\.\d+)?"
+
+
+def score_point_coverage(answer, points, tol: float = 0.1) -> Column:
+    """F19 (deterministic judge): STRUCT<total_metrics, covered_metrics,
+    coverage_ratio>.  A point with numbers is covered when every number of
+    it appears in the answer within ``tol``; a point without numbers when
+    all of its words occur in the answer (case-insensitive)."""
+    a = F.coalesce(answer if not isinstance(answer, str) else F.col(answer), F.lit(""))
+    pts = F.coalesce(points if not isinstance(points, str) else F.col(points), F.array().cast("array<string>"))
+    ans_nums = F.transform(F.regexp_extract_all(a, F.lit(NUM_TOKEN), 0), lambda x: x.cast("double"))
+    ans_words = F.regexp_extract_all(F.lower(a), F.lit(r"\w+"), 0)
+
+    def covered(p):
+        nums = F.transform(F.regexp_extract_all(p, F.lit(NUM_TOKEN), 0), lambda x: x.cast("double"))
+        words = F.regexp_extract_all(F.lower(p), F.lit(r"\w+"), 0)
+        num_ok = F.forall(nums, lambda n: F.exists(ans_nums, lambda v: F.abs(v - n) <= tol))
+        word_ok = F.forall(words, lambda w: F.array_contains(ans_words, w))
+        return F.when(F.size(nums) > 0, num_ok).otherwise(word_ok)
+
+    total = F.size(pts)
+    cov = F.size(F.filter(pts, covered))
+    ratio = F.when(total > 0, F.round(cov / total, 3)).otherwise(F.lit(0.0))
+    return F.struct(total.alias("total_metrics"), cov.alias("covered_metrics"), ratio.alias("coverage_ratio"))
+
+
+def judge_steps(aligned: DataFrame, judge=None) -> DataFrame:
+    """Accuracy judgements for aligned steps.  ``judge`` maps the aligned
+    frame to ``(trace_id, step_index, total_metrics, covered_metrics,
+    coverage_ratio, reasoning)``; the default is the rule judge F19.  Any
+    DataFrame of judgements (e.g. from an Arrow UDF calling a model) fits;
+    steps it leaves out get the zeroed template (A10)."""
+    if judge is None:
+        s = score_point_coverage(F.col("answer"), F.col("score_points"))
+        judged = aligned.select(*KEY, s["total_metrics"].alias("total_metrics"),
+                                s["covered_metrics"].alias("covered_metrics"),
+                                s["coverage_ratio"].alias("coverage_ratio"),
+                                F.lit("rule: numbers within 0.1, words present").alias("reasoning"))
+    else:
+        judged = judge(aligned)
+    missing = aligned.where(F.col("is_missing")).select(*KEY)
+    judged = judged.join(missing, KEY, "left_anti")
+    return fail_template(aligned.select(*KEY, "query"), judged,
+                         ["total_metrics", "covered_metrics", "coverage_ratio"], ["reasoning"])

@@ -243,3 +243,29 @@ def q_summary_upsert(spark, sf):
     old = m.where(F.col("page_id") % 2 == 0).select(F.col("path").alias("file_path"), F.lit("old").alias("summary"))
     new = m.where(F.col("page_id") % 3 == 0).select(F.col("path").alias("file_path"), F.lit("new").alias("summary"))
     return K.summary_upsert(old, new)
+
+
+@query("new_files", sql=f"""
+WITH {O.VFILES}
+SELECT path FROM vfiles EXCEPT ALL SELECT path FROM vfiles WHERE mtime < TIMESTAMP '2024-01-15'""", category="files")
+def q_new_files(spark, sf):
+    """Set difference of listings (paths now minus paths at the snapshot)."""
+    m = v_files(spark, sf).select("path")
+    snap = v_files(spark, sf).where(F.col("mtime") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("path")
+    return m.exceptAll(snap)
+
+
+@query("union_corpus", sql="""
+SELECT * FROM (SELECT 'part' AS src, CAST(p_partkey AS BIGINT) AS id, p_name AS name, p_retailprice AS price FROM part)
+UNION ALL BY NAME
+SELECT * FROM (SELECT 'supplier' AS src, s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier)""",
+       category="files")
+def q_union_corpus(spark, sf):
+    """Rows of differently shaped tables in one frame (missing columns NULL)."""
+    p = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_retailprice"]).select(
+        F.lit("part").alias("src"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        F.col("p_retailprice").alias("price"))
+    s = read_table(spark, sf, "supplier", ["s_suppkey", "s_name", "s_acctbal"]).select(
+        F.lit("supplier").alias("src"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+        F.col("s_acctbal").alias("balance"))
+    return p.unionByName(s, allowMissingColumns=True)

@@ -292,3 +292,12 @@ def q_token_usage(spark, sf_dir):
     per = m.groupBy("trace_id").agg(F.sum(token_count("content")).alias("total_tokens"))
     u = M.token_usage(per)
     return u.select(F.round("avg_tokens", 6).alias("avg_tokens"), "max_tokens", "min_tokens", "sum_tokens")
+
+
+@query("report_tables", sql=f"""
+WITH {COV}, {MACRO_CTE}, {PRF_CTE}, {PASS_CTE}
+{MICRO_SEL} UNION ALL {MACRO_SEL} UNION ALL {PRF_SEL} UNION ALL {PASS_SEL}""", category="metrics")
+def q_report_tables(spark, sf_dir):
+    """Report sections as one long (section, metric, value) table; the
+    Markdown rendering of these rows is a driver-side format step."""
+    return q_evaluation_report(spark, sf_dir)

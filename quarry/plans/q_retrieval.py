@@ -252,3 +252,23 @@ def q_lsh_search(spark, sf):
     corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     return R.lsh_search(corpus, q, 10)
+
+
+@query("dense_search", sql=_dense_sql("vec_id < 5", 5), category="retrieval")
+def q_dense_search(spark, sf):
+    """Dense retrieval, query × corpus inner products fused into a
+    blocked top-5 (the score matrix is never materialised)."""
+    return _dense(spark, sf, F.col("vec_id") < 5, 5)
+
+
+@query("hit_lookup", sql=f"""
+WITH q AS (SELECT vec_id AS qid, {EMB} AS qv FROM embeddings WHERE vec_id < 5),
+sc AS (SELECT q.qid, e.vec_id AS id, list_inner_product(q.qv, {EMB}) AS score FROM q, embeddings e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
+SELECT rk.qid, rk.id, CAST(rk.rank AS INTEGER) AS rank, e.label FROM rk JOIN embeddings e ON e.vec_id = rk.id
+WHERE rk.rank <= 10""", category="retrieval")
+def q_hit_lookup(spark, sf):
+    """Top-10 hits joined to their metadata after the ranking."""
+    hits = _dense(spark, sf, F.col("vec_id") < 5, 10).select("qid", "id", "rank")
+    meta = _emb(spark, sf).select(F.col("vec_id").alias("id"), "label")
+    return R.hit_lookup(hits, meta)

@@ -99,3 +99,62 @@ def q_step_order(spark, sf):
     """QA steps ordered by (trace, step) via range partitioning."""
     pairs = T.qa_pairs(T.turn_number(T.parse_actions(v_tagged(spark, sf))))
     return S.step_order(pairs.select("trace_id", "step_index", "query"))
+
+
+NUM = "'-?\\d+(?:\\.\\d+)?'"
+COVER = f"""
+sp AS (SELECT a.*, list_transform(regexp_extract_all(coalesce(answer, ''), {NUM}), lambda x: CAST(x AS DOUBLE)) AS an,
+              regexp_extract_all(lower(coalesce(answer, '')), '\\w+') AS aw FROM aligned a),
+cv AS (SELECT *, len(coalesce(score_points, [])) AS total_metrics,
+              len(list_filter(coalesce(score_points, []), lambda p:
+                CASE WHEN len(regexp_extract_all(p, {NUM})) > 0
+                     THEN len(list_filter(regexp_extract_all(p, {NUM}), lambda n:
+                              len(list_filter(an, lambda v: abs(v - CAST(n AS DOUBLE)) <= 0.1)) = 0)) = 0
+                     ELSE len(list_filter(regexp_extract_all(lower(p), '\\w+'), lambda w: NOT list_contains(aw, w))) = 0 END))
+              AS covered_metrics FROM sp)"""
+
+ALIGNED = f"""{QA}, {O.SAMPLES},
+links AS (SELECT DISTINCT t.trace_id, s.ord FROM pairs t JOIN samples s ON s.ord = t.trace_id),
+exp AS (SELECT l.trace_id, e.step_no AS step_index, e.info_item, e.answer AS true_answer, e.score_points
+        FROM links l JOIN expected e USING (ord)),
+aligned AS (SELECT e.trace_id, e.step_index, e.info_item AS query,
+              CASE WHEN coalesce(p.answer, '') <> '' THEN p.answer ELSE '' END AS answer,
+              coalesce(p.answer, '') = '' AS is_missing, e.score_points
+       FROM exp e LEFT JOIN pairs p ON p.trace_id = e.trace_id AND p.step_index = e.step_index)"""
+
+
+def _aligned(spark, sf):
+    pairs = T.qa_pairs(T.turn_number(T.parse_actions(v_tagged(spark, sf))))
+    samples = v_samples(spark, sf)
+    links = v_tagged(spark, sf).select("trace_id").distinct().join(samples.select("ord"),
+                                                                   F.col("trace_id") == F.col("ord"))
+    return S.align_steps(pairs, S.explode_checklist(samples), links).join(links.select("trace_id"), "trace_id")
+
+
+@query("score_point_coverage", sql=f"""
+WITH {ALIGNED}, {COVER}
+SELECT trace_id, step_index, total_metrics, covered_metrics,
+       CASE WHEN total_metrics > 0 THEN round(covered_metrics / total_metrics, 3) ELSE 0.0 END AS coverage_ratio FROM cv""",
+       category="samples")
+def q_score_point_coverage(spark, sf):
+    """rule judge of each aligned step's answer against its score points."""
+    from quarry.operators.metrics import score_point_coverage
+    a = _aligned(spark, sf)
+    s = score_point_coverage(F.col("answer"), F.col("score_points"))
+    return a.select("trace_id", "step_index", s["total_metrics"].alias("total_metrics"),
+                    s["covered_metrics"].alias("covered_metrics"), s["coverage_ratio"].alias("coverage_ratio"))
+
+
+@query("judge_hook", sql=f"""
+WITH {ALIGNED}, {COVER}
+SELECT trace_id, step_index, query, is_missing,
+       CASE WHEN is_missing THEN 0.0 ELSE CAST(total_metrics AS DOUBLE) END AS total_metrics,
+       CASE WHEN is_missing THEN 0.0 ELSE CAST(covered_metrics AS DOUBLE) END AS covered_metrics,
+       CASE WHEN is_missing THEN 0.0 WHEN total_metrics > 0 THEN round(covered_metrics / total_metrics, 3) ELSE 0.0 END
+         AS coverage_ratio,
+       CASE WHEN is_missing THEN NULL ELSE 'rule: numbers within 0.1, words present' END AS reasoning FROM cv""",
+       category="samples")
+def q_judge_hook(spark, sf):
+    """Default judge over aligned steps; missing steps get the zero template."""
+    from quarry.operators.metrics import judge_steps
+    return judge_steps(_aligned(spark, sf))

@@ -123,3 +123,38 @@ WHERE l.line_no > t.total_lines - 3""", category="search")
 def q_head_tail_preview(spark, sf):
     """Last 3 lines of every file with its total."""
     return grep.head_tail_preview(v_file_lines(spark, sf), n=3, tail=True)
+
+
+@query("clip_tail", sql="""
+SELECT doc_id, CASE WHEN length(text) > 6144
+                    THEN '[Truncated leading part, original length: ' || CAST(length(text) AS VARCHAR) || '] ...' || chr(10)
+                         || right(text, 6144) ELSE text END AS clipped
+FROM documents""", category="search")
+def q_clip_tail(spark, sf):
+    """tool results longer than 6,144 chars keep the tail with a note."""
+    from quarry.functions.text import clip_tail
+    from quarry.sources.tables import read_table
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", clip_tail("text").alias("clipped"))
+
+
+@query("token_count", sql="""
+SELECT doc_id, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS n_tokens FROM documents""", category="search")
+def q_token_count(spark, sf):
+    """default tokenizer length of every document."""
+    from quarry.functions.text import token_count
+    from quarry.sources.tables import read_table
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return d.select("doc_id", token_count("text").alias("n_tokens"))
+
+
+@query("line_label", sql=f"""
+WITH {O.LINES}
+SELECT path, line_no, lpad(CAST(line_no AS VARCHAR), CAST(greatest(3, length(CAST(line_no AS VARCHAR))) AS INTEGER), ' ') || '| '
+       || regexp_replace(line, '\\s+$', '') AS label
+FROM lines WHERE line_no <= 5""", category="search")
+def q_line_label(spark, sf):
+    """numbered preview lines (first 5 of each file)."""
+    from quarry.functions.text import line_label
+    p = grep.head_tail_preview(v_file_lines(spark, sf), n=5)
+    return p.select("path", "line_no", line_label(F.col("line_no"), F.col("line")).alias("label"))
