@@ -50,11 +50,11 @@ def samples_source(spark: SparkSession, path: str, json_lines: bool = False) ->
         .withColumn("table_path", F.when(F.col("table_path").isNotNull(), F.array("table_path")))
 
 
-def trace_source(spark: SparkSession, folder: str) -> DataFrame:
+def trace_source(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
     """Every ``*.json`` trace in a folder (non-recursive); unreadable
     files are dropped; the last turn's response is appended as an
     assistant message.  Output: message rows ``(trace_id, seq, role, …)``."""
-    df = spark.read.schema(TRACE).option("multiLine", True).option("mode", "PERMISSIVE") \
+    df = spark.read.schema(TRACE).option("multiLine", multi_line).option("mode", "PERMISSIVE") \
         .option("pathGlobFilter", "*.json").json(folder).withColumn("trace_id", F.input_file_name())
     df = df.where(F.col("_corrupt_record").isNull())
     last = F.element_at("conversation_trace", -1)
