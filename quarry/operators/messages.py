@@ -215,3 +215,48 @@ def tool_subset(catalog: DataFrame, include: list[str] | None = None, category:
         cat = category if category in CATEGORIES else "general"
         c = c.where(F.col("category") == cat)
     return c
+
+
+def chat_blocks(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Column | None = None) -> DataFrame:
+    """F21 (shape 1): system text lifted out; assistants become ordered parts
+    (reasoning, text, tool uses) and vanish when they have none; a tool
+    result joins the preceding emitted *user* message (a plain query or an
+    earlier result block), otherwise it opens a new user message.
+
+    Emitted-message ids are a running count of rows that start a message
+    (skew-safe prefix scan); each message is one aggregate of its parts.
+    Output ``(trace_id, msg_no, role, parts ARRAY<STRUCT<type, text, tool_use_id>>)``.
+    """
+    has_reason = F.coalesce(F.col("reasoning_content"), F.lit("")) != "" if "reasoning_content" in m.columns \
+        else F.lit(False)
+    has_text = F.coalesce(F.col("content"), F.lit("")) != ""
+    has_calls = F.coalesce(F.size("tool_calls") > 0, F.lit(False))
+    kept = m.where((F.col("role") != "system") &
+                   ~((F.col("role") == "assistant") & ~has_reason & ~has_text & ~has_calls))
+    kept = prefix_scan(kept, [trace], list(order), {"_k": F.lit(1)}, chunk=chunk)
+    prev = kept.select(trace, (F.col("_k") + 1).alias("_k"), F.col("role").alias("_prole"))
+    kept = kept.join(prev, [trace, "_k"], "left")
+    joins_prev = F.coalesce((F.col("role") == "tool") & F.col("_prole").isin("user", "tool"), F.lit(False))
+    kept = prefix_scan(kept.withColumn("_start", (~joins_prev).cast("int")), [trace], list(order),
+                       {"msg_no": F.col("_start")}, chunk=chunk)
+    reason = F.col("reasoning_content") if "reasoning_content" in m.columns else F.lit(None).cast("string")
+    parts = F.concat(
+        F.when((F.col("role") == "assistant") & (F.coalesce(reason, F.lit("")) != ""),
+               F.array(F.struct(F.lit("thinking").alias("type"), reason.alias("text"),
+                                F.lit(None).cast("string").alias("tool_use_id")))).otherwise(F.array()),
+        F.when(F.col("role").isin("user", "assistant") & has_text,
+               F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"),
+                                F.lit(None).cast("string").alias("tool_use_id")))).otherwise(F.array()),
+        F.when(F.col("role") == "assistant", F.transform(F.coalesce("tool_calls", F.array()), lambda tc: F.struct(
+            F.lit("tool_use").alias("type"), tc["function"]["arguments"].alias("text"), tc["id"].alias("tool_use_id"))))
+        .otherwise(F.array()),
+        F.when(F.col("role") == "tool", F.array(F.struct(F.lit("tool_result").alias("type"),
+                                                         F.coalesce("content", F.lit("")).alias("text"),
+                                                         F.col("tool_call_id").alias("tool_use_id"))))
+        .otherwise(F.array()))
+    rows = kept.select(trace, "msg_no", *order, F.when(F.col("role") == "assistant", "assistant").otherwise("user")
+                       .alias("role"), parts.alias("_p"))
+    g = rows.groupBy(trace, "msg_no").agg(
+        F.min_by("role", F.struct(*order)).alias("role"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_p"))), lambda s: s["_p"])).alias("parts"))
+    return g.withColumn("msg_no", F.col("msg_no").cast("int"))

@@ -252,3 +252,30 @@ def q_missing_params(spark, sf):
     c = e.select("event_id", F.from_json("props", "map<string,string>").alias("params"),
                  F.array(F.lit("k"), F.lit("user")).alias("required"))
     return MS.missing_params(c).select("event_id", "missing", "valid")
+
+
+@query("chat_blocks", sql=f"""
+WITH {O.CALLS},
+m AS (SELECT trace_id, ts, event_id, CASE WHEN kind = 'result' THEN 'tool' ELSE 'assistant' END AS role, tool AS content,
+             CASE WHEN tool = 'view' THEN 'call_' || CAST(event_id AS VARCHAR) END AS tool_call_id FROM calls),
+s AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER w IN ('user', 'tool') THEN 0 ELSE 1 END AS st FROM m
+      WINDOW w AS (PARTITION BY trace_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(st) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS msg_no FROM s)
+SELECT trace_id, CAST(msg_no AS INTEGER) AS msg_no,
+       CASE WHEN arg_min(role, (ts, event_id)) = 'assistant' THEN 'assistant' ELSE 'user' END AS role,
+       CAST(count(*) AS INTEGER) AS n_parts,
+       string_agg(CASE WHEN role = 'tool' THEN 'tool_result' ELSE 'text' END || ':' || content
+                  || coalesce('@' || CASE WHEN role = 'tool' THEN tool_call_id END, ''), chr(10) ORDER BY ts, event_id) AS parts
+FROM i GROUP BY trace_id, msg_no""", category="messages")
+def q_chat_blocks(spark, sf):
+    """F21 (shape 1): call log as chat blocks, tool results folded into user messages."""
+    c = v_calls(spark, sf).select(
+        "trace_id", "ts", "event_id", F.when(F.col("kind") == "result", "tool").otherwise("assistant").alias("role"),
+        F.col("tool").alias("content"),
+        F.when(F.col("tool") == "view", F.concat(F.lit("call_"), F.col("event_id").cast("string"))).alias("tool_call_id"),
+        F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")
+        .alias("tool_calls"))
+    b = MS.chat_blocks(c, order=("ts", "event_id"), chunk=time_chunk("ts"))
+    flat = F.array_join(F.transform("parts", lambda p: F.concat(
+        p["type"], F.lit(":"), p["text"], F.coalesce(F.concat(F.lit("@"), p["tool_use_id"]), F.lit("")))), "\n")
+    return b.select("trace_id", "msg_no", "role", F.size("parts").cast("int").alias("n_parts"), flat.alias("parts"))
