@@ -260,3 +260,40 @@ def chat_blocks(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Co
         F.min_by("role", F.struct(*order)).alias("role"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_p"))), lambda s: s["_p"])).alias("parts"))
     return g.withColumn("msg_no", F.col("msg_no").cast("int"))
+
+
+def consolidate_snapshots(snaps: DataFrame, trace: str = "trace_id") -> DataFrame:
+    """Successive context snapshots ``(trace_id, turn, pos, content)``
+    (pos 0 = system prompt) merged into stored message lists.
+
+    For snapshot t the merge point is the first position whose content
+    equals the last message of snapshot t-1 (the last stored message always
+    equals it); what follows is appended, everything when nothing matches.
+    A changed system prompt starts a new segment holding a copy of all
+    stored messages plus the new ones.  The first stored message object is
+    shared between segments and overwritten with each new system prompt, so
+    every segment shows the trace's latest system prompt at position 1.
+
+    No sequential fold: merge points come from a join with the previous
+    snapshot, positions and segment numbers from skew-safe prefix scans.
+    Output ``(trace_id, segment, position, content)``.
+    """
+    per = snaps.groupBy(trace, "turn").agg(F.min_by("content", "pos").alias("_sys"),
+                                           F.max_by("content", "pos").alias("_last"))
+    per = prefix_scan(per, [trace], ["turn"], {"_k": F.lit(1)}, chunk=seq_chunk("turn", 64))
+    prev = per.select(trace, (F.col("_k") + 1).alias("_k"), F.col("_last").alias("_plast"),
+                      F.col("_sys").alias("_psys"))
+    per = per.join(prev, [trace, "_k"], "left")
+    per = per.withColumn("_new", (F.col("_psys").isNull() | (F.col("_sys") != F.col("_psys"))).cast("int"))
+    per = prefix_scan(per, [trace], ["_k"], {"segment": F.col("_new")}, chunk=seq_chunk("_k", 64))
+    rows = snaps.join(per.select(trace, "turn", "_k", "_plast", "segment"), [trace, "turn"])
+    idx = rows.where(F.col("content") == F.col("_plast")).groupBy(trace, "turn").agg(F.min("pos").alias("_idx"))
+    rows = rows.join(idx, [trace, "turn"], "left").withColumn("_idx", F.coalesce("_idx", F.lit(-1)))
+    app = rows.where(F.col("_plast").isNull() | (F.col("pos") > F.col("_idx")))
+    app = prefix_scan(app, [trace], ["_k", "pos"], {"position": F.lit(1)}, chunk=seq_chunk("_k", 64))
+    seg = per.groupBy(trace, "segment").agg(F.max("_k").alias("_end"))
+    latest = per.groupBy(trace).agg(F.max_by("_sys", "_k").alias("_latest_sys"))
+    out = app.select(trace, "_k", "position", "content").join(seg, trace).where(F.col("_k") <= F.col("_end"))
+    out = out.join(latest, trace)
+    return out.select(trace, F.col("segment").cast("int").alias("segment"), F.col("position").cast("int").alias("position"),
+                      F.when(F.col("position") == 1, F.col("_latest_sys")).otherwise(F.col("content")).alias("content"))

@@ -279,3 +279,17 @@ def q_chat_blocks(spark, sf):
     flat = F.array_join(F.transform("parts", lambda p: F.concat(
         p["type"], F.lit(":"), p["text"], F.coalesce(F.concat(F.lit("@"), p["tool_use_id"]), F.lit("")))), "\n")
     return b.select("trace_id", "msg_no", "role", F.size("parts").cast("int").alias("n_parts"), flat.alias("parts"))
+
+
+@query("consolidate_snapshots")
+def q_consolidate_snapshots(spark, sf):
+    """Per-turn context snapshots (system prompt + the last 4 messages;
+    the prompt version changes every 3 turns) merged into stored segments."""
+    m = v_messages(spark, sf).select("trace_id", "seq", "content")
+    turns = m.select("trace_id", F.col("seq").alias("turn"))
+    # a bounded context window per turn: explode its seq range, equi-join back
+    win = turns.select("trace_id", "turn", F.explode(F.sequence(F.col("turn") - 3, F.col("turn"))).alias("seq"))
+    body = win.join(m, ["trace_id", "seq"]).select("trace_id", "turn", (F.col("seq") + 1).alias("pos"), "content")
+    sysr = turns.select("trace_id", "turn", F.lit(0).cast("long").alias("pos"),
+                        F.concat(F.lit("system v"), (F.col("turn") / 3).cast("int").cast("string")).alias("content"))
+    return MS.consolidate_snapshots(sysr.unionByName(body))

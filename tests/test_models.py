@@ -149,3 +149,47 @@ def test_match_sample_against_brute_force(spark):
                 expect[t] = o
                 break
     assert got == expect
+
+
+def _snapshots_model(snaps):
+    """Snapshot merging as recorded: first-match merge point, new segment on
+    a changed system prompt, first message object shared between segments."""
+    trace = []
+    for msgs in snaps:
+        msgs = [{"content": c} for c in msgs]
+        if not trace:
+            trace.append(msgs)
+            continue
+        last = trace[-1]
+        idx = next((i for i, m in enumerate(msgs) if m["content"] == last[-1]["content"]), -1)
+        if last[0]["content"] == msgs[0]["content"]:
+            last.extend(msgs[idx + 1:])
+        else:
+            old = last[:]
+            old[0]["content"] = msgs[0]["content"]
+            trace.append(old + msgs[idx + 1:])
+    return [[m["content"] for m in seg] for seg in trace]
+
+
+def test_consolidate_snapshots_against_model(spark):
+    from quarry.operators.messages import consolidate_snapshots
+    rng = random.Random(17)
+    rows, expect = [], {}
+    for t in range(25):
+        convo = [rng.choice(["a", "b", "c", "d", "e"]) for _ in range(rng.randint(1, 12))]
+        snaps = []
+        for turn in range(len(convo)):
+            lo = max(0, turn - rng.randint(0, 4))
+            snaps.append([f"sys{turn // rng.choice([2, 3, 50])}"] + convo[lo:turn + 1])
+        for turn, sn in enumerate(snaps):
+            for pos, c in enumerate(sn):
+                rows.append((t, turn, pos, c))
+        expect[t] = _snapshots_model(snaps)
+    df = spark.createDataFrame(rows, "trace_id long, turn long, pos long, content string")
+    got = {}
+    for r in sorted(consolidate_snapshots(df).collect(), key=lambda r: (r.trace_id, r.segment, r.position)):
+        segs = got.setdefault(r.trace_id, [])
+        if len(segs) < r.segment:
+            segs.append([])
+        segs[r.segment - 1].append(r.content)
+    assert got == expect
