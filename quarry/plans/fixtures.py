@@ -103,9 +103,12 @@ def v_steps(spark: SparkSession, sf: str) -> DataFrame:
                 F.concat(F.lit("x/t"), (k % 5).cast("string"), F.lit(".csv"))).alias("model_tables"))
 
 
-def v_metric_tables(spark: SparkSession, sf: str):
+def v_metric_tables(spark: SparkSession, sf: str, materialize: bool = False):
     """(accuracy, quality, table_depend) step tables; each covers a different step set."""
     s = v_steps(spark, sf)
+    if materialize:
+        from quarry.session import cut_lineage
+        s = cut_lineage(s)
     acc = s.select("trace_id", "step_index", "query", "is_missing", "coverage_ratio", "reasoning")
     qual = s.where(F.col("doc_id") % 3 != 0).select("trace_id", "step_index", "query", "is_missing",
                                                    "richness_score", "redundancy_score", "contradiction_score")

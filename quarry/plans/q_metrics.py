@@ -25,7 +25,9 @@ def _long(section: str, select_sql: str) -> str:
 
 
 def _tables(spark, sf_dir):
-    return v_metric_tables(spark, sf_dir)
+    # the step table feeds every metric: materialise it once (reliable
+    # checkpoint in the shared folder) instead of re-deriving it per metric
+    return v_metric_tables(spark, sf_dir, materialize=True)
 
 
 @query("merge_steps", sql=f"""

@@ -8,7 +8,7 @@ from quarry.operators import samples as S
 from quarry.operators import traces as T
 from quarry.plans import oracle as O
 from quarry.plans.fixtures import v_samples, v_tagged, v_traces
-from quarry.plans.q_traces import QA
+from quarry.plans.q_traces import QA, turned_actions
 from quarry.registry import query
 
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -83,7 +83,7 @@ SELECT trace_id, step_index, query, answer, false, NULL, n_tools FROM pairs WHER
        category="samples")
 def q_align_steps(spark, sf):
     """Positional alignment of raw QA pairs with expected steps."""
-    pairs = T.qa_pairs(T.turn_number(T.parse_actions(v_tagged(spark, sf))))
+    pairs = T.qa_pairs(turned_actions(spark, sf))
     samples = v_samples(spark, sf)
     # trace i was generated from sample i (ords below the duplicate offset)
     traces = v_tagged(spark, sf).select("trace_id").distinct()
@@ -97,7 +97,7 @@ WITH {QA}
 SELECT trace_id, step_index, query FROM pairs""", category="samples")
 def q_step_order(spark, sf):
     """QA steps ordered by (trace, step) via range partitioning."""
-    pairs = T.qa_pairs(T.turn_number(T.parse_actions(v_tagged(spark, sf))))
+    pairs = T.qa_pairs(turned_actions(spark, sf))
     return S.step_order(pairs.select("trace_id", "step_index", "query"))
 
 
@@ -124,7 +124,7 @@ aligned AS (SELECT e.trace_id, e.step_index, e.info_item AS query,
 
 
 def _aligned(spark, sf):
-    pairs = T.qa_pairs(T.turn_number(T.parse_actions(v_tagged(spark, sf))))
+    pairs = T.qa_pairs(turned_actions(spark, sf))
     samples = v_samples(spark, sf)
     links = v_tagged(spark, sf).select("trace_id").distinct().join(samples.select("ord"),
                                                                    F.col("trace_id") == F.col("ord"))

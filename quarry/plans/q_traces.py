@@ -47,6 +47,14 @@ def _actions(spark, sf):
     return T.parse_actions(v_tagged(spark, sf))
 
 
+def turned_actions(spark, sf):
+    """Parsed actions with turn numbers, materialised once (reliable
+    checkpoint under spark.checkpoint.dir): pairing, alignment and judging
+    all read this table, so the parse is not recomputed per consumer."""
+    from quarry.session import cut_lineage
+    return cut_lineage(T.turn_number(_actions(spark, sf)))
+
+
 @query("parse_actions", sql=f"""
 WITH {ACTIONS}
 SELECT trace_id, seq, sub, type, content FROM acts""", category="traces")
@@ -95,7 +103,7 @@ WITH {QA}
 SELECT trace_id, turn, step_index, query, answer, n_tools FROM pairs""", category="traces")
 def q_qa_pairs(spark, sf):
     """query/answer pairs with tool counts and step numbers."""
-    a = T.turn_number(_actions(spark, sf))
+    a = turned_actions(spark, sf)
     return T.qa_pairs(a).select("trace_id", "turn", "step_index", "query", "answer", "n_tools")
 
 
