@@ -59,8 +59,10 @@ def request_lines(requests: DataFrame, order: str, model: str, system: str, prom
     ``row_number`` over the global order runs once on the request table,
     which is the order the file must have."""
     from quarry.operators.scan import prefix_scan
+    # one global ordinal: chunks of 2^20 ids keep both the local windows and
+    # the single chunk-summary window bounded (10^12 rows -> ~10^6 chunks)
     r = prefix_scan(requests.withColumn("_all", F.lit(0)), ["_all"], [order], {"custom_id": F.lit(1)},
-                    chunk=F.floor(F.col(order) / F.lit(4096)).cast("long"))
+                    chunk=F.floor(F.col(order) / F.lit(1 << 20)).cast("long"))
     body = F.struct(F.col(model).alias("model"), F.array(
         F.struct(F.lit("system").alias("role"), F.col(system).alias("content")),
         F.struct(F.lit("user").alias("role"), F.col(prompt).alias("content"))).alias("messages"))

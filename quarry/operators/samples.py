@@ -64,9 +64,19 @@ def sample_limit(samples: DataFrame, n: int, order: str = "ord") -> DataFrame:
 
 
 def pending_samples(samples: DataFrame, traces: DataFrame, query: str = "query") -> DataFrame:
-    """Samples whose raw task is not among the stripped trace queries."""
-    done = traces.select(py_strip(F.col(query)).alias("_q")).where(F.col("_q").isNotNull()).distinct()
-    return samples.join(done, samples["task"] == done["_q"], "left_anti")
+    """Samples whose raw task is not among the stripped trace queries.
+
+    The large trace side is reduced to 8-byte hashes of its stripped queries
+    (distinct hashes are all that is shuffled); only traces whose hash hits
+    a task are re-read to confirm the match by full-text equality.
+    """
+    q = traces.select(py_strip(F.col(query)).alias("_q")).where(F.col("_q").isNotNull()) \
+        .withColumn("_h", F.xxhash64("_q"))
+    s = samples.withColumn("_h", F.xxhash64("task"))
+    hit_h = q.select("_h").distinct().join(s.select("_h").distinct(), "_h")
+    confirmed = q.join(hit_h, "_h").select("_h", "_q").distinct()
+    done = s.join(confirmed, (s["_h"] == confirmed["_h"]) & (s["task"] == confirmed["_q"]), "left_semi")
+    return s.join(done.select("ord"), "ord", "left_anti").drop("_h")
 
 
 def _anchor(x: Column) -> Column:

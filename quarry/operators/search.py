@@ -60,6 +60,26 @@ def _blocks(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# queries per query block: bounds what one co-group holds in memory
+QUERIES_PER_BLOCK = 50_000
+
+
+def _blocked_pairs(corpus: DataFrame, queries: DataFrame, key: str, n_blocks: int | None):
+    """Assign corpus rows to B hash blocks and queries to Q blocks; each
+    (corpus block, query block) pair becomes one co-group key.  Corpus rows
+    are replicated Q times and queries B times — Q grows with the query
+    count (one ``count``), so neither side is replicated without bound."""
+    spark = corpus.sparkSession
+    b = n_blocks or _blocks(spark)
+    nq = queries.count()
+    qb = max(1, -(-nq // QUERIES_PER_BLOCK))
+    c = corpus.withColumn("_cb", F.pmod(F.xxhash64(key), F.lit(b))) \
+        .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    q = queries.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(qb))) \
+        .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    return c, q
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec",
                qid_col: str = "qid", qvec_col: str = "qvec", n_blocks: int | None = None,
                score_digits: int = 9) -> DataFrame:
@@ -69,31 +89,18 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id"
     ``(qid, id, score, rank)``.
     """
     ship_package(corpus.sparkSession)
-    b = n_blocks or _blocks(corpus.sparkSession)
-    c = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                      F.pmod(F.xxhash64(id_col), F.lit(b)).alias("blk"))
-    q = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"),
-                       F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("blk"))
+    c0 = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    q0 = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(qvec_col).cast("array<double>").alias("qvec"))
+    c, q = _blocked_pairs(c0, q0, "id", n_blocks)
 
     def local(key, cdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
         if cdf.empty or qdf.empty:
             return pd.DataFrame({"qid": [], "id": [], "score": []})
         cm = np.vstack(cdf["vec"].to_numpy()).astype(np.float64)
         qm = np.vstack(qdf["qvec"].to_numpy()).astype(np.float64)
-        s = qm @ cm.T  # (nq, nc)
-        kk = min(k, cm.shape[0])
-        ids = cdf["id"].to_numpy()
-        rows_q, rows_i, rows_s = [], [], []
-        sr = np.round(s, score_digits)
-        for i in range(qm.shape[0]):
-            order = np.lexsort((ids, -sr[i]))[:kk]
-            rows_q.append(np.full(kk, qdf["qid"].iat[i]))
-            rows_i.append(ids[order])
-            rows_s.append(s[i, order])
-        return pd.DataFrame({"qid": np.concatenate(rows_q), "id": np.concatenate(rows_i),
-                             "score": np.concatenate(rows_s)})
-
-    cand = c.groupBy("blk").cogroup(q.groupBy("blk")).applyInPandas(local, "qid long, id long, score double")
+        return _local_topk(qm @ cm.T, qdf["qid"].to_numpy(), cdf["id"].to_numpy(), k, score_digits)
+
+    cand = c.groupBy("_cb", "_qb").cogroup(q.groupBy("_cb", "_qb")).applyInPandas(local, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", score_digits)), F.asc("id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -107,13 +114,12 @@ def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int, n_blocks: int
     out are bounded by docs × query tokens, never doc tokens × query tokens.
     """
     ship_package(doc_tokens.sparkSession)
-    b = n_blocks or _blocks(doc_tokens.sparkSession)
-    # all tokens of a document land in one block: maxima are final per block
-    c = doc_tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"),
-                          F.pmod(F.xxhash64("doc_id"), F.lit(b)).alias("blk"))
-    q = query_tokens.select(F.col("qid").cast("long").alias("qid"), F.col("qtok").cast("long").alias("qtok"),
-                            F.col("qvec").cast("array<double>").alias("qvec"),
-                            F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("blk"))
+    # all tokens of a document hash to one corpus block and all tokens of a
+    # query to one query block, so per-block maxima and sums are final
+    c0 = doc_tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    q0 = query_tokens.select(F.col("qid").cast("long").alias("qid"), F.col("qtok").cast("long").alias("qtok"),
+                             F.col("qvec").cast("array<double>").alias("qvec"))
+    c, q = _blocked_pairs(c0, q0, "doc_id", n_blocks)
 
     def local(key, cdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
         if cdf.empty or qdf.empty:
@@ -128,7 +134,8 @@ def maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int, n_blocks: int
         out.columns = ["qid", "doc_id", "score"]
         return out.astype({"qid": "int64", "doc_id": "int64", "score": "float64"})
 
-    scores = c.groupBy("blk").cogroup(q.groupBy("blk")).applyInPandas(local, "qid long, doc_id long, score double")
+    scores = c.groupBy("_cb", "_qb").cogroup(q.groupBy("_cb", "_qb")).applyInPandas(
+        local, "qid long, doc_id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), F.asc("doc_id"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -178,12 +185,11 @@ def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, n_block
     def dense(df, key):
         return df.select(F.col(key), F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
             F.element_at(F.map_from_arrays("idx", "w"), i), F.lit(0.0))).alias("v"))
-    # densify in the JVM only for the (small) query side; the corpus stays sparse
+    # densify in the JVM only for the query side; the corpus stays sparse
     ship_package(corpus.sparkSession)
-    b = n_blocks or _blocks(corpus.sparkSession)
-    c = corpus.select(F.col("id").cast("long").alias("id"), "idx", "w", F.pmod(F.xxhash64("id"), F.lit(b)).alias("blk"))
-    q = dense(queries, "qid").select(F.col("qid").cast("long").alias("qid"), F.col("v").alias("qvec"),
-                                     F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("blk"))
+    c0 = corpus.select(F.col("id").cast("long").alias("id"), "idx", "w")
+    q0 = dense(queries, "qid").select(F.col("qid").cast("long").alias("qid"), F.col("v").alias("qvec"))
+    c, q = _blocked_pairs(c0, q0, "id", n_blocks)
 
     def local(key, cdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
         if cdf.empty or qdf.empty:
@@ -195,7 +201,7 @@ def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, n_block
         qm = np.vstack(qdf["qvec"].to_numpy()).astype(np.float64)
         return _local_topk(qm @ cm.T, qdf["qid"].to_numpy(), cdf["id"].to_numpy(), k, score_digits)
 
-    cand = c.groupBy("blk").cogroup(q.groupBy("blk")).applyInPandas(local, "qid long, id long, score double")
+    cand = c.groupBy("_cb", "_qb").cogroup(q.groupBy("_cb", "_qb")).applyInPandas(local, "qid long, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", score_digits)), F.asc("id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

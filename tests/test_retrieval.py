@@ -41,3 +41,17 @@ def test_chunk_blocks_cover_every_line(spark):
         if x.end_line > x.start_line:  # a multi-line block fits the budget
             toks = sum(len(l.split()) for l in rows[0][1][x.start_line - 1:x.end_line]) + 2
             assert toks <= 512
+
+
+def test_dense_topk_with_query_blocks(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(R, "QUERIES_PER_BLOCK", 3)  # force several query blocks
+    rng = np.random.default_rng(1)
+    cv, qv = rng.normal(size=(60, 8)), rng.normal(size=(10, 8))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cv)], "id long, vec array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qv)], "qid long, qvec array<double>")
+    got = {(r.qid, r.rank): r.id for r in R.dense_topk(corpus, queries, 4, n_blocks=5).collect()}
+    s = qv @ cv.T
+    for q in range(10):
+        for rank, i in enumerate(np.argsort(-s[q])[:4], start=1):
+            assert got[(q, rank)] == i
