@@ -18,6 +18,18 @@ def junk(x):
     return JUNK.format(x)
 
 
+def _cells(spark, sf):
+    """The cell table as a stored input: derived once and checkpointed in the
+    shared folder, since the cleaning operators read it several times."""
+    from quarry.session import cut_lineage
+    return cut_lineage(v_cells(spark, sf))
+
+
+def _row_lines(spark, sf):
+    from quarry.session import cut_lineage
+    return cut_lineage(v_row_lines(spark, sf))
+
+
 @query("junk_predicate", sql=f"""
 WITH {O.CELLS}
 SELECT path, sheet, r, c, {junk('value')} AS is_junk FROM cells""", category="cells")
@@ -58,7 +70,7 @@ dropped AS (SELECT rest.path, rest.sheet, CAST(r - s + 1 AS INTEGER) AS r, CAST(
 @query("drop_junk", sql=f"WITH {O.CELLS}, {DROP} SELECT * FROM dropped", category="cells")
 def q_drop_junk(spark, sf):
     """Leading junk rows and all-junk columns removed, renumbered."""
-    return C.drop_junk(v_cells(spark, sf))
+    return C.drop_junk(_cells(spark, sf))
 
 
 @query("fill_merged_cells", sql=f"""
@@ -73,7 +85,7 @@ FROM cells c LEFT JOIN src s ON s.path = c.path AND s.sheet = c.sheet AND s.r =
        category="cells")
 def q_fill_merged_cells(spark, sf):
     """Merged ranges filled with their top-left value."""
-    return C.fill_merged_cells(v_cells(spark, sf), v_merged(spark, sf))
+    return C.fill_merged_cells(_cells(spark, sf), v_merged(spark, sf))
 
 
 @query("flatten_header", sql=f"""
@@ -87,7 +99,7 @@ SELECT path, sheet, c, array_to_string(list_filter(lst, lambda x, i: list_positi
 FROM (SELECT path, sheet, c, list(f ORDER BY r) FILTER (WHERE f IS NOT NULL) AS lst FROM hf GROUP BY path, sheet, c)""", category="cells")
 def q_flatten_header(spark, sf):
     """Two header rows flattened into one label per column."""
-    return C.flatten_header(C.drop_junk(v_cells(spark, sf)), 2)
+    return C.flatten_header(C.drop_junk(_cells(spark, sf)), 2)
 
 
 @query("flatten_banner_rows", sql=f"""
@@ -103,7 +115,7 @@ SELECT d.path, d.sheet, d.r, d.c, d.value, lab.grp AS "group" FROM dropped d JOI
        category="cells")
 def q_flatten_banner_rows(spark, sf):
     """Banner rows become a 'group' column of the rows below."""
-    return C.flatten_banner_rows(C.drop_junk(v_cells(spark, sf)))
+    return C.flatten_banner_rows(C.drop_junk(_cells(spark, sf)))
 
 
 @query("split_discrete_tables", sql=f"""
@@ -160,7 +172,7 @@ SELECT h.path, CAST(h.col_no AS INTEGER) AS col_no, h."column", array_to_string(
 FROM head h LEFT JOIN samp s USING (path, col_no)""", category="cells")
 def q_column_profile(spark, sf):
     """Column documents with sample values."""
-    return C.column_profile(v_row_lines(spark, sf))
+    return C.column_profile(_row_lines(spark, sf))
 
 
 @query("row_document", sql=f"""
@@ -172,7 +184,7 @@ SELECT r.path, r.line_no, 'Table path: ' || r.path || chr(10) || array_to_string
 FROM pl r JOIN h USING (path) WHERE r.line_no >= 2""", category="cells")
 def q_row_document(spark, sf):
     """one retrieval document per CSV row."""
-    return C.row_documents(v_row_lines(spark, sf))
+    return C.row_documents(_row_lines(spark, sf))
 
 
 @query("table_document", sql=f"""

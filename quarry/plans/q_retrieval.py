@@ -9,6 +9,7 @@ from quarry.operators import cells as C
 from quarry.operators import search as R
 from quarry.plans import oracle as O
 from quarry.plans.fixtures import v_file_lines, v_row_lines
+from quarry.plans.q_cells import _row_lines
 from quarry.registry import query
 from quarry.sources.tables import read_table
 
@@ -159,7 +160,7 @@ corp AS (SELECT CAST(split_part(string_split(r.line, ',')[1], ',', 1) AS BIGINT)
          FROM pl r JOIN h USING (path) WHERE r.line_no >= 2)""", ROW_Q, 5), category="retrieval")
 def q_retrieve_rows(spark, sf):
     """V6: top-5 part rows per brand query by row document."""
-    docs = C.row_documents(v_row_lines(spark, sf))
+    docs = C.row_documents(_row_lines(spark, sf))
     corpus = docs.select(F.regexp_extract("text", r"p_partkey: (\d+)", 1).cast("long").alias("id"), "text")
     p = read_table(spark, sf, "part", ["p_brand"]).distinct()
     from pyspark.sql import Window
@@ -183,7 +184,7 @@ corp AS (SELECT CAST(row_number() OVER (ORDER BY h.path, h.col_no) AS BIGINT) AS
 def q_retrieve_columns(spark, sf):
     """V7: top-3 columns per brand query by column document."""
     from pyspark.sql import Window
-    prof = C.column_profile(v_row_lines(spark, sf))
+    prof = C.column_profile(_row_lines(spark, sf))
     corpus = prof.select(F.row_number().over(Window.orderBy("path", "col_no")).cast("long").alias("id"), "text")
     p = read_table(spark, sf, "part", ["p_brand"]).distinct()
     qs = p.select(F.dense_rank().over(Window.orderBy("p_brand")).cast("long").alias("qid"),
@@ -204,7 +205,7 @@ corp AS (SELECT CAST(string_split(r.line, ',')[1] AS BIGINT) AS id,
 FROM rk JOIN part p ON p.p_partkey = rk.id WHERE rk.rank <= 5 GROUP BY ALL"""), category="retrieval")
 def q_hits_by_table(spark, sf):
     """A14 + J13: row hits looked up to their table and grouped per table."""
-    docs = C.row_documents(v_row_lines(spark, sf))
+    docs = C.row_documents(_row_lines(spark, sf))
     corpus = docs.select(F.regexp_extract("text", r"p_partkey: (\d+)", 1).cast("long").alias("id"), "text")
     p = read_table(spark, sf, "part", ["p_brand"]).distinct()
     from pyspark.sql import Window
