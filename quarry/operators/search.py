@@ -319,45 +319,49 @@ def missing_embeddings(distinct_texts: DataFrame, store: DataFrame | None) -> Da
 
 
 # ------------------------------------------------------------ chunking V8
+# fixed values: the text framing a block's header lines
+BLOCK_HEADER_PREFIX = "Header data:\n"
+BLOCK_HEADER_SUFFIX = "\n-------\nSpecific table data:\n"
+
+
 def chunk_blocks(files: DataFrame, max_tokens: int = 512, header_lines: int = 2) -> DataFrame:
-    """V8: greedy blocks per file — the header lines repeated, data lines
-    added while header + block ≤ ``max_tokens``, one line of overlap.
+    """V8: greedy blocks per file.  The header text (first ``header_lines``
+    lines, framed) is counted once; data lines are added while the running
+    count stays within ``max_tokens``; when the next line would overflow a
+    non-empty block, the block is closed and the next one starts with its
+    last line (one line of overlap).  ``start_line`` is 1-based.
 
     The greedy pass is a fold over the file's own line array (files are
-    independent, so this is a narrow per-row expression).
+    independent, so this is a narrow per-row expression); token counts are
+    staged as columns so the fold reads them instead of re-counting.
     """
-    # token counts are staged as columns so the fold reads them, not re-counts them
-    files = files.select("path", "lines", F.transform("lines", lambda l: token_count(l)).alias("_toks"))
-    files = files.select("path", "lines", "_toks", F.aggregate(F.slice("_toks", 1, header_lines), F.lit(0),
-                                                                lambda a, x: a + x).alias("_htok"))
+    head = F.concat(F.lit(BLOCK_HEADER_PREFIX), F.array_join(F.slice("lines", 1, header_lines), "\n"),
+                    F.lit(BLOCK_HEADER_SUFFIX))
+    files = files.select("path", "lines", head.alias("_head"),
+                         F.transform("lines", lambda l: token_count(l)).alias("_toks"))
+    files = files.withColumn("_htok", token_count("_head"))
     n = F.size("lines")
-    htok = F.col("_htok")
-    toks = F.col("_toks")
+    htok, toks = F.col("_htok"), F.col("_toks")
     init = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("blocks"),
-                    F.lit(-1).alias("s"), F.lit(0).alias("t"))
+                    F.lit(-1).alias("s"), htok.alias("t"))
 
     def step(acc, i):
         tk = F.element_at(toks, i)
-        start_new = acc["s"] < 0
-        fits = acc["t"] + tk <= max_tokens
+        overflow = (acc["t"] + tk > max_tokens) & (acc["s"] >= 0)
         closed = F.concat(acc["blocks"], F.array(F.struct(acc["s"].alias("s"), (i - 1).alias("e"))))
-        prev_tk = F.element_at(toks, F.greatest(i - 1, F.lit(1)))
-        return (F.when(start_new, F.struct(acc["blocks"].alias("blocks"), i.alias("s"), (htok + tk).alias("t")))
-                .when(fits | (acc["s"] == i), F.struct(acc["blocks"].alias("blocks"), acc["s"].alias("s"),
-                                                       (acc["t"] + tk).alias("t")))
-                .when((i - 1) > acc["s"], F.struct(closed.alias("blocks"), (i - 1).alias("s"),
-                                                   (htok + prev_tk + tk).alias("t")))
-                .otherwise(F.struct(closed.alias("blocks"), i.alias("s"), (htok + tk).alias("t"))))
-
-    data_idx = F.sequence(F.lit(header_lines + 1), F.greatest(n, F.lit(header_lines + 1)))
-    folded = F.aggregate(F.filter(data_idx, lambda i: i <= n), init, step)
+        blocks = F.when(overflow, closed).otherwise(acc["blocks"])
+        start = F.when(overflow, i - 1).when(acc["s"] < 0, i).otherwise(acc["s"])
+        t = F.when(overflow, htok + F.element_at(toks, i - 1)).otherwise(acc["t"]) + tk
+        return F.struct(blocks.alias("blocks"), start.cast("int").alias("s"), t.alias("t"))
+
+    data_idx = F.filter(F.sequence(F.lit(header_lines + 1), F.greatest(n, F.lit(header_lines + 1))), lambda i: i <= n)
+    folded = F.aggregate(data_idx, init, step)
     blocks = F.when(folded["s"] >= 0, F.concat(folded["blocks"], F.array(F.struct(
         folded["s"].alias("s"), n.alias("e"))))).otherwise(folded["blocks"])
-    df = files.select("path", "lines", F.posexplode(blocks).alias("pos", "b"))
+    df = files.select("path", "lines", "_head", F.posexplode(blocks).alias("pos", "b"))
     body = F.slice("lines", F.col("b.s"), F.col("b.e") - F.col("b.s") + 1)
     return df.select("path", (F.col("pos") + 1).alias("block_no"), F.col("b.s").alias("start_line"),
-                     F.col("b.e").alias("end_line"),
-                     F.array_join(F.concat(F.slice("lines", 1, header_lines), body), "\n").alias("text"))
+                     F.col("b.e").alias("end_line"), F.concat("_head", F.array_join(body, "\n")).alias("text"))
 
 
 def fixed_chunks(lines: DataFrame, size: int = 200) -> DataFrame:

@@ -30,17 +30,45 @@ def test_ivf_and_lsh_recall(spark):
     assert recall(lsh) >= 0.9
 
 
-def test_chunk_blocks_cover_every_line(spark):
-    rows = [("f", [f"h{i}" for i in range(2)] + [" ".join(["w"] * (i % 7 * 40)) for i in range(60)])]
-    files = spark.createDataFrame(rows, "path string, lines array<string>")
-    b = R.chunk_blocks(files, max_tokens=512).orderBy("block_no").collect()
-    assert b[0].start_line == 3 and b[-1].end_line == 62
-    for prev, cur in zip(b, b[1:]):
-        assert cur.start_line in (prev.end_line, prev.end_line + 1)  # one line of overlap (or a lone big line)
-    for x in b:
-        if x.end_line > x.start_line:  # a multi-line block fits the budget
-            toks = sum(len(l.split()) for l in rows[0][1][x.start_line - 1:x.end_line]) + 2
-            assert toks <= 512
+def _count(x):
+    import re
+    return len(re.findall(r"\w+|[^\w\s]", x))
+
+
+def _blocks_model(lines, max_tokens=512, count=_count):
+    header = "Header data:\n" + "\n".join(lines[:2]) + "\n-------\nSpecific table data:\n"
+    ht = count(header)
+    out, block, now = [], [], ht
+    for i, line in enumerate(lines):
+        if i < 2:
+            continue
+        lt = count(line)
+        if now + lt > max_tokens and block:
+            out.append((i - len(block) + 1, header + "\n".join(block)))
+            block = [block[-1]]
+            now = ht + count(block[0])
+        block.append(line)
+        now += lt
+    if block:
+        out.append((len(lines) - len(block) + 1, header + "\n".join(block)))
+    return out
+
+
+def test_chunk_blocks_against_model(spark):
+    import random
+    rng = random.Random(2)
+    files = []
+    for f in range(20):
+        files.append((f"f{f}", [" ".join(rng.choice(["a", "b,", "c."]) for _ in range(rng.randint(0, 300)))
+                                for _ in range(rng.randint(0, 40))]))
+    df = spark.createDataFrame(files, "path string, lines array<string>")
+    got = {}
+    for r in R.chunk_blocks(df, max_tokens=512).collect():
+        got.setdefault(r.path, []).append((r.block_no, r.start_line, r.text))
+    for path, lines in files:
+        exp = _blocks_model(lines)
+        mine = [(s, t) for _, s, t in sorted(got.get(path, []))]
+        assert mine == exp, path
 
 
 def test_dense_topk_with_query_blocks(spark, monkeypatch):
