@@ -384,3 +384,31 @@ def hits_by_table(hits: DataFrame, table_col: str = "path", item_col: str = "ite
         F.transform(F.sort_array(F.collect_list(F.struct(F.round(-F.col("score"), 9).alias("s"),
                                                          F.col(item_col).alias("i")))), lambda x: x["i"])
         .alias("items"))
+
+
+def query_corpus_scores(corpus: DataFrame, queries: DataFrame, n_blocks: int | None = None) -> DataFrame:
+    """Every (query, corpus row) inner product — the full score table
+    for a query set, computed block by block (one numpy product per
+    co-group of a corpus block and a query block); output rows are the
+    scores themselves, linear in the corpus for a given query set."""
+    ship_package(corpus.sparkSession)
+    c0 = corpus.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    q0 = queries.select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<double>").alias("qvec"))
+    c, q = _blocked_pairs(c0, q0, "id", n_blocks)
+
+    def local(key, cdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        if cdf.empty or qdf.empty:
+            return pd.DataFrame({"qid": [], "id": [], "score": []})
+        s = np.vstack(qdf["qvec"].to_numpy()) @ np.vstack(cdf["vec"].to_numpy()).T
+        return pd.DataFrame({"qid": np.repeat(qdf["qid"].to_numpy(), len(cdf)),
+                             "id": np.tile(cdf["id"].to_numpy(), len(qdf)), "score": s.ravel()})
+
+    return c.groupBy("_cb", "_qb").cogroup(q.groupBy("_cb", "_qb")).applyInPandas(local, "qid long, id long, score double")
+
+
+def embedding_store_append(vectors: DataFrame, path: str) -> DataFrame:
+    """Append ``(text_hash, text, embedding)`` rows to the Parquet store
+    and return the store; a reader keeps only rows whose hash and text
+    agree (``missing_embeddings`` uses the same key)."""
+    vectors.select("text_hash", "text", "embedding").write.mode("append").parquet(path)
+    return vectors.sparkSession.read.parquet(path)

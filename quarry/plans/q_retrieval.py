@@ -273,3 +273,56 @@ def q_hit_lookup(spark, sf):
     hits = _dense(spark, sf, F.col("vec_id") < 5, 10).select("qid", "id", "rank")
     meta = _emb(spark, sf).select(F.col("vec_id").alias("id"), "label")
     return R.hit_lookup(hits, meta)
+
+
+@query("query_corpus_scores", sql=f"""
+WITH q AS (SELECT vec_id AS qid, {EMB} AS qv FROM embeddings WHERE vec_id < 5)
+SELECT q.qid, e.vec_id AS id, round(list_inner_product(q.qv, {EMB}), 6) AS score FROM q, embeddings e""",
+       category="retrieval")
+def q_query_corpus_scores(spark, sf):
+    """All inner products of the query set (vec_id < 5) with the corpus."""
+    e = _emb(spark, sf)
+    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    s = R.query_corpus_scores(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), q)
+    return s.select("qid", "id", F.round("score", 6).alias("score"))
+
+
+@query("column_document", sql=f"""
+WITH {O.ROW_LINES},
+head AS (SELECT path, unnest(string_split(line, ',')) AS "column", generate_subscripts(string_split(line, ','), 1) AS col_no
+         FROM pl WHERE line_no = 1),
+data AS (SELECT path, line_no, unnest(string_split(line, ',')) AS v, generate_subscripts(string_split(line, ','), 1) AS col_no
+         FROM pl WHERE line_no BETWEEN 2 AND 6),
+samp AS (SELECT path, col_no, list_slice(list(v ORDER BY line_no), 1, 5) AS vals FROM data
+         WHERE regexp_replace(v, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY ALL)
+SELECT h.path, CAST(h.col_no AS INTEGER) AS col_no,
+       'Table path: ' || h.path || ' | Column name: ' || h."column" || ' | Sample values: '
+         || array_to_string(coalesce(s.vals, []), ', ') AS text
+FROM head h LEFT JOIN samp s USING (path, col_no)""", category="retrieval")
+def q_column_document(spark, sf):
+    """one retrieval document per column."""
+    return C.column_profile(_row_lines(spark, sf)).select("path", "col_no", "text")
+
+
+@query("encoder_hook")
+def q_encoder_hook(spark, sf):
+    """The default encoder (iterator pandas UDF) over benchmark texts."""
+    b = read_table(spark, sf, "benchmark", ["item_id", "text"])
+    enc = R.hashing_encoder()
+    return b.select("item_id", enc(F.col("text")).alias("embedding"))
+
+
+@query("embedding_store", sql="""
+SELECT count(*) AS n_vectors, count(DISTINCT text) AS n_texts FROM (SELECT DISTINCT text FROM documents)""",
+       category="retrieval")
+def q_embedding_store(spark, sf):
+    """Distinct document texts encoded once and appended to a Parquet
+    store in the shared folder, then read back."""
+    import uuid
+    from quarry.session import checkpoint_dir
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    vec = R.embed_distinct(d, None).select(F.xxhash64("text").alias("text_hash"), "text", "embedding") \
+        .dropDuplicates(["text_hash", "text"])
+    path = f"{checkpoint_dir(spark).rstrip('/')}/derived/store-{uuid.uuid4().hex[:12]}"
+    store = R.embedding_store_append(vec, path)
+    return store.agg(F.count("*").alias("n_vectors"), F.count_distinct("text").alias("n_texts"))

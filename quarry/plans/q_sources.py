@@ -117,3 +117,15 @@ def q_trace_source(spark, sf):
     doc.write.json(out)
     back = K.trace_source(spark, out, multi_line=False)
     return back.select("task", "seq", "role", "content")
+
+
+@query("trace_sink", sql=f"""
+WITH {O.MESSAGES}
+SELECT trace_id, seq, role, content FROM messages""", category="sources")
+def q_trace_sink(spark, sf):
+    """Messages written one JSON line each, one folder per trace, read back."""
+    out = _scratch(spark, "tracesink")
+    m = v_messages(spark, sf).select("trace_id", "seq", "role", "content")
+    K.trace_sink(m, out)
+    back = spark.read.schema("seq long, role string, content string, trace_id long").json(out)
+    return back.select("trace_id", "seq", "role", "content")
