@@ -154,7 +154,7 @@ def q_grep_file_filter(spark, sf):
 
 @query("split_supported", sql=f"""
 WITH {O.VFILES}
-SELECT count_if(extension NOT IN ('.xlsx', '.xls')) AS n_processed, count_if(extension IN ('.xlsx', '.xls')) AS n_skipped,
+SELECT CAST(count_if(extension NOT IN ('.xlsx', '.xls')) AS BIGINT) AS n_processed, CAST(count_if(extension IN ('.xlsx', '.xls')) AS BIGINT) AS n_skipped,
        (SELECT list(path ORDER BY path) FROM (SELECT path FROM vfiles WHERE extension IN ('.xlsx', '.xls') ORDER BY path LIMIT 3))
          AS first_skipped
 FROM vfiles""", category="files")
@@ -180,7 +180,7 @@ WITH {O.VFILES},
 p AS (SELECT string_split(relative_path, '/') AS p FROM vfiles),
 pre AS (SELECT array_to_string(list_slice(p, 1, d), '/') AS dir, d AS depth, p[d + 1] AS child, d + 1 = len(p) AS is_file
         FROM (SELECT p, unnest(range(0, len(p))) AS d FROM p))
-SELECT dir, CAST(depth AS INTEGER) AS depth, count_if(is_file) AS n_files_here, count(*) AS n_files_below,
+SELECT dir, CAST(depth AS INTEGER) AS depth, CAST(count_if(is_file) AS BIGINT) AS n_files_here, count(*) AS n_files_below,
        count(DISTINCT child) AS n_children FROM pre GROUP BY dir, depth""", category="files")
 def q_folder_rollup(spark, sf):
     """Per-directory file counts over the whole tree."""

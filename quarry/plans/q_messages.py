@@ -153,7 +153,7 @@ def q_history_text(spark, sf):
 
 @query("session_stats", sql=f"""
 WITH {O.MESSAGES}
-SELECT trace_id, count(*) AS n_messages, bool_or(role = 'system') AS has_summary, sum({TOKS}) AS est_tokens
+SELECT trace_id, count(*) AS n_messages, bool_or(role = 'system') AS has_summary, CAST(sum({TOKS}) AS BIGINT) AS est_tokens
 FROM messages GROUP BY trace_id""", category="messages")
 def q_session_stats(spark, sf):
     """Per-session message count, summary flag, tokens."""

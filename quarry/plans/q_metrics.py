@@ -270,7 +270,7 @@ def q_metric_registry(spark, sf_dir):
 WITH {FIFO},
 per AS (SELECT trace_id, count(*) AS n, count_if(coalesce(result_ok, false)) AS ok FROM pairs GROUP BY trace_id)
 SELECT CAST(count(*) AS BIGINT) AS total_traces, coalesce(count_if(ok = n) / nullif(count(*), 0), 0.0) AS success_rate,
-       round(avg(n), 6) AS avg_turns, round(avg(ok / n), 6) AS avg_tool_success, 1.0 AS avg_tool_parallelism FROM per""",
+       round(avg(n), 6) AS avg_turns, round(avg(ok / n), 6) AS avg_tool_success, CAST(1.0 AS DOUBLE) AS avg_tool_parallelism FROM per""",
        category="metrics")
 def q_overview(spark, sf_dir):
     """Overview over call-log traces (success = every call answered ok)."""
@@ -286,8 +286,8 @@ def q_overview(spark, sf_dir):
 @query("token_usage", sql=f"""
 WITH {O.MESSAGES},
 per AS (SELECT trace_id, sum(len(regexp_extract_all(content, '\\w+|[^\\w\\s]'))) AS total_tokens FROM messages GROUP BY trace_id)
-SELECT round(avg(total_tokens), 6) AS avg_tokens, max(total_tokens) AS max_tokens, min(total_tokens) AS min_tokens,
-       sum(total_tokens) AS sum_tokens FROM per""", category="metrics")
+SELECT round(avg(total_tokens), 6) AS avg_tokens, CAST(max(total_tokens) AS BIGINT) AS max_tokens,
+       CAST(min(total_tokens) AS BIGINT) AS min_tokens, CAST(sum(total_tokens) AS BIGINT) AS sum_tokens FROM per""", category="metrics")
 def q_token_usage(spark, sf_dir):
     """A2: token usage over traces (default word/punctuation tokenizer)."""
     m = v_messages(spark, sf_dir)

@@ -120,7 +120,7 @@ def q_l2_normalize(spark, sf):
 
 @query("batch_bucket", sql="""
 WITH t AS (SELECT source, max(len(regexp_extract_all(text, '\\w+|[^\\w\\s]'))) AS m FROM documents GROUP BY source)
-SELECT source, m AS max_tokens, CASE WHEN m > 4096 THEN 4 WHEN m > 2048 THEN 8 WHEN m > 1024 THEN 16
+SELECT source, CAST(m AS INTEGER) AS max_tokens, CASE WHEN m > 4096 THEN 4 WHEN m > 2048 THEN 8 WHEN m > 1024 THEN 16
                                      WHEN m > 512 THEN 32 ELSE 64 END AS batch_size FROM t""", category="retrieval")
 def q_batch_bucket(spark, sf):
     """Encoder batch size per source from its longest document."""

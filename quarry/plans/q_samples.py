@@ -133,7 +133,7 @@ def _aligned(spark, sf):
 
 @query("score_point_coverage", sql=f"""
 WITH {ALIGNED}, {COVER}
-SELECT trace_id, step_index, total_metrics, covered_metrics,
+SELECT trace_id, step_index, CAST(total_metrics AS INTEGER) AS total_metrics, CAST(covered_metrics AS INTEGER) AS covered_metrics,
        CASE WHEN total_metrics > 0 THEN round(covered_metrics / total_metrics, 3) ELSE 0.0 END AS coverage_ratio FROM cv""",
        category="samples")
 def q_score_point_coverage(spark, sf):

@@ -139,7 +139,7 @@ def q_clip_tail(spark, sf):
 
 
 @query("token_count", sql="""
-SELECT doc_id, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS n_tokens FROM documents""", category="search")
+SELECT doc_id, CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS INTEGER) AS n_tokens FROM documents""", category="search")
 def q_token_count(spark, sf):
     """default tokenizer length of every document."""
     from quarry.functions.text import token_count

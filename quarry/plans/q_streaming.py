@@ -15,7 +15,7 @@ def _events(spark, sf):
 
 @query("stream_tool_health", sql="""
 SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end,
-       event_type AS tool, count(*) AS n, count_if(event_type = 'error') AS n_error,
+       event_type AS tool, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS n_error,
        round(1 - count_if(event_type = 'error') / count(*), 6) AS success_rate
 FROM events GROUP BY ALL""", category="streaming")
 def q_stream_tool_health(spark, sf):

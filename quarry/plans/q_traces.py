@@ -115,7 +115,7 @@ s2 AS (SELECT *, max(d) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS U
 res AS (SELECT trace_id, r - greatest(0, dmax) AS k, arg_min((ts, event_id, tool, ok), (ts, event_id)) AS x
         FROM s2 WHERE ir = 1 AND r - greatest(0, dmax) >= 1 GROUP BY trace_id, r - greatest(0, dmax)),
 pairs AS (
-  SELECT s.trace_id, s.ts, s.event_id, s.kind, s.tool, s.ok, s.c AS call_no,
+  SELECT s.trace_id, s.ts, s.event_id, s.kind, s.tool, s.ok, CAST(s.c AS BIGINT) AS call_no,
          r.x[1] AS result_ts, r.x[2] AS result_event_id, r.x[3] AS result_tool, r.x[4] AS result_ok
   FROM s2 s LEFT JOIN res r ON r.trace_id = s.trace_id AND r.k = s.c WHERE s.ic = 1)"""
 
@@ -136,10 +136,10 @@ def q_match_tool_results(spark, sf):
 
 @query("tool_metrics", sql=f"""
 WITH {FIFO}
-SELECT trace_id, COUNT(*) AS n_tools, count_if(coalesce(result_ok, false)) AS n_success,
+SELECT trace_id, COUNT(*) AS n_tools, CAST(count_if(coalesce(result_ok, false)) AS BIGINT) AS n_success,
        COUNT(*) AS n_call_msgs,
        round(count_if(coalesce(result_ok, false)) / COUNT(*), 6) AS tool_success_rate,
-       1.0 AS tool_parallelism
+       CAST(1.0 AS DOUBLE) AS tool_parallelism
 FROM pairs GROUP BY trace_id""", category="traces")
 def q_tool_metrics(spark, sf):
     """A1: per-trace tool success rate and parallelism on the call log."""
