@@ -34,9 +34,9 @@ def tool_health(events: DataFrame, window: str = "1 hour", slide: str | None = N
                 watermark: str = "2 hours") -> DataFrame:
     """Per event-time window and tool: calls, errors, success rate.
     Rows later than the watermark are dropped by the engine."""
-    ts = F.col("ts").cast("timestamp")
-    w = F.window(ts, window, slide) if slide else F.window(ts, window)
-    e = events.withColumn("ts", ts).withWatermark("ts", watermark)
+    # the watermark must sit on the very column the window groups by
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    w = F.window("ts", window, slide) if slide else F.window("ts", window)
     g = e.groupBy(w.alias("w"), F.col("event_type").alias("tool")).agg(
         F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_error"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
@@ -47,8 +47,7 @@ def tool_health(events: DataFrame, window: str = "1 hour", slide: str | None = N
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour",
              user: str = "user_id") -> DataFrame:
     """Session windows per user (a session ends after ``gap`` idle)."""
-    ts = F.col("ts").cast("timestamp")
-    e = events.withColumn("ts", ts).withWatermark("ts", watermark)
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     g = e.groupBy(F.session_window("ts", gap).alias("s"), user).agg(F.count("*").alias("n_events"))
     return g.select(user, F.col("s.start").cast("timestamp_ntz").alias("session_start"),
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
