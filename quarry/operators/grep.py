@@ -162,3 +162,10 @@ def head_tail_preview(files: DataFrame, n: int = 5, tail: bool = False) -> DataF
     return files.select("path", total.alias("total_lines"), start.alias("first_no"),
                         F.posexplode(sl).alias("pos", "line")) \
         .select("path", (F.col("pos") + F.col("first_no")).alias("line_no"), "line", "total_lines")
+
+
+def grep_line_rows(lines: DataFrame, pattern: str, ignore_case: bool = True, text: str = "line") -> DataFrame:
+    """P1 on the long form ``(path, line_no, line)`` — for files too large
+    for one row (``sources.files.big_file_lines``): a plain filter, so the
+    file's splits are searched in parallel."""
+    return lines.where(F.col(text).rlike(py_regex(pattern, ignore_case)))

@@ -129,3 +129,22 @@ def q_trace_sink(spark, sf):
     K.trace_sink(m, out)
     back = spark.read.schema("seq long, role string, content string, trace_id long").json(out)
     return back.select("trace_id", "seq", "role", "content")
+
+
+@query("grep_big_file", sql=f"""
+WITH f AS (SELECT string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents),
+a AS (SELECT regexp_split_to_array(t, '\\r\\n|\\n|\\r') AS arr FROM f),
+l AS (SELECT CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS line FROM a)
+SELECT line_no, line FROM l WHERE regexp_matches(line, '(?i)\\bthe\\b')""", category="sources")
+def q_grep_big_file(spark, sf):
+    """S2 (big-file path) + P1: the whole corpus as ONE text file, read with
+    the splittable text source and numbered by per-partition offsets, then
+    searched line by line — a single huge file is not a single task."""
+    from quarry.operators.grep import grep_line_rows
+    from quarry.plans.q_search import PATTERN
+    out = _scratch(spark, "bigfile")
+    d = read_table(spark, sf, "documents", ["doc_id", "text"])
+    # one file in doc_id order (range-partitioned sort, then one writer)
+    d.orderBy("doc_id").select("text").coalesce(1).write.text(out)
+    lines = FS.big_file_lines(spark, out)
+    return grep_line_rows(lines, PATTERN).select("line_no", "line")
