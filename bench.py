@@ -28,8 +28,8 @@ HEADLINE = [
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
-    spark = get_spark(f"local[{cpus}]", int(cpus) * 2, app_name="quarry-bench",
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    spark = get_spark(f"local[{cpus}]", int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)), app_name="quarry-bench",
                       extra={"spark.driver.memory": os.environ.get("BENCH_MEM", "16g")})
     qs = registry.queries()
     names = [n for n in HEADLINE if n in qs]
