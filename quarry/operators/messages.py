@@ -108,11 +108,16 @@ def preserve_signature(kept: DataFrame, removed: DataFrame, trace: str = "trace_
         .drop("_first_a", "_n_sig", "_sig")
 
 
-def merge_tool_results(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Column | None = None,
-                       sep: str = "\n\n") -> DataFrame:
+def merge_tool_results(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Column | None = None) -> DataFrame:
     """Consecutive tool results without a call id collapse into one
-    message (contents joined by a blank line).  Island = running count of
-    rows that start a new message."""
+    message.  Island (message id) = running count of rows that start a new
+    message.
+
+    Long output — one row per part, never a gathered group:
+    ``(trace_id, message_no, part_no, <order>, role, content)`` where
+    ``role`` is the message's (its first row's) role; the message text is
+    its parts in ``part_no`` order joined by a blank line.
+    """
     mergeable = (F.col("role") == "tool") & F.col("tool_call_id").isNull()
     r = m.withColumn("_mg", mergeable.cast("int"))
     # a row starts a message unless it and its predecessor are both mergeable
@@ -120,13 +125,13 @@ def merge_tool_results(m: DataFrame, trace: str = "trace_id", order=("seq",), ch
     prev = r.select(trace, (F.col("_c") + 1).alias("_c"), F.col("_mg").alias("_pmg"))
     r = r.join(prev, [trace, "_c"], "left")
     start = ~((F.col("_mg") == 1) & (F.coalesce("_pmg", F.lit(0)) == 1))
-    r = prefix_scan(r.withColumn("_start", start.cast("int")), [trace], list(order), {"_isl": F.col("_start")},
+    r = prefix_scan(r.withColumn("_start", start.cast("int")), [trace], list(order), {"message_no": F.col("_start")},
                     chunk=chunk)
-    g = r.groupBy(trace, "_isl").agg(
-        F.min_by(F.struct(*order), F.struct(*order)).alias("_o"), F.min_by("role", F.struct(*order)).alias("role"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "content"))), lambda s: s["content"]),
-                     sep).alias("content"), F.count("*").alias("n_merged"))
-    return g.select(trace, *[F.col(f"_o.{o}").alias(o) for o in order], "role", "content", "n_merged")
+    heads = r.where("_start = 1").select(trace, "message_no", F.col("_c").alias("_first"), F.col("role").alias("_mrole"))
+    j = r.join(heads, [trace, "message_no"])
+    return j.select(trace, F.col("message_no").cast("long").alias("message_no"),
+                    (F.col("_c") - F.col("_first") + 1).cast("long").alias("part_no"), *order,
+                    F.col("_mrole").alias("role"), "content")
 
 
 def history_text(m: DataFrame, max_turns: int = 6, max_chars: int = 200, trace: str = "trace_id") -> DataFrame:
@@ -152,15 +157,15 @@ def session_stats(m: DataFrame, trace: str = "trace_id") -> DataFrame:
 
 
 def query_history(m: DataFrame, trace: str = "trace_id") -> DataFrame:
-    """Numbered earlier queries of each session, without the current
-    (last) one; NULL when there is none."""
+    """The numbered earlier queries of each session, without the
+    current (last) one — one row per listed query ``(trace_id, n, line)``;
+    a session with a single query lists nothing (the reference's None)."""
     q = m.where(F.col("role") == "user")
     q = prefix_scan(q, [trace], ["seq"], {"_n": F.lit(1)}, chunk=seq_chunk("seq"))
     last = q.groupBy(trace).agg(F.max("_n").alias("_last"))
     e = q.join(last, trace).where(F.col("_n") < F.col("_last"))
-    g = e.groupBy(trace).agg(F.sort_array(F.collect_list(F.struct("_n", "content"))).alias("_q"))
-    txt = F.array_join(F.transform("_q", lambda s: F.concat(s["_n"].cast("string"), F.lit(". "), s["content"])), "\n")
-    return last.select(trace).join(g.select(trace, txt.alias("history")), trace, "left")
+    return e.select(trace, F.col("_n").cast("long").alias("n"),
+                    F.concat(F.col("_n").cast("string"), F.lit(". "), F.col("content")).alias("line"))
 
 
 def tool_display_text(m: DataFrame) -> DataFrame:
@@ -224,8 +229,9 @@ def chat_blocks(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Co
     earlier result block), otherwise it opens a new user message.
 
     Emitted-message ids are a running count of rows that start a message
-    (skew-safe prefix scan); each message is one aggregate of its parts.
-    Output ``(trace_id, msg_no, role, parts ARRAY<STRUCT<type, text, tool_use_id>>)``.
+    (skew-safe prefix scan).  Long output, one row per part:
+    ``(trace_id, msg_no, row_no, sub, role, type, text, tool_use_id)``;
+    parts are ordered by (row_no, sub) inside a message.
     """
     has_reason = F.coalesce(F.col("reasoning_content"), F.lit("")) != "" if "reasoning_content" in m.columns \
         else F.lit(False)
@@ -254,12 +260,13 @@ def chat_blocks(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Co
                                                          F.coalesce("content", F.lit("")).alias("text"),
                                                          F.col("tool_call_id").alias("tool_use_id"))))
         .otherwise(F.array()))
-    rows = kept.select(trace, "msg_no", *order, F.when(F.col("role") == "assistant", "assistant").otherwise("user")
-                       .alias("role"), parts.alias("_p"))
-    g = rows.groupBy(trace, "msg_no").agg(
-        F.min_by("role", F.struct(*order)).alias("role"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_p"))), lambda s: s["_p"])).alias("parts"))
-    return g.withColumn("msg_no", F.col("msg_no").cast("int"))
+    heads = kept.where("_start = 1").select(trace, "msg_no", F.when(F.col("role") == "assistant", "assistant")
+                                            .otherwise("user").alias("role"))
+    rows = kept.select(trace, "msg_no", F.col("_k").alias("row_no"), F.posexplode(parts).alias("sub", "p"))
+    out = rows.join(heads, [trace, "msg_no"])
+    return out.select(trace, F.col("msg_no").cast("int").alias("msg_no"), F.col("row_no").cast("long").alias("row_no"),
+                      F.col("sub").cast("int").alias("sub"), "role", F.col("p.type").alias("type"),
+                      F.col("p.text").alias("text"), F.col("p.tool_use_id").alias("tool_use_id"))
 
 
 def consolidate_snapshots(snaps: DataFrame, trace: str = "trace_id") -> DataFrame:

@@ -128,11 +128,12 @@ m AS (SELECT trace_id, ts, event_id, CASE WHEN kind = 'result' THEN 'tool' ELSE
 s AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER w = 'tool' THEN 0 ELSE 1 END AS st FROM m
       WINDOW w AS (PARTITION BY trace_id ORDER BY ts, event_id)),
 i AS (SELECT *, sum(st) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM s)
-SELECT trace_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(role, (ts, event_id)) AS role,
-       string_agg(content, chr(10) || chr(10) ORDER BY ts, event_id) AS content, count(*) AS n_merged
-FROM i GROUP BY trace_id, isl""", category="messages")
+SELECT trace_id, CAST(isl AS BIGINT) AS message_no,
+       CAST(row_number() OVER (PARTITION BY trace_id, isl ORDER BY ts, event_id) AS BIGINT) AS part_no, ts, event_id,
+       first_value(role) OVER (PARTITION BY trace_id, isl ORDER BY ts, event_id) AS role, content
+FROM i""", category="messages")
 def q_merge_tool_results(spark, sf):
-    """Consecutive id-less tool results merged (call log as messages)."""
+    """Consecutive id-less tool results merged (call log as messages), as message parts."""
     c = v_calls(spark, sf).select("trace_id", "ts", "event_id",
                                   F.when(F.col("kind") == "result", "tool").otherwise("assistant").alias("role"),
                                   F.col("tool").alias("content"), F.lit(None).cast("string").alias("tool_call_id"))
@@ -164,10 +165,10 @@ def q_session_stats(spark, sf):
 WITH {O.MESSAGES},
 q AS (SELECT trace_id, seq, content, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM messages WHERE role = 'user'),
 l AS (SELECT trace_id, max(n) AS last FROM q GROUP BY trace_id)
-SELECT l.trace_id, string_agg(CAST(q.n AS VARCHAR) || '. ' || q.content, chr(10) ORDER BY q.n) AS history
-FROM l LEFT JOIN q ON q.trace_id = l.trace_id AND q.n < l.last GROUP BY l.trace_id""", category="messages")
+SELECT q.trace_id, CAST(q.n AS BIGINT) AS n, CAST(q.n AS VARCHAR) || '. ' || q.content AS line
+FROM q JOIN l USING (trace_id) WHERE q.n < l.last""", category="messages")
 def q_query_history(spark, sf):
-    """Earlier queries of each session, numbered."""
+    """Earlier queries of each session, numbered (one row per entry)."""
     return MS.query_history(v_messages(spark, sf))
 
 
@@ -258,27 +259,25 @@ def q_missing_params(spark, sf):
 WITH {O.CALLS},
 m AS (SELECT trace_id, ts, event_id, CASE WHEN kind = 'result' THEN 'tool' ELSE 'assistant' END AS role, tool AS content,
              CASE WHEN tool = 'view' THEN 'call_' || CAST(event_id AS VARCHAR) END AS tool_call_id FROM calls),
-s AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER w IN ('user', 'tool') THEN 0 ELSE 1 END AS st FROM m
+s AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER w IN ('user', 'tool') THEN 0 ELSE 1 END AS st,
+             row_number() OVER w AS row_no FROM m
       WINDOW w AS (PARTITION BY trace_id ORDER BY ts, event_id)),
 i AS (SELECT *, sum(st) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS msg_no FROM s)
-SELECT trace_id, CAST(msg_no AS INTEGER) AS msg_no,
-       CASE WHEN arg_min(role, (ts, event_id)) = 'assistant' THEN 'assistant' ELSE 'user' END AS role,
-       CAST(count(*) AS INTEGER) AS n_parts,
-       string_agg(CASE WHEN role = 'tool' THEN 'tool_result' ELSE 'text' END || ':' || content
-                  || coalesce('@' || CASE WHEN role = 'tool' THEN tool_call_id END, ''), chr(10) ORDER BY ts, event_id) AS parts
-FROM i GROUP BY trace_id, msg_no""", category="messages")
+SELECT trace_id, CAST(msg_no AS INTEGER) AS msg_no, CAST(row_no AS BIGINT) AS row_no, 0 AS sub,
+       CASE WHEN first_value(role) OVER (PARTITION BY trace_id, msg_no ORDER BY ts, event_id) = 'assistant'
+            THEN 'assistant' ELSE 'user' END AS role,
+       CASE WHEN role = 'tool' THEN 'tool_result' ELSE 'text' END AS type, content AS text,
+       CASE WHEN role = 'tool' THEN tool_call_id END AS tool_use_id
+FROM i""", category="messages")
 def q_chat_blocks(spark, sf):
-    """F21 (shape 1): call log as chat blocks, tool results folded into user messages."""
+    """F21 (shape 1): call log as chat blocks, tool results folded into user messages (one row per part)."""
     c = v_calls(spark, sf).select(
         "trace_id", "ts", "event_id", F.when(F.col("kind") == "result", "tool").otherwise("assistant").alias("role"),
         F.col("tool").alias("content"),
         F.when(F.col("tool") == "view", F.concat(F.lit("call_"), F.col("event_id").cast("string"))).alias("tool_call_id"),
         F.lit(None).cast("array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>")
         .alias("tool_calls"))
-    b = MS.chat_blocks(c, order=("ts", "event_id"), chunk=time_chunk("ts"))
-    flat = F.array_join(F.transform("parts", lambda p: F.concat(
-        p["type"], F.lit(":"), p["text"], F.coalesce(F.concat(F.lit("@"), p["tool_use_id"]), F.lit("")))), "\n")
-    return b.select("trace_id", "msg_no", "role", F.size("parts").cast("int").alias("n_parts"), flat.alias("parts"))
+    return MS.chat_blocks(c, order=("ts", "event_id"), chunk=time_chunk("ts"))
 
 
 @query("consolidate_snapshots")
