@@ -159,7 +159,7 @@ def session_stats(m: DataFrame, trace: str = "trace_id") -> DataFrame:
 def query_history(m: DataFrame, trace: str = "trace_id") -> DataFrame:
     """The numbered earlier queries of each session, without the
     current (last) one — one row per listed query ``(trace_id, n, line)``;
-    a session with a single query lists nothing (the reference's None)."""
+    a session with a single query lists nothing (no history)."""
     q = m.where(F.col("role") == "user")
     q = prefix_scan(q, [trace], ["seq"], {"_n": F.lit(1)}, chunk=seq_chunk("seq"))
     last = q.groupBy(trace).agg(F.max("_n").alias("_last"))
