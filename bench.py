@@ -20,7 +20,7 @@ from quarry.session import get_spark  # noqa: E402
 
 HEADLINE = [
     "grep_lines", "top_matches_per_file", "grep_context", "parse_actions", "qa_pairs", "match_tool_results",
-    "evaluation_report", "match_sample", "fill_merged_cells", "flatten_banner_rows",
+    "evaluation_report", "evaluate_traces", "match_sample", "fill_merged_cells", "flatten_banner_rows",
     "tfidf_search", "topk_similarity", "topk_batch", "maxsim_search", "chunk_blocks", "stream_tool_health",
 ]
 

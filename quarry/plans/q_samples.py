@@ -158,3 +158,49 @@ def q_judge_hook(spark, sf):
     """Default judge over aligned steps; missing steps get the zero template."""
     from quarry.operators.metrics import judge_steps
     return judge_steps(_aligned(spark, sf))
+
+
+@query("evaluate_traces", sql=f"""
+WITH {ALIGNED}, {COVER},
+acc AS (SELECT trace_id, step_index, is_missing,
+               CASE WHEN is_missing THEN 0.0 WHEN total_metrics > 0 THEN round(covered_metrics / total_metrics, 3)
+                    ELSE 0.0 END AS coverage_ratio FROM cv),
+per AS (SELECT trace_id, bool_and(coverage_ratio >= 1.0) AS passed, count_if(coverage_ratio >= 1.0) AS n_cov1,
+               count(*) AS n_acc FROM acc GROUP BY trace_id)
+SELECT * FROM (SELECT 'micro' AS section, metric, round(value, 6) AS value FROM (UNPIVOT (
+  SELECT coalesce(avg(coverage_ratio), 0.0) AS strict_coverage,
+         coalesce(avg(coverage_ratio) FILTER (WHERE NOT is_missing), 0.0) AS coverage,
+         CAST(count(*) AS DOUBLE) AS n_strict, CAST(count_if(NOT is_missing) AS DOUBLE) AS n_non_strict FROM acc)
+  ON COLUMNS(*) INTO NAME metric VALUE value))
+UNION ALL
+SELECT * FROM (SELECT 'table_prf' AS section, metric, round(value, 6) AS value FROM (UNPIVOT (
+  SELECT 0.0 AS strict_table_recall, 0.0 AS table_recall, 0.0 AS strict_table_precision, 0.0 AS table_precision,
+         0.0 AS strict_table_f1, 0.0 AS table_f1) ON COLUMNS(*) INTO NAME metric VALUE value))
+UNION ALL
+SELECT * FROM (SELECT 'pass_at_1' AS section, metric, round(value, 6) AS value FROM (UNPIVOT (
+  SELECT CAST(count(*) AS DOUBLE) AS total_valid_tasks, CAST(count_if(passed) AS DOUBLE) AS task_pass_count,
+         coalesce(count_if(passed) / nullif(count(*), 0), 0.0) AS task_pass_at_1,
+         coalesce(sum(n_cov1) / nullif(sum(n_acc), 0), 0.0) AS turn_coverage_at_1 FROM per)
+  ON COLUMNS(*) INTO NAME metric VALUE value))""", category="metrics")
+def q_evaluate_traces(spark, sf):
+    """Flagship end to end: tagged conversations → actions → QA pairs →
+    alignment with their samples → rule judge → steps → report sections
+    (micro coverage, table PRF, pass@1) as (section, metric, value)."""
+    from quarry.operators import metrics as M
+    from quarry.session import cut_lineage
+    # the aligned steps feed the judge, the table metrics and pass@1: store once
+    aligned = cut_lineage(_aligned(spark, sf))
+    judged = M.judge_steps(aligned)
+    acc = judged.select("trace_id", "step_index", "query", "is_missing", "coverage_ratio", "reasoning")
+    dep = aligned.select("trace_id", "step_index", "query", F.col("related_tables").alias("true_tables"),
+                         F.col("data_source").alias("model_tables"))
+    # no quality judge runs here: an empty quality table with the step schema
+    qual = acc.where(F.lit(False)).select("trace_id", "step_index", "query", "is_missing",
+                                          *[F.lit(None).cast("string").alias(c) for c in M.QUALITY_SCORES])
+    micro = M.stack_metrics({"micro": acc.agg(
+        F.coalesce(F.avg("coverage_ratio"), F.lit(0.0)).alias("strict_coverage"),
+        F.coalesce(F.avg(F.when(~F.col("is_missing"), F.col("coverage_ratio"))), F.lit(0.0)).alias("coverage"),
+        F.count("*").alias("n_strict"), F.count_if(~F.col("is_missing")).alias("n_non_strict"))})
+    prf = M.stack_metrics({"table_prf": M.table_prf_avg(M.table_prf(M.table_coverage(dep)), acc)})
+    p1 = M.stack_metrics({"pass_at_1": M.pass_at_1(M.merge_steps(acc, qual, dep))})
+    return micro.unionByName(prf).unionByName(p1)
