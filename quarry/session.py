@@ -64,10 +64,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (never localCheckpoint): survives executor loss."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "table"):
+    """Store an intermediate once and continue from the stored copy.
+
+    The rows are written as Parquet under the shared checkpoint folder and
+    read back: one computation (an RDD checkpoint would compute the input a
+    second time for its write), lineage cut at the files, and later readers
+    get Parquet column pruning.  Never ``localCheckpoint``: the files
+    survive executor loss.
+    """
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _SHIPPED: set[int] = set()
