@@ -134,7 +134,8 @@ def fifo_match(events: DataFrame, key: list[str], order: list[str], is_call: Col
     With c, r the running call/result counts and d = r - c, results dropped
     so far = max(0, running max d); the k-th surviving result (k = r -
     dropped, first row reaching k) pairs with the k-th call.  Returns the
-    input rows plus ``call_no`` (calls) / ``match_no`` (surviving results).
+    input rows plus ``call_no`` (calls) and ``_k`` (results: the k a
+    surviving result claims; repeated k values mark dropped results).
     """
     ev = events.withColumn("_is_call", is_call.cast("int")).withColumn("_is_res", is_result.cast("int"))
     sc = prefix_scan(ev, key, order, {"_c": F.col("_is_call"), "_r": F.col("_is_res"),
