@@ -193,3 +193,25 @@ def test_consolidate_snapshots_against_model(spark):
             segs.append([])
         segs[r.segment - 1].append(r.content)
     assert got == expect
+
+
+def test_openai_format_parsing(spark):
+    """Structured tool calls + tool messages: tool actions in call order, the
+    answer cascade on plain assistant text, '[ERROR]' user echoes skipped."""
+    call_t = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
+    rows = [
+        (1, 0, "system", "sys", None),
+        (1, 1, "user", "how many rows?", None),
+        (1, 2, "assistant", "", [("c1", "function", ("grep", '{"p": "x"}')), ("c2", "function", ("head", "bad json"))]),
+        (1, 3, "tool", "3 hits", None),
+        (1, 4, "user", "[ERROR] tool failed", None),
+        (1, 5, "assistant", 'sure ```json\n{"answer": " 42 ", "data_source": ["d/t.csv"]}\n```', None),
+    ]
+    m = spark.createDataFrame(rows, f"trace_id long, seq long, role string, content string, tool_calls {call_t}") \
+        .withColumn("tool_call_id", F.lit(None).cast("string"))
+    acts = T.parse_actions(m).orderBy("seq", "sub").collect()
+    assert [(a.seq, a.type) for a in acts] == [(1, "query"), (2, "tool"), (2, "tool"), (3, "result"), (5, "answer")]
+    assert acts[1].content == '{"tool":"grep","params":{"p":"x"}}'
+    assert acts[4].content == "42" and acts[4].data_source == ["d/t.csv"]
+    pairs = T.qa_pairs(T.turn_number(T.parse_actions(m))).collect()
+    assert [(p.query, p.answer, p.n_tools) for p in pairs] == [("how many rows?", "42", 2)]
