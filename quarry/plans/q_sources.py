@@ -148,3 +148,16 @@ def q_grep_big_file(spark, sf):
     d.orderBy("doc_id").select("text").coalesce(1).write.text(out)
     lines = FS.big_file_lines(spark, out)
     return grep_line_rows(lines, PATTERN).select("line_no", "line")
+
+
+@query("decode_fallback")
+def q_decode_fallback(spark, sf):
+    """Documents written as Latin-1 CSV files (one per source) are
+    not valid UTF-8, so each file goes through the Arrow-batched decoder
+    hook's fallback order; output = decoded physical lines per file."""
+    out = _scratch(spark, "latin1")
+    d = read_table(spark, sf, "documents", ["doc_id", "source", "text"])
+    d.repartition("source").sortWithinPartitions("doc_id").select("source", "text") \
+        .write.partitionBy("source").option("encoding", "ISO-8859-1").option("header", False).csv(out)
+    files = FS.read_file_texts(spark, out, glob="*.csv")
+    return FS.raw_lines(files).select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"), "line_no", "line")

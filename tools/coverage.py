@@ -22,9 +22,9 @@ NOTES = {
     "V3": "recall test `tests/test_retrieval.py::test_ivf_and_lsh_recall`",
     "V4": "recall test `tests/test_retrieval.py::test_ivf_and_lsh_recall`",
     "T1": "stream tests `tests/test_streaming.py`",
-    "S3": "UTF-8 branch via `raw_lines`; fallback branch in `tests/test_sources.py` (latin-1 file)",
+    "S3": "UTF-8 branch via `raw_lines`, fallback branch via `decode_fallback` (Latin-1 files) and `tests/test_sources.py`",
     "X1": "the registry itself: `quarry.registry.query` / `registered()` / `categories()` (feeds `queries()`)",
-    "X5": "`quarry.sources.files.decode_fallback_udf` (Arrow-batched), `tests/test_sources.py`",
+    "X5": "`quarry.sources.files.decode_fallback_udf` (Arrow-batched), run by `decode_fallback`; `tests/test_sources.py`",
 }
 
 
