@@ -19,6 +19,8 @@ FILE = ["path", "sheet"]
 NUM_RE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 INT_RE = r"^[+-]?\d+$"
 JUNK_RE = r"(?i)^Unnamed:\s*\d+$"
+# rows per piece when a merged range is expanded into its cells
+RANGE_PIECE_ROWS = 4096
 
 
 def is_junk(x) -> Column:
@@ -87,7 +89,15 @@ def fill_merged_cells(cells: DataFrame, merged: DataFrame) -> DataFrame:
     """
     m = merged.withColumn("_ord", F.monotonically_increasing_id()) if "range_no" not in merged.columns \
         else merged.withColumn("_ord", F.col("range_no"))
-    cover = m.select(*FILE, "r0", "c0", "_ord", F.explode(F.sequence("r0", "r1")).alias("r"), "c1") \
+    # a range may span millions of rows: cut it into row pieces first and
+    # spread the pieces over tasks, so no single task expands a huge range
+    blk = F.explode(F.sequence(F.floor(F.col("r0") / RANGE_PIECE_ROWS), F.floor(F.col("r1") / RANGE_PIECE_ROWS)))
+    pieces = m.select(*FILE, "r0", "r1", "c0", "c1", "_ord", blk.alias("_blk"))
+    pieces = pieces.select(*FILE, "r0", "c0", "c1", "_ord",
+                           F.greatest("r0", F.col("_blk") * RANGE_PIECE_ROWS).cast("int").alias("_p0"),
+                           F.least("r1", F.col("_blk") * RANGE_PIECE_ROWS + RANGE_PIECE_ROWS - 1).cast("int")
+                           .alias("_p1")).repartition(*FILE, "_p0")
+    cover = pieces.select(*FILE, "r0", "c0", "_ord", F.explode(F.sequence("_p0", "_p1")).alias("r"), "c1") \
         .select(*FILE, "r0", "c0", "_ord", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
     win = cover.groupBy(*FILE, "r", "c").agg(F.max_by(F.struct("r0", "c0"), "_ord").alias("_src"))
     tl = cells.select(*FILE, F.col("r").alias("_r0"), F.col("c").alias("_c0"), F.col("value").alias("_tl"))

@@ -215,3 +215,22 @@ def test_openai_format_parsing(spark):
     assert acts[4].content == "42" and acts[4].data_source == ["d/t.csv"]
     pairs = T.qa_pairs(T.turn_number(T.parse_actions(m))).collect()
     assert [(p.query, p.answer, p.n_tools) for p in pairs] == [("how many rows?", "42", 2)]
+
+
+def test_fill_merged_cells_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANGE_PIECE_ROWS", 7)  # force ranges to span several pieces
+    cells = [("f", "s", r, c, f"{r}:{c}" if (r, c) in {(1, 1), (3, 2), (20, 1)} else None)
+             for r in range(1, 41) for c in range(1, 4)]
+    merged = [("f", "s", 0, 1, 30, 1, 1), ("f", "s", 1, 3, 25, 2, 3), ("f", "s", 2, 20, 22, 1, 1)]
+    cdf = spark.createDataFrame(cells, "path string, sheet string, r int, c int, value string")
+    mdf = spark.createDataFrame(merged, "path string, sheet string, range_no long, r0 int, r1 int, c0 int, c1 int")
+    got = {(x.r, x.c): x.value for x in C.fill_merged_cells(cdf, mdf).collect()}
+    expect = {}
+    for r in range(1, 41):
+        for c in range(1, 4):
+            v = f"{r}:{c}" if (r, c) in {(1, 1), (3, 2), (20, 1)} else None
+            for _, _, _, r0, r1, c0, c1 in merged:  # later ranges overwrite earlier ones
+                if r0 <= r <= r1 and c0 <= c <= c1:
+                    v = f"{r0}:{c0}" if (r0, c0) in {(1, 1), (3, 2), (20, 1)} else None
+            expect[(r, c)] = v
+    assert got == expect
