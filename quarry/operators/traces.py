@@ -217,3 +217,13 @@ def tool_metrics(actions: DataFrame, messages: DataFrame, trace: str = "trace_id
     return j.select(trace, "n_tools", "n_success", "n_call_msgs",
                     F.coalesce(F.try_divide("n_success", "n_tools"), F.lit(0.0)).alias("tool_success_rate"),
                     F.coalesce(F.try_divide("n_tools", "n_call_msgs"), F.lit(0.0)).alias("tool_parallelism"))
+
+
+def match_by_call_id(calls: DataFrame, results: DataFrame, trace: str = "trace_id",
+                     call_id: str = "call_id", result_id: str = "tool_call_id") -> DataFrame:
+    """J4 (id mode): results matched to calls by their tool-call id instead of
+    arrival order — an equi-join on (trace, id); calls without a result keep
+    NULLs, results naming an unknown id are dropped."""
+    r = results.select(F.col(trace), F.col(result_id).alias(call_id),
+                       *[F.col(c).alias(f"result_{c}") for c in results.columns if c not in (trace, result_id)])
+    return calls.join(r, [trace, call_id], "left")

@@ -234,3 +234,11 @@ def test_fill_merged_cells_across_pieces(spark, monkeypatch):
                     v = f"{r0}:{c0}" if (r0, c0) in {(1, 1), (3, 2), (20, 1)} else None
             expect[(r, c)] = v
     assert got == expect
+
+
+def test_match_by_call_id(spark):
+    calls = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "a", 0)], "trace_id long, call_id string, seq long")
+    res = spark.createDataFrame([(1, "b", "ok"), (1, "zz", "lost"), (2, "a", "fine")],
+                                "trace_id long, tool_call_id string, content string")
+    got = sorted((r.trace_id, r.call_id, r.result_content) for r in T.match_by_call_id(calls, res).collect())
+    assert got == [(1, "a", None), (1, "b", "ok"), (2, "a", "fine")]
