@@ -253,4 +253,4 @@ def v_requests(spark: SparkSession, sf: str) -> DataFrame:
     e = _t(spark, sf, "events", ["event_id", "ts", "event_type", "value", "props"])
     return e.select(F.md5(F.concat_ws("|", "props", "event_type")).alias("hash"), "event_id",
                     F.col("props").alias("prompt"), F.col("event_type").alias("system"),
-                    F.col("value").alias("result"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"))
+                    F.col("value").alias("result"), F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("timestamp"))

@@ -51,5 +51,5 @@ def q_stream_cache(spark, sf):
     """T4: last-write-wins request cache maintained by micro-batch upserts."""
     e = _events(spark, sf)
     req = e.select(F.md5(F.concat_ws("|", "props", "event_type")).alias("hash"), "event_id",
-                   F.col("value").alias("result"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"))
+                   F.col("value").alias("result"), F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("timestamp"))
     return S.cache_upsert_stream(req, "cache")
