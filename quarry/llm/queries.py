@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, sharding, urls
+from quarry.llm import bpe, fingerprints, langid, packing, quality, sharding, toxicity, urls
 from quarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    """Predicted language of every document."""
+    return langid.classify(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 @query("op2_bpe_segment_tree")
 def op2(spark, sf_dir):
     """Byte-level BPE ids of every text and their decoding, as digests."""
@@ -33,6 +39,33 @@ def op2(spark, sf_dir):
             .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    """Every document's token pieces and their places in sequences of 4096."""
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                        public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_fingerprints")
+def op4(spark, sf_dir):
+    """MinHash fingerprints of every document and its edited text."""
+    return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_toxicity")
+def op6(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+@query("op7_quality_rules")
+def op7(spark, sf_dir):
+    """Quality counts and verdict on every document."""
+    return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 @query("op9_feistel_sharding")
 def op9(spark, sf_dir):
     """Every document's shard and slot among 40."""
