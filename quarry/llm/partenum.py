@@ -32,6 +32,7 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -115,8 +116,6 @@ SET_FIELDS = "n_shingles long, d1 long, d2 long"
 
 def describe(k: int):
     """Scalar UDF: text -> size and digest of its shingle set."""
-    import pandas as pd
-
     @F.pandas_udf(SET_FIELDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -131,8 +130,6 @@ def describe(k: int):
 
 def item_sets(k: int):
     """Scalar UDF: text -> its shingle set as sorted numbers, with the digest."""
-    import pandas as pd
-
     @F.pandas_udf("items array<long>, n_shingles long, d1 long, d2 long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
