@@ -35,6 +35,7 @@ MAX_TERMS = 4_096
 MIN_G, MIN_DOCS = 24.0, 6
 FACTORS = 8
 EPOCHS = 12
+LEAST_STEPS = 600
 RATE, DECAY = 0.05, 1e-4
 CUT = 0.3
 #: Different words remembered between batches; the memory starts afresh beyond it.
@@ -90,9 +91,10 @@ class Machine:
         data = [x[x >= 0] for x in (row[d] for d in docs)]
         rng = np.random.default_rng(seed)
         w, v = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS))
-        sw, sv, b, sb = np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6), 0.0, 1e-6
-        for _ in range(EPOCHS):
-            for part in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
+        sw, sv, b, sb = np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6), float(np.log(pos / neg)), 1e-6
+        steps = max(1, len(data) // 64)
+        for _ in range(max(EPOCHS, LEAST_STEPS // steps)):
+            for part in np.array_split(rng.permutation(len(data)), steps):
                 rows = [data[i] for i in part]
                 flat = np.concatenate(rows)
                 of = np.repeat(np.arange(len(part)), [len(r) for r in rows])
