@@ -1,7 +1,89 @@
-"""Placeholder until its stages exist."""
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that its
+predecessor kept; ``run`` writes each result as Parquet under the shared
+checkpoint folder and reads it back for the next.  All stages but the last
+return the columns of documents.
+
+Cases: null texts have no language and go in the first stage, as do texts without
+letters and texts whose language is uncertain.  Rows that repeat a doc_id are one
+document from the third stage on.  An empty table passes through.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quarry.llm import langid, packing, partenum, suffix_dedup, toxicity
+from quarry.llm.common import prepare, read, store
+
+#: Documents whose best language has less than this probability are rejected.
+LEAST_LANG_SCORE = 0.5
+#: Five-word shingles and a similarity of 0.8, for the near-duplicate stage.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def _plain(docs: DataFrame, names: list[str]) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`") for c in names))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language."""
+    prepare(spark)
+    net = langid.train(docs, ~langid.held_out())
+    told = docs.withColumn("__lang", langid.predict(net, F.col("text")))
+    kept = (F.col("__lang.lang_pred") != langid.UNKNOWN) & (F.col("__lang.score") >= LEAST_LANG_SCORE)
+    return _plain(told.filter(kept), docs.columns)
+
+
+def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    prepare(spark)
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    told = docs.withColumn("__toxic", toxicity.predict(machine, F.col("text")))
+    return _plain(told.filter(F.col("__toxic") < toxicity.CUT), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest doc_id."""
+    found = partenum.jaccard_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
+    found = store(found.filter("doc_id is null or component_id = doc_id"), "kept_ids")
+    rows = found.filter("doc_id is not null")
+    ids = rows.select(F.col("doc_id").alias("__id")).distinct()
+    out = docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
+    if ids.count() < rows.count():  # an id that has several rows
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that start earlier in the corpus."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", toxic_filter),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Trained models and tokenizers are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = store(docs, f"stage_{name}")
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, fingerprints, langid, packing, quality, sharding, toxicity, urls
+from quarry.llm import bpe, fingerprints, langid, packing, partenum, quality, sharding, suffix_dedup, toxicity, urls
 from quarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op4(spark, sf_dir):
     return fingerprints.fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op5_ngram_jaccard_join")
+def op5(spark, sf_dir):
+    """Component of every document under 4-word shingle Jaccard of 0.85 or more."""
+    return partenum.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_toxicity")
 def op6(spark, sf_dir):
     """Toxicity score of every document."""
@@ -66,6 +72,12 @@ def op7(spark, sf_dir):
     return quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+@query("op8_suffix_dedup")
+def op8(spark, sf_dir):
+    """What remains of every document without repeated 100-byte strings."""
+    return suffix_dedup.removed_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op9_feistel_sharding")
 def op9(spark, sf_dir):
     """Every document's shard and slot among 40."""
