@@ -3,7 +3,8 @@
 A fingerprint holds, for each of ``PERMUTATIONS`` universal hash functions
 h(x) = (a*x + b) mod 2^64, 16 bits of the smallest value over the document's
 five-word shingles.  The share of equal places estimates the Jaccard
-similarity of two shingle sets.
+similarity of two shingle sets.  Near duplicates are found by joining bands of
+the signatures and verified exactly.
 
 Cases: a null text is empty.  Texts without words have the all-ones
 fingerprint, alike to each other (1.0) and to nothing else; texts of fewer than
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import prepare, whole_text
-from quarry.llm.words import shingles
+from quarry.llm.partenum import jaccard_components
+from quarry.llm.words import PLACE, mix, shingles
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 128
+BANDS = 32
 SEED = 7
 #: Documents in an id range that is walked in one go.
 RANGE_ROWS = 2_048
@@ -40,15 +43,33 @@ A = _rng.integers(0, 2 ** 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | n
 B = _rng.integers(0, 2 ** 63, PERMUTATIONS, dtype=np.uint64)
 
 
-def signature(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """The 16-bit minimum hashes of a text."""
-    x = shingles(text, k)
+def minima(x: np.ndarray) -> np.ndarray:
+    """The smallest value of each permutation over hashed shingles."""
     low = np.full(PERMUTATIONS, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(x), STEP):
         h = x[i:i + STEP, None] * A
         h += B
         np.minimum(low, h.min(0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint16)
+    return low
+
+
+def signature(text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 16-bit minimum hashes of a text."""
+    return (minima(shingles(text, k)) >> np.uint64(32)).astype(np.uint16)
+
+
+def bands(items: np.ndarray) -> np.ndarray:
+    """One hash for each band of a signature: sets of similarity 0.8 share a band
+    but for one pair in 20 million."""
+    rows = minima(items).reshape(BANDS, -1)
+    return mix((rows * PLACE[:rows.shape[1]]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+def near_duplicates(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: documents that share a band are joined on
+    it, verified by the exact Jaccard similarity of their shingle sets and labelled
+    with the smallest doc_id that links reach."""
+    return jaccard_components(documents, SHINGLE_WORDS, percent, bands)
 
 
 def as_hex(sig: np.ndarray) -> str:
@@ -98,10 +119,16 @@ def in_ranges(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     ids = documents.select(rank.alias("id"))
     count = ids.count()
     cuts = max(1, count // range_rows)
-    found = ids.select(F.percentile_approx("id", [(i + 1) / cuts for i in range(cuts)], max(10_000, 20 * cuts)).alias("cuts"),
-                       F.max("id").alias("top")).first()
-    ends = np.array(sorted({*(found["cuts"] or []), *([] if found["top"] is None else [found["top"]])}), np.int64)
-    shared = spark.sparkContext.broadcast(ends)
+    # quantiles are found in floating point, so each range's end is then read off its ids
+    about = ids.agg(F.percentile_approx("id", [(i + 1) / cuts for i in range(cuts)], max(10_000, 20 * cuts))).first()[0] or []
+    about = spark.sparkContext.broadcast(np.array(sorted(set(about)), np.int64))
+
+    @F.pandas_udf(T.IntegerType())
+    def nearest(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(about.value, ids.to_numpy()))
+
+    tops = ids.groupBy(nearest("id")).agg(F.max("id").alias("top")).select("top").toPandas()["top"]
+    shared = spark.sparkContext.broadcast(np.sort(tops.to_numpy(np.int64)))
 
     place = T.ArrayType(T.StructType([T.StructField("range", T.IntegerType()), T.StructField("ghost", T.BooleanType())]))
 
