@@ -31,17 +31,42 @@ def _first_group(x: Column, pattern: str) -> Column:
 
 
 # ---------------------------------------------------------------- F6
+# fixed values: the fenced-block patterns, lazy and greedy
 FENCE_LAZY = r"```(?:json)?\s*([\s\S]*?)\s*```"
 FENCE_GREEDY = r"```(?:json)?\s*([\s\S]*)\s*```"
 
 
+def strict_json(c: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, else NULL.
+
+    The JSON parser stops behind the first value.  Wrapped as the only array
+    element and as the only object member, text behind the value makes one
+    of the two invalid.
+    """
+    as_item = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    as_member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    alone = as_member.isNotNull() & F.try_variant_get(as_item, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(as_item, "$[0]", "variant"))
+
+
 def _obj_or_arr(c: Column) -> Column:
     """Direct parse, then first ``{…last}``, then first ``[…last]``."""
     obj = _first_group(c, r"(\{[\s\S]*\})")
     arr = _first_group(c, r"(\[[\s\S]*\])")
-    return F.coalesce(F.when(F.try_parse_json(c).isNotNull(), c),
-                      F.when(F.try_parse_json(obj).isNotNull(), obj),
-                      F.when(F.try_parse_json(arr).isNotNull(), arr))
+    return F.coalesce(F.when(strict_json(c).isNotNull(), c), F.when(strict_json(obj).isNotNull(), obj),
+                      F.when(strict_json(arr).isNotNull(), arr))
+
+
+def _fenced(text: Column, pattern: str) -> Column:
+    return F.when(text.rlike(pattern), py_strip(F.regexp_extract(text, pattern, 1)))
+
+
+def _json_choice(x: Column, text: Column, lazy: Column, greedy: Column) -> Column:
+    """F6 cascade over a stripped text and its fenced bodies."""
+    fenced = F.coalesce(F.when(strict_json(lazy).isNotNull(), lazy), F.when(strict_json(greedy).isNotNull(), greedy))
+    cand = F.when(lazy.isNull() & greedy.isNull(), _obj_or_arr(text)).otherwise(
+        F.coalesce(_obj_or_arr(lazy), F.when(greedy != lazy, _obj_or_arr(greedy))))
+    return F.when(x.isNull() | (x == ""), F.lit(None).cast("string")).otherwise(F.coalesce(fenced, cand))
 
 
 def extract_json_text(x) -> Column:
@@ -51,19 +76,12 @@ def extract_json_text(x) -> Column:
     bodies, else the whole text): direct, ``{…}``, ``[…]``.
     """
     text = py_strip(_c(x))
-    lazy = F.when(text.rlike(FENCE_LAZY), py_strip(F.regexp_extract(text, FENCE_LAZY, 1)))
-    greedy = F.when(text.rlike(FENCE_GREEDY), py_strip(F.regexp_extract(text, FENCE_GREEDY, 1)))
-    fenced = F.coalesce(F.when(F.try_parse_json(lazy).isNotNull(), lazy),
-                        F.when(F.try_parse_json(greedy).isNotNull(), greedy))
-    from_candidates = F.when(lazy.isNull() & greedy.isNull(), _obj_or_arr(text)).otherwise(
-        F.coalesce(_obj_or_arr(lazy), F.when(greedy != lazy, _obj_or_arr(greedy))))
-    return F.when(_c(x).isNull() | (_c(x) == ""), F.lit(None).cast("string")) \
-        .otherwise(F.coalesce(fenced, from_candidates))
+    return _json_choice(_c(x), text, _fenced(text, FENCE_LAZY), _fenced(text, FENCE_GREEDY))
 
 
 def extract_json(x) -> Column:
     """F6 as VARIANT (NULL when the cascade finds no JSON)."""
-    return F.try_parse_json(extract_json_text(x))
+    return strict_json(extract_json_text(x))
 
 
 # ---------------------------------------------------------------- F7
@@ -87,6 +105,26 @@ def _after_keyword(x: Column) -> Column:
     return out
 
 
+def _json_answer(v: Column) -> Column:
+    """STRUCT<answer, data_source> of a parsed object with an answer and no error."""
+    ok = F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & F.try_variant_get(v, "$.error", "variant").isNull() & \
+        F.try_variant_get(v, "$.answer", "variant").isNotNull()
+    answer = F.nullif(py_strip(F.try_variant_get(v, "$.answer", "string")), F.lit(""))
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(ok, answer).alias("answer"),
+                    F.when(ok, F.coalesce(F.try_variant_get(v, "$.data_source", "array<string>"), none)).alias("data_source"))
+
+
+def _answer_choice(c: Column, tag: Column, js: Column, kw: Column) -> Column:
+    """F7 cascade over the tag body, the JSON answer and the text behind a heading."""
+    blank = c.isNull() | (py_strip(c) == "")
+    found = F.coalesce(tag, js["answer"], kw)
+    kind = F.when(found.isNull() & blank, F.lit("unknown")).otherwise("answer")
+    answer = F.coalesce(found, F.when(~blank, c), F.lit("Empty Content"))
+    ds = F.when(tag.isNull() & js["answer"].isNotNull(), js["data_source"]).otherwise(F.array().cast("array<string>"))
+    return F.struct(kind.alias("kind"), answer.alias("answer"), ds.alias("data_source"))
+
+
 def extract_answer(x) -> Column:
     """STRUCT<kind, answer, data_source ARRAY<STRING>> for an assistant text.
 
@@ -94,24 +132,11 @@ def extract_answer(x) -> Column:
     whole content → kind ``unknown`` with "Empty Content".
     """
     c = _c(x)
-    v = extract_json(c)
-    is_obj = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
-    json_ok = is_obj & F.try_variant_get(v, "$.error", "variant").isNull() & \
-        F.try_variant_get(v, "$.answer", "variant").isNotNull()
-    ans_str = F.try_variant_get(v, "$.answer", "string")
-    json_ans = F.when(json_ok, F.nullif(py_strip(ans_str), F.lit("")))
-    ds = F.when(json_ok, F.coalesce(F.try_variant_get(v, "$.data_source", "array<string>"),
-                                    F.array().cast("array<string>")))
-    tag = answer_tag(c)
-    kw = _after_keyword(c)
-    blank = c.isNull() | (py_strip(c) == "")
-    answer = F.coalesce(tag, json_ans, kw, F.when(~blank, c), F.lit("Empty Content"))
-    kind = F.when(tag.isNull() & json_ans.isNull() & kw.isNull() & blank, F.lit("unknown")).otherwise("answer")
-    data_source = F.when(tag.isNull() & json_ans.isNotNull(), ds).otherwise(F.array().cast("array<string>"))
-    return F.struct(kind.alias("kind"), answer.alias("answer"), data_source.alias("data_source"))
+    return _answer_choice(c, answer_tag(c), _json_answer(extract_json(c)), _after_keyword(c))
 
 
 # ---------------------------------------------------------------- F8
+# fixed values: the call patterns
 TOOL_CALL_TAG = r"(?is)<tool_call>(.*?)</tool_call>"
 INVOKE = r"""(?is)<invoke\s+name=["'](.*?)["']\s*>(.*?)</invoke>"""
 PARAM = r"""(?is)<parameter\s+name=["'](.*?)["']\s*>(.*?)</parameter>"""
@@ -144,6 +169,15 @@ def _json_call(body: Column) -> Column:
     return F.struct(F.when(is_obj, name).alias("name"), F.coalesce(params, F.lit("{}")).alias("arguments"))
 
 
+def _parameters(body: Column) -> Column:
+    """MAP of an XML call's parameters; a repeated name keeps its last value."""
+    pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(PARAM), 1).alias("k"),
+                         F.transform(F.regexp_extract_all(body, F.lit(PARAM), 2), py_strip).alias("v"))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    values = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
+    return F.map_from_arrays(keys, values)
+
+
 def extract_tool_calls(x) -> Column:
     """F8: ARRAY<STRUCT<name, arguments JSON STRING>> in text order.
 
@@ -155,10 +189,7 @@ def extract_tool_calls(x) -> Column:
     names = F.regexp_extract_all(c, F.lit(INVOKE), 1)
     bodies = F.regexp_extract_all(c, F.lit(INVOKE), 2)
     xml = F.transform(F.arrays_zip(names.alias("n"), bodies.alias("b")), lambda z: F.struct(
-        z["n"].alias("name"),
-        F.to_json(F.map_from_arrays(F.regexp_extract_all(z["b"], F.lit(PARAM), 1),
-                                    F.transform(F.regexp_extract_all(z["b"], F.lit(PARAM), 2), py_strip)))
-        .alias("arguments")))
+        z["n"].alias("name"), F.to_json(_parameters(z["b"])).alias("arguments")))
     both = F.filter(F.concat(tagged, xml), lambda s: s["name"].isNotNull())
     fenced = F.filter(F.transform(F.regexp_extract_all(c, F.lit(FENCED_OBJ), 1), _json_call),
                       lambda s: s["name"].isNotNull())
@@ -233,38 +264,17 @@ def normalize_tags(content, reasoning=None) -> Column:
 
 def with_json_text(df, col: str, out: str = "_json_text"):
     """F6 staged: adds ``out`` = JSON text chosen by the cascade (or NULL)."""
-    t = "_jt_text"
-    df = df.withColumn(t, py_strip(F.col(col)))
-    df = df.withColumn("_jt_lazy", F.when(F.col(t).rlike(FENCE_LAZY),
-                                          py_strip(F.regexp_extract(t, FENCE_LAZY, 1))))
-    df = df.withColumn("_jt_greedy", F.when(F.col(t).rlike(FENCE_GREEDY),
-                                            py_strip(F.regexp_extract(t, FENCE_GREEDY, 1))))
-    lazy, greedy, text = F.col("_jt_lazy"), F.col("_jt_greedy"), F.col(t)
-    fenced = F.coalesce(F.when(F.try_parse_json(lazy).isNotNull(), lazy),
-                        F.when(F.try_parse_json(greedy).isNotNull(), greedy))
-    cand = F.when(lazy.isNull() & greedy.isNull(), _obj_or_arr(text)).otherwise(
-        F.coalesce(_obj_or_arr(lazy), F.when(greedy != lazy, _obj_or_arr(greedy))))
-    res = F.when(F.col(col).isNull() | (F.col(col) == ""), F.lit(None).cast("string")) \
-        .otherwise(F.coalesce(fenced, cand))
-    return df.withColumn(out, res).drop(t, "_jt_lazy", "_jt_greedy")
+    df = df.withColumn("_jt_text", py_strip(F.col(col)))
+    df = df.withColumns({"_jt_lazy": _fenced(F.col("_jt_text"), FENCE_LAZY),
+                         "_jt_greedy": _fenced(F.col("_jt_text"), FENCE_GREEDY)})
+    return df.withColumn(out, _json_choice(F.col(col), F.col("_jt_text"), F.col("_jt_lazy"), F.col("_jt_greedy"))) \
+        .drop("_jt_text", "_jt_lazy", "_jt_greedy")
 
 
 def with_answer(df, col: str, out: str = "answer_info"):
     """F7 staged: adds ``out`` = STRUCT<kind, answer, data_source>."""
-    df = with_json_text(df, col, "_ans_json")
-    df = df.withColumn("_ans_v", F.try_parse_json("_ans_json")) \
-        .withColumn("_ans_tag", answer_tag(col)).withColumn("_ans_kw", _after_keyword(F.col(col)))
-    v, c = F.col("_ans_v"), F.col(col)
-    json_ok = F.startswith(F.schema_of_variant(v), F.lit("OBJECT")) & \
-        F.try_variant_get(v, "$.error", "variant").isNull() & F.try_variant_get(v, "$.answer", "variant").isNotNull()
-    df = df.withColumn("_ans_j", F.when(json_ok, F.nullif(py_strip(F.try_variant_get(v, "$.answer", "string")),
-                                                          F.lit("")))) \
-        .withColumn("_ans_ds", F.when(json_ok, F.coalesce(F.try_variant_get(v, "$.data_source", "array<string>"),
-                                                          F.array().cast("array<string>"))))
-    tag, ja, kw = F.col("_ans_tag"), F.col("_ans_j"), F.col("_ans_kw")
-    blank = c.isNull() | (py_strip(c) == "")
-    answer = F.coalesce(tag, ja, kw, F.when(~blank, c), F.lit("Empty Content"))
-    kind = F.when(tag.isNull() & ja.isNull() & kw.isNull() & blank, F.lit("unknown")).otherwise("answer")
-    ds = F.when(tag.isNull() & ja.isNotNull(), F.col("_ans_ds")).otherwise(F.array().cast("array<string>"))
-    return df.withColumn(out, F.struct(kind.alias("kind"), answer.alias("answer"), ds.alias("data_source"))) \
-        .drop("_ans_json", "_ans_v", "_ans_tag", "_ans_kw", "_ans_j", "_ans_ds")
+    df = with_json_text(df, col, "_ans_json").withColumn("_ans_v", strict_json(F.col("_ans_json")))
+    df = df.withColumns({"_ans_tag": answer_tag(col), "_ans_kw": _after_keyword(F.col(col)),
+                         "_ans_js": _json_answer(F.col("_ans_v"))})
+    return df.withColumn(out, _answer_choice(F.col(col), F.col("_ans_tag"), F.col("_ans_js"), F.col("_ans_kw"))) \
+        .drop("_ans_json", "_ans_v", "_ans_tag", "_ans_kw", "_ans_js")

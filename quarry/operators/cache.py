@@ -131,13 +131,30 @@ def folder_rollup(manifest: DataFrame, rel: str = "relative_path") -> DataFrame:
 
 
 def dirs_first_order(manifest: DataFrame, quota: int = 10, rel: str = "relative_path") -> DataFrame:
-    """Children of every directory, directories before files, then by
-    name; the first ``quota`` per directory (WindowGroupLimit)."""
+    """What a folder view shows: the root's children first, then those of the
+    first directory, of the first directory in it, and so on while the quota
+    lasts; directories before files, then by name.  A level that doesn't fit
+    shows what the quota still allows and is the last.  ``n_children`` tells
+    how many the level has, so ``n_children - shown`` are left out.
+
+    The chain of first directories is one minimum over the paths (map-side
+    combined); the levels on it are few, however large the tree.
+    """
     parts = F.split(F.col(rel), "/")
+    beyond = "\U0010ffff"  # sorts behind every name, so that a longer chain beats its own start
     d = manifest.select(parts.alias("p"))
-    pre = d.select("p", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("depth")).select(
-        F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("parent"),
-        F.element_at("p", F.col("depth") + 1).alias("name"),
-        (F.col("depth") + 1 == F.size("p")).alias("is_file")).distinct()
-    w = Window.partitionBy("parent").orderBy("is_file", "name")
-    return pre.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota)
+    chain = d.agg(F.min(F.concat(F.slice("p", 1, F.size("p") - 1), F.array(F.lit(beyond)))).alias("chain"))
+    chain = chain.select(F.slice("chain", 1, F.size("chain") - 1).alias("chain"))
+    on = d.withColumn("_k", F.lit(1)).join(F.broadcast(chain.withColumn("_k", F.lit(1))), "_k").select(  # the chain is one row
+        "chain", F.explode(F.filter(F.sequence(F.lit(0), F.size("p") - 1),
+                                    lambda k: (k <= F.size("chain")) & (F.slice("p", 1, k) == F.slice("chain", 1, k)))).alias("depth"), "p")
+    nodes = on.select(F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("parent"), "depth",
+                      F.element_at("p", F.col("depth") + 1).alias("name"),
+                      (F.col("depth") + 1 == F.size("p")).alias("is_file")).distinct()
+    levels = nodes.groupBy("depth").agg(F.count("*").alias("n_children"))
+    before = F.coalesce(F.sum("n_children").over(Window.orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.select("depth", "n_children", F.least("n_children", F.greatest(F.lit(quota) - before, F.lit(0))).alias("shown"))
+    ranked = nodes.withColumn("rank", F.row_number().over(Window.partitionBy("depth").orderBy("is_file", "name"))) \
+        .where(F.col("rank") <= quota)
+    return ranked.join(levels, "depth").where(F.col("rank") <= F.col("shown")) \
+        .select("parent", "name", "is_file", "rank", "n_children")

@@ -134,10 +134,10 @@ def flatten_banner_rows(cells: DataFrame, label_col: str = "group") -> DataFrame
     label is an equi-join on (file, ordinal) — no per-file window.
     """
     nb = F.when(~(F.col("value").isNull() | (py_strip(F.col("value")) == "")), F.col("value"))
-    rows = cells.groupBy(*FILE, "r").agg(F.array_distinct(F.collect_list(nb)).alias("_vals"))
-    rows = rows.withColumn("_banner", F.size("_vals") == 1)
+    rows = cells.groupBy(*FILE, "r").agg(F.min(nb).alias("_lo"), F.max(nb).alias("_hi"))
+    rows = rows.withColumn("_banner", F.coalesce(F.col("_lo") == F.col("_hi"), F.lit(False)))
     rows = prefix_scan(rows, FILE, ["r"], {"_bno": F.col("_banner").cast("int")}, chunk=seq_chunk("r"))
-    banners = rows.where("_banner").select(*FILE, "_bno", F.element_at("_vals", 1).alias(label_col))
+    banners = rows.where("_banner").select(*FILE, "_bno", F.col("_lo").alias(label_col))
     keep = rows.where(~F.col("_banner")).select(*FILE, "r", "_bno")
     lab = keep.join(banners, [*FILE, "_bno"], "left").select(*FILE, "r", label_col)
     return cells.join(lab, [*FILE, "r"]).select(*FILE, "r", "c", "value", label_col)
@@ -204,10 +204,9 @@ def table_documents(files: DataFrame, n_lines: int = 5) -> DataFrame:
 
 
 def describe_table(desc: DataFrame) -> DataFrame:
-    """path, description and a column list as text."""
-    cols = F.array_join(F.transform("column_info", lambda ci: F.concat(
-        F.lit("- "), ci["col_name"], F.lit(" ("), F.coalesce(ci["col_type"], F.lit("")), F.lit("): "),
-        F.coalesce(ci["col_desc"], F.lit("")))), "\n")
-    return desc.select("file_path", F.concat(F.lit("Table: "), F.col("file_path"), F.lit("\nDescription: "),
-                                             F.coalesce("table_desc", F.lit("")), F.lit("\nColumns:\n"), cols)
-                       .alias("text"))
+    """path, description and column list as text; a null part is left out."""
+    cols = F.array_join(F.concat(F.array(F.lit("Column information:")), F.transform("column_info", lambda ci: F.concat(
+        F.lit("  - "), F.coalesce(ci["col_name"], F.lit("Unknown")), F.lit(" ("), F.coalesce(ci["col_type"], F.lit("")),
+        F.lit("): "), F.coalesce(ci["col_desc"], F.lit(""))))), "\n")
+    return desc.select("file_path", F.concat_ws("\n", F.concat(F.lit("File path: "), F.col("file_path")),
+                                                F.concat(F.lit("Table description: "), F.col("table_desc")), cols).alias("text"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.tags import strict_json
 from quarry.functions.text import token_count
 from quarry.operators.scan import prefix_scan, seq_chunk
 
@@ -39,6 +40,7 @@ DANGEROUS_PATTERNS = [
 ]
 DELETE_ROOT = r"(rm|del|rmdir)\s+.*[/\\]$"
 # fixed values: display labels per role
+TOOL_RESULT_HEAD = "[Tool Execution Result"
 ROLE_LABELS = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
 # fixed values: tool categories with their display names
 CATEGORIES = {"location": "File Location", "understanding": "Table Understanding",
@@ -85,8 +87,11 @@ def split_for_summary(m: DataFrame, min_messages: int, trace: str = "trace_id")
 
 
 def suppress_reasoning(m: DataFrame, trace: str = "trace_id", cols=("reasoning_content", "thought_signature")) -> DataFrame:
-    """Reasoning fields nulled up to and including the last user message."""
-    last = m.where(F.col("role") == "user").groupBy(trace).agg(F.max("seq").alias("_lu"))
+    """Reasoning fields nulled up to and including the last user message
+    that asks something: empty ones and tool-result echoes don't count."""
+    asks = (F.col("role") == "user") & (F.coalesce("content", F.lit("")) != "") & \
+        ~F.startswith("content", F.lit(TOOL_RESULT_HEAD))
+    last = m.where(asks).groupBy(trace).agg(F.max("seq").alias("_lu"))
     j = m.join(last, trace, "left")
     hide = F.col("seq") <= F.coalesce("_lu", F.lit(-1))
     out = j
@@ -108,45 +113,70 @@ def preserve_signature(kept: DataFrame, removed: DataFrame, trace: str = "trace_
         .drop("_first_a", "_n_sig", "_sig")
 
 
-def merge_tool_results(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Column | None = None) -> DataFrame:
-    """Consecutive tool results without a call id collapse into one
-    message.  Island (message id) = running count of rows that start a new
-    message.
+def merge_tool_results(m: DataFrame, trace: str = "trace_id", order=("seq",), chunk: Column | None = None,
+                       name: str = "tool_name") -> DataFrame:
+    """A tool result without a call id becomes a user message headed
+    ``[Tool Execution Result: name]``, or a further part of the message
+    before it when that is a tool result too (with or without an id).
+    Message id = running count of rows that start a new message.
 
     Long output — one row per part, never a gathered group:
     ``(trace_id, message_no, part_no, <order>, role, content)`` where
     ``role`` is the message's (its first row's) role; the message text is
     its parts in ``part_no`` order joined by a blank line.
     """
-    mergeable = (F.col("role") == "tool") & F.col("tool_call_id").isNull()
-    r = m.withColumn("_mg", mergeable.cast("int"))
-    # a row starts a message unless it and its predecessor are both mergeable
+    tool = F.col("role") == "tool"
+    bare = tool & F.col("tool_call_id").isNull()
+    r = m.withColumns({"_tool": tool.cast("int"), "_bare": bare.cast("int")})
     r = prefix_scan(r, [trace], list(order), {"_c": F.lit(1)}, chunk=chunk)
-    prev = r.select(trace, (F.col("_c") + 1).alias("_c"), F.col("_mg").alias("_pmg"))
+    prev = r.select(trace, (F.col("_c") + 1).alias("_c"), F.col("_tool").alias("_ptool"))
     r = r.join(prev, [trace, "_c"], "left")
-    start = ~((F.col("_mg") == 1) & (F.coalesce("_pmg", F.lit(0)) == 1))
+    start = ~((F.col("_bare") == 1) & (F.coalesce("_ptool", F.lit(0)) == 1))
     r = prefix_scan(r.withColumn("_start", start.cast("int")), [trace], list(order), {"message_no": F.col("_start")},
                     chunk=chunk)
-    heads = r.where("_start = 1").select(trace, "message_no", F.col("_c").alias("_first"), F.col("role").alias("_mrole"))
+    heads = r.where("_start = 1").select(trace, "message_no", F.col("_c").alias("_first"),
+                                         F.when(F.col("_bare") == 1, "user").otherwise(F.col("role")).alias("_mrole"))
     j = r.join(heads, [trace, "message_no"])
+    headed = F.concat(F.lit(TOOL_RESULT_HEAD + ": "), F.col(name), F.lit("]\n"), F.col("content"))
     return j.select(trace, F.col("message_no").cast("long").alias("message_no"),
                     (F.col("_c") - F.col("_first") + 1).cast("long").alias("part_no"), *order,
-                    F.col("_mrole").alias("role"), "content")
+                    F.col("_mrole").alias("role"), F.when(F.col("_bare") == 1, headed).otherwise(F.col("content")).alias("content"))
 
 
-def history_text(m: DataFrame, max_turns: int = 6, max_chars: int = 200, trace: str = "trace_id") -> DataFrame:
-    """The last ``max_turns`` messages, each cut to ``max_chars``,
-    label-mapped and joined in order (text style)."""
+# fixed values: per style the opening line, a message line around label / role and content, and the closing line
+HISTORY_STYLES = {
+    "text": ("Conversation History:", ("{label}: ", ""), None),
+    "markdown": ("### Conversation History\n", ("**{label}**: ", "\n"), None),
+    "xml": ("<conversation_history>", ('  <message role="{role}">', "</message>"), "</conversation_history>"),
+}
+
+
+def history_text(m: DataFrame, max_turns: int = 6, max_chars: int = 200, trace: str = "trace_id",
+                 labels: dict[str, str] | None = None, header: bool = True, style: str = "text") -> DataFrame:
+    """The last ``max_turns`` messages as prompt text.  An assistant's
+    calls follow its content, one ``Call tool: name(arguments)`` a line; then
+    the message is cut to ``max_chars`` and labelled by role."""
     r = prefix_scan(m.withColumn("_neg", -F.col("seq")), [trace], ["_neg"], {"_rn": F.lit(1)},
                     chunk=seq_chunk("_neg"))
     last = r.where(F.col("_rn") <= max_turns)
-    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_LABELS.items() for x in kv]), F.col("role")),
+    names = ROLE_LABELS | (labels or {})
+    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("role")),
                        F.col("role"))
-    body = F.left("content", F.lit(max_chars))
-    line = F.concat(label, F.lit(": "), F.coalesce(body, F.lit("")))
+    content = F.coalesce("content", F.lit(""))
+    calls = F.array_join(F.transform("tool_calls", lambda tc: F.concat(
+        F.lit("Call tool: "), F.coalesce(tc["function"]["name"], F.lit("unknown")), F.lit("("),
+        F.coalesce(tc["function"]["arguments"], F.lit("{}")), F.lit(")"))), "\n")
+    body = F.when((F.col("role") == "assistant") & F.col("tool_calls").isNotNull(),
+                  F.when(content != "", F.concat(content, F.lit("\n"), calls)).otherwise(calls)).otherwise(content)
+    opening, (before, after), closing = HISTORY_STYLES[style]
+    # a style names the label or the role, never both
+    lead, tail = before.replace("{role}", "{label}").split("{label}")
+    who = F.col("role") if "{role}" in before else label
+    line = F.concat(F.lit(lead), who, F.lit(tail), F.left(body, F.lit(max_chars)), F.lit(after))
     g = last.groupBy(trace).agg(F.sort_array(F.collect_list(F.struct("seq", line.alias("l")))).alias("_l"))
-    return g.select(trace, F.concat(F.lit("Conversation History:\n"),
-                                    F.array_join(F.transform("_l", lambda s: s["l"]), "\n")).alias("history"))
+    around = [F.lit(opening + "\n")] if header else []
+    ending = [F.lit("\n" + closing)] if header and closing else []
+    return g.select(trace, F.concat(*around, F.array_join(F.transform("_l", lambda s: s["l"]), "\n"), *ending).alias("history"))
 
 
 def session_stats(m: DataFrame, trace: str = "trace_id") -> DataFrame:
@@ -156,22 +186,36 @@ def session_stats(m: DataFrame, trace: str = "trace_id") -> DataFrame:
                                 F.sum(token_count("content")).alias("est_tokens"))
 
 
-def query_history(m: DataFrame, trace: str = "trace_id") -> DataFrame:
-    """The numbered earlier queries of each session, without the
-    current (last) one — one row per listed query ``(trace_id, n, line)``;
-    a session with a single query lists nothing (no history)."""
+def query_history(m: DataFrame, trace: str = "trace_id", current: DataFrame | None = None) -> DataFrame:
+    """The numbered queries of each session ``(trace_id, n, line)``.  The
+    last one is left out when it is the current query (``current``: trace and
+    ``current_query``; without it the last query is the current one)."""
     q = m.where(F.col("role") == "user")
     q = prefix_scan(q, [trace], ["seq"], {"_n": F.lit(1)}, chunk=seq_chunk("seq"))
     last = q.groupBy(trace).agg(F.max("_n").alias("_last"))
-    e = q.join(last, trace).where(F.col("_n") < F.col("_last"))
-    return e.select(trace, F.col("_n").cast("long").alias("n"),
-                    F.concat(F.col("_n").cast("string"), F.lit(". "), F.col("content")).alias("line"))
+    e = q.join(last, trace)
+    shown = F.col("_n") < F.col("_last")
+    if current is not None:
+        e = e.join(current.select(trace, "current_query"), trace, "left")
+        shown = shown | ~F.col("content").eqNullSafe(F.col("current_query"))
+    return e.where(shown).select(trace, F.col("_n").cast("long").alias("n"),
+                                 F.concat(F.lit("Historical Query "), F.col("_n").cast("string"), F.lit(": "), F.col("content"))
+                                 .alias("line"))
+
+
+def call_text(tc: Column) -> Column:
+    """One call as ``{"tool": …, "params": …}``: arguments parsed, or the bare
+    string when they are no JSON."""
+    args = tc["function"]["arguments"]
+    return F.to_json(F.struct(tc["function"]["name"].alias("tool"),
+                              F.coalesce(strict_json(args), args.cast("variant")).alias("params")))
 
 
 def tool_display_text(m: DataFrame) -> DataFrame:
-    """a message without content shows its calls (JSON)."""
+    """a message without content shows its calls, one a line."""
+    calls = F.array_join(F.transform("tool_calls", call_text), "\n")
     shown = F.when(F.coalesce(F.col("content"), F.lit("")) != "", F.col("content")) \
-        .when(F.size("tool_calls") > 0, F.to_json("tool_calls")).otherwise(F.lit(""))
+        .when(F.size("tool_calls") > 0, calls).otherwise(F.lit(""))
     return m.withColumn("display", shown)
 
 

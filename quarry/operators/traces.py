@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import tags
 from quarry.functions.text import py_strip
+from quarry.operators.messages import call_text
 from quarry.operators.scan import prefix_scan
 
 TOOL_RESULT_MARK = "[Tool Execution Result"
@@ -90,11 +91,7 @@ def _openai_actions() -> Column:
     user = F.when((cc != "") & (F.contains(cc, F.lit("[ERROR]")) | F.contains(cc, F.lit(OPENAI_RESULT_MARK))),
                   F.array().cast(f"array<{_ACTION}>")).otherwise(F.array(_act(0, "query", c)))
     tool = F.array(_act(0, "result", F.lit(None), F.concat(F.lit("[Tool Execution Result]: "), cc), F.lit("success")))
-    calls = F.transform(F.coalesce(F.col("tool_calls"), F.array()), lambda tc, i: _act(
-        i, "tool", F.to_json(F.struct(tc["function"]["name"].alias("tool"),
-                                      F.coalesce(F.try_parse_json(tc["function"]["arguments"]),
-                                                 F.to_variant_object(F.struct(tc["function"]["arguments"]
-                                                                              .alias("raw")))).alias("params")))))
+    calls = F.transform(F.coalesce(F.col("tool_calls"), F.array()), lambda tc, i: _act(i, "tool", call_text(tc)))
     a = F.col("_answer_info")  # staged by parse_actions (tags.with_answer)
     answer = F.array(_act(0, a["kind"], a["answer"], ds=a["data_source"]))
     has_calls = F.coalesce(F.size("tool_calls") > 0, F.lit(False))
@@ -223,7 +220,8 @@ def match_by_call_id(calls: DataFrame, results: DataFrame, trace: str = "trace_i
                      call_id: str = "call_id", result_id: str = "tool_call_id") -> DataFrame:
     """J4 (id mode): results matched to calls by their tool-call id instead of
     arrival order — an equi-join on (trace, id); calls without a result keep
-    NULLs, results naming an unknown id are dropped."""
+    NULLs, results naming an unknown id are dropped, an id that repeats counts once."""
     r = results.select(F.col(trace), F.col(result_id).alias(call_id),
                        *[F.col(c).alias(f"result_{c}") for c in results.columns if c not in (trace, result_id)])
-    return calls.join(r, [trace, call_id], "left")
+    first = r.groupBy(trace, call_id).agg(*[F.first(c).alias(c) for c in r.columns if c not in (trace, call_id)])
+    return calls.join(first, [trace, call_id], "left")

@@ -48,24 +48,60 @@ def v_messages(spark: SparkSession, sf: str) -> DataFrame:
                     F.lit(None).cast("string").alias("tool_call_id"))
 
 
+def _json_text(name: str, text) -> "F.Column":
+    """``{"name": text}`` as JSON text."""
+    return F.to_json(F.struct(text.alias(name)))
+
+
 def tag_wrap(conv_id, text) -> "F.Column":
-    """V-tagged: assistant text wrapped by ``conv_id % 5`` into each parse branch."""
-    word = F.regexp_extract(text, r"([A-Za-z]+)", 1)
-    k = F.pmod(conv_id, F.lit(5))
+    """V-tagged: assistant text wrapped by ``conv_id % 6`` into each parse branch."""
+    k = F.pmod(conv_id, F.lit(6))
     return (F.when(k == 0, F.concat(F.lit("<answer>"), text, F.lit("</answer>")))
-            .when(k == 1, F.concat(F.lit("<think>"), F.substring(text, 1, 20), F.lit("</think>\n<answer>"),
-                                   text, F.lit("</answer>")))
-            .when(k == 2, F.concat(F.lit('<tool_call>{"tool": "grep_search", "params": {"pattern": "'), word,
-                                   F.lit('"}}</tool_call>')))
-            .when(k == 3, F.concat(F.lit('```json\n{"answer": "'), word, F.lit('", "data_source": ["t'),
-                                   conv_id.cast("string"), F.lit('.csv"]}\n```')))
+            .when(k == 1, F.concat(F.lit("<think>"), text, F.lit("</think>\n<answer>"), text, F.lit("</answer>")))
+            .when(k == 2, F.concat(F.lit('<tool_call>{"tool": "grep_search", "params": '), _json_text("pattern", text),
+                                   F.lit("}</tool_call>")))
+            .when(k == 3, F.concat(F.lit('```json\n{"reply": '), _json_text("answer", text), F.lit(', "answer": "'),
+                                   conv_id.cast("string"), F.lit('", "data_source": ["t'), conv_id.cast("string"),
+                                   F.lit('.csv"]}\n```')))
+            .when(k == 4, F.concat(F.lit("3 rows: "), _json_text("answer", text)))
             .otherwise(F.concat(F.lit("<answer>"), text)))
 
 
 def v_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag-format traces.  In conversations of tool calls the later user
+    messages are echoes of tool results; every seventh ends in an empty one."""
+    m = v_messages(spark, sf)
+    conv, user = F.col("trace_id"), F.col("role") == "user"
+    echo = user & (F.pmod(conv, F.lit(6)).isin(1, 2)) & (F.col("seq") > 1)
+    return m.withColumn(
+        "content", F.when(F.col("role") == "assistant", tag_wrap(conv, F.col("content")))
+        .when(echo, F.concat(F.lit("[Tool Execution Result: grep_search]\n[SUCCESS] "), F.col("content")))
+        .when(user & (F.pmod(conv, F.lit(7)) == 6) & (F.col("seq") > 0), F.lit("")).otherwise(F.col("content")))
+
+
+def v_openai(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as OpenAI-shaped traces: by ``conv_id % 7`` an assistant
+    turn is a call with JSON arguments, one with raw arguments (both answered
+    by a ``tool`` row with the call's id), a tag answer, a JSON answer, a
+    headed answer, plain text or empty; some user turns are error echoes."""
     m = v_messages(spark, sf)
-    return m.withColumn("content", F.when(F.col("role") == "assistant", tag_wrap(F.col("trace_id"), F.col("content")))
-                        .otherwise(F.col("content")))
+    k, text, asks = F.pmod("trace_id", F.lit(7)), F.col("content"), F.col("role") == "assistant"
+    call = asks & (k <= 1)
+    call_id = F.concat_ws("_", F.lit("call"), "trace_id", "seq")
+    args = F.when(k == 0, _json_text("pattern", text)).otherwise(F.concat(F.lit("rows: "), text))
+    calls = F.array(F.struct(call_id.alias("id"), F.lit("function").alias("type"),
+                             F.struct(F.lit("grep_search").alias("name"), args.alias("arguments")).alias("function")))
+    said = (F.when(call, F.when(F.col("seq") % 4 == 1, F.lit("")).otherwise(text))
+            .when(asks & (k == 2), F.concat(F.lit("so <answer> "), text, F.lit(" </answer>")))
+            .when(asks & (k == 3), _json_text("answer", text))
+            .when(asks & (k == 4), F.concat(F.lit("found it\n## Answer\n"), text))
+            .when(asks & (k == 6), F.lit(" "))
+            .when((F.col("role") == "user") & (F.col("seq") > 1) & (k == 1), F.concat(F.lit("[ERROR] "), text)).otherwise(text))
+    sent = m.select("trace_id", (2 * F.col("seq")).cast("long").alias("seq"), "role", said.alias("content"),
+                    F.when(call, calls).alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id"))
+    back = m.where(call).select("trace_id", (2 * F.col("seq") + 1).cast("long").alias("seq"), F.lit("tool").alias("role"), "content",
+                                F.lit(None).cast(_CALL_T).alias("tool_calls"), call_id.alias("tool_call_id"))
+    return sent.unionByName(back)
 
 
 # --------------------------------------------------------------- V-calls
@@ -122,11 +158,11 @@ _DUP_OFFSET = 1_000_000
 
 def v_samples(spark: SparkSession, sf: str) -> DataFrame:
     """benchmark as ground-truth samples: even items carry a checklist (one
-    step per '. '-sentence, at most 3), odd items a plain answer; every 4th
+    step per '. '-sentence), odd items a plain answer; every 4th
     item is appended again (ord + 1e6) with a plain answer."""
     b = _t(spark, sf, "benchmark", ["item_id", "text"])
     k = F.col("item_id")
-    sents = F.slice(F.split(F.col("text"), r"\. ", -1), 1, 3)
+    sents = F.split(F.col("text"), r"\. ", -1)
     steps = F.transform(sents, lambda s, i: F.struct(
         (i + 1).cast("int").alias("idx"), s.alias("info_item"), F.length(s).cast("string").alias("answer"),
         F.array(F.concat(F.lit("t"), k.cast("string"), F.lit(".csv")),

@@ -26,16 +26,41 @@ messages AS (
 TAGGED = r"""
 tagged AS (
   SELECT conv_id AS trace_id, turn AS seq, role,
-    CASE WHEN role <> 'assistant' THEN text
-         WHEN conv_id % 5 = 0 THEN '<answer>' || text || '</answer>'
-         WHEN conv_id % 5 = 1 THEN '<think>' || substring(text, 1, 20) || '</think>' || chr(10) || '<answer>' || text || '</answer>'
-         WHEN conv_id % 5 = 2 THEN '<tool_call>{"tool": "grep_search", "params": {"pattern": "'
-                                   || coalesce(regexp_extract(text, '([A-Za-z]+)', 1), '') || '"}}</tool_call>'
-         WHEN conv_id % 5 = 3 THEN '```json' || chr(10) || '{"answer": "' || coalesce(regexp_extract(text, '([A-Za-z]+)', 1), '')
-                                   || '", "data_source": ["t' || CAST(conv_id AS VARCHAR) || '.csv"]}' || chr(10) || '```'
+    CASE WHEN role = 'user' AND conv_id % 6 IN (1, 2) AND turn > 1 THEN '[Tool Execution Result: grep_search]' || chr(10) || '[SUCCESS] ' || text
+         WHEN role = 'user' AND conv_id % 7 = 6 AND turn > 0 THEN ''
+         WHEN role <> 'assistant' THEN text
+         WHEN conv_id % 6 = 0 THEN '<answer>' || text || '</answer>'
+         WHEN conv_id % 6 = 1 THEN '<think>' || text || '</think>' || chr(10) || '<answer>' || text || '</answer>'
+         WHEN conv_id % 6 = 2 THEN '<tool_call>{"tool": "grep_search", "params": ' || CAST(to_json({'pattern': text}) AS VARCHAR) || '}</tool_call>'
+         WHEN conv_id % 6 = 3 THEN '```json' || chr(10) || '{"reply": ' || CAST(to_json({'answer': text}) AS VARCHAR) || ', "answer": "'
+                                   || CAST(conv_id AS VARCHAR) || '", "data_source": ["t' || CAST(conv_id AS VARCHAR) || '.csv"]}'
+                                   || chr(10) || '```'
+         WHEN conv_id % 6 = 4 THEN '3 rows: ' || CAST(to_json({'answer': text}) AS VARCHAR)
          ELSE '<answer>' || text END AS content
   FROM conversations)"""
 
+# OpenAI-shaped traces: (call name, arguments) of call rows, NULL elsewhere
+OPENAI = r"""
+oa AS (
+  SELECT conv_id AS trace_id, CAST(2 * turn AS BIGINT) AS seq, role,
+    CASE WHEN role = 'assistant' AND conv_id % 7 <= 1 THEN CASE WHEN turn % 4 = 1 THEN '' ELSE text END
+         WHEN role = 'assistant' AND conv_id % 7 = 2 THEN 'so <answer> ' || text || ' </answer>'
+         WHEN role = 'assistant' AND conv_id % 7 = 3 THEN CAST(to_json({'answer': text}) AS VARCHAR)
+         WHEN role = 'assistant' AND conv_id % 7 = 4 THEN 'found it' || chr(10) || '## Answer' || chr(10) || text
+         WHEN role = 'assistant' AND conv_id % 7 = 6 THEN ' '
+         WHEN role = 'user' AND turn > 1 AND conv_id % 7 = 1 THEN '[ERROR] ' || text ELSE text END AS content,
+    CASE WHEN role = 'assistant' AND conv_id % 7 = 0 THEN CAST(to_json({'pattern': text}) AS VARCHAR)
+         WHEN role = 'assistant' AND conv_id % 7 = 1 THEN 'rows: ' || text END AS arguments,
+    CASE WHEN role = 'assistant' AND conv_id % 7 <= 1 THEN 'call_' || conv_id || '_' || turn END AS call_id,
+    NULL::VARCHAR AS tool_call_id
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, CAST(2 * turn + 1 AS BIGINT), 'tool', text, NULL, NULL, 'call_' || conv_id || '_' || turn
+  FROM conversations WHERE role = 'assistant' AND conv_id % 7 <= 1),
+oac AS (  -- a call as text: arguments parsed, or the bare string
+  SELECT *, CASE WHEN arguments IS NOT NULL THEN '{"params":' || CASE WHEN json_valid(arguments) THEN arguments
+            ELSE CAST(to_json(arguments) AS VARCHAR) END || ',"tool":"grep_search"}' END AS call_text FROM oa)"""
+
 CALLS = r"""
 calls AS (
   SELECT user_id AS trace_id, ts, event_id,
@@ -67,7 +92,7 @@ samples AS (
          CASE WHEN item_id % 2 = 1 THEN CAST(length(text) AS VARCHAR) END AS answer,
          CASE WHEN item_id % 2 = 1 THEN ['t' || CAST(item_id AS VARCHAR) || '.csv'] END AS table_path,
          CASE WHEN item_id % 2 = 0 THEN list_transform(
-             list_slice(string_split(text, '. '), 1, 3),
+             string_split(text, '. '),
              lambda s, i: {'idx': CAST(i AS INTEGER), 'info_item': s, 'answer': CAST(length(s) AS VARCHAR),
                            'related_tables': ['t' || CAST(item_id AS VARCHAR) || '.csv',
                                               't' || CAST(item_id AS VARCHAR) || '_part' || CAST(i AS VARCHAR) || '.csv'],

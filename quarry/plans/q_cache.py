@@ -188,14 +188,26 @@ def q_folder_rollup(spark, sf):
 
 
 @query("dirs_first_order", sql=f"""
-WITH {O.VFILES},
+WITH RECURSIVE {O.VFILES},
 p AS (SELECT string_split(relative_path, '/') AS p FROM vfiles),
-pre AS (SELECT DISTINCT array_to_string(list_slice(p, 1, d), '/') AS parent, p[d + 1] AS name, d + 1 = len(p) AS is_file
-        FROM (SELECT p, unnest(range(0, len(p))) AS d FROM p))
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY parent ORDER BY is_file, name) AS INTEGER) AS rank FROM pre)
-WHERE rank <= 10""", category="files")
+nodes AS (SELECT DISTINCT array_to_string(list_slice(p, 1, d), '/') AS parent, d AS depth, p[d + 1] AS name, d + 1 = len(p) AS is_file
+          FROM (SELECT p, unnest(range(0, len(p))) AS d FROM p)),
+lv AS (SELECT parent, depth, count(*) AS n_children, min(CASE WHEN NOT is_file THEN name END) AS first_dir
+       FROM nodes GROUP BY parent, depth),
+walk AS (  -- each level with what the quota allows it; the next one only behind a whole level
+  SELECT parent, depth, n_children, first_dir, least(n_children, 10) AS shown, 10 - least(n_children, 10) AS left_over
+  FROM lv WHERE depth = 0
+  UNION ALL
+  SELECT l.parent, l.depth, l.n_children, l.first_dir, least(l.n_children, w.left_over), w.left_over - least(l.n_children, w.left_over)
+  FROM walk w JOIN lv l ON l.depth = w.depth + 1
+       AND l.parent = CASE WHEN w.depth = 0 THEN w.first_dir ELSE w.parent || '/' || w.first_dir END
+  WHERE w.left_over > 0)
+SELECT parent, name, is_file, rank, n_children FROM (
+  SELECT n.*, w.n_children, w.shown, CAST(row_number() OVER (PARTITION BY n.parent ORDER BY n.is_file, n.name) AS INTEGER) AS rank
+  FROM nodes n JOIN walk w USING (parent, depth))
+WHERE rank <= shown""", category="files")
 def q_dirs_first_order(spark, sf):
-    """First 10 children per directory, directories first."""
+    """A folder view of at most 10 entries: the root, then the first directories."""
     return K.dirs_first_order(v_files(spark, sf))
 
 

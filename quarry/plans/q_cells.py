@@ -200,17 +200,22 @@ def q_table_document(spark, sf):
 @query("describe_table", sql=f"""
 WITH {O.ROW_LINES},
 d AS (SELECT path, count(*) - 1 AS n, max(CASE WHEN line_no = 1 THEN line END) AS header FROM pl GROUP BY path)
-SELECT path AS file_path, 'Table: ' || path || chr(10) || 'Description: ' || CAST(n AS VARCHAR) || ' rows' || chr(10)
-       || 'Columns:' || chr(10) || array_to_string(list_transform(string_split(header, ','), lambda x: '- ' || x || ' (string): '), chr(10)) AS text
+SELECT path AS file_path, 'File path: ' || path
+       || CASE WHEN n % 3 = 0 THEN '' ELSE chr(10) || 'Table description: ' || CAST(n AS VARCHAR) || ' rows' END
+       || CASE WHEN n % 4 = 0 THEN '' ELSE chr(10) || 'Column information:' || chr(10) || array_to_string(list_transform(
+            string_split(header, ','), lambda x: '  - ' || CASE WHEN x = 'p_size' THEN 'Unknown' ELSE x END
+            || ' (' || CASE WHEN x = 'p_name' THEN '' ELSE 'string' END || '): '), chr(10)) END AS text
 FROM d""", category="cells")
 def q_describe_table(spark, sf):
-    """table description text from a (path, desc, columns) record."""
+    """table description text from a (path, desc, columns) record; some
+    records lack the description, the columns, a column's name or type."""
     rl = v_row_lines(spark, sf)
     d = rl.groupBy("path").agg((F.count("*") - 1).alias("n"),
                                F.max(F.when(F.col("line_no") == 1, F.col("line"))).alias("header"))
+    columns = F.transform(F.split("header", ","), lambda x: F.struct(
+        F.when(x != "p_size", x).alias("col_name"), F.when(x != "p_name", "string").alias("col_type"),
+        F.lit(None).cast("string").alias("col_desc")))
     desc = d.select(F.col("path").alias("file_path"),
-                    F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("table_desc"),
-                    F.transform(F.split("header", ","), lambda x: F.struct(
-                        x.alias("col_name"), F.lit("string").alias("col_type"), F.lit("").alias("col_desc")))
-                    .alias("column_info"))
+                    F.when(F.col("n") % 3 != 0, F.concat(F.col("n").cast("string"), F.lit(" rows"))).alias("table_desc"),
+                    F.when(F.col("n") % 4 != 0, columns).alias("column_info"))
     return C.describe_table(desc)

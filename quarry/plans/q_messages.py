@@ -8,7 +8,7 @@ from quarry.functions import tags
 from quarry.operators import messages as MS
 from quarry.operators.scan import time_chunk
 from quarry.plans import oracle as O
-from quarry.plans.fixtures import v_calls, v_messages, v_tagged
+from quarry.plans.fixtures import v_calls, v_messages, v_openai, v_tagged
 from quarry.registry import query
 
 TOKS = "len(regexp_extract_all(content, '\\w+|[^\\w\\s]'))"
@@ -88,7 +88,8 @@ m AS (SELECT *, CASE WHEN len(regexp_extract_all(content, '(?is)<think>(.*?)</th
                      THEN array_to_string(list_transform(regexp_extract_all(content, '(?is)<think>(.*?)</think>', 1),
                           lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), chr(10) || chr(10)) END AS reasoning_content
       FROM tagged),
-lu AS (SELECT trace_id, max(seq) AS l FROM m WHERE role = 'user' GROUP BY trace_id)
+lu AS (SELECT trace_id, max(seq) AS l FROM m WHERE role = 'user' AND content <> ''
+       AND NOT starts_with(content, '[Tool Execution Result') GROUP BY trace_id)
 SELECT m.trace_id, m.seq, CASE WHEN m.seq <= coalesce(lu.l, -1) THEN NULL ELSE reasoning_content END AS reasoning_content
 FROM m LEFT JOIN lu USING (trace_id)""", category="messages")
 def q_suppress_reasoning(spark, sf):
@@ -123,33 +124,56 @@ def q_preserve_signature(spark, sf):
 
 @query("merge_tool_results", sql=f"""
 WITH {O.CALLS},
-m AS (SELECT trace_id, ts, event_id, CASE WHEN kind = 'result' THEN 'tool' ELSE 'assistant' END AS role, tool AS content
-      FROM calls),
-s AS (SELECT *, CASE WHEN role = 'tool' AND lag(role) OVER w = 'tool' THEN 0 ELSE 1 END AS st FROM m
+m AS (SELECT trace_id, ts, event_id, tool, CASE WHEN kind = 'result' THEN 'tool' ELSE 'assistant' END AS role,
+             kind = 'result' AND tool <> 'view' AS bare FROM calls),
+s AS (SELECT *, CASE WHEN bare AND lag(role) OVER w = 'tool' THEN 0 ELSE 1 END AS st FROM m
       WINDOW w AS (PARTITION BY trace_id ORDER BY ts, event_id)),
 i AS (SELECT *, sum(st) OVER (PARTITION BY trace_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM s)
 SELECT trace_id, CAST(isl AS BIGINT) AS message_no,
        CAST(row_number() OVER (PARTITION BY trace_id, isl ORDER BY ts, event_id) AS BIGINT) AS part_no, ts, event_id,
-       first_value(role) OVER (PARTITION BY trace_id, isl ORDER BY ts, event_id) AS role, content
+       first_value(CASE WHEN bare THEN 'user' ELSE role END) OVER (PARTITION BY trace_id, isl ORDER BY ts, event_id) AS role,
+       CASE WHEN bare THEN '[Tool Execution Result: ' || tool || ']' || chr(10) || tool ELSE tool END AS content
 FROM i""", category="messages")
 def q_merge_tool_results(spark, sf):
-    """Consecutive id-less tool results merged (call log as messages), as message parts."""
-    c = v_calls(spark, sf).select("trace_id", "ts", "event_id",
+    """Id-less tool results merged into the result before them (call log
+    as messages: 'view' results carry a call id, 'error' results none)."""
+    c = v_calls(spark, sf).select("trace_id", "ts", "event_id", F.col("tool").alias("tool_name"),
                                   F.when(F.col("kind") == "result", "tool").otherwise("assistant").alias("role"),
-                                  F.col("tool").alias("content"), F.lit(None).cast("string").alias("tool_call_id"))
+                                  F.col("tool").alias("content"),
+                                  F.when(F.col("tool") == "view", F.concat(F.lit("call_"), F.col("event_id").cast("string")))
+                                  .alias("tool_call_id"))
     return MS.merge_tool_results(c, order=("ts", "event_id"), chunk=time_chunk("ts"))
 
 
-@query("history_text", sql=f"""
-WITH {O.MESSAGES},
-r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq DESC) AS rn FROM messages)
-SELECT trace_id, 'Conversation History:' || chr(10) || string_agg(
-         CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System'
-                   WHEN 'tool' THEN 'Tool' ELSE role END || ': ' || coalesce(left(content, 200), ''), chr(10) ORDER BY seq) AS history
-FROM r WHERE rn <= 6 GROUP BY trace_id""", category="messages")
+def _history_sql(before: str, after: str, opening: str, closing: str, turns: int, chars: int, user: str) -> str:
+    return f"""
+WITH {O.OPENAI},
+r AS (SELECT *, CASE role WHEN 'user' THEN '{user}' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System'
+                          WHEN 'tool' THEN 'Tool' ELSE role END AS label,
+             CASE WHEN arguments IS NULL THEN coalesce(content, '')
+                  ELSE coalesce(nullif(content, '') || chr(10), '') || 'Call tool: grep_search(' || arguments || ')' END AS body,
+             row_number() OVER (PARTITION BY trace_id ORDER BY seq DESC) AS rn FROM oac)
+SELECT trace_id, {opening} || string_agg({before} || left(body, {chars}) || {after}, chr(10) ORDER BY seq) || {closing} AS history
+FROM r WHERE rn <= {turns} GROUP BY trace_id"""
+
+
+@query("history_text", sql=_history_sql("label || ': '", "''", "'Conversation History:' || chr(10)", "''", 6, 200, "User"), category="messages")
 def q_history_text(spark, sf):
-    """Last 6 messages as prompt text."""
-    return MS.history_text(v_messages(spark, sf))
+    """Last 6 messages as prompt text, calls included."""
+    return MS.history_text(v_openai(spark, sf))
+
+
+@query("history_markdown", sql=_history_sql("'**' || label || '**: '", "chr(10)", "''", "''", 3, 80, "Client"), category="messages")
+def q_history_markdown(spark, sf):
+    """The markdown style without header, with another user label."""
+    return MS.history_text(v_openai(spark, sf), 3, 80, labels={"user": "Client"}, header=False, style="markdown")
+
+
+@query("history_xml", sql=_history_sql("'  <message role=\"' || role || '\">'", "'</message>'", "'<conversation_history>' || chr(10)",
+                                       "chr(10) || '</conversation_history>'", 6, 200, "User"), category="messages")
+def q_history_xml(spark, sf):
+    """The XML style."""
+    return MS.history_text(v_openai(spark, sf), style="xml")
 
 
 @query("session_stats", sql=f"""
@@ -163,13 +187,19 @@ def q_session_stats(spark, sf):
 
 @query("query_history", sql=f"""
 WITH {O.MESSAGES},
-q AS (SELECT trace_id, seq, content, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n FROM messages WHERE role = 'user'),
-l AS (SELECT trace_id, max(n) AS last FROM q GROUP BY trace_id)
-SELECT q.trace_id, CAST(q.n AS BIGINT) AS n, CAST(q.n AS VARCHAR) || '. ' || q.content AS line
-FROM q JOIN l USING (trace_id) WHERE q.n < l.last""", category="messages")
+q AS (SELECT trace_id, content, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS n,
+             row_number() OVER (PARTITION BY trace_id ORDER BY seq DESC) AS back FROM messages WHERE role = 'user'),
+cur AS (SELECT trace_id, max(CASE WHEN CASE WHEN trace_id % 2 = 0 THEN back ELSE n END = 1 THEN content END) AS current_query
+        FROM q GROUP BY trace_id)
+SELECT trace_id, CAST(n AS BIGINT) AS n, 'Historical Query ' || CAST(n AS VARCHAR) || ': ' || content AS line
+FROM q JOIN cur USING (trace_id) WHERE NOT (back = 1 AND content IS NOT DISTINCT FROM current_query)""", category="messages")
 def q_query_history(spark, sf):
-    """Earlier queries of each session, numbered (one row per entry)."""
-    return MS.query_history(v_messages(spark, sf))
+    """Listed queries of each session; the current one is the last in
+    sessions of even id and the first in the others (then the last is listed too)."""
+    m = v_messages(spark, sf)
+    ends = m.where("role = 'user'").groupBy("trace_id").agg(F.min_by("content", "seq").alias("a"), F.max_by("content", "seq").alias("b"))
+    current = ends.select("trace_id", F.when(F.col("trace_id") % 2 == 0, F.col("b")).otherwise(F.col("a")).alias("current_query"))
+    return MS.query_history(m, current=current)
 
 
 @query("turn_latency", sql=f"""
@@ -190,23 +220,31 @@ def q_turn_latency(spark, sf):
 
 
 @query("tool_display_text", sql=f"""
-WITH {O.MESSAGES}
-SELECT trace_id, seq, coalesce(content, '') AS display FROM messages""", category="messages")
+WITH {O.OPENAI}
+SELECT trace_id, seq, CASE WHEN coalesce(content, '') <> '' THEN content ELSE coalesce(call_text, '') END AS display
+FROM oac""", category="messages")
 def q_tool_display_text(spark, sf):
     """display text (content, else the calls as JSON)."""
-    return MS.tool_display_text(v_messages(spark, sf)).select("trace_id", "seq", "display")
+    m = MS.tool_display_text(v_openai(spark, sf))
+    return m.select("trace_id", "seq", _sorted_keys(F.col("display")).alias("display"))
+
+
+def _sorted_keys(x):
+    """JSON texts compare by content: keys in the order of a parsed object."""
+    from quarry.functions.tags import strict_json
+    return F.coalesce(F.when(F.startswith(x, F.lit('{"')), F.to_json(strict_json(x))), x)
 
 
 @query("chat_format", sql=f"""
-WITH {O.MESSAGES},
-s AS (SELECT trace_id, arg_max(content, seq) AS system FROM messages WHERE role = 'system' GROUP BY trace_id)
+WITH {O.OPENAI},
+s AS (SELECT trace_id, arg_max(content, seq) AS system FROM oac WHERE role = 'system' GROUP BY trace_id)
 SELECT m.trace_id, m.seq, CASE WHEN m.role = 'assistant' THEN 'model' ELSE m.role END AS role, m.content,
-       NULL::VARCHAR AS tool_name, s.system
-FROM messages m LEFT JOIN s USING (trace_id)
-WHERE m.role <> 'system' AND NOT (m.role = 'assistant' AND coalesce(m.content, '') = '')""", category="messages")
+       CASE WHEN m.role = 'tool' THEN 'grep_search' END AS tool_name, s.system
+FROM oac m LEFT JOIN s USING (trace_id)
+WHERE m.role <> 'system' AND NOT (m.role = 'assistant' AND coalesce(m.content, '') = '' AND m.call_id IS NULL)""", category="messages")
 def q_chat_format(spark, sf):
-    """messages in the second chat shape (system lifted, model role)."""
-    return MS.chat_format(v_messages(spark, sf))
+    """messages in the second chat shape (system lifted, model role, results named)."""
+    return MS.chat_format(v_openai(spark, sf))
 
 
 def _catalog(spark):

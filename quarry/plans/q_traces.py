@@ -8,7 +8,7 @@ from quarry.functions import tags
 from quarry.operators import traces as T
 from quarry.operators.scan import time_chunk
 from quarry.plans import oracle as O
-from quarry.plans.fixtures import v_calls, v_messages, v_tagged
+from quarry.plans.fixtures import v_calls, v_openai, v_tagged
 from quarry.registry import query
 
 # DuckDB: Python-style strip
@@ -29,6 +29,8 @@ acts AS (
   SELECT trace_id, seq, 0 AS sub, 'query' AS type, content FROM tagged
   WHERE role = 'user' AND NOT contains(coalesce(content, ''), '[Tool Execution Result')
   UNION ALL
+  SELECT trace_id, seq, 1, 'result', NULL FROM tagged WHERE role = 'user' AND contains(coalesce(content, ''), '[Tool Execution Result')
+  UNION ALL
   SELECT trace_id, seq, CAST(generate_subscripts(tcs, 1) - 1 AS INTEGER) AS sub, 'tool' AS type, unnest(tcs) AS content
   FROM asst
   UNION ALL
@@ -63,6 +65,46 @@ def q_parse_actions(spark, sf):
     return _actions(spark, sf).select("trace_id", "seq", "sub", "type", "content")
 
 
+@query("parse_openai_actions", sql=f"""
+WITH {O.OPENAI},
+a AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS rn,
+             bool_or(call_id IS NOT NULL OR role = 'tool') OVER (PARTITION BY trace_id) AS openai FROM oac),
+b AS (SELECT * FROM a WHERE openai AND role <> 'system')
+SELECT trace_id, seq, 0 AS sub, 'query' AS type, content, NULL::VARCHAR AS result, NULL::VARCHAR AS success FROM b
+WHERE role = 'user' AND NOT contains(content, '[ERROR]') AND NOT contains(content, '[Tool Execution Result]')
+UNION ALL SELECT trace_id, seq, 0, 'result', NULL, '[Tool Execution Result]: ' || content, 'success' FROM b WHERE role = 'tool'
+UNION ALL SELECT trace_id, seq, 0, 'tool', call_text, NULL, NULL FROM b WHERE call_id IS NOT NULL
+UNION ALL SELECT trace_id, seq, 0, 'unknown', 'Empty Content', NULL, NULL FROM b
+          WHERE role = 'assistant' AND call_id IS NULL AND trim(content, ' ' || chr(10)) = ''
+UNION ALL SELECT trace_id, seq, 0, 'answer', content, NULL, NULL FROM b
+          WHERE role = 'assistant' AND call_id IS NULL AND trim(content, ' ' || chr(10)) <> ''""", category="traces")
+def q_parse_openai_actions(spark, sf):
+    """Messages → typed actions of the traces with structured calls."""
+    from quarry.plans.q_messages import _sorted_keys
+    m = v_openai(spark, sf)
+    f = T.detect_format(m)
+    a = T.parse_actions(m.join(f.where("is_openai"), "trace_id", "left_semi"), formats=f)
+    return a.select("trace_id", "seq", "sub", "type",
+                    F.when(F.col("type") == "tool", _sorted_keys(F.col("content"))).otherwise(F.col("content")).alias("content"),
+                    "result", "success")
+
+
+@query("openai_answers", sql=f"""
+WITH {O.OPENAI},
+a AS (SELECT *, {_strip("coalesce(content, '')")} AS t FROM oac WHERE role = 'assistant' AND call_id IS NULL)
+SELECT trace_id, seq, CASE WHEN t = '' THEN 'unknown' ELSE 'answer' END AS kind,
+       CASE trace_id % 7 WHEN 2 THEN {_strip("regexp_extract(content, '(?s)<answer>(.*?)</answer>', 1)")}
+            WHEN 3 THEN {_strip("json_extract_string(content, '$.answer')")}
+            WHEN 4 THEN {_strip("split_part(content, '## Answer', 2)")}
+            WHEN 6 THEN 'Empty Content' ELSE content END AS answer
+FROM a""", category="traces")
+def q_openai_answers(spark, sf):
+    """the answer cascade over every branch of OpenAI-shaped replies."""
+    m = v_openai(spark, sf).where("role = 'assistant' AND tool_calls IS NULL")
+    return tags.with_answer(m, "content").select("trace_id", "seq", F.col("answer_info.kind").alias("kind"),
+                                                 F.col("answer_info.answer").alias("answer"))
+
+
 @query("query_messages", sql=f"""
 WITH {O.TAGGED}
 SELECT trace_id, seq, content FROM tagged
@@ -154,38 +196,37 @@ def q_tool_metrics(spark, sf):
 
 
 # ------------------------------------------------------------ tag functions
-@query("extract_answer", sql=f"""
-WITH {O.TAGGED},
+JSON_BODY = f"""
 a AS (SELECT trace_id, seq, content, {ANS} AS tag,
-        CASE WHEN regexp_matches(content, '```(?:json)?\\s*([\\s\\S]*?)\\s*```')
-             THEN {_strip("regexp_extract(content, '```(?:json)?\\s*([\\s\\S]*?)\\s*```', 1)")} END AS fenced
-      FROM tagged WHERE role = 'assistant'),
-b AS (SELECT *, CASE WHEN json_valid(fenced) AND json_type(fenced) = 'OBJECT' AND json_extract(fenced, '$.error') IS NULL
-                     THEN nullif({_strip("json_extract_string(fenced, '$.answer')")}, '') END AS jans FROM a)
+        CASE WHEN regexp_matches(content, '```') THEN {_strip("regexp_extract(content, '```(?:json)?\\s*([\\s\\S]*?)\\s*```', 1)")}
+             WHEN json_valid(content) THEN content
+             WHEN json_valid(regexp_extract(content, '(\\{{[\\s\\S]*\\}})', 1)) THEN regexp_extract(content, '(\\{{[\\s\\S]*\\}})', 1) END AS body
+      FROM tagged WHERE role = 'assistant')"""
+
+
+@query("extract_answer", sql=f"""
+WITH {O.TAGGED},{JSON_BODY},
+b AS (SELECT *, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' AND json_extract(body, '$.error') IS NULL
+                     THEN nullif({_strip("json_extract_string(body, '$.answer')")}, '') END AS jans FROM a)
 SELECT trace_id, seq,
        CASE WHEN tag IS NULL AND jans IS NULL AND {_strip("coalesce(content, '')")} = '' THEN 'unknown' ELSE 'answer' END AS kind,
        coalesce(tag, jans, content) AS answer,
        CASE WHEN tag IS NULL AND jans IS NOT NULL
-            THEN coalesce(CAST(json_extract(fenced, '$.data_source') AS VARCHAR[]), []::VARCHAR[]) ELSE []::VARCHAR[] END AS data_source
+            THEN coalesce(CAST(json_extract(body, '$.data_source') AS VARCHAR[]), []::VARCHAR[]) ELSE []::VARCHAR[] END AS data_source
 FROM b""", category="tags")
 def q_extract_answer(spark, sf):
-    """answer cascade over assistant texts (tag, fenced JSON, content)."""
-    m = v_tagged(spark, sf).where("role = 'assistant'")
-    a = tags.extract_answer(F.col("content"))
-    return m.select("trace_id", "seq", a["kind"].alias("kind"), a["answer"].alias("answer"),
-                    a["data_source"].alias("data_source"))
+    """answer cascade over assistant texts (tag, JSON, content)."""
+    m = tags.with_answer(v_tagged(spark, sf).where("role = 'assistant'"), "content")
+    return m.select("trace_id", "seq", "answer_info.kind", "answer_info.answer", "answer_info.data_source")
 
 
 @query("extract_json", sql=f"""
-WITH {O.TAGGED}
-SELECT trace_id, seq,
-       json_extract_string({_strip("regexp_extract(content, '```(?:json)?\\s*([\\s\\S]*?)\\s*```', 1)")}, '$.answer') AS answer
-FROM tagged WHERE role = 'assistant' AND regexp_matches(content, '```')""", category="tags")
+WITH {O.TAGGED},{JSON_BODY}
+SELECT trace_id, seq, CASE WHEN json_valid(body) THEN json_extract_string(body, '$.answer') END AS answer FROM a""", category="tags")
 def q_extract_json(spark, sf):
-    """JSON cascade on fenced replies; the parsed ``answer`` field."""
-    m = v_tagged(spark, sf).where("role = 'assistant' AND contains(content, '```')")
-    return m.select("trace_id", "seq", F.try_variant_get(tags.extract_json("content"), "$.answer", "string")
-                    .alias("answer"))
+    """JSON cascade on every reply; the parsed ``answer`` field."""
+    m = tags.with_json_text(v_tagged(spark, sf).where("role = 'assistant'"), "content", "body")
+    return m.select("trace_id", "seq", F.try_variant_get(tags.strict_json(F.col("body")), "$.answer", "string").alias("answer"))
 
 
 @query("extract_tool_calls", sql=f"""
