@@ -7,16 +7,20 @@ score_points>>>)`` — the complex (checklist) or the simple (answer) shape.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import basename, py_strip
+from quarry.session import cut_lineage
 
 STEP_T = "struct<idx:int,info_item:string,answer:string,related_tables:array<string>,score_points:array<string>>"
-# strings with fewer tokens than this have no interior token to block on
-MIN_TOKENS_FOR_BLOCKING = 3
-# largest short-string side (rows) shipped by broadcast in match_sample
-SHORT_SIDE_LIMIT = 200_000
+# texts with fewer words have no inner run of three words to block on
+MIN_WORDS_FOR_BLOCKING = 5
+# characters of short texts searched for in one pass
+BLOCK_CHARS = 1_000_000
 
 
 def usable(samples: DataFrame) -> Column:
@@ -79,48 +83,86 @@ def pending_samples(samples: DataFrame, traces: DataFrame, query: str = "query")
     return s.join(done.select("ord"), "ord", "left_anti").drop("_h")
 
 
-def _anchor(x: Column) -> Column:
-    """Longest interior word token of ``x`` (NULL if fewer than 3 tokens).
-
-    If x occurs inside y, every token of x except the first and the last is
-    also a whole token of y, so joining on it loses no match.
-    """
-    toks = F.regexp_extract_all(x, F.lit(r"\w+"), 0)
-    interior = F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(1)))
-    best = F.element_at(F.sort_array(F.transform(interior, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))),
-                                     asc=False), 1)
-    return F.when(F.size(toks) >= MIN_TOKENS_FOR_BLOCKING, best["t"])
-
-
-# at least three word tokens, decided from the first three words only
-_HAS_3_TOKENS = r"^\W*\w+\W+\w+\W+\w"
-
-
-def _contained_pairs(small: DataFrame, s_key: str, s_col: str, big: DataFrame, b_key: str, b_col: str) -> DataFrame:
-    """Pairs with ``small[s_col]`` ⊆ ``big[b_col]`` (needle non-empty), exact.
-
-    Needles with an interior token join on it against the distinct tokens
-    of each haystack, then ``contains`` verifies the candidates.  Needles
-    with fewer than three tokens have no such token; they are checked by a
-    broadcast nested loop after their count is checked against
-    ``SHORT_SIDE_LIMIT`` (the check reads only the first words of each text).
-    """
-    needles = small.where(F.col(s_col) != "")
-    short_flag = ~F.col(s_col).rlike(_HAS_3_TOKENS)
-    long_n = needles.where(~short_flag).select(s_key, s_col, _anchor(F.col(s_col)).alias("_anchor"))
-    toks = big.select(b_key, F.explode(F.array_distinct(F.regexp_extract_all(b_col, F.lit(r"\w+"), 0)))
-                      .alias("_anchor"))
-    cand = long_n.select(s_key, "_anchor").join(toks, "_anchor").select(s_key, b_key).distinct()
-    blocked = cand.join(long_n.select(s_key, s_col), s_key).join(big.select(b_key, b_col), b_key) \
-        .where(F.contains(F.col(b_col), F.col(s_col))).select(s_key, b_key)
-    short = needles.where(short_flag).select(s_key, s_col)
-    n_short = short.count()
-    if n_short > SHORT_SIDE_LIMIT:
-        raise ValueError(f"{n_short} needles have fewer than {MIN_TOKENS_FOR_BLOCKING} tokens; "
-                         "too many to broadcast for an exact containment check")
-    loose = big.select(b_key, b_col).join(F.broadcast(short), F.contains(F.col(b_col), F.col(s_col))) \
-        .select(s_key, b_key)
-    return blocked.unionByName(loose)
+def _words(x: Column) -> Column:
+    """Words of any script."""
+    return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+
+def _shingles(words: Column, first: Column, last: Column) -> Column:
+    """Hash and length of each run of three words that starts at 1-based first..last."""
+    at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(
+        (F.length(F.get(words, i - 1)) + F.length(F.get(words, i)) + F.length(F.get(words, i + 1))).alias("n"),
+        F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h")))
+
+
+def _long_pairs(needles: DataFrame, big: DataFrame, b_key: str, b_col: str) -> DataFrame:
+    """Needles ``(needle, text, words)`` of five words or more.  A needle's words
+    but the first and the last are whole words of any text that contains it,
+    so its longest run of three of them is also one of that text."""
+    inner = _shingles(F.col("words"), F.lit(2), F.size("words") - 3)
+    keyed = needles.select("needle", "text", F.element_at(F.sort_array(inner, asc=False), 1)["h"].alias("_h"))
+    own = big.select(b_key, _words(F.col(b_col)).alias("_w"))
+    own = own.select(b_key, F.explode(F.array_distinct(
+        F.transform(_shingles(F.col("_w"), F.lit(1), F.size("_w") - 2), lambda s: s["h"]))).alias("_h"))
+    cand = own.join(keyed.select("needle", "_h"), "_h").select("needle", b_key).distinct()
+    return cand.join(keyed.select("needle", "text"), "needle").join(big.select(b_key, b_col), b_key) \
+        .where(F.contains(F.col(b_col), F.col("text"))).select("needle", b_key)
+
+
+def _scanner(rows: list[tuple[int, str]]):
+    """str -> numbers of the needles inside it (one pass of a multi-pattern automaton)."""
+    import ahocorasick
+    found = ahocorasick.Automaton()
+    for i, text in rows:
+        found.add_word(text, i)
+    if rows:
+        found.make_automaton()
+    return lambda text: sorted({i for _, i in found.iter(text)}) if rows and text else []
+
+
+def _short_pairs(needles: DataFrame, big: DataFrame, b_key: str, b_col: str) -> DataFrame:
+    """Needles too short for an inner run of words: texts are scanned for all of
+    them at once.  Up to ``BLOCK_CHARS`` of needles (counted) travel with the
+    scan; more are dealt into blocks of that size, each met by each bounded
+    part of the texts."""
+    total = needles.agg(F.sum(F.length("text"))).first()[0] or 0
+    key_type, blocks = big.schema[b_key].dataType.simpleString(), -(-total // BLOCK_CHARS)
+    if blocks <= 1:
+        rows = [(r["needle"], r["text"]) for r in needles.select("needle", "text").collect()]
+
+        @F.pandas_udf("array<bigint>")
+        def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            scan = _scanner(rows)
+            for texts in batches:
+                yield texts.map(scan)
+
+        return big.select(F.explode(inside(F.coalesce(b_col, F.lit("")))).alias("needle"), b_key)
+    parts = -(-(big.agg(F.sum(F.length(b_col))).first()[0] or 1) // (8 * BLOCK_CHARS))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        scan = _scanner(list(zip(left["needle"].tolist(), left["text"], strict=True)))
+        hits = [(i, k) for k, t in zip(right["key"], right["text"], strict=True) for i in scan(t)]
+        return pd.DataFrame(hits, columns=["needle", "key"])
+
+    n = needles.select("needle", "text", F.pmod(F.xxhash64("needle"), F.lit(blocks)).alias("block"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    h = big.select(F.col(b_key).alias("key"), F.col(b_col).alias("text"), F.pmod(F.xxhash64(b_key, b_col), F.lit(parts)).alias("part"),
+                   F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    met = n.groupBy("block", "part").cogroup(h.groupBy("block", "part")).applyInPandas(meet, f"needle bigint, key {key_type}")
+    return met.select("needle", F.col("key").alias(b_key)).distinct()
+
+
+def _contained_pairs(small: DataFrame, s_col: str, big: DataFrame, b_key: str, b_col: str) -> DataFrame:
+    """``(text, b_key)``: texts of ``small`` that lie inside ``big[b_col]``, exact.
+    Each different non-empty text is looked for once, whatever repeats it."""
+    texts = small.where(F.col(s_col) != "").select(F.col(s_col).alias("text")).distinct()
+    needles = texts.select(F.xxhash64("text").alias("needle"), "text", _words(F.col("text")).alias("words"))
+    needles = cut_lineage(needles, "needles")  # read by three plans below; its word lists are made once
+    enough = F.size("words") >= MIN_WORDS_FOR_BLOCKING
+    both = _long_pairs(needles.where(enough), big, b_key, b_col) \
+        .unionByName(_short_pairs(needles.where(~enough), big, b_key, b_col))
+    return both.join(needles.select("needle", "text"), "needle").select("text", b_key)
 
 
 def match_sample(traces: DataFrame, samples: DataFrame, trace_key: str = "trace_id",
@@ -139,12 +181,15 @@ def match_sample(traces: DataFrame, samples: DataFrame, trace_key: str = "trace_
     """
     s = samples.where(usable(samples)).select(F.col("ord").alias("_o"),
                                              py_strip(F.coalesce(F.col("task"), F.lit(""))).alias("_s"))
+    s = s.groupBy("_s").agg(F.min("_o").alias("_o"))  # a repeated task: its first sample
     q_raw = traces.select(F.col(trace_key).alias("_t"), F.coalesce(F.col(query), F.lit("")).alias("_q"))
-    s_in_q = _contained_pairs(s, "_o", "_s", q_raw, "_t", "_q")
+    s_in_q = _contained_pairs(s, "_s", q_raw, "_t", "_q").join(s, F.col("text") == F.col("_s")).select("_t", "_o")
     longest = s.agg(F.max(F.length("_s")).alias("_maxlen")).withColumn("_one", F.lit(1))
     fit = q_raw.select("_t", py_strip(F.col("_q")).alias("_q"), F.lit(1).alias("_one")) \
         .join(F.broadcast(longest), "_one").where(F.length("_q") <= F.col("_maxlen")).select("_t", "_q")
-    q_in_s = _contained_pairs(fit, "_t", "_q", s, "_o", "_s")
+    # one answer for each different query text, then handed to the traces that ask it
+    per_text = _contained_pairs(fit, "_q", s, "_o", "_s").groupBy("text").agg(F.min("_o").alias("_o"))
+    q_in_s = fit.join(per_text, F.col("_q") == F.col("text")).select("_t", "_o")
     cand = s_in_q.unionByName(q_in_s).unionByName(_blank_pairs(q_raw, s))
     best = cand.groupBy("_t").agg(F.min("_o").alias("ord"))
     return best.select(F.col("_t").alias(trace_key), "ord")

@@ -65,7 +65,7 @@ SELECT trace_id, min(ord) AS ord FROM q JOIN s
   ON s.s = q.q OR (q.q <> '' AND contains(s.s, q.q)) OR (s.s <> '' AND contains(q.q, s.s))
 GROUP BY trace_id""", category="samples")
 def q_match_sample(spark, sf):
-    """First usable sample matching each trace query (token-blocked containment)."""
+    """First usable sample matching each trace query (containment either way, blocked by word runs)."""
     return S.match_sample(v_traces(spark, sf), v_samples(spark, sf))
 
 
