@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import prepare
+from quarry.llm.common import discard, prepare, store
 from quarry.llm.langid import held_out
 
 BUCKETS = 1 << 20
@@ -76,22 +76,21 @@ class Machine:
     def score(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(rows), -30, 30)))
 
-    def fit(self, docs: list[np.ndarray], label: np.ndarray, seed: int = 3) -> None:
-        """Choose the terms, then learn by AdaGrad on the log loss.  The sample's
-        label rate differs from the labels'; the constant is put back after."""
-        pos, neg = label.sum(), (1 - label).sum()
-        a = np.bincount(np.concatenate([d for d, y in zip(docs, label, strict=True) if y]), minlength=BUCKETS)
-        c = np.bincount(np.concatenate([d for d, y in zip(docs, label, strict=True) if not y]), minlength=BUCKETS)
+    def choose(self, terms: np.ndarray, a: np.ndarray, c: np.ndarray, pos: float, neg: float) -> None:
+        """Keep the terms whose presence (in ``a`` of ``pos`` and ``c`` of ``neg``
+        documents) goes with the label most."""
         g = g_test(a, c, pos, neg)
-        chosen = np.flatnonzero((g >= MIN_G) & (a + c >= MIN_DOCS))
-        chosen = chosen[np.argsort(-g[chosen], kind="stable")][:MAX_TERMS]
-        self.terms = {int(t): i for i, t in enumerate(chosen)}
-        row = np.full(BUCKETS, -1, np.int64)
-        row[chosen] = np.arange(len(chosen))
-        data = [x[x >= 0] for x in (row[d] for d in docs)]
+        best = np.flatnonzero((g >= MIN_G) & (a + c >= MIN_DOCS))
+        best = best[np.lexsort((terms[best], -g[best]))][:MAX_TERMS]
+        self.terms = {int(t): i for i, t in enumerate(terms[best])}
+
+    def learn(self, data: list[np.ndarray], label: np.ndarray, seed: int = 3) -> None:
+        """AdaGrad on the log loss; ``data`` holds rows of kept terms.  The sample's
+        label rate differs from the labels'; the constant is put back after."""
+        pos, neg, many = label.sum(), (1 - label).sum(), len(self.terms)
         rng = np.random.default_rng(seed)
-        w, v = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS))
-        sw, sv, b, sb = np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6), float(np.log(pos / neg)), 1e-6
+        w, v = np.zeros(many), rng.normal(0, 0.01, (many, FACTORS))
+        sw, sv, b, sb = np.full(many, 1e-6), np.full(v.shape, 1e-6), float(np.log(pos / neg)), 1e-6
         steps = max(1, len(data) // 64)
         for _ in range(max(EPOCHS, LEAST_STEPS // steps)):
             for part in np.array_split(rng.permutation(len(data)), steps):
@@ -146,12 +145,19 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Mach
     for y in (0, 1):
         part = rows.filter(F.col(label) == y).select("doc_id", F.col(label).alias("__y")).orderBy(draw, "doc_id").limit(DOCS_PER_LABEL)
         chosen = part if chosen is None else chosen.union(part)
-    sample = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * DOCS_PER_LABEL ids
-              .select("doc_id", "__y", all_terms("text").alias("terms")).toPandas().sort_values(["doc_id", "__y"]))
+    sample = store(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * DOCS_PER_LABEL ids
+                   .select("doc_id", "__y", all_terms("text").alias("terms")), "toxic_sample")
     machine = Machine(base, {}, b=base)
-    y = sample["__y"].to_numpy(np.float64)
-    if 0 < y.sum() < len(y):
-        machine.fit([np.asarray(t, np.int64) for t in sample["terms"]], y)
+    of = {r[0]: r[1] for r in sample.groupBy("__y").count().collect()}
+    if len(of) < 2:
+        return machine
+    counts = (sample.select("__y", F.explode("terms").alias("term")).groupBy("term")
+              .agg(F.sum("__y").alias("a"), F.sum(1 - F.col("__y")).alias("c")).filter(F.col("a") + F.col("c") >= MIN_DOCS).toPandas())
+    machine.choose(*(counts[x].to_numpy(np.int64) for x in ("term", "a", "c")), of[1], of[0])
+    kept = F.array(*(F.lit(t) for t in machine.terms)).cast("array<int>")
+    rows = sample.select("doc_id", "__y", F.array_intersect("terms", kept).alias("terms")).toPandas().sort_values(["doc_id", "__y"])
+    discard(sample)
+    machine.learn([np.array([machine.terms[int(t)] for t in r], np.int64) for r in rows["terms"]], rows["__y"].to_numpy(np.float64))
     return machine
 
 

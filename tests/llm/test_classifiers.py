@@ -70,7 +70,10 @@ def test_machine_learns_pairs():
         texts.append(" ".join(["idiots"] * a + ["foreigners"] * b + [f"w{i}" for i in rng.integers(0, 50, 6)]))
         y.append(int(a and b) if rng.random() < 0.97 else int(rng.integers(0, 2)))
     m = toxicity.Machine(float(np.log(np.mean(y) / (1 - np.mean(y)))), {})
-    m.fit([toxicity.text_terms(t).astype(np.int64) for t in texts], np.array(y, float))
+    label, docs = np.array(y, float), [toxicity.text_terms(t) for t in texts]
+    a, c = (np.bincount(np.concatenate([d for d, z in zip(docs, y, strict=True) if z == k]), minlength=toxicity.BUCKETS) for k in (1, 0))
+    m.choose(np.arange(toxicity.BUCKETS), a, c, label.sum(), (1 - label).sum())
+    m.learn([np.array([m.terms[int(h)] for h in d if int(h) in m.terms], np.int64) for d in docs], label)
 
     def score(t):
         return float(m.score([np.array(sorted(m.terms[int(h)] for h in toxicity.text_terms(t) if int(h) in m.terms))])[0])
