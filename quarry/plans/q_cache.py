@@ -128,20 +128,6 @@ def q_embed_distinct(spark, sf):
     return R.embed_distinct(d, None).select("doc_id", "embedding")
 
 
-@query("file_manifest", sql=f"""
-WITH {O.VFILES}
-SELECT path, name, relative_path, extension, size FROM vfiles
-WHERE ends_with(name, '.csv') OR ends_with(name, '.xlsx') OR ends_with(name, '.xls') OR ends_with(name, '.tsv')""",
-       category="files")
-def q_file_manifest(spark, sf):
-    """The corpus listing restricted to table extensions."""
-    m = v_files(spark, sf)
-    cond = F.lit(False)
-    for e in (".csv", ".xlsx", ".xls", ".tsv"):
-        cond = cond | F.endswith("name", F.lit(e))
-    return m.where(cond).select("path", "name", "relative_path", "extension", "size")
-
-
 @query("grep_file_filter", sql=f"""
 WITH {O.VFILES}
 SELECT path FROM vfiles WHERE lower(regexp_extract(name, '\\.([^.]*)$', 1)) IN ('csv', 'xlsx', 'xls', 'tsv', 'txt', 'py')

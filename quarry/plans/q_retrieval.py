@@ -83,25 +83,25 @@ def q_topk_similarity(spark, sf):
     return _dense(spark, sf, F.col("vec_id") == 0, 10)
 
 
-@query("topk_batch", sql=_dense_sql("vec_id < 5", 10), category="retrieval")
+@query("topk_batch", sql=_dense_sql("true", 10), category="retrieval")
 def q_topk_batch(spark, sf):
-    """Top-10 per query for the query set vec_id < 5."""
-    return _dense(spark, sf, F.col("vec_id") < 5, 10)
+    """Top-10 per query, every vector being a query."""
+    return _dense(spark, sf, F.lit(True), 10)
 
 
 @query("maxsim_search", sql=f"""
-WITH q AS (SELECT vec_id AS qtok, {EMB} AS qv FROM embeddings WHERE vec_id < 5),
-m AS (SELECT e.label AS doc_id, q.qtok, max(list_inner_product(q.qv, {EMB})) AS mx FROM q, embeddings e GROUP BY ALL),
-s AS (SELECT 0 AS qid, doc_id, sum(mx) AS score FROM m GROUP BY doc_id),
+WITH t AS (SELECT vec_id // 8 AS doc_id, vec_id, {EMB} AS v FROM embeddings),
+q AS (SELECT doc_id AS qid, vec_id AS qtok, v FROM t WHERE vec_id % 8 < 3),
+m AS (SELECT q.qid, t.doc_id, q.qtok, max(list_inner_product(q.v, t.v)) AS mx FROM q, t GROUP BY ALL),
+s AS (SELECT qid, doc_id, sum(mx) AS score FROM m GROUP BY qid, doc_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
 SELECT CAST(qid AS BIGINT) AS qid, CAST(doc_id AS BIGINT) AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
 FROM rk WHERE rank <= 5""", category="retrieval")
 def q_maxsim_search(spark, sf):
-    """V9: MaxSim of the 5-token query (vec_id < 5) against label documents."""
-    e = _emb(spark, sf)
-    docs = e.select(F.col("label").alias("doc_id"), F.col("embedding").alias("vec"))
-    qt = e.where("vec_id < 5").select(F.lit(0).alias("qid"), F.col("vec_id").alias("qtok"), F.col("embedding").alias("qvec"))
-    r = R.maxsim(docs, qt, 5)
+    """V9: MaxSim; eight vectors make a document, the first three of each also a query."""
+    e = _emb(spark, sf).select(F.floor(F.col("vec_id") / 8).alias("doc_id"), "vec_id", F.col("embedding").alias("vec"))
+    qt = e.where("vec_id % 8 < 3").select(F.col("doc_id").alias("qid"), F.col("vec_id").alias("qtok"), F.col("vec").alias("qvec"))
+    r = R.maxsim(e.select("doc_id", "vec"), qt, 5)
     return r.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -237,54 +237,49 @@ def q_fixed_chunks(spark, sf):
     return R.fixed_chunks(v_lines(spark, sf)).select("path", "line_no", "chunk_no")
 
 
+def _all_against_all(spark, sf):
+    e = _emb(spark, sf)
+    return (e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")),
+            e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")))
+
+
 @query("ivf_search")
 def q_ivf_search(spark, sf):
-    """V3: IVF (KMeans lists, nprobe 5) top-10 for queries vec_id < 5."""
-    e = _emb(spark, sf)
-    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    return R.ivf_search(corpus, q, 10, nprobe=5)
+    """V3: IVF (KMeans lists) top-10, every vector being a query."""
+    return R.ivf_search(*_all_against_all(spark, sf), 10)
 
 
 @query("lsh_search")
 def q_lsh_search(spark, sf):
-    """V4: LSH (bucket 1.0, 5 tables, distance ≤ 1.3) top-10 for vec_id < 5."""
-    e = _emb(spark, sf)
-    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    return R.lsh_search(corpus, q, 10)
+    """V4: LSH top-10, every vector being a query."""
+    return R.lsh_search(*_all_against_all(spark, sf), 10)
 
 
-@query("dense_search", sql=_dense_sql("vec_id < 5", 5), category="retrieval")
+@query("dense_search", sql=_dense_sql("true", 5), category="retrieval")
 def q_dense_search(spark, sf):
     """Dense retrieval, query × corpus inner products fused into a
     blocked top-5 (the score matrix is never materialised)."""
-    return _dense(spark, sf, F.col("vec_id") < 5, 5)
+    return _dense(spark, sf, F.lit(True), 5)
 
 
 @query("hit_lookup", sql=f"""
-WITH q AS (SELECT vec_id AS qid, {EMB} AS qv FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS qid, {EMB} AS qv FROM embeddings),
 sc AS (SELECT q.qid, e.vec_id AS id, list_inner_product(q.qv, {EMB}) AS score FROM q, embeddings e),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc)
 SELECT rk.qid, rk.id, CAST(rk.rank AS INTEGER) AS rank, e.label FROM rk JOIN embeddings e ON e.vec_id = rk.id
 WHERE rk.rank <= 10""", category="retrieval")
 def q_hit_lookup(spark, sf):
     """Top-10 hits joined to their metadata after the ranking."""
-    hits = _dense(spark, sf, F.col("vec_id") < 5, 10).select("qid", "id", "rank")
+    hits = _dense(spark, sf, F.lit(True), 10).select("qid", "id", "rank")
     meta = _emb(spark, sf).select(F.col("vec_id").alias("id"), "label")
     return R.hit_lookup(hits, meta)
 
 
-@query("query_corpus_scores", sql=f"""
-WITH q AS (SELECT vec_id AS qid, {EMB} AS qv FROM embeddings WHERE vec_id < 5)
-SELECT q.qid, e.vec_id AS id, round(list_inner_product(q.qv, {EMB}), 6) AS score FROM q, embeddings e""",
-       category="retrieval")
+@query("query_corpus_scores", sql=_dense_sql("true", 20), category="retrieval")
 def q_query_corpus_scores(spark, sf):
-    """All inner products of the query set (vec_id < 5) with the corpus."""
-    e = _emb(spark, sf)
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    s = R.query_corpus_scores(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), q)
-    return s.select("qid", "id", F.round("score", 6).alias("score"))
+    """Inner products of every vector with the corpus, the 20 best of each."""
+    hits = R.query_corpus_scores(*_all_against_all(spark, sf), 20)
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 @query("column_document", sql=f"""

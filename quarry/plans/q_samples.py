@@ -71,7 +71,7 @@ def q_match_sample(spark, sf):
 
 @query("align_steps", sql=f"""
 WITH {QA}, {O.SAMPLES},
-links AS (SELECT DISTINCT t.trace_id, s.ord FROM pairs t JOIN samples s ON s.ord = t.trace_id),
+links AS (SELECT DISTINCT t.trace_id, s.ord FROM tagged t JOIN samples s ON s.ord = t.trace_id),
 exp AS (SELECT l.trace_id, e.step_no AS step_index, e.info_item, e.answer AS true_answer FROM links l JOIN expected e USING (ord)),
 al AS (SELECT e.trace_id, e.step_index, e.info_item AS query,
               CASE WHEN coalesce(p.answer, '') <> '' THEN p.answer ELSE '' END AS answer,
@@ -114,7 +114,7 @@ cv AS (SELECT *, len(coalesce(score_points, [])) AS total_metrics,
               AS covered_metrics FROM sp)"""
 
 ALIGNED = f"""{QA}, {O.SAMPLES},
-links AS (SELECT DISTINCT t.trace_id, s.ord FROM pairs t JOIN samples s ON s.ord = t.trace_id),
+links AS (SELECT DISTINCT t.trace_id, s.ord FROM tagged t JOIN samples s ON s.ord = t.trace_id),
 exp AS (SELECT l.trace_id, e.step_no AS step_index, e.info_item, e.answer AS true_answer, e.score_points
         FROM links l JOIN expected e USING (ord)),
 aligned AS (SELECT e.trace_id, e.step_index, e.info_item AS query,

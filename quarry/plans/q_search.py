@@ -152,9 +152,10 @@ def q_token_count(spark, sf):
 WITH {O.LINES}
 SELECT path, line_no, lpad(CAST(line_no AS VARCHAR), CAST(greatest(3, length(CAST(line_no AS VARCHAR))) AS INTEGER), ' ') || '| '
        || regexp_replace(line, '\\s+$', '') AS label
-FROM lines WHERE line_no <= 5""", category="search")
+FROM lines""", category="search")
 def q_line_label(spark, sf):
-    """numbered preview lines (first 5 of each file)."""
+    """every line with its number."""
     from quarry.functions.text import line_label
-    p = grep.head_tail_preview(v_file_lines(spark, sf), n=5)
+    from quarry.plans.fixtures import v_lines
+    p = v_lines(spark, sf)
     return p.select("path", "line_no", line_label(F.col("line_no"), F.col("line")).alias("label"))

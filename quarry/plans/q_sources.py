@@ -25,21 +25,47 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/derived/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@query("raw_lines", sql="""
-WITH f AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY source),
-a AS (SELECT source, regexp_split_to_array(t, '\r\n|\n|\r') AS arr FROM f)
-SELECT source, CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS line FROM a""",
-       category="sources")
+# documents of a file: a file holds a run of ids of one source, so files stay small as the corpus grows
+RUN = 64
+
+
+def _files_of(d):
+    return d.withColumn("run", F.floor(F.col("doc_id") / RUN)).repartition("source", "run") \
+        .sortWithinPartitions("source", "run", "doc_id").select("source", "run", "text").write.partitionBy("source", "run")
+
+
+def _of_file(lines):
+    return lines.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"),
+                        F.regexp_extract("path", r"run=([^/]+)", 1).cast("long").alias("run"), "line_no", "line")
+
+
+FILE_LINES = f"""
+f AS (SELECT source, doc_id // {RUN} AS run, string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents GROUP BY ALL),
+a AS (SELECT source, run, regexp_split_to_array(t, '\\r\\n|\\n|\\r') AS arr FROM f)"""
+
+
+@query("raw_lines", sql=f"""
+WITH {FILE_LINES}
+SELECT source, run, CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS line FROM a""", category="sources")
 def q_raw_lines(spark, sf):
-    """Documents written as one text file per source, read back with
+    """Documents written as bounded text files, read back with
     ``binaryFile`` + decode, numbered physical lines."""
     out = _scratch(spark, "docs")
-    d = read_table(spark, sf, "documents", ["doc_id", "source", "text"])
-    d.repartition("source").sortWithinPartitions("doc_id").select("source", "text") \
-        .write.partitionBy("source").text(out)
-    files = FS.read_file_texts(spark, out, glob="*.txt")
-    lines = FS.raw_lines(files)
-    return lines.select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"), "line_no", "line")
+    _files_of(read_table(spark, sf, "documents", ["doc_id", "source", "text"])).text(out)
+    return _of_file(FS.raw_lines(FS.read_file_texts(spark, out, glob="*.txt")))
+
+
+@query("file_manifest", sql="""
+SELECT 'part_brand=' || p_brand AS folder, '.csv' AS extension, true AS sized FROM part GROUP BY p_brand""", category="files")
+def q_file_manifest(spark, sf):
+    """Recursive listing of real files: part rows written as CSV, one folder
+    a brand; the folders that hold tables."""
+    out = _scratch(spark, "manifest")
+    p = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_brand"]).withColumn("part_brand", F.col("p_brand"))
+    p.write.partitionBy("part_brand").option("header", True).csv(out)
+    m = FS.file_manifest(spark, out)
+    folder = F.url_decode(F.regexp_extract("relative_path", r"([^/]+)/[^/]+$", 1))
+    return m.groupBy(folder.alias("folder"), "extension").agg(F.bool_and(F.col("size") > 0).alias("sized"))
 
 
 @query("csv_records", sql="""
@@ -88,7 +114,7 @@ WITH {O.MESSAGES},
 first_q AS (SELECT trace_id, arg_min(content, seq) AS task FROM messages WHERE role = 'user' GROUP BY trace_id),
 m AS (SELECT m.*, row_number() OVER (PARTITION BY m.trace_id ORDER BY seq) - 1 AS pos,
              count(*) OVER (PARTITION BY m.trace_id) - 1 AS last_pos FROM messages m)
-SELECT f.task, CAST(m.pos AS BIGINT) AS seq,
+SELECT CAST(m.trace_id AS VARCHAR) AS trace_id, f.task, CAST(m.pos AS BIGINT) AS seq,
        CASE WHEN m.pos = m.last_pos THEN 'assistant' ELSE m.role END AS role,
        CASE WHEN m.pos = m.last_pos THEN coalesce(m.content, '') ELSE m.content END AS content
 FROM m JOIN first_q f USING (trace_id)""",
@@ -106,7 +132,7 @@ def q_trace_source(spark, sf):
         .alias("task"),
         F.sort_array(F.collect_list(F.struct("seq", msg.alias("m")))).alias("_all"), F.count("*").alias("n"))
     msgs = F.transform("_all", lambda x: x["m"])
-    doc = g.select(F.struct(F.col("task").alias("query"), F.lit(None).cast("string").alias("table_path"),
+    doc = g.select(F.col("trace_id").cast("string").alias("trace_id"), F.struct(F.col("task").alias("query"), F.lit(None).cast("string").alias("table_path"),
                             F.col("n").cast("int").alias("total_turns"), F.lit(None).cast("string").alias("timestamp"),
                             F.lit(True).alias("success")).alias("metadata"),
                    F.array(F.struct(F.lit(1).alias("turn"), F.lit(None).cast("string").alias("timestamp"),
@@ -116,48 +142,45 @@ def q_trace_source(spark, sf):
                    .alias("conversation_trace"))
     doc.write.json(out)
     back = K.trace_source(spark, out, multi_line=False)
-    return back.select("task", "seq", "role", "content")
+    return back.select("trace_id", "task", "seq", "role", "content")
 
 
 @query("trace_sink", sql=f"""
 WITH {O.MESSAGES}
 SELECT trace_id, seq, role, content FROM messages""", category="sources")
 def q_trace_sink(spark, sf):
-    """Messages written one JSON line each, one folder per trace, read back."""
+    """Messages written one JSON line each, read back."""
     out = _scratch(spark, "tracesink")
     m = v_messages(spark, sf).select("trace_id", "seq", "role", "content")
     K.trace_sink(m, out)
-    back = spark.read.schema("seq long, role string, content string, trace_id long").json(out)
+    back = spark.read.schema("trace_id long, seq long, role string, content string").json(out)
     return back.select("trace_id", "seq", "role", "content")
 
 
 @query("grep_big_file", sql=f"""
 WITH f AS (SELECT string_agg(text, chr(10) ORDER BY doc_id) AS t FROM documents),
 a AS (SELECT regexp_split_to_array(t, '\\r\\n|\\n|\\r') AS arr FROM f),
-l AS (SELECT CAST(generate_subscripts(arr, 1) AS INTEGER) AS line_no, unnest(arr) AS line FROM a)
+l AS (SELECT CAST(generate_subscripts(arr, 1) AS BIGINT) AS line_no, unnest(arr) AS line FROM a)
 SELECT line_no, line FROM l WHERE regexp_matches(line, '(?i)\\bthe\\b')""", category="sources")
 def q_grep_big_file(spark, sf):
-    """S2 (big-file path) + P1: the whole corpus as ONE text file, read with
-    the splittable text source and numbered by per-partition offsets, then
-    searched line by line — a single huge file is not a single task."""
+    """S2 (big-file path) + P1: the whole corpus as one text in doc_id order, in
+    as many files as tasks wrote, read split by split, numbered by offsets and
+    searched line by line."""
     from quarry.operators.grep import grep_line_rows
     from quarry.plans.q_search import PATTERN
     out = _scratch(spark, "bigfile")
     d = read_table(spark, sf, "documents", ["doc_id", "text"])
-    # one file in doc_id order (range-partitioned sort, then one writer)
-    d.orderBy("doc_id").select("text").coalesce(1).write.text(out)
-    lines = FS.big_file_lines(spark, out)
-    return grep_line_rows(lines, PATTERN).select("line_no", "line")
+    d.orderBy("doc_id").select("text").write.text(out)  # a range of ids a file, named in order
+    return grep_line_rows(FS.big_file_lines(spark, out), PATTERN).select("line_no", "line")
 
 
 @query("decode_fallback")
 def q_decode_fallback(spark, sf):
-    """Documents written as Latin-1 CSV files (one per source) are
-    not valid UTF-8, so each file goes through the Arrow-batched decoder
-    hook's fallback order; output = decoded physical lines per file."""
+    """Documents written as Latin-1 CSV files are not valid UTF-8, so each
+    file goes through the Arrow-batched decoder hook's fallback order (bytes of
+    even length may read as another encoding of that order first, which SQL
+    cannot tell); output = decoded physical lines per file."""
     out = _scratch(spark, "latin1")
-    d = read_table(spark, sf, "documents", ["doc_id", "source", "text"])
-    d.repartition("source").sortWithinPartitions("doc_id").select("source", "text") \
-        .write.partitionBy("source").option("encoding", "ISO-8859-1").option("header", False).csv(out)
-    files = FS.read_file_texts(spark, out, glob="*.csv")
-    return FS.raw_lines(files).select(F.regexp_extract("path", r"source=([^/]+)", 1).alias("source"), "line_no", "line")
+    _files_of(read_table(spark, sf, "documents", ["doc_id", "source", "text"])).option("encoding", "ISO-8859-1") \
+        .option("header", False).csv(out)
+    return _of_file(FS.raw_lines(FS.read_file_texts(spark, out, glob="*.csv")))

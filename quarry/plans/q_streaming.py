@@ -34,10 +34,10 @@ def q_stream_sessions(spark, sf):
     return S.run_available_now(S.sessions(_events(spark, sf)), "sessions", "complete")
 
 
-@query("stream_new_traces")
+@query("stream_new_traces", sql="SELECT DISTINCT user_id, event_type FROM events", category="streaming")
 def q_stream_new_traces(spark, sf):
     """First arrival per (user, event type) within a one-day watermark."""
-    s = S.new_items(_events(spark, sf), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
+    s = S.new_items(_events(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type")
     return S.run_available_now(s, "new_traces", "append")
 
 

@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None, category: str = "general"):
 def _load_all():
     # importing the plan modules registers their queries
     from quarry.plans import (q_search, q_cells, q_traces, q_metrics, q_messages, q_samples,  # noqa: F401
-                              q_cache, q_files, q_retrieval, q_streaming, q_sources)
+                              q_cache, q_retrieval, q_streaming, q_sources)
 
 
 def registered() -> dict[str, Registered]:

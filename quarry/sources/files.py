@@ -106,24 +106,22 @@ def raw_lines(files: DataFrame, text_col: str = "text", keys=("path",)) -> DataF
 
 
 def big_file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S2 for a file too big for one row: split by Spark, numbered by offsets.
+    """S2 for text too big for one row, in one file or in a folder of files in
+    the order of their names: split by Spark, numbered by offsets.
 
-    ``monotonically_increasing_id`` packs (partition, index-in-partition);
-    a per-partition count (one row per partition) gives each partition's
-    first line number.  The text source keeps lines in file order inside
-    and across splits of a single file.
+    A split is known by its file and first byte, and its lines keep their order
+    inside a task (``monotonically_increasing_id``); the lines of earlier splits
+    (one row a split) give each split's first number.
     """
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
-    part = (F.col("mid") / F.lit(1 << 33)).cast("long")
-    idx = F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
-    tagged = raw.select(part.alias("pid"), idx.alias("idx"), "line")
     from pyspark.sql import Window as W
-    counts = tagged.groupBy("pid").agg(F.count("*").alias("n"))
-    offsets = counts.select("pid", (F.sum("n").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)))
-                            .alias("off"))
-    return (tagged.join(F.broadcast(offsets), "pid")
-            .select(F.lit(path).alias("path"),
-                    (F.coalesce("off", F.lit(0)) + F.col("idx") + 1).cast("int").alias("line_no"), "line"))
+    raw = spark.read.text(path).select(
+        F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    splits = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
+    upto = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("off"))
+    return raw.join(F.broadcast(offsets), ["file", "block"]).select(
+        F.lit(path).alias("path"), (F.col("off") + F.col("mid") - F.col("first") + 1).cast("long").alias("line_no"), "line")
 
 
 def csv_records(spark: SparkSession, paths, corrupt_col: str = "_corrupt_record") -> DataFrame:

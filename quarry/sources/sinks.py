@@ -26,6 +26,7 @@ MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("co
                         T.StructField("tool_call_id", T.StringType()),
                         T.StructField("tool_calls", T.ArrayType(CALL))])
 TRACE = T.StructType([
+    T.StructField("trace_id", T.StringType()),
     T.StructField("metadata", T.StructType([T.StructField("query", T.StringType()),
                                             T.StructField("table_path", T.StringType()),
                                             T.StructField("total_turns", T.IntegerType()),
@@ -52,10 +53,11 @@ def samples_source(spark: SparkSession, path: str, json_lines: bool = False) ->
 
 def trace_source(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
     """Every ``*.json`` trace in a folder (non-recursive); unreadable
-    files are dropped; the last turn's response is appended as an
+    files are dropped; a trace's id is the document's own, else its file's name;
+    the last turn's response is appended as an
     assistant message.  Output: message rows ``(trace_id, seq, role, …)``."""
     df = spark.read.schema(TRACE).option("multiLine", multi_line).option("mode", "PERMISSIVE") \
-        .option("pathGlobFilter", "*.json").json(folder).withColumn("trace_id", F.input_file_name())
+        .option("pathGlobFilter", "*.json").json(folder).withColumn("trace_id", F.coalesce("trace_id", F.input_file_name()))
     df = df.where(F.col("_corrupt_record").isNull())
     last = F.element_at("conversation_trace", -1)
     resp = F.struct(F.lit("assistant").alias("role"), F.coalesce(last["response"]["content"], F.lit("")).alias("content"),
@@ -72,11 +74,11 @@ def csv_sink(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
-def trace_sink(messages: DataFrame, path: str, trace: str = "trace_id") -> None:
-    """One JSON line per message, partitioned by trace folder — a trace
-    is never gathered into one row or one task."""
-    messages.repartition(trace).sortWithinPartitions(trace, "seq") \
-        .write.mode("errorifexists").partitionBy(trace).json(path)
+def trace_sink(messages: DataFrame, path: str, trace: str = "trace_id", chunk: int = 4096) -> None:
+    """One JSON line per message, the trace id in it.  Files hold parts of
+    many traces: a trace is spread by ``seq div chunk``, never one task or folder."""
+    messages.repartition(trace, F.floor(F.col("seq") / chunk)).sortWithinPartitions(trace, "seq") \
+        .write.mode("errorifexists").json(path)
 
 
 def text_sink(lines: DataFrame, path: str, col: str = "line") -> None:

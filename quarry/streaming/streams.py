@@ -2,12 +2,14 @@
 
 Sources are file streams (new trace / event files arriving in a folder);
 each job runs with ``trigger(availableNow=True)`` so a scheduled run drains
-what has arrived and stops.  State and progress live in checkpoint folders
-under the session's shared ``spark.checkpoint.dir``, so a restarted job (or
-one that lost executors) resumes exactly where it stopped.
-
-Outputs go through ``foreachBatch`` into Parquet: ``complete`` mode
-rewrites the result snapshot each batch, ``append``/``update`` add rows.
+what has arrived and stops.  The caller names a folder; results, state and
+progress live there, so the next run with the same folder (after a stop, a
+crash or a lost executor) goes on where the last one ended.  Without a folder a
+new one under the session's shared ``spark.checkpoint.dir`` is used.
+
+Outputs go through ``foreachBatch`` into one Parquet folder a batch, named by
+the batch id: a batch that is run again replaces its own folder.  In
+``complete`` mode the newest folder is the result, in ``append`` mode all are.
 """
 
 from __future__ import annotations
@@ -24,10 +26,34 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def event_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """A file stream over parquet event files (schema taken from the data)."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A file stream over parquet event files (schema taken from the data); a
+    batch takes all files that have arrived unless ``max_files`` limits it."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
+
+
+def _batches(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(batch id, path) of the batch folders that were written whole."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    found = []
+    for st in fs.listStatus(base):
+        path = st.getPath()
+        if path.getName().startswith("batch-") and fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            found.append((int(path.getName()[6:]), path.toString()))
+    return sorted(found)
+
+
+def _drain(stream: DataFrame, folder: str, mode: str, write) -> None:
+    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
+         .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def tool_health(events: DataFrame, window: str = "1 hour", slide: str | None = None,
@@ -60,47 +86,45 @@ def new_items(events: DataFrame, key: list[str], watermark: str = "1 day") -> Da
     return e.dropDuplicatesWithinWatermark(key)
 
 
-def run_available_now(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drain the stream once and return the written result as a batch DataFrame."""
+def run_available_now(stream: DataFrame, name: str, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Drain what has arrived and return the result so far as a batch DataFrame.
+    ``append`` emits a window once the watermark has closed it and keeps only
+    open ones in its state; ``complete`` keeps and rewrites them all."""
     spark = stream.sparkSession
-    out = _scratch(spark, name)
+    base = folder or _scratch(spark, name)
 
     def write(batch: DataFrame, batch_id: int):
-        (batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out))
+        batch.write.mode("overwrite").parquet(f"{base}/result/batch-{batch_id:09d}")
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(write)
-         .option("checkpointLocation", out + "-ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    _drain(stream, base, mode, write)
+    done = [p for _, p in _batches(spark, f"{base}/result")]
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(*(done if mode != "complete" else done[-1:]))
 
 
 def cache_upsert_stream(requests: DataFrame, name: str, key: str = "hash",
-                        order: tuple[str, ...] = ("timestamp", "event_id")) -> DataFrame:
+                        order: tuple[str, ...] = ("timestamp", "event_id"), folder: str | None = None) -> DataFrame:
     """T4: last-write-wins cache maintained by micro-batches.
 
     Each batch reduces its rows to the latest per key (an aggregate), then
-    writes a new snapshot = previous snapshot minus replaced keys ∪ batch
-    winners (never an in-place update)."""
+    writes a new snapshot = the newest earlier snapshot in storage with the
+    batch's winners merged in (never an in-place update)."""
     spark = requests.sparkSession
-    base = _scratch(spark, name)
-    state = {"snap": None}
+    base = folder or _scratch(spark, name)
 
-    def upsert(batch: DataFrame, batch_id: int):
-        cols = [c for c in batch.columns if c != key]
-        win = batch.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")) \
+    def latest(df: DataFrame) -> DataFrame:
+        cols = [c for c in df.columns if c != key]
+        return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")) \
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
-        path = f"{base}/snap-{batch_id:06d}"
-        if state["snap"] is None:
-            merged = win
-        else:
-            prev = spark.read.parquet(state["snap"])
-            both = prev.unionByName(win)
-            merged = both.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")) \
-                .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
-        merged.write.parquet(path)
-        state["snap"] = path
-
-    q = (requests.writeStream.foreachBatch(upsert).option("checkpointLocation", base + "-ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(state["snap"]) if state["snap"] else spark.createDataFrame([], requests.schema)
+
+    def upsert(batch: DataFrame, batch_id: int):
+        merged = latest(batch)
+        earlier = [p for i, p in _batches(spark, f"{base}/snapshots") if i < batch_id]
+        if earlier:
+            merged = latest(spark.read.parquet(earlier[-1]).unionByName(merged))
+        merged.write.mode("overwrite").parquet(f"{base}/snapshots/batch-{batch_id:09d}")
+
+    _drain(requests, base, "append", upsert)
+    done = _batches(spark, f"{base}/snapshots")
+    return spark.read.parquet(done[-1][1]) if done else spark.createDataFrame([], requests.schema)

@@ -17,16 +17,16 @@ def _sets(df, key="qid", item="id"):
 def test_ivf_and_lsh_recall(spark):
     e = read_table(spark, SF_ORACLE, "embeddings", ["vec_id", "embedding"])
     corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     exact = _sets(R.dense_topk(corpus, q, 10))
-    ivf = _sets(R.ivf_search(corpus, q, 10, nprobe=10))
+    ivf = _sets(R.ivf_search(corpus, q, 10))
     ivf_all = _sets(R.ivf_search(corpus, q, 10, nprobe=50))  # every list probed = exhaustive
     lsh = _sets(R.lsh_search(corpus, q, 10))
 
     def recall(got):
         return sum(len(exact[k] & got.get(k, set())) for k in exact) / sum(len(v) for v in exact.values())
     assert recall(ivf_all) == 1.0
-    assert recall(ivf) >= 0.5
+    assert recall(ivf) >= 0.9
     assert recall(lsh) >= 0.9
 
 
@@ -73,13 +73,42 @@ def test_chunk_blocks_against_model(spark):
 
 def test_dense_topk_with_query_blocks(spark, monkeypatch):
     import numpy as np
-    monkeypatch.setattr(R, "QUERIES_PER_BLOCK", 3)  # force several query blocks
+    monkeypatch.setattr(R, "QUERIES_PER_BLOCK", 3)  # force several blocks of both sides
+    monkeypatch.setattr(R, "ROWS_PER_BLOCK", 12)
     rng = np.random.default_rng(1)
     cv, qv = rng.normal(size=(60, 8)), rng.normal(size=(10, 8))
     corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cv)], "id long, vec array<double>")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qv)], "qid long, qvec array<double>")
-    got = {(r.qid, r.rank): r.id for r in R.dense_topk(corpus, queries, 4, n_blocks=5).collect()}
+    got = {(r.qid, r.rank): r.id for r in R.dense_topk(corpus, queries, 4).collect()}
     s = qv @ cv.T
     for q in range(10):
         for rank, i in enumerate(np.argsort(-s[q])[:4], start=1):
             assert got[(q, rank)] == i
+
+
+def test_running_topk_is_bounded_and_breaks_ties_by_id():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    scores, ids = rng.integers(0, 5, (3, 400)).astype(float), rng.permutation(400)
+    best = R.RunningTopK(np.array([7, 8, 9]), 6)
+    for i in range(0, 400, 37):
+        best.add(ids[i:i + 37], scores[:, i:i + 37])
+        assert all(len(x) <= 6 for x in best.ids)  # whatever has passed
+    for q in range(3):
+        assert best.ids[q].tolist() == ids[np.lexsort((ids, -scores[q]))[:6]].tolist()
+
+
+def test_maxsim_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(R, "ROWS_PER_BLOCK", 30)
+    monkeypatch.setattr(R, "STEP", 7)
+    rng = np.random.default_rng(3)
+    dv, qv = rng.normal(size=(90, 6)), rng.normal(size=(8, 6))
+    docs = spark.createDataFrame([(i // 4, v.tolist()) for i, v in enumerate(dv)], "doc_id long, vec array<double>")
+    qs = spark.createDataFrame([(i // 3, i, v.tolist()) for i, v in enumerate(qv)], "qid long, qtok long, qvec array<double>")
+    got = {(r.qid, r.rank): r.doc_id for r in R.maxsim(docs, qs, 3).collect()}
+    s = qv @ dv.T
+    for q in range(3):
+        per = [sum(s[t, 4 * d:4 * d + 4].max() for t in range(8) if t // 3 == q) for d in range(23)]
+        for rank, d in enumerate(np.argsort(per)[::-1][:3], start=1):
+            assert got[(q, rank)] == d

@@ -56,3 +56,25 @@ def test_append_mode_emits_closed_windows_only(spark):
     # engine only guarantees that newer rows are kept.)
     assert set(got) == {(0, "click"), (5, "error")}
     assert got[(5, "error")] == 1 and got[(0, "click")] in (1, 2)
+
+
+def _requests(stream):
+    return stream.select(F.md5(F.concat_ws("|", "props", "event_type")).alias("hash"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"))
+
+
+def test_stop_and_restart_loses_and_repeats_nothing(spark):
+    """Two runs over the same folders, half of the files arriving in between."""
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    d, base = tempfile.mkdtemp(prefix="quarry-arrive-"), tempfile.mkdtemp(prefix="quarry-resume-")
+    half = F.col("event_id") % 2
+    for part in (0, 1):
+        ev.where(half == part).write.parquet(f"{d}/part={part}")
+        time.sleep(1.1)
+        S.run_available_now(S.event_stream(spark, f"{d}/part=*").select("event_id"), "seen", "append", folder=f"{base}/seen")
+        S.cache_upsert_stream(_requests(S.event_stream(spark, f"{d}/part=*")), "cache", folder=f"{base}/cache")
+    # nothing new: another run changes nothing
+    seen = S.run_available_now(S.event_stream(spark, f"{d}/part=*").select("event_id"), "seen", "append", folder=f"{base}/seen")
+    cache = S.cache_upsert_stream(_requests(S.event_stream(spark, f"{d}/part=*")), "cache", folder=f"{base}/cache")
+    assert sorted(r[0] for r in seen.collect()) == sorted(r[0] for r in ev.select("event_id").collect())
+    want = _requests(ev).groupBy("hash").agg(F.max_by("event_id", F.struct("timestamp", "event_id")).alias("e"))
+    assert sorted((r.hash, r.event_id) for r in cache.collect()) == sorted((r.hash, r.e) for r in want.collect())
