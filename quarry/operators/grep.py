@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import py_regex
+from quarry.functions.text import line_label, py_regex
 from quarry.sources.files import GREP_EXTENSIONS, SKIP_DIRS
 
 # fixed values: report limits (files shown in detail, hits per file, page size)
@@ -164,6 +164,21 @@ def head_tail_preview(files: DataFrame, n: int = 5, tail: bool = False) -> DataF
         .select("path", (F.col("pos") + F.col("first_no")).alias("line_no"), "line", "total_lines")
 
 
+# fixed values: width of the rule under a preview's heading
+PREVIEW_RULE = "─" * 40
+
+
+def preview_text(files: DataFrame, start: int = 1, n: int = 5) -> DataFrame:
+    """P7 as text: a file's first ``n`` lines, labelled from ``start``, under its
+    name, its line count and the number of lines not shown."""
+    total = F.size("lines")
+    name = F.element_at(F.split("path", "/"), -1)
+    head = F.concat(F.lit("["), name, F.lit("] Total rows: "), total.cast("string"), F.lit(", remaining rows not shown: "),
+                    F.greatest(total - n, F.lit(0)).cast("string"))
+    shown = F.transform(F.slice("lines", 1, n), lambda x, i: line_label(i + start, x))
+    return files.select("path", F.concat(head, F.lit("\n" + PREVIEW_RULE + "\n"), F.array_join(shown, "\n")).alias("text"))
+
+
 def grep_line_rows(lines: DataFrame, pattern: str, ignore_case: bool = True, text: str = "line") -> DataFrame:
     """P1 on the long form ``(path, line_no, line)`` — for files too large
     for one row (``sources.files.big_file_lines``): a plain filter, so the

@@ -157,6 +157,17 @@ def pass_at_1(merged: DataFrame) -> DataFrame:
                    .alias("turn_coverage_at_1"))
 
 
+def case_details(acc: DataFrame, qual: DataFrame) -> DataFrame:
+    """Per trace steps, missing steps, mean coverage, whether every step is
+    covered, and mean richness (NULL without quality steps)."""
+    a = acc.groupBy("trace_id").agg(
+        F.count("*").alias("n_steps"), F.count_if("is_missing").alias("n_missing"),
+        F.round(F.avg(safe_float(F.col("coverage_ratio"))), 6).alias("coverage"),
+        F.bool_and(safe_float(F.col("coverage_ratio")) >= 1.0).alias("passed"))
+    q = qual.groupBy("trace_id").agg(F.round(F.avg(safe_float(F.col("richness_score"))), 6).alias("richness"))
+    return a.join(q, "trace_id", "left")
+
+
 def overview(traces: DataFrame) -> DataFrame:
     """Count, success rate, mean turns (NULL → 0), mean tool metrics."""
     return traces.agg(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import tags
+from quarry.functions.tags import strict_json
 from quarry.functions.text import py_strip
 from quarry.operators.messages import call_text
 from quarry.operators.scan import prefix_scan
@@ -216,6 +217,22 @@ def tool_metrics(actions: DataFrame, messages: DataFrame, trace: str = "trace_id
                     F.coalesce(F.try_divide("n_tools", "n_call_msgs"), F.lit(0.0)).alias("tool_parallelism"))
 
 
+def call_list(turned: DataFrame, trace: str = "trace_id", chunk: Column | None = None) -> DataFrame:
+    """A1: every tool call with its name, parameters, turn and matched result
+    ``(trace_id, turn, seq, sub, tool_name, params, success, result)``.  ``turned``
+    are turn-numbered actions; results go to open calls in order (J4).  A call
+    that is no JSON object is its own name with no parameters."""
+    kind = F.col("type")
+    called = match_tool_results(turned, [trace], ["seq", "sub"], kind.isin("tool", "unknown"), kind == "result",
+                                ["result", "success"], chunk=chunk).where(kind == "tool")
+    v = strict_json(F.col("content"))
+    is_obj = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    name = F.when(is_obj, F.coalesce(F.try_variant_get(v, "$.tool", "string"), F.lit("unknown"))).otherwise(F.col("content"))
+    params = F.when(is_obj, F.to_json(F.try_variant_get(v, "$.params", "variant")))
+    return called.select(trace, "turn", "seq", "sub", name.alias("tool_name"), F.coalesce(params, F.lit("{}")).alias("params"),
+                         F.col("result_success").alias("success"), F.col("result_result").alias("result"))
+
+
 def match_by_call_id(calls: DataFrame, results: DataFrame, trace: str = "trace_id",
                      call_id: str = "call_id", result_id: str = "tool_call_id") -> DataFrame:
     """J4 (id mode): results matched to calls by their tool-call id instead of

@@ -266,12 +266,14 @@ def q_metric_registry(spark, sf_dir):
     return evaluate_metrics(v_steps(spark, sf_dir), ["accuracy", "quality"])
 
 
-@query("overview", sql=f"""
+_OVERVIEW_SQL = f"""
 WITH {FIFO},
 per AS (SELECT trace_id, count(*) AS n, count_if(coalesce(result_ok, false)) AS ok FROM pairs GROUP BY trace_id)
 SELECT CAST(count(*) AS BIGINT) AS total_traces, coalesce(count_if(ok = n) / nullif(count(*), 0), 0.0) AS success_rate,
-       round(avg(n), 6) AS avg_turns, round(avg(ok / n), 6) AS avg_tool_success, CAST(1.0 AS DOUBLE) AS avg_tool_parallelism FROM per""",
-       category="metrics")
+       round(avg(n), 6) AS avg_turns, round(avg(ok / n), 6) AS avg_tool_success, CAST(1.0 AS DOUBLE) AS avg_tool_parallelism FROM per"""
+
+
+@query("overview", sql=_OVERVIEW_SQL, category="metrics")
 def q_overview(spark, sf_dir):
     """Overview over call-log traces (success = every call answered ok)."""
     p = _pairs(spark, sf_dir)
@@ -283,11 +285,14 @@ def q_overview(spark, sf_dir):
                     F.round("avg_tool_success", 6).alias("avg_tool_success"), "avg_tool_parallelism")
 
 
-@query("token_usage", sql=f"""
+_TOKENS_SQL = f"""
 WITH {O.MESSAGES},
 per AS (SELECT trace_id, sum(len(regexp_extract_all(content, '\\w+|[^\\w\\s]'))) AS total_tokens FROM messages GROUP BY trace_id)
 SELECT round(avg(total_tokens), 6) AS avg_tokens, CAST(max(total_tokens) AS BIGINT) AS max_tokens,
-       CAST(min(total_tokens) AS BIGINT) AS min_tokens, CAST(sum(total_tokens) AS BIGINT) AS sum_tokens FROM per""", category="metrics")
+       CAST(min(total_tokens) AS BIGINT) AS min_tokens, CAST(sum(total_tokens) AS BIGINT) AS sum_tokens FROM per"""
+
+
+@query("token_usage", sql=_TOKENS_SQL, category="metrics")
 def q_token_usage(spark, sf_dir):
     """A2: token usage over traces (default word/punctuation tokenizer)."""
     m = v_messages(spark, sf_dir)
@@ -296,10 +301,35 @@ def q_token_usage(spark, sf_dir):
     return u.select(F.round("avg_tokens", 6).alias("avg_tokens"), "max_tokens", "min_tokens", "sum_tokens")
 
 
+def _section(name: str, sql: str, columns: str) -> str:
+    """DuckDB: a registered one-row query as report rows."""
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns.split())
+    return f"SELECT * FROM ({_long(name, f'SELECT {cols} FROM ({sql})')})"
+
+
 @query("report_tables", sql=f"""
-WITH {COV}, {MACRO_CTE}, {PRF_CTE}, {PASS_CTE}
-{MICRO_SEL} UNION ALL {MACRO_SEL} UNION ALL {PRF_SEL} UNION ALL {PASS_SEL}""", category="metrics")
+SELECT * FROM (WITH {COV}, {MACRO_CTE}, {PRF_CTE}, {PASS_CTE}
+{MICRO_SEL} UNION ALL {MACRO_SEL} UNION ALL {PRF_SEL} UNION ALL {PASS_SEL})
+UNION ALL {_section('overview', _OVERVIEW_SQL, 'total_traces success_rate avg_turns')}
+UNION ALL {_section('tools', _OVERVIEW_SQL, 'avg_tool_success avg_tool_parallelism')}
+UNION ALL {_section('tokens', _TOKENS_SQL, 'avg_tokens max_tokens min_tokens sum_tokens')}""", category="metrics")
 def q_report_tables(spark, sf_dir):
-    """Report sections as one long (section, metric, value) table; the
-    Markdown rendering of these rows is a driver-side format step."""
-    return q_evaluation_report(spark, sf_dir)
+    """All report sections as one long (section, metric, value) table:
+    overview, tools and tokens beside the metric sections (the Markdown
+    rendering of these rows is a driver-side format step)."""
+    o, t = q_overview(spark, sf_dir), q_token_usage(spark, sf_dir)
+    extra = M.stack_metrics({"overview": o.select("total_traces", "success_rate", "avg_turns"),
+                             "tools": o.select("avg_tool_success", "avg_tool_parallelism"), "tokens": t})
+    return q_evaluation_report(spark, sf_dir).unionByName(extra)
+
+
+@query("case_details", sql=f"""
+WITH {O.STEPS},
+a AS (SELECT trace_id, count(*) AS n_steps, CAST(count_if(is_missing) AS BIGINT) AS n_missing,
+             round(avg({sf('coverage_ratio')}), 6) AS coverage, bool_and({sf('coverage_ratio')} >= 1.0) AS passed FROM acc GROUP BY trace_id),
+q AS (SELECT trace_id, round(avg({sf('richness_score')}), 6) AS richness FROM qual GROUP BY trace_id)
+SELECT trace_id, n_steps, n_missing, coverage, passed, richness FROM a LEFT JOIN q USING (trace_id)""", category="metrics")
+def q_case_details(spark, sf_dir):
+    """The per-case section, one row a trace."""
+    acc, qual, _ = _tables(spark, sf_dir)
+    return M.case_details(acc, qual)

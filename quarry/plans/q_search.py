@@ -125,6 +125,17 @@ def q_head_tail_preview(spark, sf):
     return grep.head_tail_preview(v_file_lines(spark, sf), n=3, tail=True)
 
 
+@query("preview_text", sql=f"""
+WITH {O.FILES},
+l AS (SELECT path, len(lines) AS n, list_transform(list_slice(lines, 1, 5), lambda x, i:
+        lpad(CAST(i + 9 AS VARCHAR), 3, ' ') || '| ' || regexp_replace(x, '\\s+$', '')) AS shown FROM files)
+SELECT path, '[' || regexp_extract(path, '([^/]*)$', 1) || '] Total rows: ' || n || ', remaining rows not shown: ' || greatest(n - 5, 0)
+       || chr(10) || repeat('─', 40) || chr(10) || array_to_string(shown, chr(10)) AS text FROM l""", category="search")
+def q_preview_text(spark, sf):
+    """The head of every file as text, labelled from 10."""
+    return grep.preview_text(v_file_lines(spark, sf), start=10)
+
+
 @query("clip_tail", sql="""
 SELECT doc_id, CASE WHEN length(text) > 6144
                     THEN '[Truncated leading part, original length: ' || CAST(length(text) AS VARCHAR) || '] ...' || chr(10)

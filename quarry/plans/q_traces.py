@@ -89,6 +89,19 @@ def q_parse_openai_actions(spark, sf):
                     "result", "success")
 
 
+@query("tool_call_list", sql=f"""
+WITH {O.OPENAI},
+t AS (SELECT *, CAST(count(CASE WHEN role = 'user' AND NOT contains(content, '[ERROR]') THEN 1 END)
+                     OVER (PARTITION BY trace_id ORDER BY seq) AS INTEGER) AS turn FROM oac)
+SELECT trace_id, turn, seq, 0 AS sub, 'grep_search' AS tool_name,
+       CASE WHEN json_valid(arguments) THEN arguments ELSE CAST(to_json(arguments) AS VARCHAR) END AS params, 'success' AS success,
+       '[Tool Execution Result]: ' || (SELECT r.content FROM oac r WHERE r.tool_call_id = t.call_id) AS result
+FROM t WHERE call_id IS NOT NULL""", category="traces")
+def q_tool_call_list(spark, sf):
+    """A1: the calls of OpenAI-shaped traces with parameters, turn and result."""
+    return T.call_list(T.turn_number(T.parse_actions(v_openai(spark, sf))))
+
+
 @query("openai_answers", sql=f"""
 WITH {O.OPENAI},
 a AS (SELECT *, {_strip("coalesce(content, '')")} AS t FROM oac WHERE role = 'assistant' AND call_id IS NULL)
