@@ -12,7 +12,7 @@ from tools.check_oracle import digest
 
 SQL = E.oracle_sql()
 NAMES = sorted(SQL)
-FAST = os.environ.get("QUARRY_FULL_ORACLE") is None
+FAST = os.environ.get("QUARRY_FAST_ORACLE") is not None
 
 
 @pytest.fixture(scope="module")
