@@ -184,8 +184,8 @@ def q_macro_quality(spark, sf_dir):
 @query("table_prf_avg", sql=f"WITH {COV}, {PRF_CTE} {PRF_SEL}", category="metrics")
 def q_table_prf_avg(spark, sf_dir):
     """Strict / non-strict table recall, precision, F1."""
-    acc, _, _ = _tables(spark, sf_dir)
-    return M.stack_metrics({"table_prf": M.table_prf_avg(_prf(spark, sf_dir), acc)})
+    acc, _, dep = _tables(spark, sf_dir)
+    return M.stack_metrics({"table_prf": M.table_prf_avg(M.table_prf(M.table_coverage(dep)), acc)})
 
 
 @query("pass_at_1", sql=f"WITH {O.STEPS}, {PASS_CTE} {PASS_SEL}", category="metrics")
