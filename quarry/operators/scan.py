@@ -9,7 +9,8 @@ every re-read of the input agrees on them:
 
 1. local running sums per (key, chunk) — windows of bounded size;
 2. a chunk summary (one row per key×chunk) gets the carry-in of earlier
-   chunks from a window over that much smaller table;
+   chunks the same way once more: windows over ``SPAN`` chunks at a time, and
+   over one row a span beyond that (a span holds 16 million rows of a key);
 3. the carry-in is joined back on (key, chunk); the big side is already
    hash-partitioned by (key, chunk) for step 1, so only the summary moves.
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 # rows per chunk for integer sequence orders
 CHUNK_ROWS = 4096
+# chunks per span of the carry
+SPAN = 4096
 
 
 def seq_chunk(col: str, rows: int = CHUNK_ROWS) -> Column:
@@ -71,14 +74,25 @@ def prefix_scan(df: DataFrame, key: list[str], order: list[str], sums: dict[str,
     # the summary reads ``loc``, which is already hash-partitioned by
     # (key, chunk): no new exchange, and both consumers share one shuffle
     summ = loc.groupBy(*key, ch).agg(*aggs)
-    wc = Window.partitionBy(*key).orderBy(ch).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ
-    for n in sums:
-        carry = carry.withColumn(f"_c_{n}", F.coalesce(F.sum(f"_t_{n}").over(wc), F.lit(0)))
-    for n, s in max_of.items():
-        carry = carry.withColumn(f"_g_{n}", F.col(f"_c_{s}") + F.col(f"_tm_{n}"))
-    for n in max_of:
-        carry = carry.withColumn(f"_cm_{n}", F.max(f"_g_{n}").over(wc))
+    # inside a span of chunks: sums and maxima of the chunks before, from the span's start
+    span = "_span"
+    summ = summ.withColumn(span, F.floor(F.col(ch) / F.lit(SPAN)))
+    wi = Window.partitionBy(*key, span).orderBy(ch)
+    before = wi.rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) for n in sums})
+    carry = carry.withColumns({f"_g_{n}": F.col(f"_i_{s}") + F.col(f"_tm_{n}") for n, s in max_of.items()})
+    carry = carry.withColumns({f"_im_{n}": F.max(f"_g_{n}").over(before) for n in max_of})
+    # the spans before: one row each
+    ends = carry.groupBy(*key, span).agg(*[F.sum(f"_t_{n}").alias(f"_st_{n}") for n in sums],
+                                         *[F.max(f"_g_{n}").alias(f"_sm_{n}") for n in max_of])
+    ws = Window.partitionBy(*key).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({f"_s_{n}": F.coalesce(F.sum(f"_st_{n}").over(ws), F.lit(0)) for n in sums})
+    ends = ends.withColumns({f"_sg_{n}": F.col(f"_s_{s}") + F.col(f"_sm_{n}") for n, s in max_of.items()})
+    ends = ends.withColumns({f"_sc_{n}": F.max(f"_sg_{n}").over(ws) for n in max_of})
+    carry = carry.join(ends.select(*key, span, *[f"_s_{n}" for n in sums], *[f"_sc_{n}" for n in max_of]), [*key, span])
+    carry = carry.withColumns({f"_c_{n}": F.col(f"_s_{n}") + F.col(f"_i_{n}") for n in sums})
+    carry = carry.withColumns({f"_cm_{n}": F.greatest(F.col(f"_sc_{n}"), F.col(f"_s_{s}") + F.col(f"_im_{n}"))
+                               for n, s in max_of.items()})  # greatest skips nulls: no earlier span, no earlier chunk
     keep = [*key, ch] + [f"_c_{n}" for n in sums] + [f"_cm_{n}" for n in max_of]
     j = loc.join(carry.select(*keep), [*key, ch])
     for n in sums:

@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import cells as C
 from quarry.operators import traces as T
+from quarry.operators import scan
 from quarry.operators.scan import prefix_scan
 
 
@@ -39,7 +41,9 @@ def test_fifo_match_against_queue(spark):
         assert res == expect
 
 
-def test_prefix_scan_matches_window(spark):
+@pytest.mark.parametrize("span", [1, 3, 4096])
+def test_prefix_scan_matches_window(spark, monkeypatch, span):
+    monkeypatch.setattr(scan, "SPAN", span)
     rng = random.Random(3)
     rows = [(rng.randint(0, 4), i, rng.randint(-3, 3)) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, o long, v long")
