@@ -35,6 +35,9 @@ BANDS = 32
 SEED = 7
 #: Documents in an id range that is walked in one go.
 RANGE_ROWS = 2_048
+#: Ranges at most (their ends are held by every task); beyond it they get longer.
+#: A range is walked as a stream, so its length costs no memory.
+MOST_RANGES = 20_000
 #: Shingles hashed at once: a table of so many rows by PERMUTATIONS stays in cache.
 STEP = 256
 
@@ -113,12 +116,12 @@ def in_ranges(documents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     upper end of each range is a document; it is sent to the range above as
     well (``ghost``), where it follows the last one, and the highest document
     of all to the lowest range.  Only the ids are read to find the ends, one
-    for some ``range_rows`` documents."""
+    for some ``range_rows`` documents, ``MOST_RANGES`` at most."""
     spark = documents.sparkSession
     rank = F.coalesce(F.col("doc_id"), F.lit(-2 ** 63))
     ids = documents.select(rank.alias("id"))
     count = ids.count()
-    cuts = max(1, count // range_rows)
+    cuts = max(1, min(count // range_rows, MOST_RANGES))
     # quantiles are found in floating point, so each range's end is then read off its ids
     about = ids.agg(F.percentile_approx("id", [(i + 1) / cuts for i in range(cuts)], max(10_000, 20 * cuts))).first()[0] or []
     about = spark.sparkContext.broadcast(np.array(sorted(set(about)), np.int64))
