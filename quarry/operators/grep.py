@@ -103,12 +103,13 @@ def grep_context(files: DataFrame, pattern: str, k: int = 2, ignore_case: bool =
     line array: one output row per (hit, context line), no join, no shuffle.
     """
     hit_nos = F.transform(_hits(F.col("lines"), pattern, ignore_case), lambda x: x["line_no"])
-    df = files.select("path", "lines", F.explode(hit_nos).alias("hit_line_no"))
-    lo = F.greatest(F.lit(1), F.col("hit_line_no") - k)
-    hi = F.least(F.size("lines"), F.col("hit_line_no") + k)
-    return (df.select("path", "hit_line_no", "lines", F.explode(F.sequence(lo, hi)).alias("line_no"))
-            .select("path", "hit_line_no", "line_no", F.element_at("lines", F.col("line_no")).alias("line"),
-                    (F.col("line_no") == F.col("hit_line_no")).alias("is_match")))
+
+    def around(hit):
+        return F.transform(F.sequence(F.greatest(F.lit(1), hit - k), F.least(F.size("lines"), hit + k)), lambda i: F.struct(
+            hit.alias("hit_line_no"), i.alias("line_no"), F.element_at("lines", i).alias("line"), (i == hit).alias("is_match")))
+
+    # the slices are cut in the row, so no output row carries the file's lines
+    return files.select("path", F.inline(F.flatten(F.transform(hit_nos, around))))
 
 
 def merge_context(files: DataFrame, pattern: str, k: int = 2, ignore_case: bool = True,
@@ -127,11 +128,10 @@ def merge_context(files: DataFrame, pattern: str, k: int = 2, ignore_case: bool
     ctx = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "hit_nos", lambda h: F.sequence(F.greatest(F.lit(1), h - k), F.least(n, h + k))))))
     df = df.select("path", "lines", "hit_nos", ctx.alias("ctx"))
-    ex = df.select("path", "lines", "hit_nos", "ctx", F.posexplode("ctx").alias("pos", "line_no"))
-    prev = F.when(F.col("pos") > 0, F.element_at("ctx", F.col("pos")))
-    return ex.select("path", "line_no", F.element_at("lines", F.col("line_no")).alias("line"),
-                     F.array_contains("hit_nos", F.col("line_no")).alias("is_match"),
-                     F.coalesce(F.col("line_no") > prev + 1, F.lit(False)).alias("gap_before"))
+    rows = F.transform("ctx", lambda i, pos: F.struct(
+        i.alias("line_no"), F.element_at("lines", i).alias("line"), F.array_contains("hit_nos", i).alias("is_match"),
+        F.when(pos > 0, i > F.get("ctx", pos - 1) + 1).otherwise(F.lit(False)).alias("gap_before")))
+    return df.select("path", F.inline(rows))
 
 
 def page_matches(files: DataFrame, pattern: str, start: int = 0, max_matches: int | None = None,

@@ -340,7 +340,7 @@ def embed_distinct(texts: DataFrame, store: DataFrame | None, text_col: str = "t
     d = texts.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).distinct()
     new = missing_embeddings(d, store)
     # group similar lengths together before the encoder (length-aware batching)
-    new = new.repartitionByRange(F.length("text")).select("text_hash", "text", enc(F.col("text")).alias("embedding"))
+    new = new.repartitionByRange(F.length("text"), "text_hash").select("text_hash", "text", enc(F.col("text")).alias("embedding"))
     allv = new if store is None else store.select("text_hash", "text", "embedding").join(
         d.select("text_hash", "text"), ["text_hash", "text"]).unionByName(new)
     allv = allv.withColumnRenamed("text", "_etext")
