@@ -16,6 +16,8 @@ columns are dropped.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,36 +39,88 @@ LEAST_GAIN = 0.002
 #: Pieces packed together inside one task.
 LOCAL_ITEMS = 200_000
 #: Different words remembered between batches; the memory starts afresh beyond it.
-MEMORY = 300_000
+MEMORY = 600_000
 
 
 class WordEncoder:
     """Token ids of whole texts.  The tokenizer drops white space and splits
-    there, so a text's ids are those of its words in turn; each different
-    word is encoded once a batch."""
+    there, so a text's ids are those of its words in turn; each different word
+    is encoded once.  A word of letters is one unit for the tokenizer, so that
+    many of them are encoded in one call and told apart by the ids that end a
+    unit; a comma or full stop behind them is a unit of its own."""
 
-    def __init__(self, path: str):
-        import os
+    #: Letters below this code point lower-case one by one, the same everywhere, but for these two.
+    SIMPLE, ODD = "\u0530", re.compile("[\u0130\u03a3]").search
+    TAILS = b",."
+    TOGETHER = 1_000
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ends_unit = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_unit[i] = token.endswith("</w>")
+        self.tails = dict(zip(self.TAILS, self._each(list(self.TAILS.decode())), strict=True))
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        split = [t.encode().split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        self.units: dict[bytes, bytes] = {}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes() for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        simple, other = [], []
+        for raw in words:
+            core, tail = raw, self.tails.get(raw[-1], b"")
+            if tail:
+                core = raw[:-1]
+            if core.isalpha():  # ASCII letters only
+                simple.append((raw, core.lower(), tail))
+                continue
+            if not core.isascii():
+                w = core.decode()
+                if w.isalpha() and max(w) < self.SIMPLE and not self.ODD(w):
+                    simple.append((raw, w.lower().encode(), tail))
+                    continue
+            other.append(raw)
+        new = list({core for _, core, _ in simple}.difference(self.units))
+        for k in range(0, len(new), self.TOGETHER):
+            part = new[k:k + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends_unit[ids]) + 1
+            if len(cut) == len(part):
+                coded, cut = ids.tobytes(), (4 * cut).tolist()
+                self.units.update((w, coded[i:j]) for w, i, j in zip(part, [0, *cut], cut, strict=False))
+            else:
+                self.units.update(zip(part, self._each([w.decode() for w in part]), strict=True))
+        known, units = self.known, self.units
+        for raw, core, tail in simple:
+            known[raw] = units[core] + tail if tail else units[core]
+        known.update(zip(other, self._each([w.decode() for w in other]), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts as little-endian unsigned 32-bit numbers."""
+        split = [t.split() for t in texts]
+        new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, list(set().union(*split))
-        coded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
+            self.known, self.units, new = {}, {}, set().union(*split)
+        self._learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+#: One encoder a vocabulary file in each worker process: its words serve all of the process's tasks.
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of each item and each bin's fill.  Items go in by falling
     size, each into the fullest bin that still has room."""
@@ -113,11 +167,11 @@ def local_packer(path: str, capacity: int = CAPACITY):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         end = np.array([END], "<u4").tobytes()
         rows, first = [], TaskContext.get().partitionId() << 36
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).cast(pa.binary()).to_pylist()), strict=True):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k:k + 4 * capacity]

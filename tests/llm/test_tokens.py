@@ -57,7 +57,7 @@ def test_word_encoder_equals_the_library(monkeypatch):
     t, own = tokenizer(), packing.WordEncoder(WORDS)
     texts = ODD + [x or "" for _, x in odd_rows()]
     for k in range(0, len(texts), 7):
-        for text, ids in zip(texts[k:k + 7], own.encode(texts[k:k + 7]), strict=True):
+        for text, ids in zip(texts[k:k + 7], own.encode([x.encode() for x in texts[k:k + 7]]), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
