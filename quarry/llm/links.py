@@ -6,21 +6,41 @@ smallest id) and the others with that id as ``rep``, so that a signature shared
 by a third of all rows reaches the shuffle once a task.
 
 Members of a signature are candidates of each other, but pairs are never
-written out for a whole group.  First each member is held against its group's
-smallest id only; ids already in one component need no further comparison.
-What stays open (groups whose members lie in several components) is compared
-pivot by pivot, pivots doubling each round, and only across components, until
-every pair is linked, connected or refuted.  Nothing is collected.
+written out for a group.  Each member is held against its group's smallest id;
+ids in one component need no further comparison.  Groups that stay open (three
+or more members in several components) are joined to clusters, one for each
+component that is the largest of a group:
+
+* a cluster of up to ``SMALL`` members is compared in one bounded product, which
+  gives back links only (once pivots have thinned out the groups, those of up to
+  ``FEW`` members are compared on their own, so a member meets few others);
+* in a larger one the component's smallest member is the pivot set P.  Write n
+  and l for the items that a set has beyond P and lacks of P.  Two sets that
+  share no item beyond P differ in at least n + n' + |l - l'| items.  So similar
+  sets either share an item beyond P, which makes the next, smaller groups, or
+  obey that bound, which few edited copies do: those pairs are found by ranges
+  of l - n and verified.
+
+So a family of edited copies costs rows in proportion to its items, not to the
+square of its members.  Nothing is collected.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.llm.common import discard, store
 
 #: Parts over which a task's surplus rows of one signature are spread.
 SALTS = 64
+#: Clusters of so many members are compared directly: at first, after each round of
+#: pivots so many times more, never beyond the last number.
+SMALL, GROWTH, SMALL_MOST = 100, 4, 800
+FEW = 32
+#: Cells of one numpy product.
+CELLS = 4_000_000
 
 
 def shared(sigs: DataFrame) -> DataFrame:
@@ -70,45 +90,156 @@ def label(ids: DataFrame, comps: DataFrame, id_col: str = "id", out: str = "comp
             .withColumn(out, F.coalesce("__c", id_col)).drop("__id", "__c"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
-    """Those (a, b) of ``pairs`` for which ``similar(intersection, size a, size b)``
-    holds for the integer sets (id, items) in ``sets``."""
+def similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
+    return 100 * inter >= percent * (a + b - inter)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose sets (id, items) are similar."""
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     two = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     both = pairs.join(one, "a").join(two, "b")
     inter = F.size(F.array_intersect("items_a", "items_b"))
-    return both.filter(similar(inter, F.size("items_a"), F.size("items_b"))).select("a", "b")
-
-
-def link(members: DataFrame, sets_of, similar, first_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, components) for a stored table ``members`` (sig, id, first).
-    ``sets_of(ids)`` gives the stored sets (id, items) of some ids."""
-    ids = members.select("id").union(members.select("first")).distinct()
-    sets = sets_of(ids)
-    ordered = (F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b"))
-    tried = store(members.filter("id <> first").select(*ordered).distinct(), "tried")
-    links = store(verify(tried, sets, similar), "links")
-    pivots = 1
+    return both.filter(similar(inter, F.size("items_a"), F.size("items_b"), percent)).select("a", "b")
+
+
+def link(members: DataFrame, sets_of, percent: int, first_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of sets with 100 * intersection >= percent * union, for
+    a stored table ``members`` (sig, id, first).  ``sets_of(ids)`` gives the
+    stored sets (id, items) of some ids."""
+    sets = sets_of(members.select("id").union(members.select("first")).distinct())
+    links = store(verify(ordered(members.filter("id <> first"), "first", "id"), sets, percent), "links")
+    comps = components(links if first_edges is None else links.union(first_edges))
+    groups, few, small = members.select("sig", "id").distinct(), 0, SMALL
     while True:
-        comps = components(links if first_edges is None else links.union(first_edges))
-        here = label(members.select("sig", "id"), comps)
-        open_sigs = (here.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                             F.count(F.lit(1)).alias("n"))
-                     .filter("lo <> hi and n > 2").select("sig"))
-        group = Window.partitionBy("sig")
-        still = store(here.join(open_sigs, "sig").distinct()
-                      .withColumn("rank", F.row_number().over(group.orderBy("id"))), "open_members")
-        upto = 8 * pivots
-        heads = still.filter(F.col("rank") <= upto).select(
-            "sig", F.col("id").alias("pivot"), F.col("component").alias("pivot_component"), F.col("rank").alias("pivot_rank"))
-        fresh = (still.join(heads, "sig").filter("component <> pivot_component and rank > pivot_rank")
-                 .select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-                 .join(tried, ["a", "b"], "left_anti"))
-        fresh = store(fresh, "fresh")
-        beyond = still.agg(F.max("rank")).first()[0] or 0
-        if fresh.isEmpty() and beyond <= upto:
+        rows = label(groups, comps)
+        still = store(rows.join(open_groups(rows), "sig"), "open_members")
+        if still.isEmpty():
+            return links, comps
+        sets = store(sets.join(still.select("id").distinct(), "id", "left_semi"), "open_sets")
+        found, groups = compared(still, sets, percent, few, small)
+        few, small = min(max(FEW, GROWTH * few), SMALL_MOST), min(GROWTH * small, SMALL_MOST)
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = merged(comps, found)
+        if groups is None:
             return links, comps
-        pivots = upto
-        if not fresh.isEmpty():
-            more = store(verify(fresh, sets, similar), "links")
-            links, tried = store(links.union(more), "links"), store(tried.union(fresh), "tried")
+        # the next groups: members against the smallest id of theirs
+        rows = label(groups, comps)
+        least = rows.groupBy("sig").agg(F.min_by("component", "id").alias("c"), F.min("id").alias("first"))
+        star = rows.join(least, "sig").filter("component <> c")
+        found = store(verify(ordered(star, "first", "id"), sets, percent), "links")
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = merged(comps, found)
+
+
+def ordered(df: DataFrame, one: str, other: str) -> DataFrame:
+    """Different pairs (a, b) with a < b."""
+    return df.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def bound(a: Column, b: Column, percent: int) -> Column:
+    """Most items in which similar sets of these sizes differ."""
+    return F.floor((100 - percent) * (a + b) / F.lit(100 + percent))
+
+
+def compared(still: DataFrame, sets: DataFrame, percent: int, few: int, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """(links found, next groups or None) for open groups (sig, id, component, n)."""
+    pairs = across(still.filter(F.col("n") <= few), "sig")
+    still = still.filter(F.col("n") > few)
+    # clusters: open groups whose largest component is the same one; its smallest member is the pivot
+    parts = still.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
+    lead = parts.groupBy("sig").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
+    least = still.groupBy("component").agg(F.min("id").alias("cluster"))
+    who = (still.select("sig", "id", "component").join(lead.join(least, "component").select("sig", "cluster"), "sig")
+           .select("cluster", "id", "component").distinct())
+    sizes = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
+    who = store(who.join(sizes, "cluster"), "cluster_members")
+    direct = (who.filter(F.col("members") <= small).join(sets, "id").select("cluster", "id", "component", "items")
+              .groupBy("cluster").applyInArrow(product_links(percent), "a long, b long"))
+    who = who.filter(F.col("members") > small)
+    if who.isEmpty():
+        return store(verify(pairs, sets, percent).union(direct).distinct(), "links"), None
+    pivots = sets.join(who.select(F.col("cluster").alias("id")).distinct(), "id").select(
+        F.col("id").alias("cluster"), F.col("items").alias("p_items"))
+    near = who.join(sets, "id").join(pivots, "cluster").filter("id <> cluster")
+    near = store(near.select("id", "component", "cluster", F.size("items").alias("size"), F.size("p_items").alias("p_size"),
+                             F.array_except("items", "p_items").alias("beyond"), F.array_except("p_items", "items").alias("lost"))
+                 .withColumn("n", F.size("beyond")).withColumn("l", F.size("lost")), "beside_pivot")
+    to_pivot = near.filter(similar(F.col("size") - F.col("n"), F.col("size"), F.col("p_size"), percent))
+    close = close_pairs(near.drop("beyond"), percent)
+    found = store(verify(pairs.union(close).distinct(), sets, percent).union(ordered(to_pivot, "cluster", "id")).union(direct).distinct(), "links")
+    # sets of one cluster that share an item beyond its pivot
+    items = near.select("id", F.explode("beyond").alias("item"), "cluster").select(F.xxhash64("cluster", "item").alias("sig"), "id")
+    twice = items.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("sig")
+    return found, store(items.join(twice, "sig", "left_semi").distinct(), "groups")
+
+
+def across(rows: DataFrame, key: str) -> DataFrame:
+    """Pairs (a, b) of ids with one key in different components, each once."""
+    other = rows.select(key, F.col("id").alias("o"), F.col("component").alias("oc"))
+    return ordered(rows.select(key, "id", "component").join(other, key).filter("id < o and component <> oc"), "id", "o")
+
+
+def product_links(percent: int):
+    """applyInArrow function: one bounded cluster (cluster, id, component, items) ->
+    links (a, b) between different components, by the product of its incidence
+    matrix with itself, some columns at a time."""
+
+    def run(cluster: pa.Table) -> pa.Table:
+        ids, comps = (np.array(cluster.column(c), np.int64) for c in ("id", "component"))
+        lists = cluster.column("items").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        of = np.repeat(np.arange(len(ids)), size)
+        _, item = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(item, kind="stable")
+        of, item = of[order], item[order]
+        inter, step = np.zeros((len(ids), len(ids))), max(1, CELLS // len(ids))
+        for first in range(0, int(item[-1]) + 1 if len(item) else 0, step):
+            i, j = np.searchsorted(item, [first, first + step])
+            has = np.zeros((len(ids), step), np.float32)
+            has[of[i:j], item[i:j] - first] = 1
+            inter += has @ has.T
+        like = 100 * inter >= percent * (size[:, None] + size[None] - inter)
+        x, y = np.nonzero(np.triu(like, 1) & (comps[:, None] != comps[None]))
+        return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
+
+    return run
+
+
+def close_pairs(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a cluster in different components that are similar if they
+    share no item beyond the pivot: n + n' + the items that only one of them lacks
+    are within the bound.  With d = n + l and u = l - n it follows that
+    u' >= d - k, so each set looks only into ranges of u from there up."""
+    width = 4
+    limit = F.floor((100 - percent) * F.col("size") / F.lit(percent))  # with the largest partner a set can have
+    here = near.select("cluster", "id", "component", "size", "n", "l", "lost", F.floor((F.col("l") - F.col("n")) / width).alias("cell"),
+                       F.floor((F.col("n") + F.col("l") - limit) / width).alias("from"))
+    cells = here.select("cluster", "cell").distinct()
+    seeks = (here.drop("cell").join(cells, "cluster").filter(F.col("cell") >= F.col("from"))
+             .select("cluster", "cell", F.col("id").alias("x"), F.col("component").alias("xc"), F.col("size").alias("xs"),
+                     F.col("n").alias("xn"), F.col("l").alias("xl"), F.col("lost").alias("xlost")))
+    most = bound(F.col("size"), F.col("xs"), percent)
+    least = F.col("n") + F.col("xn") + F.abs(F.col("l") - F.col("xl"))
+    gap = F.col("n") + F.col("xn") + F.col("l") + F.col("xl") - 2 * F.size(F.array_intersect("lost", "xlost"))
+    here = here.drop("from").withColumnsRenamed({"cluster": "hc", "cell": "hcell"})
+    hits = seeks.join(here, (F.col("cluster") == F.col("hc")) & (F.col("cell") == F.col("hcell")) & (F.col("id") != F.col("x"))
+                      & (F.col("component") != F.col("xc")) & (least <= most) & (gap <= most))
+    return ordered(hits, "x", "id")
+
+
+def open_groups(rows: DataFrame) -> DataFrame:
+    """(sig, n) of groups with three or more members in several components."""
+    return (rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+            .filter((F.col("lo") != F.col("hi")) & (F.col("n") > 2)).select("sig", "n"))
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links between them."""
+    ends = label(label(links, comps, "a", "x"), comps, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    over = components(ends)
+    known = comps.select("id").union(ends.select("a")).union(ends.select("b")).distinct()
+    both = label(label(known, comps, "id", "component"), over, "component", "wider")
+    return store(both.select("id", F.col("wider").alias("component")).filter("id <> component"), "components")

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from quarry.llm import fingerprints, partenum
+from quarry.llm import fingerprints, links, partenum
 from tests.llm.conftest import odd_rows
 
 
@@ -63,13 +63,37 @@ def one_signature(items):
     return np.array([7], np.uint64)
 
 
-def test_one_hot_signature_is_compared_whole(spark):
-    """All sets share the only signature: pivots must still find every link."""
-    rows = family(8, 14)
+@pytest.mark.parametrize("small", [100, 2])
+def test_one_hot_signature_is_compared_whole(spark, monkeypatch, small):
+    """All sets share the only signature; with the small limits only pivots thin
+    them out, round after round, and must still find every link."""
+    if small == 2:
+        for name, value in (("SMALL", 2), ("GROWTH", 1)):
+            monkeypatch.setattr(links, name, value)
+    rows = family(8, 14) if small == 100 else family(9, 7, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert as_dict(partenum.jaccard_components(df, make=one_signature)) == brute(rows, 4, 85)
 
 
+def test_edited_family_by_pivots(spark, monkeypatch):
+    """One family of edited, cut and extended copies, thinned out by pivots first."""
+    for name, value in (("SMALL", 5), ("GROWTH", 2), ("CELLS", 500)):
+        monkeypatch.setattr(links, name, value)
+    rng = random.Random(6)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 7, 12])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(400)}"
+        if rng.random() < 0.3:
+            text = text[:rng.randrange(60, 120)]
+        if rng.random() < 0.3:
+            text += [f"tail{j}" for j in range(rng.choice([4, 9, 25]))]
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_dict(partenum.jaccard_components(df)) == brute(rows, 4, 85)
+
+
 def test_bands_find_near_duplicates(spark):
     rows = family(21, 30)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
