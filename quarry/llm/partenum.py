@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import links
-from quarry.llm.common import prepare, store, whole_text
+from quarry.llm.common import discard, prepare, store, whole_text
 from quarry.llm.words import mix, shingles
 
 SHINGLE_WORDS = 4
@@ -48,7 +48,7 @@ PERCENT = 85
 #: Up to this many differing items one group of parts is used, with subsets of two parts.
 SMALL_K = 4
 #: Signatures a task holds before it sends them.
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 @lru_cache(maxsize=None)
@@ -209,14 +209,17 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
     members = store(held.join(owner_of, "id").join(first, "first")
                     .select("sig", F.col("owner").alias("id"), F.col("first_owner").alias("first")).distinct(), "sig_members")
 
+    discard(held)
+    named = rows.filter("doc_id is not null").select("doc_id")
+    repeats = named.count() > named.distinct().count()
+
     def sets_of(wanted: DataFrame) -> DataFrame:
         texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         sets = texts.select(F.col("doc_id").alias("id"), item_sets(k)("text").alias("s")).select("id", "s.*")
-        return store(sets.groupBy("id").agg(F.min_by("items", mark).alias("items")), "item_sets")
-
-    def similar(inter, a, b):
-        return 100 * inter >= percent * (a + b - inter)
+        if repeats:  # an id with several rows: the one set that stands for it
+            sets = sets.groupBy("id").agg(F.min_by("items", mark).alias("items"))
+        return store(sets.select("id", "items"), "item_sets")
 
     twins = owner_of.filter("id <> owner").select(F.col("id").alias("a"), F.col("owner").alias("b"))
-    _, comps = links.link(members, sets_of, similar, twins)
+    _, comps = links.link(members, sets_of, percent, twins)
     return links.label(rows, comps, "doc_id", "component_id").select("doc_id", "n_shingles", "component_id")

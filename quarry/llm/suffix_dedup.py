@@ -46,8 +46,8 @@ from quarry.llm.words import mix
 LEAST = 100
 GRAM = 32
 #: Anchors, and bytes of contexts, that a task holds before it sends them.
-FLUSH_ANCHORS = 2_000_000
-FLUSH_BYTES = 48_000_000
+FLUSH_ANCHORS = 1_000_000
+FLUSH_BYTES = 24_000_000
 #: Contexts of one anchor before it is made longer; bytes of a block.
 GROUP_LIMIT = 4_000
 BLOCK_BYTES = 1_000_000
