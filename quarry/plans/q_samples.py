@@ -124,11 +124,14 @@ aligned AS (SELECT e.trace_id, e.step_index, e.info_item AS query,
 
 
 def _aligned(spark, sf):
+    """Steps of every trace.  A trace without a sample keeps its raw pairs; a step
+    without a true answer can't be judged and is missing, as in the reference."""
     pairs = T.qa_pairs(turned_actions(spark, sf))
     samples = v_samples(spark, sf)
     links = v_tagged(spark, sf).select("trace_id").distinct().join(samples.select("ord"),
                                                                    F.col("trace_id") == F.col("ord"))
-    return S.align_steps(pairs, S.explode_checklist(samples), links).join(links.select("trace_id"), "trace_id")
+    out = S.align_steps(pairs, S.explode_checklist(samples), links)
+    return out.withColumn("is_missing", F.col("is_missing") | (F.coalesce("true_answer", F.lit("")) == ""))
 
 
 @query("score_point_coverage", sql=f"""
