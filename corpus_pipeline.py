@@ -6,8 +6,9 @@ checkpoint folder and reads it back for the next.  All stages but the last
 return the columns of documents.
 
 Cases: null texts have no language and go in the first stage, as do texts without
-letters and texts whose language is uncertain.  Rows that repeat a doc_id are one
-document from the third stage on.  An empty table passes through.
+letters and texts whose language is uncertain.  Rows that repeat a doc_id and
+its text are one document from the third stage on; different texts of an id are
+documents of their own there.  An empty table passes through.
 """
 
 from __future__ import annotations
@@ -45,15 +46,21 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest doc_id."""
-    found = partenum.jaccard_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
-    found = store(found.filter("doc_id is null or component_id = doc_id"), "kept_ids")
-    rows = found.filter("doc_id is not null")
-    ids = rows.select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(ids, docs["doc_id"] == F.col("__id"), "left_semi")
-    if ids.count() < rows.count():  # an id that has several rows
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near duplicates: the smallest doc_id, further
+    texts of an id being numbered after all ids."""
+    named = docs.filter("doc_id is not null").withColumn("__did", F.col("doc_id"))
+    ids = named.select("doc_id")
+    repeats = ids.count() > ids.distinct().count()
+    if repeats:
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        _, _, told = suffix_dedup.numbered(named.select("doc_id", "text", row.alias("row")))
+        named = told.select(F.col("did").alias("__did"), "text", "row")
+    found = partenum.jaccard_components(named.select(F.col("__did").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    kept = store(found.filter("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct(), "kept_ids")
+    out = named.join(kept, named["__did"] == F.col("__id"), "left_semi")
+    if repeats:  # equal texts of an id: the smallest row
+        out = out.groupBy("__did").agg(F.min("row").alias("row")).select("row.*")
+    return _plain(out, docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

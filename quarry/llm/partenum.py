@@ -19,9 +19,9 @@ components in ``links``.
 Cases: a null or wordless text has an empty set and no links; a text with fewer
 words than a shingle is one shingle.  Equal sets link whatever their size.
 Rows that repeat a doc_id are one document in the links, each with its own row
-in the result; if their texts differ, the set with the smallest (size, digest)
-stands for the id.  Rows with a null doc_id are linked with nothing and have a
-null component.  An empty table gives an empty result; extra columns are dropped.
+in the result; if their texts differ, each text is a document of its own, whose
+further texts are numbered after all ids, as in ``suffix_dedup.numbered``.  Rows
+with a null doc_id are linked with nothing and have a null component.  An empty table gives an empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 
 from quarry.llm import links
 from quarry.llm.common import discard, prepare, store, whole_text
+from quarry.llm.suffix_dedup import numbered
 from quarry.llm.words import mix, shingles
 
 SHINGLE_WORDS = 4
@@ -195,6 +196,12 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
     prepare(spark)
     docs = documents.select("doc_id", whole_text().alias("text"))
     rows = store(docs.select("doc_id", describe(k)("text").alias("s")).select("doc_id", "s.*"), "shingle_sets")
+    named = rows.filter("doc_id is not null")
+    n_ids = named.select("doc_id").distinct().count()
+    repeats = named.count() > n_ids
+    if repeats and named.distinct().count() > n_ids:
+        discard(rows)
+        return each_text(documents, k, percent, make)
     mark = F.struct("n_shingles", "d1", "d2")
     some = (rows.filter("doc_id is not null and n_shingles > 0")
             .groupBy("doc_id").agg(F.min(mark).alias("s")).select("doc_id", "s.*"))
@@ -210,16 +217,24 @@ def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: in
                     .select("sig", F.col("owner").alias("id"), F.col("first_owner").alias("first")).distinct(), "sig_members")
 
     discard(held)
-    named = rows.filter("doc_id is not null").select("doc_id")
-    repeats = named.count() > named.distinct().count()
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         sets = texts.select(F.col("doc_id").alias("id"), item_sets(k)("text").alias("s")).select("id", "s.*")
-        if repeats:  # an id with several rows: the one set that stands for it
+        if repeats:  # an id with several rows, all of one set
             sets = sets.groupBy("id").agg(F.min_by("items", mark).alias("items"))
         return store(sets.select("id", "items"), "item_sets")
 
     twins = owner_of.filter("id <> owner").select(F.col("id").alias("a"), F.col("owner").alias("b"))
     _, comps = links.link(members, sets_of, percent, twins)
     return links.label(rows, comps, "doc_id", "component_id").select("doc_id", "n_shingles", "component_id")
+
+
+def each_text(documents: DataFrame, k: int, percent: int, make) -> DataFrame:
+    """``jaccard_components`` of a table with ids that have different texts."""
+    _, places, docs = numbered(documents.filter("doc_id is not null").select("doc_id", "text"))
+    found = jaccard_components(docs.select(F.col("did").alias("doc_id"), "text"), k, percent, make)
+    ids = places.select(F.col("doc_id").alias("id"), F.col("did").alias("doc_id"))
+    out = found.join(ids, "doc_id").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    unnamed = documents.filter("doc_id is null").select("doc_id", describe(k)(whole_text()).alias("s"))
+    return out.unionByName(unnamed.select("doc_id", "s.n_shingles", F.lit(None).cast("long").alias("component_id")))
