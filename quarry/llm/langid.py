@@ -29,9 +29,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBED = 8
-#: The training sample: the most frequent languages, so many documents of each
-#: at most, all together at most, windows taken from each one.
-MAX_LANGS = 200
+#: The training sample: so many documents of each language at most, all together
+#: at most (but one of each language), windows taken from each one.
 DOCS_PER_LANG = 800
 MAX_DOCS = 12_000
 WINDOWS_PER_DOC = 2
@@ -145,21 +144,23 @@ def train(documents: DataFrame, eligible: Column, text: str = "text", lang: str
           key: str = "doc_id") -> Network | None:
     """Fit on a sample of rows that are ``eligible`` and have text and lang.
     Which rows is decided by a hash of ``key``; each language gives about
-    ``DOCS_PER_LANG`` documents, or all it has."""
+    ``DOCS_PER_LANG`` documents, or all it has, and one at least."""
     rows = documents.filter(eligible & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = (rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGS).collect())
-    if not sizes:
-        return None
-    per_lang = min(DOCS_PER_LANG, MAX_DOCS // len(sizes))
     scale = 1 << 40
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r[0], min(scale, scale * per_lang // r["count"]))))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(scale))
+    sizes = rows.groupBy(lang).agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
+    if not sizes:
+        return None
+    per_lang = min(DOCS_PER_LANG, max(1, MAX_DOCS // len(sizes)))
+    # draws up to this one are in the sample
+    last = [(r[0], max(r["least"], min(scale, scale * per_lang // r["n"]) - 1)) for r in sizes]
+    share = F.broadcast(rows.sparkSession.createDataFrame(last, "__lang string, __last long"))
     # windows spread evenly over each sampled text, cut before they leave the executors
     room = F.greatest(F.length(text) - WINDOW, F.lit(0))
     cuts = F.array(*(F.substr(F.col(text), F.floor(room * (k / max(1, WINDOWS_PER_DOC - 1))).cast("int") + 1, F.lit(WINDOW))
                      for k in range(WINDOWS_PER_DOC)))
-    sample = (rows.filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), cuts.alias("cuts"), draw.alias("draw"))
-              .orderBy("draw").limit(2 * MAX_DOCS).toPandas())
+    sample = (rows.join(share, F.col(lang) == F.col("__lang")).filter(draw <= F.col("__last")).select(F.col(lang).alias("lang"), cuts.alias("cuts"), draw.alias("draw"))
+              .orderBy("draw").limit(2 * (MAX_DOCS + len(sizes))).toPandas())
     langs = sorted(r[0] for r in sizes)
     number = {x: i for i, x in enumerate(langs)}
     data = [(c, number[x]) for x, cuts in zip(sample["lang"], sample["cuts"], strict=True) for c in dict.fromkeys(cuts) if c]
