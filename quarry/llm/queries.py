@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, fingerprints, langid, packing, partenum, quality, sharding, suffix_dedup, toxicity, urls
+from quarry.llm import (bpe, divergence, fingerprints, langid, packing, partenum, quality, sharding, suffix_dedup, toxicity, urls,
+                        vector_codes, warc)
 from quarry.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +90,21 @@ def op10(spark, sf_dir):
     """Verdict on every page's url."""
     return (urls.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
             .select("page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft"))
+
+
+@query("op11_warc", warc.oracle())
+def op11(spark, sf_dir):
+    """The records of every page, written to WARC archives and read back."""
+    return warc.archived(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op12_vector_codes", vector_codes.oracle())
+def op12(spark, sf_dir):
+    """Product code and error of every vector."""
+    return vector_codes.compress(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+@query("op13_source_divergence", divergence.oracle())
+def op13(spark, sf_dir):
+    """Divergences between the sources of each language and their telling terms."""
+    return divergence.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
