@@ -1,25 +1,27 @@
 """From shared signatures to verified links to components, as Spark jobs.
 
-Input is a table of (sig, id, rep): ``id`` holds signature ``sig``.  A task
+Input is a table of (sig, id, rep, many): the set ``id`` holds signature ``sig``.  A task
 that meets a signature several times sends one row with ``rep`` null (its
 smallest id) and the others with that id as ``rep``, so that a signature shared
 by a third of all rows reaches the shuffle once a task.
 
-Members of a signature are candidates of each other, but pairs are never
-written out for a group.  Each member is held against its group's smallest id;
-ids in one component need no further comparison.  Groups that stay open (three
-or more members in several components) are joined to clusters, one for each
-component that is the largest of a group:
+Members of a signature are candidates of each other.  Each member is held against
+its group's smallest id; ids in one component need no further comparison.  Groups
+that stay open (three or more members in several components) are compared whole if
+they have at most ``FEW`` members, which makes at most FEW / 2 pairs a member;
+the larger ones are joined to clusters, one for each component that is the
+largest of a group:
 
 * a cluster of up to ``SMALL`` members is compared in one bounded product, which
-  gives back links only (once pivots have thinned out the groups, those of up to
-  ``FEW`` members are compared on their own, so a member meets few others);
-* in a larger one the component's smallest member is the pivot set P.  Write n
-  and l for the items that a set has beyond P and lacks of P.  Two sets that
-  share no item beyond P differ in at least n + n' + |l - l'| items.  So similar
-  sets either share an item beyond P, which makes the next, smaller groups, or
-  obey that bound, which few edited copies do: those pairs are found by ranges
-  of l - n and verified.
+  gives back links only;
+* in a larger one a set U of items is taken: the items of the cluster's smallest member, and
+  of the earlier pivots that led to it.  Write n and l for the items that a set has beyond
+  U and lacks of U.  Two sets that share no item beyond U differ in at least
+  n + n' + |l - l'| items.  So similar sets either share an item beyond U, which makes
+  the next groups, or obey that bound, which few edited copies do: those
+  pairs are found by ranges of l - n and verified.  As U keeps the items of earlier
+  pivots, what most of a family holds is covered after a few rounds, and
+  groups shrink to the sets that share an edit.
 
 So a family of edited copies costs rows in proportion to its items, not to the
 square of its members.  Nothing is collected.
@@ -38,21 +40,24 @@ SALTS = 64
 #: Clusters of so many members are compared directly: at first, after each round of
 #: pivots so many times more, never beyond the last number.
 SMALL, GROWTH, SMALL_MOST = 100, 4, 800
+#: Groups of so many members are compared pair by pair.
 FEW = 32
 #: Cells of one numpy product.
 CELLS = 4_000_000
 
 
 def shared(sigs: DataFrame) -> DataFrame:
-    """(sig, id, first): rows of signatures that more than one id holds; ``first``
+    """(sig, id, first): rows of signatures that more than one id holds, each once; ``first``
     is the group's smallest id, or for surplus rows their task's."""
     salt = F.when(F.col("rep").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     w = Window.partitionBy("sig", "salt").orderBy("id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = (sigs.withColumn("salt", salt)
-            .select("sig", "id", "rep", "many", F.lag("id").over(w).alias("before"), F.lead("id").over(w).alias("after"),
-                    F.min("id").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("least")))
-    alone = F.col("rep").isNull() & F.col("before").isNull() & F.col("after").isNull() & ~F.col("many")
-    return seen.filter(~alone).select("sig", "id", F.coalesce("rep", "least").alias("first"))
+            .select("sig", "id", "rep", F.lag("id").over(w).alias("before"), F.first("id").over(whole).alias("least"),
+                    F.last("id").over(whole).alias("most"), F.max("many").over(whole).alias("many")))
+    alone = F.col("rep").isNull() & (F.col("least") == F.col("most")) & ~F.col("many")
+    again = F.col("before").isNotNull() & (F.col("before") == F.col("id"))
+    return seen.filter(~alone & ~again).select("sig", "id", F.coalesce("rep", "least").alias("first"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -103,34 +108,35 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(similar(inter, F.size("items_a"), F.size("items_b"), percent)).select("a", "b")
 
 
-def link(members: DataFrame, sets_of, percent: int, first_edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of sets with 100 * intersection >= percent * union, for
+def link(members: DataFrame, sets_of, percent: int) -> DataFrame:
+    """(id, component) of sets linked by 100 * intersection >= percent * union, for
     a stored table ``members`` (sig, id, first).  ``sets_of(ids)`` gives the
     stored sets (id, items) of some ids."""
     sets = sets_of(members.select("id").union(members.select("first")).distinct())
-    links = store(verify(ordered(members.filter("id <> first"), "first", "id"), sets, percent), "links")
-    comps = components(links if first_edges is None else links.union(first_edges))
-    groups, few, small = members.select("sig", "id").distinct(), 0, SMALL
+    comps = components(verify(ordered(members.filter("id <> first"), "first", "id"), sets, percent))
+    groups, small = members.select("sig", "id").distinct(), SMALL
+    covered = None
     while True:
         rows = label(groups, comps)
         still = store(rows.join(open_groups(rows), "sig"), "open_members")
         if still.isEmpty():
-            return links, comps
-        sets = store(sets.join(still.select("id").distinct(), "id", "left_semi"), "open_sets")
-        found, groups = compared(still, sets, percent, few, small)
-        few, small = min(max(FEW, GROWTH * few), SMALL_MOST), min(GROWTH * small, SMALL_MOST)
+            return comps
+        fewer = store(sets.join(still.select("id").distinct(), "id", "left_semi"), "open_sets")
+        discard(sets)
+        sets = fewer
+        found, groups, covered = compared(still, sets, percent, small, covered)
+        small = min(GROWTH * small, SMALL_MOST)
         if not found.isEmpty():
-            links = links.union(found)
             comps = merged(comps, found)
+        discard(still)
         if groups is None:
-            return links, comps
+            return comps
         # the next groups: members against the smallest id of theirs
         rows = label(groups, comps)
         least = rows.groupBy("sig").agg(F.min_by("component", "id").alias("c"), F.min("id").alias("first"))
         star = rows.join(least, "sig").filter("component <> c")
         found = store(verify(ordered(star, "first", "id"), sets, percent), "links")
         if not found.isEmpty():
-            links = links.union(found)
             comps = merged(comps, found)
 
 
@@ -144,36 +150,52 @@ def bound(a: Column, b: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (a + b) / F.lit(100 + percent))
 
 
-def compared(still: DataFrame, sets: DataFrame, percent: int, few: int, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """(links found, next groups or None) for open groups (sig, id, component, n)."""
-    pairs = across(still.filter(F.col("n") <= few), "sig")
-    still = still.filter(F.col("n") > few)
+def compared(still: DataFrame, sets: DataFrame, percent: int, small: int, covered: tuple[DataFrame, DataFrame] | None):
+    """(links found, next groups or None, what their pivots cover) for open groups (sig, id,
+    component, n).  ``covered`` are two tables: (sig, cluster), the cluster that a large group
+    comes from, and (cluster, items), what the pivots up to then cover."""
+    pairs = across(still.filter(F.col("n") <= FEW), "sig")
+    still = still.filter(F.col("n") > FEW)
     # clusters: open groups whose largest component is the same one; its smallest member is the pivot
     parts = still.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
-    lead = parts.groupBy("sig").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
-    least = still.groupBy("component").agg(F.min("id").alias("cluster"))
-    who = (still.select("sig", "id", "component").join(lead.join(least, "component").select("sig", "cluster"), "sig")
-           .select("cluster", "id", "component").distinct())
-    sizes = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
-    who = store(who.join(sizes, "cluster"), "cluster_members")
+    lead = parts.groupBy("sig").agg(F.max_by("component", F.struct("n", -F.col("component").cast("decimal(20,0)"))).alias("cluster"))
+    who = still.select("sig", "id", "component").join(lead, "sig").select("cluster", "id", "component").distinct()
+    sizes = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"))
+    whole = who = store(who.join(sizes, "cluster"), "cluster_members")
     direct = (who.filter(F.col("members") <= small).join(sets, "id").select("cluster", "id", "component", "items")
               .groupBy("cluster").applyInArrow(product_links(percent), "a long, b long"))
     who = who.filter(F.col("members") > small)
     if who.isEmpty():
-        return store(verify(pairs, sets, percent).union(direct).distinct(), "links"), None
-    pivots = sets.join(who.select(F.col("cluster").alias("id")).distinct(), "id").select(
-        F.col("id").alias("cluster"), F.col("items").alias("p_items"))
-    near = who.join(sets, "id").join(pivots, "cluster").filter("id <> cluster")
-    near = store(near.select("id", "component", "cluster", F.size("items").alias("size"), F.size("p_items").alias("p_size"),
-                             F.array_except("items", "p_items").alias("beyond"), F.array_except("p_items", "items").alias("lost"))
+        return store(verify(pairs, sets, percent).union(direct).distinct(), "links"), None, None
+    pivots = who.select("cluster", "pivot").distinct()
+    pivots = pivots.join(sets, pivots["pivot"] == sets["id"]).select("cluster", "pivot", F.col("items").alias("p_items"))
+    none = F.array().cast("array<long>")
+    if covered is None:
+        pivots = pivots.withColumn("before", none)
+    else:  # any earlier items will do: those of one of the cluster's groups
+        came, items = covered
+        one = (lead.groupBy("cluster").agg(F.min("sig").alias("sig")).join(came.withColumnRenamed("cluster", "old"), "sig")
+               .join(items.withColumnRenamed("cluster", "old"), "old").select("cluster", F.col("items").alias("before")))
+        pivots = pivots.join(one, "cluster", "left").withColumn("before", F.coalesce("before", none))
+    pivots = store(pivots.withColumn("u_items", F.array_union("p_items", "before")).drop("before"), "pivots")
+    near = who.join(sets, "id").join(pivots.drop("pivot"), "cluster")
+    near = store(near.select("id", "component", "cluster", "pivot", F.size("items").alias("size"), F.size("p_items").alias("p_size"),
+                             F.size(F.array_intersect("items", "p_items")).alias("inter"),
+                             F.array_except("items", "u_items").alias("beyond"), F.array_except("u_items", "items").alias("lost"))
                  .withColumn("n", F.size("beyond")).withColumn("l", F.size("lost")), "beside_pivot")
-    to_pivot = near.filter(similar(F.col("size") - F.col("n"), F.col("size"), F.col("p_size"), percent))
+    to_pivot = near.filter((F.col("id") != F.col("pivot")) & similar(F.col("inter"), F.col("size"), F.col("p_size"), percent))
     close = close_pairs(near.drop("beyond"), percent)
-    found = store(verify(pairs.union(close).distinct(), sets, percent).union(ordered(to_pivot, "cluster", "id")).union(direct).distinct(), "links")
-    # sets of one cluster that share an item beyond its pivot
-    items = near.select("id", F.explode("beyond").alias("item"), "cluster").select(F.xxhash64("cluster", "item").alias("sig"), "id")
+    found = store(verify(pairs.union(close).distinct(), sets, percent).union(ordered(to_pivot, "pivot", "id")).union(direct).distinct(), "links")
+    # sets of one cluster that share an item beyond what is covered
+    items = near.select("id", F.explode("beyond").alias("item"), "cluster").select(F.xxhash64("cluster", "item").alias("sig"), "id", "cluster")
     twice = items.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("sig")
-    return found, store(items.join(twice, "sig", "left_semi").distinct(), "groups")
+    groups = store(items.join(twice, "sig", "left_semi").distinct(), "groups")
+    # a group is looked up by its signature; only those too large to compare at once need it
+    large = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("cluster")).filter(F.col("n") > FEW)
+    came = store(large.select("sig", "cluster"), "came_from")
+    for done in (near, whole):
+        discard(done)
+    return found, groups.drop("cluster"), (came, pivots.select("cluster", F.col("u_items").alias("items")))
 
 
 def across(rows: DataFrame, key: str) -> DataFrame:
@@ -195,8 +217,9 @@ def product_links(percent: int):
         _, item = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         order = np.argsort(item, kind="stable")
         of, item = of[order], item[order]
-        inter, step = np.zeros((len(ids), len(ids))), max(1, CELLS // len(ids))
-        for first in range(0, int(item[-1]) + 1 if len(item) else 0, step):
+        width = int(item[-1]) + 1 if len(item) else 0
+        inter, step = np.zeros((len(ids), len(ids))), max(1, min(width, CELLS // len(ids)))
+        for first in range(0, width, step):
             i, j = np.searchsorted(item, [first, first + step])
             has = np.zeros((len(ids), step), np.float32)
             has[of[i:j], item[i:j] - first] = 1

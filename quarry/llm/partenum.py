@@ -16,12 +16,16 @@ those keep all signatures.
 Candidates are verified exactly (100 * intersection >= 85 * union) and joined to
 components in ``links``.
 
+Nodes of the graph are different sets, named by 64 bits of their digest (the rare names that
+two digests share are told apart by the rest), so equal sets are one node
+wherever they lie, and a signature that only copies of one set hold is gone after the first shuffle.
+
 Cases: a null or wordless text has an empty set and no links; a text with fewer
 words than a shingle is one shingle.  Equal sets link whatever their size.
-Rows that repeat a doc_id are one document in the links, each with its own row
-in the result; if their texts differ, each text is a document of its own, whose
-further texts are numbered after all ids, as in ``suffix_dedup.numbered``.  Rows
-with a null doc_id are linked with nothing and have a null component.  An empty table gives an empty result; extra columns are dropped.
+Each row is judged by its own text: rows that repeat a doc_id have the component of their
+text, whose name is the smallest doc_id that any of its rows has.  Rows with a null
+doc_id are linked with nothing and have a null component.  An empty table gives an
+empty result; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -40,7 +44,6 @@ from pyspark.sql import types as T
 
 from quarry.llm import links
 from quarry.llm.common import discard, prepare, store, whole_text
-from quarry.llm.suffix_dedup import numbered
 from quarry.llm.words import mix, shingles
 
 SHINGLE_WORDS = 4
@@ -147,6 +150,11 @@ SIGS = T.StructType([T.StructField("sig", T.LongType()), T.StructField("id", T.L
                      T.StructField("rep", T.LongType()), T.StructField("many", T.BooleanType())])
 
 
+def node(d1: int, d2: int, clashes: frozenset[int]) -> int:
+    """The 64-bit name of a set with this digest."""
+    return xxhash.xxh3_64_intdigest(d1.to_bytes(8, "little", signed=True) + d2.to_bytes(8, "little", signed=True)) - (1 << 63) if d1 in clashes else d1
+
+
 def deal(sigs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
     """What a task sends: of each signature the smallest id (``many``: others of
     this task hold it too), and the others with that id as ``rep``."""
@@ -163,22 +171,22 @@ def deal(sigs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
         pa.array(sig.view(np.int64)), pa.array(who), pa.array(rep, mask=new), pa.array(new & (size[run] > 1))], SIGS.names)
 
 
-def signature_rows(make, k: int, flush: int = FLUSH):
-    """mapInArrow function: (doc_id, text) -> (sig, id, rep, many); ``make`` turns
+def signature_rows(make, k: int, clashes: frozenset[int] = frozenset(), flush: int = FLUSH):
+    """mapInArrow function: texts -> (sig, id, rep, many) of their sets; ``make`` turns
     a set into signatures.  Of equal sets in a task only one is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         sigs, ids, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 items = np.unique(shingles(text, k))
-                mark = xxhash.xxh3_128_digest(items.tobytes())
+                mark = digest(items)
                 if not len(items) or mark in seen:
                     continue
                 seen.add(mark)
                 sigs.append(make(items))
-                ids.append(doc_id)
+                ids.append(node(*mark, clashes))
                 held += len(sigs[-1])
                 if held >= flush:
                     yield deal(sigs, ids)
@@ -189,52 +197,45 @@ def signature_rows(make, k: int, flush: int = FLUSH):
     return run
 
 
-def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, make=None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: components of the graph
-    that links sets with 100 * |A and B| >= percent * |A or B|."""
+def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, make=None) -> DataFrame:
+    """doc_id, text_key, n_shingles, component of every row.  ``component`` names the linked sets
+    (null: an empty set or no doc_id), ``text_key`` a row's text among those of its doc_id."""
     spark = documents.sparkSession
     prepare(spark)
     docs = documents.select("doc_id", whole_text().alias("text"))
-    rows = store(docs.select("doc_id", describe(k)("text").alias("s")).select("doc_id", "s.*"), "shingle_sets")
-    named = rows.filter("doc_id is not null")
-    n_ids = named.select("doc_id").distinct().count()
-    repeats = named.count() > n_ids
-    if repeats and named.distinct().count() > n_ids:
-        discard(rows)
-        return each_text(documents, k, percent, make)
-    mark = F.struct("n_shingles", "d1", "d2")
-    some = (rows.filter("doc_id is not null and n_shingles > 0")
-            .groupBy("doc_id").agg(F.min(mark).alias("s")).select("doc_id", "s.*"))
-    # equal sets: one document stands for all of them
-    owners = store(some.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("owner")), "set_owners")
-    owner_of = store(some.join(owners, ["n_shingles", "d1", "d2"]).select(F.col("doc_id").alias("id"), "owner"), "owner_of")
-
+    rows = store(docs.select("doc_id", F.xxhash64("text").alias("text_key"), describe(k)("text").alias("s"))
+                 .select("doc_id", "text_key", "s.*"), "shingle_sets")
+    some = rows.filter("doc_id is not null and n_shingles > 0")
+    # names that several digests share: about one in N * N / 2^65 sets
+    clash = some.groupBy("d1").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi")).filter("lo <> hi").select("d1")
+    clashes = frozenset(r["d1"] for r in clash.collect())
+    named = F.udf(lambda a, b: node(a, b, clashes), "long")("d1", "d2")
+    name = F.when(F.col("d1").isin(*clashes), named).otherwise(F.col("d1")) if clashes else F.col("d1")
+
+    repeats = not some.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
     make = make or (lambda items: signatures(items, percent))
-    sent = (docs.filter("doc_id is not null").mapInArrow(signature_rows(make, k), SIGS))
-    held = store(links.shared(sent), "shared_sigs")
-    first = owner_of.select(F.col("id").alias("first"), F.col("owner").alias("first_owner"))
-    members = store(held.join(owner_of, "id").join(first, "first")
-                    .select("sig", F.col("owner").alias("id"), F.col("first_owner").alias("first")).distinct(), "sig_members")
-
-    discard(held)
+    sent = docs.filter("doc_id is not null").select("text").mapInArrow(signature_rows(make, k, clashes), SIGS)
+    members = store(links.shared(sent), "shared_sigs")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        sets = texts.select(F.col("doc_id").alias("id"), item_sets(k)("text").alias("s")).select("id", "s.*")
-        if repeats:  # an id with several rows, all of one set
-            sets = sets.groupBy("id").agg(F.min_by("items", mark).alias("items"))
-        return store(sets.select("id", "items"), "item_sets")
-
-    twins = owner_of.filter("id <> owner").select(F.col("id").alias("a"), F.col("owner").alias("b"))
-    _, comps = links.link(members, sets_of, percent, twins)
-    return links.label(rows, comps, "doc_id", "component_id").select("doc_id", "n_shingles", "component_id")
-
-
-def each_text(documents: DataFrame, k: int, percent: int, make) -> DataFrame:
-    """``jaccard_components`` of a table with ids that have different texts."""
-    _, places, docs = numbered(documents.filter("doc_id is not null").select("doc_id", "text"))
-    found = jaccard_components(docs.select(F.col("did").alias("doc_id"), "text"), k, percent, make)
-    ids = places.select(F.col("doc_id").alias("id"), F.col("did").alias("doc_id"))
-    out = found.join(ids, "doc_id").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
-    unnamed = documents.filter("doc_id is null").select("doc_id", describe(k)(whole_text()).alias("s"))
-    return out.unionByName(unnamed.select("doc_id", "s.n_shingles", F.lit(None).cast("long").alias("component_id")))
+        # one row of each wanted set: its smallest doc_id and there the smallest text
+        held = some.select(name.alias("id"), "doc_id", "text_key").join(wanted, "id", "left_semi")
+        first = held.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("id", "at.*")
+        keyed = docs.withColumn("text_key", F.xxhash64("text"))
+        sets = (keyed.join(first, ["doc_id", "text_key"]).select("id", item_sets(k)("text").alias("s"))
+                .select("id", F.col("s.items").alias("items")))
+        return store(sets.dropDuplicates(["id"]) if repeats else sets, "item_sets")
+
+    comps = links.link(members, sets_of, percent)
+    discard(members)
+    ids = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), name)
+    return links.label(rows.withColumn("id", ids), comps, "id", "component").select("doc_id", "text_key", "n_shingles", "component")
+
+
+def jaccard_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, make=None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: components of the graph
+    that links sets with 100 * |A and B| >= percent * |A or B|."""
+    rows = store(set_components(documents, k, percent, make), "set_components")
+    least = rows.filter("component is not null").groupBy(F.col("component").alias("__c")).agg(F.min("doc_id").alias("__least"))
+    return (rows.join(least, rows["component"] == least["__c"], "left")
+            .select("doc_id", "n_shingles", F.coalesce("__least", "doc_id").alias("component_id")))

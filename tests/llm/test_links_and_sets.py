@@ -94,6 +94,21 @@ def test_edited_family_by_pivots(spark, monkeypatch):
     assert as_dict(partenum.jaccard_components(df)) == brute(rows, 4, 85)
 
 
+def test_family_of_unlinked_copies(spark):
+    """A thousand copies of one text, each edited too far to be linked, among them some links."""
+    rng = random.Random(12)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(1_000):
+        text = list(base)
+        for j in rng.sample(range(120), 6):
+            text[j] = f"x{rng.randrange(10 ** 6)}"
+        if i % 40 == 0:
+            rows.append((10_000 + i, " ".join([*text[:-1], "end"])))
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_dict(partenum.jaccard_components(df)) == brute(rows, 4, 85)
+
+
 def test_bands_find_near_duplicates(spark):
     rows = family(21, 30)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)

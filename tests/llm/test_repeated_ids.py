@@ -12,13 +12,22 @@ def test_texts_of_an_id_link_by_themselves(spark):
     rows = [(1, ""), (1, A), (2, NEAR_A), (3, B), (3, C), (3, C), (4, NEAR_B), (None, A)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = partenum.jaccard_components(df).collect()
-    assert sorted((r.doc_id or 0, r.n_shingles) for r in got) == [
-        (0, 57), (1, 0), (1, 57), (2, 58), (3, 57), (3, 57), (3, 57), (4, 58)]
-    group = {}
-    for r in got:
-        group.setdefault(r.component_id, []).append((r.doc_id, r.n_shingles))
-    assert sorted(map(sorted, group.values()), key=str) == sorted(
-        [[(None, 57)], [(1, 0)], [(1, 57), (2, 58)], [(3, 57), (4, 58)], [(3, 57), (3, 57)]], key=str)
+    assert sorted((tuple(r) for r in got), key=str) == sorted([
+        (None, 57, None), (1, 0, 1), (1, 57, 1), (2, 58, 1), (3, 57, 3), (3, 57, 3), (3, 57, 3), (4, 58, 3)], key=str)
+
+
+def test_components_are_named_by_real_ids(spark):
+    rows = [(1, A), (1, B), (2, B), (3, C), (3, C + " z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in partenum.jaccard_components(df).collect())
+    assert got == [(1, 57, 1), (1, 57, 1), (2, 57, 1), (3, 57, 3), (3, 58, 3)]
+
+
+def test_names_that_two_digests_share():
+    """Digests of equal first halves are told apart by the rest."""
+    clashes = frozenset({5, -6})
+    names = {partenum.node(a, b, clashes) for a in (5, -6, 7) for b in (1, -2)}
+    assert len(names) == 5 and 7 in names and all(-2 ** 63 <= n < 2 ** 63 for n in names)
 
 
 def test_pipeline_keeps_each_different_text(spark):
