@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import langid, packing, partenum, suffix_dedup, toxicity
-from quarry.llm.common import prepare, read, store
+from quarry.llm.common import prepare, read, store, whole_text
 
 #: Documents whose best language has less than this probability are rejected.
 LEAST_LANG_SCORE = 0.5
@@ -24,6 +24,13 @@ LEAST_LANG_SCORE = 0.5
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _plain(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in names))
 
@@ -32,8 +39,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language."""
     prepare(spark)
     net = langid.train(docs, ~langid.held_out())
-    told = docs.withColumn("__lang", langid.predict(net, F.col("text")))
-    kept = (F.col("__lang.lang_pred") != langid.UNKNOWN) & (F.col("__lang.score") >= LEAST_LANG_SCORE)
+    own = _fresh(docs, "told_lang")
+    told = docs.withColumn(own, langid.predict(net, F.col("text")))
+    kept = (F.col(f"{own}.lang_pred") != langid.UNKNOWN) & (F.col(f"{own}.score") >= LEAST_LANG_SCORE)
     return _plain(told.filter(kept), docs.columns)
 
 
@@ -41,25 +49,24 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that are not predicted toxic."""
     prepare(spark)
     machine = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    told = docs.withColumn("__toxic", toxicity.predict(machine, F.col("text")))
-    return _plain(told.filter(F.col("__toxic") < toxicity.CUT), docs.columns)
+    own = _fresh(docs, "toxic_score")
+    told = docs.withColumn(own, toxicity.predict(machine, F.col("text")))
+    return _plain(told.filter(F.col(own) < toxicity.CUT), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the smallest doc_id, further
-    texts of an id being numbered after all ids."""
-    named = docs.filter("doc_id is not null").withColumn("__did", F.col("doc_id"))
-    ids = named.select("doc_id")
-    repeats = ids.count() > ids.distinct().count()
-    if repeats:
-        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-        _, _, told = suffix_dedup.numbered(named.select("doc_id", "text", row.alias("row")))
-        named = told.select(F.col("did").alias("__did"), "text", "row")
-    found = partenum.jaccard_components(named.select(F.col("__did").alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
-    kept = store(found.filter("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct(), "kept_ids")
-    out = named.join(kept, named["__did"] == F.col("__id"), "left_semi")
-    if repeats:  # equal texts of an id: the smallest row
-        out = out.groupBy("__did").agg(F.min("row").alias("row")).select("row.*")
+    """One document of each group of near duplicates: the smallest doc_id, of its
+    texts the one with the smallest key."""
+    key, did = _fresh(docs, "key"), _fresh(docs, "id")
+    rows = store(partenum.set_components(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT), "near_sets")
+    named = rows.filter("doc_id is not null")
+    kept = named.filter("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("at.*")
+    kept = kept.union(named.filter("component is null").select("doc_id", "text_key"))  # without words
+    kept = store(kept.select(F.col("doc_id").alias(did), F.col("text_key").alias(key)).distinct(), "kept_ids")
+    here = docs.filter("doc_id is not null").withColumn(did, F.col("doc_id")).withColumn(key, F.xxhash64(whole_text()))
+    out = here.join(kept, [did, key], "left_semi")
+    if not named.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():  # equal texts of an id: the smallest row
+        out = out.groupBy(did, key).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row")).select("row.*")
     return _plain(out, docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
