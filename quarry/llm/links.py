@@ -18,8 +18,9 @@ largest of a group:
   of the earlier pivots that led to it.  Write n and l for the items that a set has beyond
   U and lacks of U.  Two sets that share no item beyond U differ in at least
   n + n' + |l - l'| items.  So similar sets either share an item beyond U, which makes
-  the next groups, or obey that bound, which few edited copies do: those
-  pairs are found by ranges of l - n and verified.  As U keeps the items of earlier
+  the next groups (by the first of their items beyond U, as many as they can't all lack), or
+  obey that bound, which few edited copies do: those pairs are found by ranges of
+  l - n and verified.  As U keeps the items of earlier
   pivots, what most of a family holds is covered after a few rounds, and
   groups shrink to the sets that share an edit.
 
@@ -186,8 +187,11 @@ def compared(still: DataFrame, sets: DataFrame, percent: int, small: int, covere
     to_pivot = near.filter((F.col("id") != F.col("pivot")) & similar(F.col("inter"), F.col("size"), F.col("p_size"), percent))
     close = close_pairs(near.drop("beyond"), percent)
     found = store(verify(pairs.union(close).distinct(), sets, percent).union(ordered(to_pivot, "pivot", "id")).union(direct).distinct(), "links")
-    # sets of one cluster that share an item beyond what is covered
-    items = near.select("id", F.explode("beyond").alias("item"), "cluster").select(F.xxhash64("cluster", "item").alias("sig"), "id", "cluster")
+    # sets of one cluster that share an item beyond what is covered: a partner of a set holds at least
+    # ``least`` of these, so one of the others and the first of those, in an order common to all sets
+    least = F.greatest(F.lit(1), F.ceil(percent * F.col("size") / F.lit(100)) - (F.col("size") - F.col("n"))).cast("int")
+    near_items = near.filter("n > 0").withColumn("first", F.slice("beyond", 1, F.col("n") - least + 1))
+    items = near_items.select("id", F.explode("first").alias("item"), "cluster").select(F.xxhash64("cluster", "item").alias("sig"), "id", "cluster")
     twice = items.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("sig")
     groups = store(items.join(twice, "sig", "left_semi").distinct(), "groups")
     # a group is looked up by its signature; only those too large to compare at once need it
