@@ -119,8 +119,11 @@ exp AS (SELECT l.trace_id, e.step_no AS step_index, e.info_item, e.answer AS tru
         FROM links l JOIN expected e USING (ord)),
 aligned AS (SELECT e.trace_id, e.step_index, e.info_item AS query,
               CASE WHEN coalesce(p.answer, '') <> '' THEN p.answer ELSE '' END AS answer,
-              coalesce(p.answer, '') = '' AS is_missing, e.score_points
-       FROM exp e LEFT JOIN pairs p ON p.trace_id = e.trace_id AND p.step_index = e.step_index)"""
+              coalesce(p.answer, '') = '' OR coalesce(e.true_answer, '') = '' AS is_missing, e.score_points
+       FROM exp e LEFT JOIN pairs p ON p.trace_id = e.trace_id AND p.step_index = e.step_index
+       UNION ALL
+       SELECT trace_id, step_index, query, answer, true, NULL FROM pairs
+       WHERE trace_id NOT IN (SELECT trace_id FROM links))"""
 
 
 def _aligned(spark, sf):
@@ -207,3 +210,38 @@ def q_evaluate_traces(spark, sf):
     prf = M.stack_metrics({"table_prf": M.table_prf_avg(M.table_prf(M.table_coverage(dep)), acc)})
     p1 = M.stack_metrics({"pass_at_1": M.pass_at_1(M.merge_steps(acc, qual, dep))})
     return micro.unionByName(prf).unionByName(p1)
+
+
+@query("trace_evaluation", sql=f"""
+WITH {ALIGNED}, {COVER},
+per AS (SELECT trace_id, count(*) AS n_steps, CAST(count_if(is_missing) AS BIGINT) AS n_missing,
+               round(avg(CASE WHEN is_missing OR total_metrics = 0 THEN 0.0
+                              ELSE round(covered_metrics / total_metrics, 3) END), 6) AS coverage
+        FROM cv GROUP BY trace_id),
+doc AS (SELECT conv_id AS trace_id, count(*) AS total_turns,
+               arg_min(text, turn) FILTER (WHERE role = 'user') AS task FROM conversations GROUP BY conv_id)
+SELECT c.conv_id AS trace_id, d.task, d.total_turns, c.turn AS seq, c.role, c.text AS content,
+       p.n_steps, p.n_missing, p.coverage
+FROM conversations c JOIN doc d ON d.trace_id = c.conv_id LEFT JOIN per p ON p.trace_id = c.conv_id""",
+       category="samples")
+def q_trace_evaluation(spark, sf):
+    """Conversations stored as trace documents, their judged steps written
+    back as a new version, and every document's messages read with its
+    metadata and evaluation (long form)."""
+    from quarry.operators.metrics import judge_steps
+    from quarry.plans.fixtures import v_messages
+    from quarry.plans.q_sources import _scratch
+    from quarry.sources import trace_store as TS
+    root = _scratch(spark, "tracestore")
+    m = v_messages(spark, sf).select("trace_id", "seq", "role", "content")
+    asked = F.col("role") == "user"
+    meta = m.groupBy("trace_id").agg(F.count("*").alias("total_turns"),
+                                     F.min_by(F.when(asked, F.col("content")), F.when(asked, F.col("seq"))).alias("task"))
+    TS.create(m, meta, root)
+    judged = judge_steps(_aligned(spark, sf)).groupBy("trace_id").agg(
+        F.count("*").alias("n_steps"), F.count_if("is_missing").alias("n_missing"),
+        F.round(F.avg("coverage_ratio"), 6).alias("coverage"))
+    TS.write_evaluation(judged, root)
+    docs = TS.read_documents(spark, root, "n_steps long, n_missing long, coverage double")
+    return TS.read_messages(spark, root).join(docs, "trace_id").select(
+        "trace_id", "task", "total_turns", "seq", "role", "content", "evaluation.*")
