@@ -36,9 +36,9 @@ def q_stream_sessions(spark, sf):
 
 @query("stream_new_traces", sql="SELECT DISTINCT user_id, event_type FROM events", category="streaming")
 def q_stream_new_traces(spark, sf):
-    """First arrival per (user, event type) within a one-day watermark."""
-    s = S.new_items(_events(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type")
-    return S.run_available_now(s, "new_traces", "append")
+    """First arrival ever per (user, event type); keys seen by earlier batches or runs are skipped."""
+    e = _events(spark, sf).select("event_id", "ts", "user_id", "event_type")
+    return S.new_items(e, "new_traces", ["user_id", "event_type"]).select("user_id", "event_type")
 
 
 @query("stream_cache", sql="""

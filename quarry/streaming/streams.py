@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir
+from quarry.session import checkpoint_dir, cut_lineage
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -79,11 +79,59 @@ def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hou
                     F.col("s.end").cast("timestamp_ntz").alias("session_end"), "n_events")
 
 
-def new_items(events: DataFrame, key: list[str], watermark: str = "1 day") -> DataFrame:
-    """First arrival of each key within the watermark (already-seen keys
-    are skipped), e.g. traces whose task was evaluated before."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return e.dropDuplicatesWithinWatermark(key)
+def new_items(events: DataFrame, name: str, key: list[str], folder: str | None = None,
+              order: tuple[str, ...] = ("ts", "event_id"), buckets: int = 64, merge_after: int = 16) -> DataFrame:
+    """First arrival of each key, ever: keys seen in any earlier batch or run
+    of ``folder`` are skipped, e.g. traces whose task was evaluated before.
+
+    The seen keys are a table beside the stream, not operator state, so they
+    outlive any watermark: ``keys/batch-<id>`` holds the keys that a batch saw first,
+    by bucket of their hash.  A batch is reduced to one row a key, reads only the buckets it
+    touches (at most ``buckets`` numbers reach the driver) and anti-joins them.  After ``merge_after``
+    such folders a batch writes the keys of all of them with its own, and later batches begin there.  A batch
+    that runs again sees only earlier ones and replaces its folders.
+
+    Of several rows of a key in one batch the first by ``order`` stays; null key
+    parts are equal to each other.  Empty batches add nothing.
+    """
+    spark = events.sparkSession
+    base = folder or _scratch(spark, name)
+    cols = events.columns
+
+    def seen_folders(batch_id: int) -> list[str]:
+        whole = [(i, p) for i, p in _batches(spark, f"{base}/merged") if i < batch_id][-1:]
+        since = whole[0][0] if whole else -1
+        return [p for _, p in whole] + [p for i, p in _batches(spark, f"{base}/keys") if since < i < batch_id]
+
+    def skip_seen(batch: DataFrame, batch_id: int):
+        first = cut_lineage(batch.groupBy(*key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
+                            .select(F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket"), "_r.*"), name)
+        folders = seen_folders(batch_id)
+        new, seen = first, None
+        for p in folders:
+            part = spark.read.schema(first.select(*key, "_bucket").schema).option("basePath", p).parquet(p)
+            seen = part if seen is None else seen.unionByName(part)
+        if seen is not None:
+            touched = [r[0] for r in first.select("_bucket").distinct().collect()]
+            known = seen.where(F.col("_bucket").isin(touched)).alias("s")
+            same = F.col("n._bucket") == F.col("s._bucket")
+            for c in key:
+                same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}"))
+            new = first.alias("n").join(known, same, "left_anti")
+        new.drop("_bucket").write.mode("overwrite").parquet(f"{base}/result/batch-{batch_id:09d}")
+        keys = spark.read.schema(events.schema).parquet(f"{base}/result/batch-{batch_id:09d}") \
+            .select(*key, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias("_bucket"))
+        _by_bucket(keys, f"{base}/keys/batch-{batch_id:09d}")
+        if len(folders) >= merge_after:
+            _by_bucket(seen.unionByName(keys), f"{base}/merged/batch-{batch_id:09d}")
+
+    _drain(events, base, "append", skip_seen)
+    done = [p for _, p in _batches(spark, f"{base}/result")]
+    return spark.read.schema(events.schema).parquet(*done) if done else spark.createDataFrame([], events.schema)
+
+
+def _by_bucket(keys: DataFrame, path: str) -> None:
+    keys.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
 
 
 def run_available_now(stream: DataFrame, name: str, mode: str = "complete", folder: str | None = None) -> DataFrame:
