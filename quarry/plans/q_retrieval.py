@@ -91,17 +91,42 @@ def q_topk_batch(spark, sf):
 
 @query("maxsim_search", sql=f"""
 WITH t AS (SELECT vec_id // 8 AS doc_id, vec_id, {EMB} AS v FROM embeddings),
-q AS (SELECT doc_id AS qid, vec_id AS qtok, v FROM t WHERE vec_id % 8 < 3),
+q AS (SELECT doc_id AS qid, vec_id AS qtok, v FROM t),
 m AS (SELECT q.qid, t.doc_id, q.qtok, max(list_inner_product(q.v, t.v)) AS mx FROM q, t GROUP BY ALL),
 s AS (SELECT qid, doc_id, sum(mx) AS score FROM m GROUP BY qid, doc_id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
 SELECT CAST(qid AS BIGINT) AS qid, CAST(doc_id AS BIGINT) AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
 FROM rk WHERE rank <= 5""", category="retrieval")
 def q_maxsim_search(spark, sf):
-    """V9: MaxSim; eight vectors make a document, the first three of each also a query."""
-    e = _emb(spark, sf).select(F.floor(F.col("vec_id") / 8).alias("doc_id"), "vec_id", F.col("embedding").alias("vec"))
-    qt = e.where("vec_id % 8 < 3").select(F.col("doc_id").alias("qid"), F.col("vec_id").alias("qtok"), F.col("vec").alias("qvec"))
-    r = R.maxsim(e.select("doc_id", "vec"), qt, 5)
+    """V9: MaxSim; eight vectors make a document, and every document is a query."""
+    docs, queries = _token_tables(spark, sf)
+    r = R.maxsim(docs.select("doc_id", "vec"), queries, 5)
+    return r.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def _token_tables(spark, sf):
+    docs = _emb(spark, sf).select(F.floor(F.col("vec_id") / 8).alias("doc_id"), F.col("vec_id").alias("tok"),
+                                  F.col("embedding").cast("array<double>").alias("vec"))
+    return docs, docs.select(F.col("doc_id").alias("qid"), F.col("tok").alias("qtok"), F.col("vec").alias("qvec"))
+
+
+@query("maxsim_rerank", sql=f"""
+WITH t AS (SELECT vec_id // 8 AS doc_id, vec_id AS tok, {EMB} AS v FROM embeddings),
+p AS (SELECT q.doc_id AS qid, q.tok AS qtok, t.doc_id, t.tok, list_inner_product(q.v, t.v) AS s FROM t AS q, t),
+near AS (SELECT *, row_number() OVER (PARTITION BY qtok ORDER BY round(s, 9) DESC, tok) AS n FROM p),
+best AS (SELECT qid, doc_id, qtok, max(s) AS s FROM near WHERE n <= 20 GROUP BY ALL),
+one AS (SELECT qid, doc_id, sum(s) AS s FROM best GROUP BY ALL),
+cand AS (SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc_id) AS n FROM one)
+         WHERE n <= 10),
+mx AS (SELECT p.qid, p.doc_id, p.qtok, max(p.s) AS s FROM p JOIN cand USING (qid, doc_id) GROUP BY ALL),
+ex AS (SELECT qid, doc_id, sum(s) AS score FROM mx GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ex)
+SELECT CAST(qid AS BIGINT) AS qid, CAST(doc_id AS BIGINT) AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
+FROM rk WHERE rank <= 5""", category="retrieval")
+def q_maxsim_rerank(spark, sf):
+    """V9 with rerank: ten candidates a query from its tokens' 20 nearest tokens each, the
+    five best of them by exact MaxSim; every document is a query."""
+    r = R.maxsim_rerank(*_token_tables(spark, sf), top_k=10, rerank_k=5)
     return r.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 

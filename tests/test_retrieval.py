@@ -30,6 +30,78 @@ def test_ivf_and_lsh_recall(spark):
     assert recall(lsh) >= 0.9
 
 
+def _share(members, probes, n):
+    """Share of all pairs that meet in some list or bucket."""
+    m, p = _sets(members, "id", "key"), _sets(probes, "qid", "key")
+    return sum(not m[i].isdisjoint(p[q]) for i in m for q in p) / (n * n)
+
+
+def test_share_of_pairs_compared(spark):
+    e = read_table(spark, SF_ORACLE, "embeddings", ["vec_id", "embedding"])
+    corpus = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    n = e.count()
+    assert _share(*R.lsh_buckets(corpus, q), n) < 0.55
+    assert _share(*R.ivf_lists(corpus, q), n) < 0.75
+
+
+def test_full_lists_are_cut_into_blocks(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(R, "QUERIES_PER_BLOCK", 3)
+    monkeypatch.setattr(R, "ROWS_PER_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    cv, qv = rng.normal(size=(50, 6)), rng.normal(size=(8, 6))
+    members = spark.createDataFrame([(i % 4 // 3, i, v.tolist()) for i, v in enumerate(cv)], "key long, id long, vec array<double>")
+    probes = spark.createDataFrame([(k, i, v.tolist()) for i, v in enumerate(qv) for k in (0, 1, 9)],
+                                   "key long, qid long, qvec array<double>")
+    got = {(r.qid, r.rank): r.id for r in R._ranked(R._listed_topk(members, probes, 4), 4).collect()}
+    s = qv @ cv.T
+    assert got == {(q, r): int(i) for q in range(8) for r, i in enumerate(np.argsort(-s[q])[:4], start=1)}
+
+
+def test_vectors_with_clusters_need_few_pairs(spark):
+    import numpy as np
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32))
+    v = [(i, (centres[i % 40] + 0.05 * rng.normal(size=32)).tolist()) for i in range(400)]
+    corpus, q = spark.createDataFrame(v, "id long, vec array<double>"), spark.createDataFrame(v, "qid long, qvec array<double>")
+    hits = R.lsh_search(corpus, q, 10, bits=12, tables=6, probes=4)
+    assert {(r.qid, r.id) for r in hits.collect()} == {(a, b) for a in range(400) for b in range(a % 40, 400, 40)}
+    assert _share(*R.lsh_buckets(corpus, q, 12, 6, 4), 400) < 0.1
+
+
+def test_rerank_orders_candidates_exactly(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    dv, qv = rng.normal(size=(120, 8)), rng.normal(size=(9, 8))
+    docs = spark.createDataFrame([(i // 4, i, v.tolist()) for i, v in enumerate(dv)], "doc_id long, tok long, vec array<double>")
+    qs = spark.createDataFrame([(i // 3, i, v.tolist()) for i, v in enumerate(qv)], "qid long, qtok long, qvec array<double>")
+    got = {(r.qid, r.rank): r.doc_id for r in R.maxsim_rerank(docs, qs, 12, 3, near=30).collect()}
+    s = qv @ dv.T
+    for q in range(3):
+        first, exact = {}, {}
+        for d in range(30):
+            exact[d] = sum(s[t, 4 * d:4 * d + 4].max() for t in range(3 * q, 3 * q + 3))
+        for t in range(3 * q, 3 * q + 3):
+            found = {}
+            for i in np.argsort(-s[t])[:30]:
+                found[i // 4] = max(found.get(i // 4, -9), s[t, i])
+            for d, x in found.items():
+                first[d] = first.get(d, 0) + x
+        cand = sorted(first, key=lambda d: -first[d])[:12]
+        assert [got[(q, r)] for r in (1, 2, 3)] == sorted(cand, key=lambda d: -exact[d])[:3]
+
+
+def test_rerank_recall(spark):
+    e = read_table(spark, SF_ORACLE, "embeddings", ["vec_id", "embedding"])
+    docs = e.select(F.floor(F.col("vec_id") / 8).alias("doc_id"), F.col("vec_id").alias("tok"),
+                    F.col("embedding").cast("array<double>").alias("vec"))
+    qs = docs.select(F.col("doc_id").alias("qid"), F.col("tok").alias("qtok"), F.col("vec").alias("qvec"))
+    exact = _sets(R.maxsim(docs.select("doc_id", "vec"), qs, 3), item="doc_id")
+    got = _sets(R.maxsim_rerank(docs, qs, 20, 3, near=40), item="doc_id")
+    assert sum(len(exact[q] & got[q]) for q in exact) >= 0.9 * sum(map(len, exact.values()))
+
+
 def _count(x):
     import re
     return len(re.findall(r"\w+|[^\w\s]", x))
