@@ -2,11 +2,16 @@
 
 Every task tokenizes its documents, cuts those that are too long and packs its
 own pieces by best fit, largest first.  Bins that are nearly full are final.
-The rest become items: each round deals them into fewer groups (a tree whose
-width follows the number of items left) and packs them again, until one group
-is left or a round hardly saves any bin.  A group never holds more than about
-``GROUP_ITEMS`` items.  A piece's final place is its place in its first bin
-plus the shifts of the bins around it.
+The rest become items: the first round deals them into groups of about
+``GROUP_ITEMS`` and packs each by best fit.  After that any two bins of a group
+together exceed the capacity, so that at most one a group is half full or less.
+Two bins can be joined only if one of them is, and where anything fits, the least
+filled bins take it: each further round merges the K bins up to half full with the
+K least filled of the others, in some ten thousandth of the groups before, until
+one group is left.  Then no two of the sequences that aren't nearly full can be
+joined.  The rounds' moves are composed first, and the pieces that move are joined
+with them once.  A piece's final place is its place in its first bin plus the
+shifts of the bins around it.
 
 Cases: null text is empty (one token, the end mark).  Null or repeated doc_ids
 are packed row by row.  Equal lengths keep their order in the task.  Texts of
@@ -34,8 +39,6 @@ END = 1
 #: A bin with fewer free tokens than this is final.
 SLACK = 16
 GROUP_ITEMS = 20_000
-#: Rounds go on while they save at least this share of the bins.
-LEAST_GAIN = 0.002
 #: Pieces packed together inside one task.
 LOCAL_ITEMS = 200_000
 #: Different words remembered between batches; the memory starts afresh beyond it.
@@ -197,25 +200,49 @@ def repack(items: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bin": bins, "parent": name[place], "shift": offset, "fill": fill[place]})
 
 
+def joinable(items: DataFrame) -> DataFrame:
+    """Of packed groups' bins (bin, fill), those that a further round needs: the K
+    that are at most half full, and the K least filled of the others.  Fills are
+    counted by value, of which there are at most ``CAPACITY``."""
+    counts = {r["fill"]: r["count"] for r in items.groupBy("fill").count().collect()}
+    half = CAPACITY // 2
+    need = sum(c for f, c in counts.items() if f <= half)
+    out = items.filter(F.col("fill") <= half)
+    for fill in sorted(f for f in counts if f > half):
+        if not need:
+            break
+        here = items.filter(F.col("fill") == fill)
+        out = out.union(here if counts[fill] <= need else here.limit(need))
+        need -= min(need, counts[fill])
+    return out
+
+
 def pack(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     prepare(documents.sparkSession)
     pieces = store(documents.select("doc_id", whole_text().alias("text"))
                    .mapInArrow(local_packer(path), PIECES), "packed_pieces")
-    open_bins = F.col("fill") <= CAPACITY - SLACK
-    items = pieces.filter((F.col("offset") == 0) & open_bins).select("bin", "fill")  # one row a bin: pieces aren't empty
-    placed = pieces.withColumnRenamed("bin", "sequence_id").drop("fill")
-    left = items.count()
+    is_open = F.col("fill") <= CAPACITY - SLACK
+    items = pieces.filter((F.col("offset") == 0) & is_open).select("bin", "fill")  # one row a bin: pieces aren't empty
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    left, moves = items.count(), None
     while left > 1:
         groups = -(-left // GROUP_ITEMS)
-        moves = store(items.groupBy(F.pmod(F.xxhash64("bin", F.lit(groups)), F.lit(groups)))
-                      .applyInPandas(repack, "bin long, parent long, shift long, fill long"), "packed_moves")
-        items = moves.filter((F.col("shift") == 0) & open_bins).select(F.col("parent").alias("bin"), "fill")
-        bins = moves.filter(F.col("shift") == 0).count()
-        placed = (placed.join(moves.select(F.col("bin").alias("sequence_id"), "parent", "shift"), "sequence_id", "left")
-                  .withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0)))
-                  .withColumn("sequence_id", F.coalesce("parent", "sequence_id")).drop("parent", "shift"))
-        saved, left = left - bins, items.count()
-        if groups == 1 or saved < LEAST_GAIN * (saved + bins):
+        step = store(items.groupBy(F.pmod(F.xxhash64("bin", F.lit(groups)), F.lit(groups)))
+                     .applyInPandas(repack, "bin long, parent long, shift long, fill long"), "packed_moves")
+        if moves is None:
+            moves = step.drop("fill")
+        else:  # a later round moves the bins of earlier ones
+            then = step.select(F.col("bin").alias("parent"), F.col("parent").alias("above"), F.col("shift").alias("more"))
+            moves = (moves.join(then, "parent", "left")
+                     .select("bin", F.coalesce("above", "parent").alias("parent"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")))
+        if groups == 1:
             break
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+        items = store(joinable(step.filter((F.col("shift") == 0) & is_open).select(F.col("parent").alias("bin"), "fill")), "packed_items")
+        left = items.count()
+    if moves is None:
+        return pieces.withColumnRenamed("bin", "sequence_id").select(*names)
+    final = pieces.filter(~is_open).withColumnRenamed("bin", "sequence_id").select(*names)
+    moved = (pieces.filter(is_open).join(moves, "bin").withColumnRenamed("parent", "sequence_id")
+             .withColumn("offset", F.col("offset") + F.col("shift")).select(*names))
+    return final.union(moved)

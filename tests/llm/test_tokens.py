@@ -109,3 +109,18 @@ def test_rounds_merge_what_tasks_left_open(spark, monkeypatch):
                          [type(r)(**{**r.asDict(), "doc_id": -1 if r.doc_id is None else r.doc_id}) for r in out])
     lower = -(-sum(r.length for r in out) // 4096)
     assert bins <= lower * 1.15 + 2
+    fill = {}
+    for r in out:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    low = sorted(f for f in fill.values() if f <= 4096 - packing.SLACK)
+    assert len(low) < 2 or low[0] + low[1] > 4096  # no two sequences can be joined
+
+
+def test_least_filled_bins_take_what_is_left(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([100, 900, 2048, 2049, 2500, 2500, 2500, 4000])) for i in range(300)]
+    got = [r.fill for r in packing.joinable(spark.createDataFrame(rows, "bin long, fill long")).collect()]
+    small = [f for _, f in rows if f <= 2048]
+    large = sorted(f for _, f in rows if f > 2048)
+    assert sorted(got) == sorted(small + large[:len(small)])
+    assert packing.joinable(spark.createDataFrame([(1, 3000), (2, 2049)], "bin long, fill long")).count() == 0
