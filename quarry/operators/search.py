@@ -237,13 +237,15 @@ def tfidf_vectors(docs: DataFrame, vocab: dict[str, tuple[int, float]], id_col:
 
     @F.pandas_udf(out)
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import re
         import regex
         from collections import Counter
-        words = regex.compile(TOKEN_RE).findall
+        words, plain, known = regex.compile(TOKEN_RE).findall, re.compile("[a-z0-9_]{2,}").findall, vocab.__contains__
         for texts in batches:
             rows = []
             for t in texts:
-                tf = Counter(w for w in words(t or "") if w in vocab)
+                t = t or ""
+                tf = Counter(filter(known, plain(t) if t.isascii() else words(t)))  # lower-cased: the same words
                 e = sorted((vocab[w][0], n * vocab[w][1]) for w, n in tf.items())
                 norm = float(np.sqrt(sum(w * w for _, w in e)))
                 rows.append(([i for i, _ in e], [w / norm for _, w in e]))
@@ -266,7 +268,7 @@ def sparse_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, score_d
     rows are made dense a piece at a time (``dim`` is the vocabulary size)."""
     c = corpus.select(F.col("id").cast("long").alias("id"), "idx", "w")
     full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(
-        F.element_at(F.map_from_arrays("idx", "w"), i), F.lit(0.0)))
+        F.get("w", (F.array_position("idx", i) - 1).cast("int")), F.lit(0.0)))
     q = queries.select(F.col("qid").cast("long").alias("qid"), full.alias("qvec"))
     return _topk(c, q, k, _sparse_matrix(dim), score_digits)
 
