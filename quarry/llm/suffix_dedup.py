@@ -57,6 +57,10 @@ _BASE = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+#: Places in a batch: an Arrow batch's text has fewer than 2^31 bytes.
+PLACE_BITS = 32
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2^64."""
     if len(_powers[0]) < n:
@@ -81,8 +85,9 @@ def runs(texts: list[bytes], least: int = LEAST, gram: int = GRAM):
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data + np.uint64(1)) * power, out=total[1:])
     h = mix((total[gram:] - total[:-gram]) * inverse[:n - gram + 1])
-    # the smallest hash of each window, leftmost first: its place rides in the low bits
-    mask = np.uint64((1 << n.bit_length()) - 1)
+    # the smallest hash of each window, leftmost first: its place rides in the low bits,
+    # of which there are as many in every batch, so that equal windows choose alike
+    mask = np.uint64((1 << PLACE_BITS) - 1)
     low = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
     width, span = least - gram + 1, 1
     while 2 * span <= width:

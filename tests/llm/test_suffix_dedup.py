@@ -91,3 +91,15 @@ def test_clashing_and_null_ids(spark):
     # the null id's text comes first; under id 1 one text has the id's place, the other comes last
     assert [x[:2] for x in got] == [(0, 0), (0, 150), (1, 150), (1, 150), (2, 150)]
     assert sum(x[2] for x in got) in (150 + 149 + 149 + 150, 150 + 149 + 150 + 149)
+
+
+def test_equal_windows_choose_alike_in_any_batch():
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"abcdef ") for _ in range(400))
+    alone = suffix_dedup.runs([text])
+    for size in (300, 70_000, 1_100_000):  # other texts of the batch change nothing
+        other = bytes(rng.choice(b"ghijkl ") for _ in range(1000)) * (size // 1000 + 1)
+        who, first, windows, shift, anchor = suffix_dedup.runs([other, text])
+        mine = who == 1
+        for a, b in zip(alone[1:], (first, windows, shift, anchor), strict=True):
+            assert a.tolist() == b[mine].tolist()
