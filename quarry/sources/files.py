@@ -9,7 +9,9 @@ S4 ``csv_records``    record-level CSV (no header, no NA inference).
 
 Small files are read one row per file (``binaryFile``), so every per-file
 operator (grep context, slices, previews, chunking) is a narrow per-row
-array expression with no shuffle.  A file too large for one row is read
+array expression with no shuffle.  Very many small files cost a listing, an open
+and a rename each, so they may lie in bundles, which are one file to the file
+system.  A file too large for one row is read
 with the ``text`` source instead, which Spark splits across tasks; its line
 numbers come from a per-partition offset table (one row per partition,
 broadcast — size bounded by the partition count, not the data).
@@ -17,7 +19,10 @@ broadcast — size bounded by the partition count, not the data).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +68,19 @@ def file_manifest(spark: SparkSession, folder: str, extensions=TABLE_EXTENSIONS)
 
 
 def read_file_texts(spark: SparkSession, folder: str, glob: str | None = None,
-                    strip_bom: bool = False) -> DataFrame:
-    """One row per file: ``(path, text)``; utf-8 or the decoder hook (S3)."""
+                    strip_bom: bool = False, bundled: bool = False) -> DataFrame:
+    """One row per file: ``(path, text)``; utf-8 or the decoder hook (S3).
+
+    ``bundled``: what lies in the folder are bundles (``sinks.bundle_sink``); a file's
+    path is that of its bundle and its name, and each file is decoded by itself."""
     from quarry.session import ship_package
     ship_package(spark)
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(folder).select(F.regexp_replace("path", r"^file:", "").alias("path"), "content")
+    if bundled:
+        df = df.mapInArrow(bundle_files, "path string, content binary")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")) \
         .otherwise(decode_fallback_udf(F.col("content")))
     if strip_bom:
@@ -78,6 +88,21 @@ def read_file_texts(spark: SparkSession, folder: str, glob: str | None = None,
     return df.select("path", text.alias("text"))
 
 
+def bundle_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: bundles -> their files.  A file lies behind a line with
+    its length in bytes and its name."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data, at, paths, parts = content.as_py(), 0, [], []
+            while at < len(data):
+                start = data.index(b"\n", at) + 1
+                size, _, name = data[at:start - 1].partition(b" ")
+                at = start + int(size)
+                paths.append(f"{path}/{name.decode()}")
+                parts.append(data[start:at])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(parts, pa.binary())], ["path", "content"])
+
+
 @F.pandas_udf(T.StringType())
 def decode_fallback_udf(content: pd.Series) -> pd.Series:
     """X5 decode hook: the fallback order, Arrow-batched (no per-row JVM trip)."""

@@ -84,3 +84,15 @@ def trace_sink(messages: DataFrame, path: str, trace: str = "trace_id", chunk: i
 def text_sink(lines: DataFrame, path: str, col: str = "line") -> None:
     """S10 writer: JSONL request lines."""
     lines.select(col).write.mode("errorifexists").text(path)
+
+
+def bundle_sink(files: DataFrame, path: str, by: list[str], encoding: str = "UTF-8") -> None:
+    """Small text files ``(name, body)`` in bundles, one or more a folder of ``by``: each file
+    behind a line with its length in bytes and its name (read back by
+    ``files.read_file_texts``).  A character that the encoding lacks becomes "?"."""
+    data = F.col("body").cast("binary") if encoding == "UTF-8" else \
+        F.encode(F.regexp_replace("body", r"[^\x00-\xff]", "?"), encoding)
+    rows = files.select(*by, "name", data.alias("data"))
+    head = F.concat((F.octet_length("data") + 1).cast("string"), F.lit(" "), "name", F.lit("\n"))  # the writer ends the last line
+    rows.select(*by, F.concat(head.cast("binary"), "data").cast("string").alias("value")) \
+        .write.mode("errorifexists").partitionBy(*by).text(path)

@@ -83,3 +83,44 @@ def test_sinks(spark):
     assert [r.content for r in back] == ["hi", "yo"]
     K.csv_sink(df, f"{d}/csv")
     assert spark.read.option("header", True).csv(f"{d}/csv").count() == 2
+
+
+def _decoded(data):
+    for enc in S.ENCODINGS:
+        try:
+            return data.decode(enc)
+        except UnicodeDecodeError:
+            continue
+
+
+def test_bundled_files_stay_files(spark):
+    d = _scratch()
+    rows = [("a", f"run={i}", f"{i} caf\xe9\n\u20ac") for i in range(300)] + [("a", "run=300", ""), ("b", "run=7", "x\r\ny")]
+    df = spark.createDataFrame(rows, "source string, name string, body string")
+    for encoding, other in (("UTF-8", "\u20ac"), ("ISO-8859-1", "?")):
+        out = f"{d}/{encoding}"
+        K.bundle_sink(df.coalesce(1), out, ["source"], encoding)
+        assert sum(f.endswith(".txt") for _, _, fs in os.walk(out) for f in fs) == 2  # whatever the number of files
+        got = {"/".join(r.path.split("/")[-3::2]): r.text for r in S.read_file_texts(spark, out, glob="*.txt", bundled=True).collect()}
+        assert got.pop("source=b/run=7") == "x\r\ny\n" and got.pop("source=a/run=300") == "\n"
+        assert got == {f"source=a/run={i}": _decoded(f"{i} caf\xe9\n{other}\n".encode(encoding)) for i in range(300)}
+
+
+def test_documents_lie_in_few_files(spark):
+    from quarry.plans import q_sources as Q
+    d = _scratch()
+    spark.createDataFrame([(i, f"s{i % 2}", f"{i} \"caf\xe9\", b\n") for i in range(4000)], "doc_id long, source string, text string") \
+        .write.parquet(f"{d}/documents.parquet")
+    for query, line, encoding in ((Q.q_raw_lines, '{} "caf\xe9", b\n\n', "utf-8"), (Q.q_decode_fallback, '"{} \\"caf\xe9\\", b"\n', "latin-1")):
+        made = []
+        seen, Q._scratch = Q._scratch, lambda s, n: made.append(f"{d}/{n}") or made[-1]
+        try:
+            got = query(spark, d).collect()
+        finally:
+            Q._scratch = seen
+        assert sum(not f.startswith((".", "_")) for _, _, fs in os.walk(made[0]) for f in fs) <= 4
+        files = {}
+        for i in range(4000):
+            files[f"s{i % 2}", i // 64] = files.get((f"s{i % 2}", i // 64), "") + line.format(i)
+        assert sorted((r.source, r.run, r.line_no, r.line) for r in got) == sorted(
+            (*k, n, x) for k, t in files.items() for n, x in enumerate(_decoded(t.encode(encoding))[:-1].split("\n"), 1))
