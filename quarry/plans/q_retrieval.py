@@ -106,7 +106,7 @@ def q_maxsim_search(spark, sf):
 
 def _token_tables(spark, sf):
     docs = _emb(spark, sf).select(F.floor(F.col("vec_id") / 8).alias("doc_id"), F.col("vec_id").alias("tok"),
-                                  F.col("embedding").cast("array<double>").alias("vec"))
+                                  F.col("embedding").alias("vec"))
     return docs, docs.select(F.col("doc_id").alias("qid"), F.col("tok").alias("qtok"), F.col("vec").alias("qvec"))
 
 

@@ -184,3 +184,31 @@ def test_maxsim_equals_brute_force(spark, monkeypatch):
         per = [sum(s[t, 4 * d:4 * d + 4].max() for t in range(8) if t // 3 == q) for d in range(23)]
         for rank, d in enumerate(np.argsort(per)[::-1][:3], start=1):
             assert got[(q, rank)] == d
+
+
+def test_vectors_are_sent_once_a_block(spark):
+    import numpy as np
+    assert R._sides(600_000, 600_000) == (30, 30)  # not once for every thousand queries
+    rng = np.random.default_rng(8)
+    v = [(i, rng.normal(size=16).astype("float32").tolist()) for i in range(300)]
+    corpus, q = spark.createDataFrame(v, "id long, vec array<float>"), spark.createDataFrame(v, "qid long, qvec array<float>")
+    for members, asked in (R._ivf(corpus, q, 3, 42, 10)[:2], R._lsh(corpus, q, 8, 44, 4, 42)):
+        assert members.count() == asked.count() == 300  # however many lists hold or are probed
+    lists, probes = R.ivf_lists(corpus, q, 3, 42, 10)
+    own, probed = _sets(lists, "id", "key"), _sets(probes, "qid", "key")
+    assert all(len(x) == 3 for x in probed.values())
+    x = np.array([y for _, y in v], np.float64)
+    s = x @ x.T
+    got = {(r.qid, r.rank): r.id for r in R.ivf_search(corpus, q, 2, 3, 42, 10).collect()}
+    for i in range(300):
+        best = sorted((j for j in range(300) if not own[j].isdisjoint(probed[i])), key=lambda j: -s[i, j])
+        assert [got.get((i, n)) for n in range(1, 1 + min(2, len(best)))] == best[:2]
+
+
+def test_a_pair_met_again_counts_once():
+    import numpy as np
+    best = R.RunningTopK(np.array([4, 5]), 3)
+    ids, scores = np.arange(5), np.array([[5.0, 4, 3, 2, 1], [1, 2, 3, 4, 5]])
+    for rows in ([0, 1], [1], [0]):
+        best.add(ids, scores[rows], np.array(rows), distinct=True)
+    assert [x.tolist() for x in best.ids] == [[0, 1, 2], [4, 3, 2]]
