@@ -16,6 +16,7 @@ row before it is among the k best of its block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -69,7 +70,8 @@ LEAST_BLOCKS = 8
 class RunningTopK:
     """The k best (score desc, id asc) of each query over pieces of a corpus."""
 
-    NONE = np.iinfo(np.int64).max
+    #: No entry yet; an entry without an id, which is after the others.
+    NONE, NULL = np.iinfo(np.int64).max, np.iinfo(np.int64).max - 1
 
     def __init__(self, qids: np.ndarray, k: int, digits: int = 9):
         self.qids, self.k, self.digits = np.asarray(qids), k, digits
@@ -84,6 +86,11 @@ class RunningTopK:
         """``scores[i, j]``: of query i (of query ``rows[i]``) and corpus row ``ids[j]``.
         ``distinct``: a pair may come again and counts once."""
         at = np.arange(len(self.qids)) if rows is None else rows
+        if ids.dtype.kind == "f":  # some are null
+            known = ~np.isnan(ids)
+            whole = np.full(len(ids), self.NULL)
+            whole[known] = ids[known].astype(np.int64)
+            ids = whole
         # rows under the k-th best can't stay; equal ones, once rounded, may by their id
         low = self._scores[at, -1] - 10.0 ** -self.digits
         if scores.shape[1] > self.k and len(first := np.flatnonzero(low == -np.inf)):
@@ -91,8 +98,7 @@ class RunningTopK:
         i, j = np.divmod(np.flatnonzero(scores >= low[:, None]), max(1, scores.shape[1]))
         if not len(i):
             return
-        hit = np.unique(i)
-        held = at[hit]
+        held = np.unique(at[i])
         query = np.r_[np.repeat(held, self.k), at[i]]
         found, value = np.r_[self._ids[held].ravel(), ids[j]], np.r_[self._scores[held].ravel(), scores[i, j]]
         some = found != self.NONE
@@ -111,7 +117,11 @@ class RunningTopK:
 
     def frame(self, id_col: str = "id") -> pd.DataFrame:
         some = self._ids != self.NONE
-        return pd.DataFrame({"qid": np.repeat(self.qids, some.sum(axis=1)), id_col: self._ids[some], "score": self._scores[some]})
+        ids = self._ids[some]
+        if (ids == self.NULL).any():
+            ids = pd.array(ids, dtype="Int64")
+            ids[ids == self.NULL] = pd.NA
+        return pd.DataFrame({"qid": np.repeat(self.qids, some.sum(axis=1)), id_col: ids, "score": self._scores[some]})
 
 
 def _ranked(cand: DataFrame, k: int, id_col: str = "id", digits: int = 9) -> DataFrame:
@@ -391,8 +401,8 @@ def _nearest_lists(centres: np.ndarray, nprobe: int):
     return near
 
 
-def _ivf(corpus: DataFrame, queries: DataFrame, nprobe: int | None, seed: int, nlist: int | None) -> tuple[DataFrame, DataFrame, int]:
-    """(members, queries, number of lists) of V3 as ``_probed_topk`` takes them."""
+def _ivf(corpus: DataFrame, queries: DataFrame, seed: int, nlist: int | None) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """(members, queries, centres, number of lists asked for) of V3; queries without a qid find nothing."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -404,20 +414,35 @@ def _ivf(corpus: DataFrame, queries: DataFrame, nprobe: int | None, seed: int, n
     part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n or 1)) < IVF_SAMPLE
     model = KMeans(k=nl, seed=seed, featuresCol="features", predictionCol="key").fit(f.where(part))
     centres = np.array([[float(x) for x in v] for v in model.clusterCenters()])
-    q = queries.select(F.col("qid").cast("long").alias("qid"), _vector(queries, "qvec").alias("qvec"))
-    near = _nearest_lists(centres, nprobe or max(5, -(-2 * nl // 3)))
-    return (model.transform(f).select(F.array(F.col("key").cast("int")).alias("keys"), "id", "vec"),
-            q.select(near("qvec").alias("keys"), "qid", "qvec"), len(centres))
+    q = queries.select(F.col("qid").cast("long").alias("qid"), _vector(queries, "qvec").alias("qvec")).where("qid is not null")
+    return model.transform(f).select(F.array(F.col("key").cast("int")).alias("keys"), "id", "vec"), q, centres, nl
+
+
+def _probes(queries: DataFrame, centres: np.ndarray, nprobe: int | None, nl: int) -> list[DataFrame]:
+    """(keys, qid, qvec) of the queries as ``_probed_topk`` takes them, ``nprobe`` lists a qid: rows that
+    share a qid share its lists, those of all its rows."""
+    nprobe = nprobe or max(5, -(-2 * nl // 3))
+    near = _nearest_lists(centres, nprobe)
+    again = queries.groupBy("qid").count().where("count > 1").select("qid")
+    if again.isEmpty():
+        return [queries.select(near("qvec").alias("keys"), "qid", "qvec")]
+    once, more = queries.join(again, "qid", "left_anti"), queries.join(again, "qid", "left_semi")
+    cent = queries.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(centres)], "id long, vec array<double>")
+    lists = dense_topk(cent, more, nprobe).groupBy("qid").agg(F.collect_list("id").alias("keys"))
+    return [once.select(near("qvec").alias("keys"), "qid", "qvec"), more.join(lists, "qid").select("keys", "qid", "qvec")]
 
 
 def ivf_lists(corpus: DataFrame, queries: DataFrame, nprobe: int | None = None, seed: int = 42,
               nlist: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, probes) of V3: every vector's list, and the lists each query probes."""
-    members, q, nl = _ivf(corpus, queries, nprobe, seed, nlist)
+    members, q, centres, nl = _ivf(corpus, queries, seed, nlist)
+    first, *more = _probes(q, centres, nprobe, nl)
     byte = F.conv(F.hex(F.substring("keys", F.floor(F.col("key") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    probes = q.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nl - 1).cast("long"))))
-    probed = byte.bitwiseAND(F.pow(F.lit(2), F.col("key") % 8).cast("int")) != 0
-    return members.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "id", "vec"), probes.where(probed).select("key", "qid", "qvec")
+    every = first.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(centres) - 1).cast("long"))))
+    probes = every.where(byte.bitwiseAND(F.pow(F.lit(2), F.col("key") % 8).cast("int")) != 0).select("key", "qid", "qvec")
+    for m in more:
+        probes = probes.union(m.select(F.explode("keys").alias("key"), "qid", "qvec"))
+    return members.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), "id", "vec"), probes
 
 
 def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, nprobe: int | None = None, seed: int = 42,
@@ -427,8 +452,9 @@ def ivf_search(corpus: DataFrame, queries: DataFrame, k: int, nprobe: int | None
     exactly, a block at a time.  ``nlist`` grows with the root of the corpus, two
     thirds of the lists are probed by default (recall of 0.9 even on vectors without
     any clusters); every vector is in a list."""
-    members, asked, _ = _ivf(corpus, queries, nprobe, seed, nlist)
-    return _ranked(_probed_topk(members, asked, k), k)
+    members, q, centres, nl = _ivf(corpus, queries, seed, nlist)
+    found = [_probed_topk(members, asked, k) for asked in _probes(q, centres, nprobe, nl)]
+    return _ranked(reduce(DataFrame.union, found), k)
 
 
 def lsh_keys(dim: int, bits: int, tables: int, probes: int, seed: int):

@@ -192,7 +192,9 @@ def test_vectors_are_sent_once_a_block(spark):
     rng = np.random.default_rng(8)
     v = [(i, rng.normal(size=16).astype("float32").tolist()) for i in range(300)]
     corpus, q = spark.createDataFrame(v, "id long, vec array<float>"), spark.createDataFrame(v, "qid long, qvec array<float>")
-    for members, asked in (R._ivf(corpus, q, 3, 42, 10)[:2], R._lsh(corpus, q, 8, 44, 4, 42)):
+    ivf, queries, centres, nl = R._ivf(corpus, q, 42, 10)
+    asked, = R._probes(queries, centres, 3, nl)
+    for members, asked in ((ivf, asked), R._lsh(corpus, q, 8, 44, 4, 42)):
         assert members.count() == asked.count() == 300  # however many lists hold or are probed
     lists, probes = R.ivf_lists(corpus, q, 3, 42, 10)
     own, probed = _sets(lists, "id", "key"), _sets(probes, "qid", "key")
@@ -212,3 +214,16 @@ def test_a_pair_met_again_counts_once():
     for rows in ([0, 1], [1], [0]):
         best.add(ids, scores[rows], np.array(rows), distinct=True)
     assert [x.tolist() for x in best.ids] == [[0, 1, 2], [4, 3, 2]]
+
+
+def test_queries_of_one_id_and_rows_without_id(spark):
+    import numpy as np
+    v = [(i, [float(i == j) for j in range(4)]) for i in range(4)]
+    corpus = spark.createDataFrame(v, "id long, vec array<double>")
+    q = spark.createDataFrame([*v, v[2]], "qid long, qvec array<double>")
+    hits = R.ivf_search(corpus, q, 4, nprobe=2, nlist=2).collect()
+    assert [r.id for r in sorted(hits, key=lambda r: r["rank"]) if r.qid == 2] == [2, 2, 2, 2]  # both rows, both their lists
+    assert [r.id for r in sorted(hits, key=lambda r: r["rank"]) if r.qid == 1] == [1, 0, 2, 3]
+    best = R.RunningTopK(np.array([1]), 2)
+    best.add(np.array([np.nan, 7.0, 8.0]), np.array([[3.0, 2.0, 1.0]]))
+    assert best.frame()["id"].isna().tolist() == [True, False]
