@@ -12,6 +12,8 @@ from quarry.session import checkpoint_dir, ship_package
 #: run of very long texts does not fill a worker's memory.
 BATCH_ROWS = 512
 BATCH_BYTES = "8m"
+#: Spark's setting by which an execution's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -28,11 +30,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate once under the shared checkpoint folder and go on
     from the files: lineage is cut, a lost executor costs no recomputation and
-    later readers get column pruning.  Plans that nothing refers to any more
-    are released, so that Spark drops their shuffle files."""
+    later readers get column pruning.  The write's shuffle files go when it ends,
+    not whenever the driver drops its plan; other plans that nothing refers to are released."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     release(spark)

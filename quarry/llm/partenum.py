@@ -220,11 +220,14 @@ def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     def sets_of(wanted: DataFrame) -> DataFrame:
         # one row of each wanted set: its smallest doc_id and there the smallest text
         held = some.select(name.alias("id"), "doc_id", "text_key").join(wanted, "id", "left_semi")
-        first = held.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("id", "at.*")
+        # stored, so that Spark knows its size before it deals the texts: they stay where they are while it is small
+        first = store(held.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("id", "at.*"), "set_places")
         keyed = docs.withColumn("text_key", F.xxhash64("text"))
         sets = (keyed.join(first, ["doc_id", "text_key"]).select("id", item_sets(k)("text").alias("s"))
                 .select("id", F.col("s.items").alias("items")))
-        return store(sets.dropDuplicates(["id"]) if repeats else sets, "item_sets")
+        out = store(sets.dropDuplicates(["id"]) if repeats else sets, "item_sets")
+        discard(first)
+        return out
 
     comps = links.link(members, sets_of, percent)
     discard(members)
