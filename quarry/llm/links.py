@@ -38,9 +38,9 @@ from quarry.llm.common import discard, store
 
 #: Parts over which a task's surplus rows of one signature are spread.
 SALTS = 64
-#: Clusters of so many members are compared directly: at first, after each round of
-#: pivots so many times more, never beyond the last number.
-SMALL, GROWTH, SMALL_MOST = 100, 4, 800
+#: Clusters of so many members are compared directly; after each round of pivots so many
+#: times more, never beyond the last number.
+SMALL, GROWTH, SMALL_MOST = 800, 1, 800
 #: Groups of so many members are compared pair by pair.
 FEW = 32
 #: Cells of one numpy product.
@@ -218,7 +218,9 @@ def product_links(percent: int):
         lists = cluster.column("items").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
         of = np.repeat(np.arange(len(ids)), size)
-        _, item = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        _, item, held = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        again = held[item] > 1  # an item of one set only is in no intersection
+        of, item = of[again], (np.cumsum(held > 1) - 1)[item[again]]
         order = np.argsort(item, kind="stable")
         of, item = of[order], item[order]
         width = int(item[-1]) + 1 if len(item) else 0
