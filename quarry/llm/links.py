@@ -6,14 +6,17 @@ smallest id) and the others with that id as ``rep``, so that a signature shared
 by a third of all rows reaches the shuffle once a task.
 
 Members of a signature are candidates of each other.  Each member is held against
-its group's smallest id; ids in one component need no further comparison.  Groups
+its group's smallest id; ids in one component need no further comparison.  Before any set
+is made or sent, the sketches of both sides bound their intersection from above, which
+rules out most pairs; no similar one is lost.  Groups
 that stay open (three or more members in several components) are compared whole if
 they have at most ``FEW`` members, which makes at most FEW / 2 pairs a member;
 the larger ones are joined to clusters, one for each component that is the
 largest of a group:
 
-* a cluster of up to ``SMALL`` members is compared in one bounded product, which
-  gives back links only;
+* a cluster of up to ``SMALL`` members is compared in one bounded product of its sketches;
+  members that these can't tell apart form parts, of which equal ones of several clusters
+  are one, and only the sets of a part meet in a product, which gives back links only;
 * in a larger one a set U of items is taken: the items of the cluster's smallest member, and
   of the earlier pivots that led to it.  Write n and l for the items that a set has beyond
   U and lacks of U.  Two sets that share no item beyond U differ in at least
@@ -30,8 +33,12 @@ square of its members.  Nothing is collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.llm.common import discard, store
@@ -109,12 +116,70 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(similar(inter, F.size("items_a"), F.size("items_b"), percent)).select("a", "b")
 
 
-def link(members: DataFrame, sets_of, percent: int) -> DataFrame:
+def sketch(items: np.ndarray) -> bytes:
+    """How many of a set's hashes lie in each of 256 or more equal parts of their range, at
+    most four a part on average; 255 stands for any number from there on."""
+    bits = 8 + max(0, (len(items) - 1).bit_length() - 10)
+    held = np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(held, 255).astype(np.uint8).tobytes()
+
+
+def counts(sketches: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches' numbers in ``width`` parts, and which sketches hold a 255."""
+    out, full = np.empty((len(sketches), width), np.int64), np.zeros(len(sketches), bool)
+    length = np.array([len(x) for x in sketches])
+    for n in np.unique(length):
+        at = np.flatnonzero(length == n)
+        held = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), width, n // width)
+        out[at], full[at] = held.sum(2, dtype=np.int64), (held == 255).any((1, 2))
+    return out, full
+
+
+def may_link(percent: int):
+    """Scalar UDF: sizes and sketches of two sets -> whether they may be similar.  An
+    intersection is no larger than the sum of what both have in each part."""
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for size_a, size_b, a, b in batches:
+            most = np.minimum(size_a, size_b).to_numpy(np.int64, copy=True)
+            width = np.minimum(a.str.len(), b.str.len()).to_numpy()
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                (x, full_x), (y, full_y) = (counts(s.iloc[at].tolist(), int(w)) for s in (a, b))
+                most[at] = np.where(full_x | full_y, most[at], np.minimum(x, y).sum(1))
+            yield pd.Series(100 * most >= percent * (size_a.to_numpy() + size_b.to_numpy() - most))
+
+    return run
+
+
+def likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` that the sketches (id, size, sketch) don't rule out."""
+    one, two = (marks.select(F.col("id").alias(e), F.col("size").alias(f"size_{e}"), F.col("sketch").alias(f"sketch_{e}")) for e in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    return both.filter(may_link(percent)("size_a", "size_b", "sketch_a", "sketch_b")).select("a", "b")
+
+
+def checked(pairs: DataFrame, marks: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Stored links among ``pairs``."""
+    left = store(likely(pairs, marks, percent), "likely_pairs")
+    if left.isEmpty():
+        return left
+    sets = sets_of(ends(left).distinct())
+    found = store(verify(left, sets, percent), "links")
+    for done in (left, sets):
+        discard(done)
+    return found
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+
+def link(members: DataFrame, marks: DataFrame, sets_of, percent: int) -> DataFrame:
     """(id, component) of sets linked by 100 * intersection >= percent * union, for
-    a stored table ``members`` (sig, id, first).  ``sets_of(ids)`` gives the
-    stored sets (id, items) of some ids."""
-    sets = sets_of(members.select("id").union(members.select("first")).distinct())
-    comps = components(verify(ordered(members.filter("id <> first"), "first", "id"), sets, percent))
+    stored tables ``members`` (sig, id, first) and ``marks`` (id, size, sketch).
+    ``sets_of(ids)`` gives the stored sets (id, items) of some ids."""
+    comps = components(checked(ordered(members.filter("id <> first"), "first", "id"), marks, sets_of, percent))
     groups, small = members.select("sig", "id").distinct(), SMALL
     covered = None
     while True:
@@ -122,10 +187,7 @@ def link(members: DataFrame, sets_of, percent: int) -> DataFrame:
         still = store(rows.join(open_groups(rows), "sig"), "open_members")
         if still.isEmpty():
             return comps
-        fewer = store(sets.join(still.select("id").distinct(), "id", "left_semi"), "open_sets")
-        discard(sets)
-        sets = fewer
-        found, groups, covered = compared(still, sets, percent, small, covered)
+        found, groups, covered, sets = compared(still, marks, sets_of, percent, small, covered)
         small = min(GROWTH * small, SMALL_MOST)
         if not found.isEmpty():
             comps = merged(comps, found)
@@ -136,11 +198,16 @@ def link(members: DataFrame, sets_of, percent: int) -> DataFrame:
         rows = label(groups, comps)
         least = rows.groupBy("sig").agg(F.min_by("component", "id").alias("c"), F.min("id").alias("first"))
         star = rows.join(least, "sig").filter("component <> c")
-        found = store(verify(ordered(star, "first", "id"), sets, percent), "links")
+        sets_of = taken_from(sets)  # what is still open was in a large cluster
+        found = checked(ordered(star, "first", "id"), marks, sets_of, percent)
         if not found.isEmpty():
             comps = merged(comps, found)
 
 
+def taken_from(sets: DataFrame):
+    return lambda ids: store(sets.join(ids, "id", "left_semi"), "open_sets")
+
+
 def ordered(df: DataFrame, one: str, other: str) -> DataFrame:
     """Different pairs (a, b) with a < b."""
     return df.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
@@ -151,11 +218,11 @@ def bound(a: Column, b: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (a + b) / F.lit(100 + percent))
 
 
-def compared(still: DataFrame, sets: DataFrame, percent: int, small: int, covered: tuple[DataFrame, DataFrame] | None):
-    """(links found, next groups or None, what their pivots cover) for open groups (sig, id,
-    component, n).  ``covered`` are two tables: (sig, cluster), the cluster that a large group
+def compared(still: DataFrame, marks: DataFrame, sets_of, percent: int, small: int, covered: tuple[DataFrame, DataFrame] | None):
+    """(links found, next groups or None, what their pivots cover, sets of the large clusters) for
+    open groups (sig, id, component, n).  ``covered`` are two tables: (sig, cluster), the cluster that a large group
     comes from, and (cluster, items), what the pivots up to then cover."""
-    pairs = across(still.filter(F.col("n") <= FEW), "sig")
+    pairs = store(likely(across(still.filter(F.col("n") <= FEW), "sig"), marks, percent), "likely_pairs")
     still = still.filter(F.col("n") > FEW)
     # clusters: open groups whose largest component is the same one; its smallest member is the pivot
     parts = still.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -163,11 +230,20 @@ def compared(still: DataFrame, sets: DataFrame, percent: int, small: int, covere
     who = still.select("sig", "id", "component").join(lead, "sig").select("cluster", "id", "component").distinct()
     sizes = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"))
     whole = who = store(who.join(sizes, "cluster"), "cluster_members")
-    direct = (who.filter(F.col("members") <= small).join(sets, "id").select("cluster", "id", "component", "items")
-              .groupBy("cluster").applyInArrow(product_links(percent), "a long, b long"))
+    parts = (who.filter(F.col("members") <= small).join(marks, "id").select("cluster", "id", "component", "size", "sketch")
+             .groupBy("cluster").applyInArrow(likely_parts(percent), "part long, id long, component long"))
+    parts = store(parts.distinct(), "likely_parts")
     who = who.filter(F.col("members") > small)
+    wanted = ends(pairs).union(parts.select("id")).union(who.select("id")).distinct()
+    if wanted.isEmpty():
+        return pairs, None, None, None
+    sets = sets_of(wanted)
+    direct = parts.join(sets, "id").groupBy("part").applyInArrow(product_links(percent), "a long, b long")
     if who.isEmpty():
-        return store(verify(pairs, sets, percent).union(direct).distinct(), "links"), None, None
+        found = store(verify(pairs, sets, percent).union(direct).distinct(), "links")
+        for done in (pairs, parts, sets, whole):
+            discard(done)
+        return found, None, None, None
     pivots = who.select("cluster", "pivot").distinct()
     pivots = pivots.join(sets, pivots["pivot"] == sets["id"]).select("cluster", "pivot", F.col("items").alias("p_items"))
     none = F.array().cast("array<long>")
@@ -186,6 +262,7 @@ def compared(still: DataFrame, sets: DataFrame, percent: int, small: int, covere
                  .withColumn("n", F.size("beyond")).withColumn("l", F.size("lost")), "beside_pivot")
     to_pivot = near.filter((F.col("id") != F.col("pivot")) & similar(F.col("inter"), F.col("size"), F.col("p_size"), percent))
     close = close_pairs(near.drop("beyond"), percent)
+    close = likely(close, marks, percent)
     found = store(verify(pairs.union(close).distinct(), sets, percent).union(ordered(to_pivot, "pivot", "id")).union(direct).distinct(), "links")
     # sets of one cluster that share an item beyond what is covered: a partner of a set holds at least
     # ``least`` of these, so one of the others and the first of those, in an order common to all sets
@@ -197,9 +274,9 @@ def compared(still: DataFrame, sets: DataFrame, percent: int, small: int, covere
     # a group is looked up by its signature; only those too large to compare at once need it
     large = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("cluster")).filter(F.col("n") > FEW)
     came = store(large.select("sig", "cluster"), "came_from")
-    for done in (near, whole):
+    for done in (near, whole, pairs, parts):
         discard(done)
-    return found, groups.drop("cluster"), (came, pivots.select("cluster", F.col("u_items").alias("items")))
+    return found, groups.drop("cluster"), (came, pivots.select("cluster", F.col("u_items").alias("items"))), sets
 
 
 def across(rows: DataFrame, key: str) -> DataFrame:
@@ -208,8 +285,48 @@ def across(rows: DataFrame, key: str) -> DataFrame:
     return ordered(rows.select(key, "id", "component").join(other, key).filter("id < o and component <> oc"), "id", "o")
 
 
+def likely_parts(percent: int):
+    """applyInArrow function: one bounded cluster (cluster, id, component, size, sketch) ->
+    (part, id, component) of the members that may be similar to one of another component.  A
+    part holds those that are connected by such pairs and is named by them."""
+
+    def run(cluster: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(cluster.column("id"), np.int64))
+        ids, comps, size = (np.array(cluster.column(c), np.int64)[order] for c in ("id", "component", "size"))
+        sketches = cluster.column("sketch").take(pa.array(order)).to_pylist()
+        length = np.array([len(x) for x in sketches])
+        may = np.zeros((len(ids), len(ids)), bool)
+        for w in np.unique(length):  # similar sets' sketches are of like lengths
+            at = np.flatnonzero((length >= w) & (percent * length <= 200 * w))
+            held, full = counts([sketches[i] for i in at], int(w))
+            inter, step = np.zeros((len(at), len(at))), max(1, CELLS // len(at))
+            for first in range(0, int(w), step):
+                part, least = held[:, first:first + step], 1
+                while (more := (part >= least).sum(0) > 1).any():
+                    part = part[:, more]
+                    has = (part >= least).astype(np.float32)
+                    inter += has @ has.T
+                    least += 1
+            inter = np.where(full[:, None] | full[None], np.minimum(size[at][:, None], size[at][None]), inter)
+            like = 100 * inter >= percent * (size[at][:, None] + size[at][None] - inter)
+            own = length[at] == w
+            may[np.ix_(at, at)] |= like & (own[:, None] | own[None])
+        may &= comps[:, None] != comps[None]
+        root = np.arange(len(ids))
+        while True:
+            least = np.minimum(root, np.where(may, root[None], len(ids)).min(1))
+            if (least == root).all():
+                break
+            root = least
+        some = may.any(1)
+        names = {r: xxhash.xxh3_64_intdigest(ids[root == r].tobytes()) - (1 << 63) for r in np.unique(root[some])}
+        return pa.table({"part": pa.array([names[r] for r in root[some]], pa.int64()), "id": ids[some], "component": comps[some]})
+
+    return run
+
+
 def product_links(percent: int):
-    """applyInArrow function: one bounded cluster (cluster, id, component, items) ->
+    """applyInArrow function: one bounded part (part, id, component, items) ->
     links (a, b) between different components, by the product of its incidence
     matrix with itself, some columns at a time."""
 

@@ -14,7 +14,8 @@ groups with an empty subset, they share one that isn't empty.  Sets with more of
 those keep all signatures.
 
 Candidates are verified exactly (100 * intersection >= 85 * union) and joined to
-components in ``links``.
+components in ``links``, after their sketches (how many items lie in each part of the
+range of hashes) have ruled out most of those that are not similar.
 
 Nodes of the graph are different sets, named by 64 bits of their digest (the rare names that
 two digests share are told apart by the rest), so equal sets are one node
@@ -115,19 +116,19 @@ def digest(items: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-SET_FIELDS = "n_shingles long, d1 long, d2 long"
+SET_FIELDS = "n_shingles long, d1 long, d2 long, sketch binary"
 
 
 def describe(k: int):
-    """Scalar UDF: text -> size and digest of its shingle set."""
+    """Scalar UDF: text -> size, digest and sketch of its shingle set."""
     @F.pandas_udf(SET_FIELDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
                 items = np.unique(shingles(t, k))
-                rows.append((len(items), *digest(items)))
-            yield pd.DataFrame(rows, columns=["n_shingles", "d1", "d2"])
+                rows.append((len(items), *digest(items), links.sketch(items)))
+            yield pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "sketch"])
 
     return run
 
@@ -216,6 +217,9 @@ def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     make = make or (lambda items: signatures(items, percent))
     sent = docs.filter("doc_id is not null").select("text").mapInArrow(signature_rows(make, k, clashes), SIGS)
     members = store(links.shared(sent), "shared_sigs")
+    several = members.select("id").union(members.select("first")).distinct()
+    marks = store(some.select(name.alias("id"), F.col("n_shingles").alias("size"), "sketch").join(several, "id", "left_semi")
+                  .dropDuplicates(["id"]), "set_marks")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         # one row of each wanted set: its smallest doc_id and there the smallest text
@@ -229,8 +233,9 @@ def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
         discard(first)
         return out
 
-    comps = links.link(members, sets_of, percent)
-    discard(members)
+    comps = links.link(members, marks, sets_of, percent)
+    for done in (members, marks):
+        discard(done)
     ids = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), name)
     return links.label(rows.withColumn("id", ids), comps, "id", "component").select("doc_id", "text_key", "n_shingles", "component")
 
