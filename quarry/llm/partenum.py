@@ -54,6 +54,8 @@ PERCENT = 85
 SMALL_K = 4
 #: Signatures a task holds before it sends them.
 FLUSH = 500_000
+#: Wanted sets whose places (three numbers each) are broadcast to the texts.
+PLACES = 1_000_000
 
 
 @lru_cache(maxsize=None)
@@ -224,10 +226,11 @@ def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     def sets_of(wanted: DataFrame) -> DataFrame:
         # one row of each wanted set: its smallest doc_id and there the smallest text
         held = some.select(name.alias("id"), "doc_id", "text_key").join(wanted, "id", "left_semi")
-        # stored, so that Spark knows its size before it deals the texts: they stay where they are while it is small
+        # up to PLACES of them travel to the texts, which stay where they are; more are met in a shuffle
         first = store(held.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("id", "at.*"), "set_places")
         keyed = docs.withColumn("text_key", F.xxhash64("text"))
-        sets = (keyed.join(first, ["doc_id", "text_key"]).select("id", item_sets(k)("text").alias("s"))
+        at = F.broadcast(first) if first.count() <= PLACES else first
+        sets = (keyed.join(at, ["doc_id", "text_key"]).select("id", item_sets(k)("text").alias("s"))
                 .select("id", F.col("s.items").alias("items")))
         out = store(sets.dropDuplicates(["id"]) if repeats else sets, "item_sets")
         discard(first)

@@ -56,3 +56,26 @@ def test_parts_keep_every_similar_pair(percent):
                 similar += 1
                 assert part[ids[i]] == part[ids[j]]
     assert similar >= 15 and len(set(part.values())) >= 7
+
+
+@pytest.mark.parametrize("places", [1_000_000, 0])
+def test_texts_stay_in_place(spark, monkeypatch, places):
+    """Whatever Spark's own threshold is, a bounded number of places travels, not the texts."""
+    monkeypatch.setattr(partenum, "PLACES", places)
+    plans, store = [], partenum.store
+
+    def spy(df, name):
+        if name == "item_sets":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(partenum, "store", spy)
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, f"{text} {i}") for i in range(4)] + [(9, "alone")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert as_dict(partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 4, 85)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans and all(("BroadcastHashJoin" in p) == (places > 0) for p in plans)
