@@ -63,6 +63,36 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What operators keep in a worker process for their later tasks.
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What ``operator`` keeps in this worker process from task to task.  What others kept here is
+    dropped and what they freed goes back to the system: Spark reuses its workers, whose memory would
+    else hold the words and the largest batches of all operators that ran."""
+    others = _kept.keys() - {operator}
+    for other in others:
+        del _kept[other]
+    if others:
+        give_back()
+    return _kept.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which Arrow's and the C library's allocators hold on to."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

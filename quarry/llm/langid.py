@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import prepare
+from quarry.llm.common import kept, prepare
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -179,6 +179,7 @@ def predict(net: Network | None, text: Column) -> Column:
 
     @F.pandas_udf(PREDICTION)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept("langid")
         for texts in batches:
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if net is not None and t is not None and any(map(str.isalpha, t))]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import prepare, store, whole_text
+from quarry.llm.common import kept, prepare, store, whole_text
 
 CAPACITY = 4096
 END = 1
@@ -114,14 +114,13 @@ class WordEncoder:
         return [b"".join(map(get, words)) for words in split]
 
 
-#: One encoder a vocabulary file in each worker process: its words serve all of the process's tasks.
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """The encoder of a vocabulary file: one in each worker process, whose words serve all of the
+    process's tasks until another operator's run there."""
+    encoders = kept("packing")
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

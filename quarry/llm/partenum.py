@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import links
-from quarry.llm.common import discard, prepare, store, whole_text
+from quarry.llm.common import discard, kept, prepare, store, whole_text
 from quarry.llm.words import mix, shingles
 
 SHINGLE_WORDS = 4
@@ -125,6 +125,7 @@ def describe(k: int):
     """Scalar UDF: text -> size, digest and sketch of its shingle set."""
     @F.pandas_udf(SET_FIELDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept("partenum")
         for texts in batches:
             rows = []
             for t in texts:
@@ -179,6 +180,7 @@ def signature_rows(make, k: int, clashes: frozenset[int] = frozenset(), flush: i
     a set into signatures.  Of equal sets in a task only one is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("partenum")
         seen: set[tuple[int, int]] = set()
         sigs, ids, held = [], [], 0
         for batch in batches:

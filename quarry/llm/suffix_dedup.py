@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import bwt
-from quarry.llm.common import discard, prepare, store, whole_text
+from quarry.llm.common import discard, kept, prepare, store, whole_text
 from quarry.llm.words import mix
 
 LEAST = 100
@@ -133,6 +133,7 @@ def send_anchors(grams: np.ndarray, dids: np.ndarray, places: np.ndarray) -> pa.
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """mapInArrow function: (did, text) -> anchors; of equal texts in a task only one is read."""
+    kept("suffix_dedup")
     seen: set[bytes] = set()
     parts, held = [], 0
 

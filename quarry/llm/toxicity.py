@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import discard, prepare, store
+from quarry.llm.common import discard, kept, prepare, store
 from quarry.llm.langid import held_out
 
 BUCKETS = 1 << 20
@@ -166,6 +166,7 @@ def predict(machine: Machine, text: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept("toxicity")
         known: dict[str, tuple[int, ...]] = {}
         for texts in batches:
             rows = []
