@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import links
-from quarry.llm.common import discard, kept, prepare, store, whole_text
+from quarry.llm.common import discard, give_back, kept, prepare, store, whole_text
 from quarry.llm.words import mix, shingles
 
 SHINGLE_WORDS = 4
@@ -198,6 +198,8 @@ def signature_rows(make, k: int, clashes: frozenset[int] = frozenset(), flush: i
                     sigs, ids, held = [], [], 0
         if sigs:
             yield deal(sigs, ids)
+        del seen, sigs, ids
+        give_back()  # the joins that follow need the memory more than an idle worker
 
     return run
 
