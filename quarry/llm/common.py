@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,6 +13,9 @@ from quarry.session import checkpoint_dir, ship_package
 #: run of very long texts does not fill a worker's memory.
 BATCH_ROWS = 512
 BATCH_BYTES = "8m"
+#: Seconds between two collections of the driver's garbage.
+RELEASE_S = 10
+_released = 0.0
 #: Spark's setting by which an execution's shuffle files are removed at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -31,7 +35,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate once under the shared checkpoint folder and go on
     from the files: lineage is cut, a lost executor costs no recomputation and
     later readers get column pruning.  The write's shuffle files go when it ends,
-    not whenever the driver drops its plan; other plans that nothing refers to are released."""
+    not whenever the driver drops its plan; other plans that nothing refers to are released now and then."""
+    global _released
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
     before = spark.conf.get(CLEANUP, "false")
@@ -42,7 +47,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
-    release(spark)
+    if time.monotonic() - _released >= RELEASE_S:  # a collection of the driver's garbage each time costs more than many small writes
+        release(spark)
+        _released = time.monotonic()
     return out
 
 

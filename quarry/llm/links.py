@@ -14,7 +14,8 @@ they have at most ``FEW`` members, which makes at most FEW / 2 pairs a member;
 the larger ones are joined to clusters, one for each component that is the
 largest of a group:
 
-* a cluster of up to ``SMALL`` members is compared in one bounded product of its sketches;
+* a cluster of up to ``SMALL`` members is compared in one bounded product of its sketches, one of up to
+  ``WIDE`` times as many in a product for any two of its blocks of half that size;
   members that these can't tell apart form parts, of which equal ones of several clusters
   are one, and only the sets of a part meet in a product, which gives back links only;
 * in a larger one a set U of items is taken: the items of the cluster's smallest member, and
@@ -41,15 +42,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.common import discard, store
+from quarry.llm.common import discard, give_back, kept, store
 
 #: Parts over which a task's surplus rows of one signature are spread.
 SALTS = 64
 #: Clusters of so many members are compared directly; after each round of pivots so many
 #: times more, never beyond the last number.
 SMALL, GROWTH, SMALL_MOST = 800, 1, 800
+#: Clusters of up to so many times that number are dealt into blocks, of which any two are compared directly.
+WIDE = 8
 #: Groups of so many members are compared pair by pair.
 FEW = 32
+#: Edges that one task joins to components (two numbers each).
+EDGES = 500_000
 #: Cells of one numpy product.
 CELLS = 4_000_000
 
@@ -68,9 +73,40 @@ def shared(sigs: DataFrame) -> DataFrame:
     return seen.filter(~alone & ~again).select("sig", "id", F.coalesce("rep", "least").alias("first"))
 
 
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function for all edges (a, b): (id, component) of every id but the smallest of its component."""
+    kept("links")
+    pairs = [np.stack([np.array(c, np.int64) for c in batch.columns]) for batch in batches]
+    ids, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *pairs], 1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    del pairs, at
+    root = np.arange(len(ids))
+    while True:  # a larger root goes below the smallest that an edge joins it with
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (above := root[root]).tobytes() != root.tobytes():
+            root = above
+    below = root < np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[below]), pa.array(ids[root[below]])], ["id", "component"])
+    del ids, root, a, b, below
+    give_back()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id connected to each id by edges (a, b).
-    Alternates large and small stars, each a map-side-combined minimum and a
+    """Stored (id, component): the smallest id connected to each other id by edges (a, b).  Up to ``EDGES``
+    are joined in one task; more in rounds of stars."""
+    both = store(edges.filter("a <> b"), "cc")
+    out = store(both.coalesce(1).mapInArrow(united, "id long, component long"), "components") if both.count() <= EDGES else stars(both)
+    discard(both)
+    return out
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """``components`` by alternate large and small stars, each a map-side-combined minimum and a
     join, until the edges no longer change."""
     both = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, mark = store(both, "cc"), None
@@ -92,7 +128,7 @@ def components(edges: DataFrame) -> DataFrame:
         then = store(small.filter("u <> v").distinct(), "cc")
         discard(now)
         now = then
-    # stars now: every id points to its component's smallest
+    # every id points to its component's smallest
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
@@ -230,10 +266,11 @@ def compared(still: DataFrame, marks: DataFrame, sets_of, percent: int, small: i
     who = still.select("sig", "id", "component").join(lead, "sig").select("cluster", "id", "component").distinct()
     sizes = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"))
     whole = who = store(who.join(sizes, "cluster"), "cluster_members")
-    parts = (who.filter(F.col("members") <= small).join(marks, "id").select("cluster", "id", "component", "size", "sketch")
-             .groupBy("cluster").applyInArrow(likely_parts(percent), "part long, id long, component long"))
+    parts = (in_blocks(who.filter(F.col("members") <= WIDE * small), small).join(marks, "id")
+             .select("cluster", "pair", "block", "id", "component", "size", "sketch")
+             .groupBy("cluster", "pair").applyInArrow(likely_parts(percent), "part long, id long, component long"))
     parts = store(parts.distinct(), "likely_parts")
-    who = who.filter(F.col("members") > small)
+    who = who.filter(F.col("members") > WIDE * small)
     wanted = ends(pairs).union(parts.select("id")).union(who.select("id")).distinct()
     if wanted.isEmpty():
         return pairs, None, None, None
@@ -285,10 +322,21 @@ def across(rows: DataFrame, key: str) -> DataFrame:
     return ordered(rows.select(key, "id", "component").join(other, key).filter("id < o and component <> oc"), "id", "o")
 
 
+def in_blocks(who: DataFrame, small: int) -> DataFrame:
+    """Members of clusters (cluster, members, id ...) with their ``block`` and each ``pair`` of blocks, a
+    block and itself among them, that they are compared in; a cluster of up to ``small`` is one block."""
+    half = max(1, small // 2)
+    blocks = F.when(F.col("members") <= small, F.lit(1)).otherwise(F.ceil(F.col("members") / F.lit(half))).cast("int")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return (who.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", other)
+            .withColumn("pair", F.struct(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))))
+
+
 def likely_parts(percent: int):
-    """applyInArrow function: one bounded cluster (cluster, id, component, size, sketch) ->
-    (part, id, component) of the members that may be similar to one of another component.  A
-    part holds those that are connected by such pairs and is named by them."""
+    """applyInArrow function: one bounded cluster (id, component, size, sketch, perhaps of two blocks) ->
+    (part, id, component) of the members that may be similar to one of another component, and of
+    the other block if there are two.  A part holds those that are connected by such pairs and is named by them."""
 
     def run(cluster: pa.Table) -> pa.Table:
         order = np.argsort(np.array(cluster.column("id"), np.int64))
@@ -312,6 +360,10 @@ def likely_parts(percent: int):
             own = length[at] == w
             may[np.ix_(at, at)] |= like & (own[:, None] | own[None])
         may &= comps[:, None] != comps[None]
+        if "block" in cluster.column_names:
+            block = np.array(cluster.column("block"), np.int64)[order]
+            if (block != block[:1]).any():
+                may &= block[:, None] != block[None]
         root = np.arange(len(ids))
         while True:
             least = np.minimum(root, np.where(may, root[None], len(ids)).min(1))
@@ -384,6 +436,8 @@ def open_groups(rows: DataFrame) -> DataFrame:
 
 def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """Components after further links between them."""
+    if comps.count() + links.count() <= EDGES:
+        return components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))
     ends = label(label(links, comps, "a", "x"), comps, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     over = components(ends)
     known = comps.select("id").union(ends.select("a")).union(ends.select("b")).distinct()

@@ -37,7 +37,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -45,7 +44,7 @@ from pyspark.sql import types as T
 
 from quarry.llm import links
 from quarry.llm.common import discard, give_back, kept, prepare, store, whole_text
-from quarry.llm.words import mix, shingles
+from quarry.llm.words import blocks, mix, shingle_sets
 
 SHINGLE_WORDS = 4
 #: Similarity in hundredths.
@@ -53,7 +52,7 @@ PERCENT = 85
 #: Up to this many differing items one group of parts is used, with subsets of two parts.
 SMALL_K = 4
 #: Signatures a task holds before it sends them.
-FLUSH = 500_000
+FLUSH = 250_000
 #: Wanted sets whose places (three numbers each) are broadcast to the texts.
 PLACES = 1_000_000
 
@@ -113,39 +112,85 @@ def signatures(items: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def signature_sets(items: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """What ``signatures`` gives for each of many sets that lie one after the other (set i from
+    ``ends[i]`` to ``ends[i + 1]``), and the number of the set that each signature is of."""
+    n = np.diff(ends)
+    limits = np.array(band_ends(percent, 1 << int(n.max(initial=0) + 1).bit_length()))
+    band = np.searchsorted(limits, n)
+    plans = {j: plan(j, percent) for j in range(1, int(band.max(initial=0)) + 2)}
+    wide = np.array([j > 0 and plans[j][0] > SMALL_K for j in band], bool)
+    out, who = [], []
+    for i in np.flatnonzero(~wide & (n > 0)):
+        out.append(signatures(items[ends[i]:ends[i + 1]], percent))
+        who.append(np.full(len(out[-1]), i))
+    sets = np.flatnonzero(wide)
+    of = np.repeat(np.arange(len(sets)), n[sets])
+    items = items[np.repeat(wide, n)]
+    low, high = ((items & np.uint64(0xFFFFFFFF)).astype(np.float64), (items >> np.uint64(32)).astype(np.float64))
+    for j in (band[sets], band[sets] + 1) if len(sets) else ():
+        groups, extra = (np.array([plans[x][c] for x in j], np.int64) for c in (1, 4))
+        parts = 2 * groups
+        begin = np.cumsum(parts) - parts
+        total = int(parts.sum())
+        salt = j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at = (mix(items ^ salt[of]) >> np.uint64(32)) * parts.astype(np.uint64)[of] >> np.uint64(32)
+        at = at.astype(np.int64) + begin[of]
+        sums = np.bincount(at, low, total).astype(np.uint64) + (np.bincount(at, high, total).astype(np.uint64) << np.uint64(32))
+        empty = np.bincount(at, minlength=total) == 0
+        own = np.repeat(np.arange(len(sets)), parts)
+        part = (np.arange(total) - begin[own]).astype(np.uint64)
+        sums = mix(sums + part) + np.uint64(1) + (part & np.uint64(1))
+        sigs = mix(sums * (2 * j + 1).astype(np.uint64)[own] + (part >> np.uint64(1)) * np.uint64(3))
+        sparse = np.add.reduceat(empty.reshape(-1, 2).any(1).astype(np.int64), begin // 2)
+        sent = ~(empty & (sparse <= extra)[own])
+        out.append(sigs[sent])
+        who.append(sets[own[sent]])
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out), np.concatenate(who)
+
+
 def digest(items: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(items.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-SET_FIELDS = "n_shingles long, d1 long, d2 long, sketch binary"
+SET_FIELDS = (T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
+              T.StructField("sketch", T.BinaryType()))
 
 
 def describe(k: int):
-    """Scalar UDF: text -> size, digest and sketch of its shingle set."""
-    @F.pandas_udf(SET_FIELDS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """mapInArrow function: rows with their text as last column -> the same with size, digest
+    and sketch of its shingle set in its place."""
+    names = [f.name for f in SET_FIELDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("partenum")
-        for texts in batches:
+        for batch in batches:
             rows = []
-            for t in texts:
-                items = np.unique(shingles(t, k))
-                rows.append((len(items), *digest(items), links.sketch(items)))
-            yield pd.DataFrame(rows, columns=["n_shingles", "d1", "d2", "sketch"])
+            for texts in blocks(batch.column(batch.num_columns - 1)):
+                items, ends = shingle_sets(texts, k)
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    rows.append((b - a, *digest(items[a:b]), links.sketch(items[a:b])))
+            told = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *told], [*batch.schema.names[:-1], *names])
 
     return run
 
 
 def item_sets(k: int):
-    """Scalar UDF: text -> its shingle set as sorted numbers, with the digest."""
-    @F.pandas_udf("items array<long>, n_shingles long, d1 long, d2 long")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for t in texts:
-                items = np.unique(shingles(t, k))
-                rows.append((items.view(np.int64), len(items), *digest(items)))
-            yield pd.DataFrame(rows, columns=["items", "n_shingles", "d1", "d2"])
+    """mapInArrow function: (id, text) -> (id, items), the text's shingle set as sorted numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("partenum")
+        for batch in batches:
+            first = 0
+            for texts in blocks(batch.column(1)):
+                items, ends = shingle_sets(texts, k)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists], ["id", "items"])
+                first += len(texts)
 
     return run
 
@@ -159,17 +204,17 @@ def node(d1: int, d2: int, clashes: frozenset[int]) -> int:
     return xxhash.xxh3_64_intdigest(d1.to_bytes(8, "little", signed=True) + d2.to_bytes(8, "little", signed=True)) - (1 << 63) if d1 in clashes else d1
 
 
-def deal(sigs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
-    """What a task sends: of each signature the smallest id (``many``: others of
-    this task hold it too), and the others with that id as ``rep``."""
-    sig = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
-    who = np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
-    order = np.lexsort((who, sig))
+def deal(sig: np.ndarray, who: np.ndarray) -> pa.RecordBatch:
+    """What a task sends of signatures and the ids that hold them: of each signature the smallest id
+    (``many``: others of this task hold it too), and the others with that id as ``rep``."""
+    order = np.argsort(sig)
     sig, who = sig[order], who[order]
     new = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
     start = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     size = np.diff(np.r_[start, len(sig)])
+    several = np.flatnonzero(size[run] > 1)
+    who[several] = who[several[np.lexsort((who[several], sig[several]))]]
     rep = who[start][run] if len(sig) else who
     return pa.RecordBatch.from_arrays([
         pa.array(sig.view(np.int64)), pa.array(who), pa.array(rep, mask=new), pa.array(new & (size[run] > 1))], SIGS.names)
@@ -177,28 +222,41 @@ def deal(sigs: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
 
 def signature_rows(make, k: int, clashes: frozenset[int] = frozenset(), flush: int = FLUSH):
     """mapInArrow function: texts -> (sig, id, rep, many) of their sets; ``make`` turns
-    a set into signatures.  Of equal sets in a task only one is sent."""
+    a set into signatures (a number: those of ``signatures`` with that similarity in hundredths).
+    Of equal sets in a task only one is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("partenum")
         seen: set[tuple[int, int]] = set()
-        sigs, ids, held = [], [], 0
+        sigs, whos, held = [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                items = np.unique(shingles(text, k))
-                mark = digest(items)
-                if not len(items) or mark in seen:
-                    continue
-                seen.add(mark)
-                sigs.append(make(items))
-                ids.append(node(*mark, clashes))
-                held += len(sigs[-1])
+            for texts in blocks(batch.column(0)):
+                items, ends = shingle_sets(texts, k)
+                fresh, ids = np.zeros(len(texts), bool), []
+                for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    mark = digest(items[a:b])
+                    if a == b or mark in seen:
+                        continue
+                    seen.add(mark)
+                    fresh[i] = True
+                    ids.append(node(*mark, clashes))
+                size = np.diff(ends)
+                items, ends = items[np.repeat(fresh, size)], np.r_[0, np.cumsum(size[fresh])]
+                if isinstance(make, int):
+                    sig, of = signature_sets(items, ends, make)
+                else:
+                    each = [make(items[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    sig = np.concatenate([np.zeros(0, np.uint64), *each])
+                    of = np.repeat(np.arange(len(each)), [len(s) for s in each])
+                sigs.append(sig)
+                whos.append(np.array(ids, np.int64)[of])
+                held += len(sig)
                 if held >= flush:
-                    yield deal(sigs, ids)
-                    sigs, ids, held = [], [], 0
-        if sigs:
-            yield deal(sigs, ids)
-        del seen, sigs, ids
+                    yield deal(np.concatenate(sigs), np.concatenate(whos))
+                    sigs, whos, held = [], [], 0
+        if held:
+            yield deal(np.concatenate(sigs), np.concatenate(whos))
+        del seen, sigs, whos
         give_back()  # the joins that follow need the memory more than an idle worker
 
     return run
@@ -210,8 +268,8 @@ def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     spark = documents.sparkSession
     prepare(spark)
     docs = documents.select("doc_id", whole_text().alias("text"))
-    rows = store(docs.select("doc_id", F.xxhash64("text").alias("text_key"), describe(k)("text").alias("s"))
-                 .select("doc_id", "text_key", "s.*"), "shingle_sets")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = store(keyed.mapInArrow(describe(k), T.StructType([*keyed.schema.fields[:2], *SET_FIELDS])), "shingle_sets")
     some = rows.filter("doc_id is not null and n_shingles > 0")
     # names that several digests share: about one in N * N / 2^65 sets
     clash = some.groupBy("d1").agg(F.min("d2").alias("lo"), F.max("d2").alias("hi")).filter("lo <> hi").select("d1")
@@ -220,8 +278,7 @@ def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
     name = F.when(F.col("d1").isin(*clashes), named).otherwise(F.col("d1")) if clashes else F.col("d1")
 
     repeats = not some.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty()
-    make = make or (lambda items: signatures(items, percent))
-    sent = docs.filter("doc_id is not null").select("text").mapInArrow(signature_rows(make, k, clashes), SIGS)
+    sent = docs.filter("doc_id is not null").select("text").mapInArrow(signature_rows(make or percent, k, clashes), SIGS)
     members = store(links.shared(sent), "shared_sigs")
     several = members.select("id").union(members.select("first")).distinct()
     marks = store(some.select(name.alias("id"), F.col("n_shingles").alias("size"), "sketch").join(several, "id", "left_semi")
@@ -232,10 +289,8 @@ def set_components(documents: DataFrame, k: int = SHINGLE_WORDS, percent: int =
         held = some.select(name.alias("id"), "doc_id", "text_key").join(wanted, "id", "left_semi")
         # up to PLACES of them travel to the texts, which stay where they are; more are met in a shuffle
         first = store(held.groupBy("id").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("id", "at.*"), "set_places")
-        keyed = docs.withColumn("text_key", F.xxhash64("text"))
         at = F.broadcast(first) if first.count() <= PLACES else first
-        sets = (keyed.join(at, ["doc_id", "text_key"]).select("id", item_sets(k)("text").alias("s"))
-                .select("id", F.col("s.items").alias("items")))
+        sets = keyed.join(at, ["doc_id", "text_key"]).select("id", "text").mapInArrow(item_sets(k), "id long, items array<long>")
         out = store(sets.dropDuplicates(["id"]) if repeats else sets, "item_sets")
         discard(first)
         return out
