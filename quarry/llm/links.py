@@ -17,7 +17,8 @@ largest of a group:
 * a cluster of up to ``SMALL`` members is compared in one bounded product of its sketches, one of up to
   ``WIDE`` times as many in a product for any two of its blocks of half that size;
   members that these can't tell apart form parts, of which equal ones of several clusters
-  are one, and only the sets of a part meet in a product, which gives back links only;
+  are one, and only the sets of a part meet in a product (of any two blocks if they hold more than ``ITEMS`` items),
+  which gives back links only;
 * in a larger one a set U of items is taken: the items of the cluster's smallest member, and
   of the earlier pivots that led to it.  Write n and l for the items that a set has beyond
   U and lacks of U.  Two sets that share no item beyond U differ in at least
@@ -55,6 +56,10 @@ WIDE = 8
 FEW = 32
 #: Edges that one task joins to components (two numbers each).
 EDGES = 500_000
+#: Items of one product of sets; a part with more is dealt into blocks, of which any two are compared.
+ITEMS = 1_000_000
+#: Items or cells that a product looks at at once, beside them.
+STEP = 1 << 18
 #: Cells of one numpy product.
 CELLS = 4_000_000
 
@@ -162,12 +167,12 @@ def sketch(items: np.ndarray) -> bytes:
 
 def counts(sketches: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sketches' numbers in ``width`` parts, and which sketches hold a 255."""
-    out, full = np.empty((len(sketches), width), np.int64), np.zeros(len(sketches), bool)
+    out, full = np.empty((len(sketches), width), np.int32), np.zeros(len(sketches), bool)
     length = np.array([len(x) for x in sketches])
     for n in np.unique(length):
         at = np.flatnonzero(length == n)
         held = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), width, n // width)
-        out[at], full[at] = held.sum(2, dtype=np.int64), (held == 255).any((1, 2))
+        out[at], full[at] = held.sum(2, dtype=np.int32), (held == 255).any((1, 2))
     return out, full
 
 
@@ -180,9 +185,10 @@ def may_link(percent: int):
             most = np.minimum(size_a, size_b).to_numpy(np.int64, copy=True)
             width = np.minimum(a.str.len(), b.str.len()).to_numpy()
             for w in np.unique(width):
-                at = np.flatnonzero(width == w)
-                (x, full_x), (y, full_y) = (counts(s.iloc[at].tolist(), int(w)) for s in (a, b))
-                most[at] = np.where(full_x | full_y, most[at], np.minimum(x, y).sum(1))
+                alike, step = np.flatnonzero(width == w), max(1, STEP // int(w))
+                for at in (alike[i:i + step] for i in range(0, len(alike), step)):
+                    (x, full_x), (y, full_y) = (counts(s.iloc[at].tolist(), int(w)) for s in (a, b))
+                    most[at] = np.where(full_x | full_y, most[at], np.minimum(x, y).sum(1))
             yield pd.Series(100 * most >= percent * (size_a.to_numpy() + size_b.to_numpy() - most))
 
     return run
@@ -266,7 +272,8 @@ def compared(still: DataFrame, marks: DataFrame, sets_of, percent: int, small: i
     who = still.select("sig", "id", "component").join(lead, "sig").select("cluster", "id", "component").distinct()
     sizes = who.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("pivot"))
     whole = who = store(who.join(sizes, "cluster"), "cluster_members")
-    parts = (in_blocks(who.filter(F.col("members") <= WIDE * small), small).join(marks, "id")
+    dealt = F.when(F.col("members") <= small, 1).otherwise(F.ceil(F.col("members") / F.lit(max(1, small // 2))))
+    parts = (in_blocks(who.filter(F.col("members") <= WIDE * small), dealt).join(marks, "id")
              .select("cluster", "pair", "block", "id", "component", "size", "sketch")
              .groupBy("cluster", "pair").applyInArrow(likely_parts(percent), "part long, id long, component long"))
     parts = store(parts.distinct(), "likely_parts")
@@ -275,7 +282,7 @@ def compared(still: DataFrame, marks: DataFrame, sets_of, percent: int, small: i
     if wanted.isEmpty():
         return pairs, None, None, None
     sets = sets_of(wanted)
-    direct = parts.join(sets, "id").groupBy("part").applyInArrow(product_links(percent), "a long, b long")
+    direct = products(parts, marks, sets, percent)
     if who.isEmpty():
         found = store(verify(pairs, sets, percent).union(direct).distinct(), "links")
         for done in (pairs, parts, sets, whole):
@@ -322,15 +329,31 @@ def across(rows: DataFrame, key: str) -> DataFrame:
     return ordered(rows.select(key, "id", "component").join(other, key).filter("id < o and component <> oc"), "id", "o")
 
 
-def in_blocks(who: DataFrame, small: int) -> DataFrame:
-    """Members of clusters (cluster, members, id ...) with their ``block`` and each ``pair`` of blocks, a
-    block and itself among them, that they are compared in; a cluster of up to ``small`` is one block."""
-    half = max(1, small // 2)
-    blocks = F.when(F.col("members") <= small, F.lit(1)).otherwise(F.ceil(F.col("members") / F.lit(half))).cast("int")
+def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows (id ...) with one of so many ``block`` of their group and each ``pair`` of blocks, a block
+    and itself among them, that they are compared in."""
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return (who.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", other)
-            .withColumn("pair", F.struct(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))))
+    return (rows.withColumn("blocks", blocks.cast("int")).withColumn("block", block).withColumn("other", other)
+            .withColumn("pair", F.struct(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))).drop("blocks", "other"))
+
+
+def across_blocks(group: pa.Table, order: np.ndarray) -> np.ndarray:
+    """Which pairs of a group's rows, in this order, are to be compared: those of different components, and
+    of different blocks if there are two."""
+    comps, *block = (np.array(group.column(c), np.int64)[order] for c in ("component", "block") if c in group.column_names)
+    pairs = comps[:, None] != comps[None]
+    if block and (block[0] != block[0][:1]).any():
+        pairs &= block[0][:, None] != block[0][None]
+    return pairs
+
+
+def products(parts: DataFrame, marks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members (part, id, component) of parts, however many items these have."""
+    many = parts.join(marks.select("id", "size"), "id").groupBy("part").agg(F.sum("size").alias("items"))
+    dealt = F.when(F.col("items") <= ITEMS, 1).otherwise(F.ceil(2 * F.col("items") / F.lit(ITEMS)))
+    return (in_blocks(parts.join(many, "part"), dealt).select("part", "pair", "block", "id", "component").join(sets, "id")
+            .groupBy("part", "pair").applyInArrow(product_links(percent), "a long, b long"))
 
 
 def likely_parts(percent: int):
@@ -359,11 +382,7 @@ def likely_parts(percent: int):
             like = 100 * inter >= percent * (size[at][:, None] + size[at][None] - inter)
             own = length[at] == w
             may[np.ix_(at, at)] |= like & (own[:, None] | own[None])
-        may &= comps[:, None] != comps[None]
-        if "block" in cluster.column_names:
-            block = np.array(cluster.column("block"), np.int64)[order]
-            if (block != block[:1]).any():
-                may &= block[:, None] != block[None]
+        may &= across_blocks(cluster, order)
         root = np.arange(len(ids))
         while True:
             least = np.minimum(root, np.where(may, root[None], len(ids)).min(1))
@@ -378,34 +397,51 @@ def likely_parts(percent: int):
 
 
 def product_links(percent: int):
-    """applyInArrow function: one bounded part (part, id, component, items) ->
+    """applyInArrow function: one bounded part (id, component, items, perhaps of two blocks) ->
     links (a, b) between different components, by the product of its incidence
-    matrix with itself, some columns at a time."""
+    matrix with itself, some range of items and some columns at a time."""
 
     def run(cluster: pa.Table) -> pa.Table:
-        ids, comps = (np.array(cluster.column(c), np.int64) for c in ("id", "component"))
-        lists = cluster.column("items").combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        of = np.repeat(np.arange(len(ids)), size)
-        _, item, held = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        again = held[item] > 1  # an item of one set only is in no intersection
-        of, item = of[again], (np.cumsum(held > 1) - 1)[item[again]]
-        order = np.argsort(item, kind="stable")
-        of, item = of[order], item[order]
-        width = int(item[-1]) + 1 if len(item) else 0
-        inter, step = np.zeros((len(ids), len(ids))), max(1, min(width, CELLS // len(ids)))
-        for first in range(0, width, step):
-            i, j = np.searchsorted(item, [first, first + step])
-            has = np.zeros((len(ids), step), np.float32)
-            has[of[i:j], item[i:j] - first] = 1
-            inter += has @ has.T
+        kept("links")
+        ids = np.array(cluster.column("id"), np.int64)
+        lists = [c for c in cluster.column("items").chunks if len(c)]
+        size = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in lists)])
+        begin = np.r_[0, np.cumsum([len(c) for c in lists])].astype(np.int64)
+        inter = np.zeros((len(ids), len(ids)))
+        bits = max(0, int(size.sum()) // STEP).bit_length()
+        for reach in range(1 << bits):  # items are hashes: so many in each part of their range
+            of, item = [], []
+            for c, i in zip(lists, begin, strict=False):
+                flat = c.flatten().to_numpy().view(np.uint64)
+                ends = (c.offsets.to_numpy() - c.offsets[0].as_py()).astype(np.int64)
+                at = np.flatnonzero(flat >> np.uint64(64 - bits) == reach) if bits else np.arange(len(flat))
+                of.append(i + np.searchsorted(ends, at, "right") - 1)
+                item.append(flat[at])
+            add_products(inter, np.concatenate(of), np.concatenate(item)) if of else None
         like = 100 * inter >= percent * (size[:, None] + size[None] - inter)
-        x, y = np.nonzero(np.triu(like, 1) & (comps[:, None] != comps[None]))
+        x, y = np.nonzero(np.triu(like, 1) & across_blocks(cluster, np.arange(len(ids))))
         return pa.table({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y])})
 
     return run
 
 
+def add_products(inter: np.ndarray, of: np.ndarray, item: np.ndarray) -> None:
+    """Adds to ``inter`` how many of these items two sets share; row i says that set ``of[i]`` holds ``item[i]``."""
+    order = np.argsort(item)
+    of, item = of[order], item[order]
+    new = np.r_[True, item[1:] != item[:-1]] if len(item) else np.zeros(0, bool)
+    run = np.cumsum(new) - 1
+    again = np.bincount(run)[run] > 1 if len(run) else new  # an item of one set only is in no intersection
+    of, item = of[again], (np.cumsum(new & again) - 1)[again]
+    width = int(item[-1]) + 1 if len(item) else 0
+    step = max(1, min(width, CELLS // len(inter)))
+    for first in range(0, width, step):
+        i, j = np.searchsorted(item, [first, first + step])
+        has = np.zeros((len(inter), step), np.float32)
+        has[of[i:j], item[i:j] - first] = 1
+        inter += has @ has.T
+
+
 def close_pairs(near: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a cluster in different components that are similar if they
     share no item beyond the pivot: n + n' + the items that only one of them lacks
